@@ -42,11 +42,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value evaluated once a row, also where then uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null has none."""
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has; upper-case letters are word characters until they are lower-cased."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
