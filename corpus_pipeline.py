@@ -1,9 +1,79 @@
-"""The corpus pipeline (being built)."""
+"""The corpus pipeline: quality, language, near-duplicates, decontamination, packing."""
+
 from __future__ import annotations
-STAGES = []
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linework.llm import decontam, langid, packing, quality, simhash
+from linework.llm.common import checked_broadcast, crc_mod, save
+
+
+def _row(docs: DataFrame):
+    """All columns of docs as one, so that no name of theirs meets one of an operator's."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts good; it learns from labels whose crc32 mod 3 isn't 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
+    return quality.classify(docs, model, [_row(docs)]).where("predicted = 1").select("__row.*")
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without a text or a letter ('und') go."""
+    samples = langid.learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    return langid.identify(docs, samples, [_row(docs)]).where(F.col("lang_pred") != langid.UNKNOWN).select("__row.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group.
+
+    Rows with the same id become one.  A row without an id goes if its group has one with an id.
+    """
+    found = save(simhash.near_duplicates(docs).select("doc_id", "component_id", "kept"), "groups")
+    spare = found.where("not kept and component_id is not null").select(F.col("doc_id").alias("spare")).distinct()
+    size = spare.count()
+    spare = checked_broadcast(spare, 16, rows=size)
+    kept = docs.join(spare, docs["doc_id"].eqNullSafe(spare["spare"]), "left_anti")
+    twice = save(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti").unionByName(once)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no or hardly any benchmark text."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = save(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+    bad = checked_broadcast(bad, 24)
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["bad_hash"])
+    return docs.join(bad, same, "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as pieces of sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("language identification", keep_known_language),
+    ("SimHash near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can express neither the trained stages nor XXH64; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are saved in the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
