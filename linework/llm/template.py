@@ -203,7 +203,7 @@ def _marks(source: str) -> list[tuple[str, str]]:
         inner = mark[2:-2]
         if inner.startswith("-"):
             text, inner = text.rstrip(), inner[1:]
-        trim = inner.endswith("-") and mark[:2] != "{#"
+        trim = inner.endswith("-")
         if text:
             out.append(("text", text))
         if mark and mark[:2] != "{#":
