@@ -136,10 +136,3 @@ def split_components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def singleton_kind(axis, h_near):
     """Orientation of a lone glyph."""
     return F.when(axis == "vertical", "unresolved_vertical_fragment").when(h_near > 0, "unresolved_horizontal_fragment").otherwise("isolated_glyph")
-
-
-def prepare(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """All of the above: raw glyphs to glyphs with axis, bucket, component, chunk and piece."""
-    g = with_metrics(glyphs)
-    g = g.join(thresholds(g, keys), keys)
-    return split_components(components(with_axes(neighbor_counts(g, keys)), keys), keys)

@@ -10,29 +10,36 @@ from linework.functions.geometry import Box
 from linework.operators import chains as ch
 from linework.operators import entities as en
 from linework.operators import grammar, matching, registry, spatial
+from linework.sources.scratch import save
 
 REGION_KEYS = ["doc_id", "page", "region_id"]
 
 
 def page_chains(glyphs: DataFrame, keys: list[str] = ch.KEYS) -> DataFrame:
     """Glyphs to chains: thresholds, axes, components, grammar and single use of glyphs."""
-    prepared = ch.prepare(glyphs, keys)
-    return registry.chains(registry.settle(grammar.groups(prepared, keys), prepared, keys), prepared, keys)
+    g = ch.with_metrics(glyphs)
+    g = save(ch.with_axes(ch.neighbor_counts(g.join(ch.thresholds(g, keys), keys), keys)), "axes")
+    prepared = save(ch.split_components(ch.components(g, keys), keys), "pieces")
+    groups = save(grammar.groups(prepared, keys), "groups")
+    return registry.chains(save(registry.settle(groups, prepared, keys), "settled"), prepared, keys)
 
 
 def page_entities(glyphs: DataFrame, keys: list[str] = ch.KEYS) -> DataFrame:
     """Glyphs to deduplicated entities with their thickness marks bound."""
-    found = matching.form_pairs(en.with_pair_columns(en.candidates(page_chains(glyphs, keys))), keys)
+    found = save(en.with_pair_columns(en.candidates(page_chains(glyphs, keys))), "candidates")
+    found = save(matching.form_pairs(found, keys), "pairs")
     modifiers = found.where(tx.is_tolerance_modifier(F.col("text")))
     numbers = found.where(~tx.is_tolerance_modifier(F.col("text")) & (F.col("grammar_fused") | tx.is_nominal(F.col("text"))))
-    built = en.sanitize(matching.attach_modifiers(modifiers, en.build(numbers), keys))
-    return matching.bind_thickness(en.deduplicate(built, keys), keys)
+    built = save(en.build(numbers), "built")
+    best = save(en.deduplicate(en.sanitize(matching.attach_modifiers(modifiers, built, keys)), keys), "entities")
+    return save(matching.bind_thickness(best, keys), "bound")
 
 
 def finish(entities: DataFrame, drawings: DataFrame, sheets: DataFrame, keys: list[str] = ch.KEYS, margins: bool = True, strict_references: bool = True) -> DataFrame:
     """Nearest drawings, stacked digits, references, export rules and the export schema."""
-    near = spatial.nearest_drawing(entities, drawings, keys)
-    merged = matching.merge_references(matching.fuse_stacked_digits(near, keys), keys, strict_references)
+    near = save(spatial.nearest_drawing(entities, drawings, keys), "placed")
+    stacked = save(matching.fuse_stacked_digits(near, keys), "stacked")
+    merged = matching.merge_references(stacked, keys, strict_references)
     return en.export_records(en.exportable(merged, sheets, keys, margins), keys)
 
 
