@@ -50,8 +50,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     A string payload is its UTF-8; null is empty.  Of equal payloads of at least min_bytes bytes the
     record with the largest id is a response and the others revisit it; smaller ones are responses
-    each.  Payloads never travel in a shuffle: only ids and digests do, and the row whose id is its
-    digest's largest writes the bytes.  Rows with a repeated id are records of their own and, with
+    each.  Payloads travel in one shuffle, copies in a task merged before it; types and headers need
+    ids and digests alone.  Rows with a repeated id are records of their own and, with
     equal payloads, of the same type; a null id sorts below all others and its record names no id.
     Other columns are ignored, so their names can't clash.
     """
@@ -80,10 +80,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         _line("X-Payload-SHA256", F.col("sha256")),
     )
     known.select(F.col("id").cast("string").alias("record_id"), "sha256", header.alias("header")).write.parquet(f"{archive.path}/headers")
-    keyed = rows.select("id", F.sha2("payload", 256).alias("sha256"), "payload")
-    owner = (keyed["sha256"] == top["sha256"]) & keyed["id"].eqNullSafe(top["top"])
-    once = keyed.join(top, owner, "left_semi").groupBy("sha256", "id").agg(F.first("payload").alias("payload"))
-    once.select("sha256", "payload").write.parquet(f"{archive.path}/payloads")
+    keyed = rows.select(F.sha2("payload", 256).alias("sha256"), "payload")
+    keyed.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{archive.path}/payloads")
     return archive
 
 
