@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linework.llm import decontam, langid, packing, quality, simhash
@@ -29,20 +29,28 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group.
+    """One row of each near-duplicate group: the one with the smallest id, of those the one with the least text hash.
 
-    Rows with the same id become one.  A row without an id goes if its group has one with an id.
+    Rows are told apart by id and text: ids that stand for several texts and rows without an id lose
+    only the rows that their group can spare.  A row without an id stays only if its group has none with one.
+    Rows equal in id and text become one, the least as JSON.
     """
-    found = save(simhash.near_duplicates(docs).select("doc_id", "component_id", "kept"), "groups")
-    spare = found.where("not kept and component_id is not null").select(F.col("doc_id").alias("spare")).distinct()
-    size = spare.count()
-    spare = checked_broadcast(spare, 16, rows=size)
-    kept = docs.join(spare, docs["doc_id"].eqNullSafe(spare["spare"]), "left_anti")
-    twice = save(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated")
+    row_id, text_hash = docs["doc_id"], F.xxhash64(docs["text"].cast("string"))
+    key = F.struct(row_id.isNull().alias("no_id"), row_id.alias("id"), text_hash.alias("th"))
+    found = save(simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key").select("key.id", "key.th", "kept"), "groups")
+
+    def among(keys: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        keys = checked_broadcast(save(keys.select(F.col("id").alias("key_id"), F.col("th").alias("key_th")), name), 32)
+        return keys, row_id.eqNullSafe(keys["key_id"]) & (text_hash == keys["key_th"])
+
+    kept = docs.join(*among(found.where("not kept").distinct(), "spare"), "left_anti")
+    repeated = found.where("kept").groupBy("id", "th").count().where("count > 1")
+    twice, same = among(repeated, "repeated")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti").unionByName(once)
+    row = _row(docs)
+    once = docs.join(twice, same, "left_semi").groupBy(row_id, text_hash).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return kept.join(twice, same, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,5 +32,23 @@ def test_stages_with_odd_rows(spark, data):
     assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.keep_one_of_each(spark, docs, data).collect()) == [0, 1, 3]
 
 
+def one_of_each(spark, data, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return sorted((tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, data).collect()), key=str)
+
+
+def test_survivors_are_rows(spark, data):
+    a, b, c = "Eggs and butter make a plain sauce for fish.", "A tram left the square at noon with nobody in it.", "Granite weathers slowly where the frost is rare."
+    # (a) a row without an id goes with its own group only
+    rows = [(3, a, "en"), (None, a, "en"), (None, b, "en"), (None, c, "en"), (4, c, "en")]
+    assert one_of_each(spark, data, rows) == [(3, a, "en"), (4, c, "en"), (None, b, "en")]
+    # (b) ids with several texts: each group keeps a row, and unrelated texts of one id both stay
+    assert one_of_each(spark, data, [(5, a, "en"), (5, b, "en"), (3, b, "en")]) == [(3, b, "en"), (5, a, "en")]
+    assert one_of_each(spark, data, [(5, a, "en"), (5, b, "en")]) == [(5, b, "en"), (5, a, "en")]
+    # (c) groups without any id keep one row, and rows equal in id and text become one, always the same
+    rows = [(None, a, "en"), (None, a, "en"), (None, b, "en"), (7, c, "fr"), (7, c, "en")]
+    assert one_of_each(spark, data, rows) == [(7, c, "en"), (None, b, "en"), (None, a, "en")]
+
+
 def test_pipeline_runs(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
