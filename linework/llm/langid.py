@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 #: Learning is bounded: at most this many slices a language, each of at most SLICE characters,
 #: cut to TRAIN_CHARS characters a language.
 SLICES, SLICE, TRAIN_CHARS = 256, 400, 20_000
-#: Codes: 0 a letter that no learned text has, 1 a run of anything but letters, then letters by
-#: frequency, last a mark between slices that no text contains.
-ALPHABET = 64
+#: Codes: 0 a letter that no learned text has, 1 a run of anything but letters, 2 a mark between
+#: slices that no text contains, then every learned letter by frequency.
+MARK = 2
+#: Codes below this have a column in the dense table of transitions; those of rarer letters are sparse.
+DENSE = 64
 #: Texts are parsed in blocks of this many codes, so that very long ones take no more memory.
 BLOCK = 2048
 UNKNOWN = "und"
@@ -40,43 +42,66 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
 
 
 class Automaton:
-    """Suffix automata of the learned languages as one table: row state, column code, 0 for none."""
+    """Suffix automata of the learned languages as one: states are numbered through, target 0 is none.
+
+    Transitions on codes below DENSE are a table (row state, column code), the others sorted keys
+    state * letters + code; those from the starts are a table of all codes besides (row language).
+    """
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
-        letters = Counter(c for _, text in samples for c in text.lower() if c.isalpha())
-        self.code = np.ones(0x110000, np.uint8)
         points = np.arange(0x110000)
-        letter = np.fromiter((chr(i).isalpha() for i in points), bool, len(points))
-        self.letter = letter
-        self.code[letter] = 0
-        for n, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 3]):
-            self.code[ord(c)] = n + 2
-        for i in points[letter]:
+        self.letter = np.fromiter((chr(i).isalpha() for i in points), bool, len(points))
+        fold = points.copy()
+        for i in points[self.letter]:
             low = chr(i).lower()
-            if len(low) == 1 and low != chr(i):
-                self.code[i] = self.code[ord(low)]
-        tables, self.starts, self.weight, at = [], [], [], 0
+            if len(low) == 1:
+                fold[i] = ord(low)
+        seen = Counter()
+        for _, text in samples:
+            at = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            seen.update(fold[at[self.letter[at]]].tolist())
+        self.codes = MARK + 1 + len(seen)
+        self.code = np.ones(0x110000, np.min_scalar_type(self.codes))
+        self.code[self.letter] = 0
+        for n, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
+            self.code[c] = MARK + 1 + n
+        self.code[self.letter] = self.code[fold[self.letter]]
+        moves, self.starts, self.weight, at = [np.zeros((0, 3), np.int64)], [], [], 0
         for _, text in samples:
             codes = self.encode(text, keep_marks=True)
-            table = _suffix_automaton(codes)
-            table[table > 0] += at
-            tables.append(table)
+            states, found = _suffix_automaton(codes)
+            moves.append(found + np.array([at, 0, at]))
             self.starts.append(at)
             self.weight.append(log2(max(2, len(codes))))
-            at += len(table)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+            at += states
+        state, code, target = np.concatenate(moves).T
+        self.table = np.zeros((at, DENSE), np.int32)
+        low = code < DENSE
+        self.table[state[low], code[low]] = target[low]
+        self.table = self.table.reshape(-1)
+        self.first = np.zeros((len(samples), self.codes), np.int32)
+        for n, start in enumerate(self.starts):
+            self.first[n, code[state == start]] = target[state == start]
+        keys = state[~low] * self.codes + code[~low]
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], target[~low][order].astype(np.int32)
 
     def encode(self, text: str, keep_marks: bool = False) -> np.ndarray:
         """Codes of a text, each run of other characters than letters as one."""
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
         codes = self.code[points]
         if keep_marks:
-            codes[points == 0] = ALPHABET - 1
+            codes[points == 0] = MARK
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != 1) | (codes[:-1] != 1)
         return codes[keep]
 
+    def _sparse(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.codes + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], 0)
+
     def has_letter(self, text: str) -> bool:
         return bool(self.letter[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
@@ -85,7 +110,7 @@ class Automaton:
         blocks = [(n, c[at : at + BLOCK]) for n, c in enumerate(coded) for at in range(0, len(c), BLOCK)]
         blocks.sort(key=lambda b: -len(b[1]))
         lengths = np.array([len(b) for _, b in blocks])
-        grid = np.zeros((lengths[0] if len(blocks) else 0, len(blocks)), np.uint8)
+        grid = np.zeros((lengths[0] if len(blocks) else 0, len(blocks)), self.code.dtype)
         for n, (_, b) in enumerate(blocks):
             grid[: len(b), n] = b
         starts = np.array(self.starts, np.int32)[:, None]
@@ -94,10 +119,15 @@ class Automaton:
         live = len(blocks) - np.searchsorted(lengths[::-1], np.arange(1, len(grid) + 1))
         for row, n in zip(grid, live, strict=True):
             c = row[:n].astype(np.int32)
-            now = self.table.take(state[:, :n] * ALPHABET + c)
+            again = self.first.take(c, axis=1)
+            if len(self.keys):
+                now = self.table.take(state[:, :n] * DENSE + np.where(c < DENSE, c, 0))
+                lang, at = np.nonzero((c >= DENSE) & (again > 0))  # a letter that a language lacks leads nowhere
+                now[lang, at] = self._sparse(state[lang, at], c[at])
+            else:
+                now = self.table.take(state[:, :n] * DENSE + c)
             lost = now == 0
             count[:, :n] += lost
-            again = self.table.take(starts * ALPHABET + c)
             state[:, :n] = np.where(lost, np.where(again > 0, again, starts), now)
         out = np.zeros((len(coded), len(self.langs)), np.int64)
         np.add.at(out, [n for n, _ in blocks], count.T)
@@ -122,16 +152,19 @@ class Automaton:
         return out
 
 
-def _suffix_automaton(codes: np.ndarray) -> np.ndarray:
-    """The transitions of the automaton that accepts every substring of codes; state 0 is the root."""
-    nxt, link, longest, last = [[0] * ALPHABET], [-1], [0], 0
+def _suffix_automaton(codes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The automaton that accepts every substring of codes; state 0 is the root.
+
+    Its number of states and its (state, code, target) transitions, under three a code.
+    """
+    nxt, link, longest, last = [{}], [-1], [0], 0
     for c in codes.tolist():
         new = len(nxt)
-        nxt.append([0] * ALPHABET)
+        nxt.append({})
         longest.append(longest[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and not nxt[p][c]:
+        while p >= 0 and c not in nxt[p]:
             nxt[p][c] = new
             p = link[p]
         if p >= 0:
@@ -140,15 +173,15 @@ def _suffix_automaton(codes: np.ndarray) -> np.ndarray:
                 link[new] = q
             else:
                 twin = len(nxt)
-                nxt.append(nxt[q][:])
+                nxt.append(dict(nxt[q]))
                 longest.append(longest[p] + 1)
                 link.append(link[q])
-                while p >= 0 and nxt[p][c] == q:
+                while p >= 0 and nxt[p].get(c) == q:
                     nxt[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return np.array(nxt, np.int32)
+    return len(nxt), np.array([(s, c, t) for s, row in enumerate(nxt) for c, t in row.items()], np.int64).reshape(-1, 3)
 
 
 @lru_cache(maxsize=1)

@@ -72,6 +72,32 @@ def test_phrases_are_longest_matches():
     assert model.phrases([codes])[0][0] == n
 
 
+def test_every_letter_counts():
+    rng = np.random.default_rng(3)
+    # Two languages of the same 400 letters, whose words differ, beside one that takes the frequent codes.
+    vocabulary = {lang: ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 400, 3))) for _ in range(150)] for lang in ("x", "y")}
+    say = lambda lang: " ".join(rng.choice(vocabulary[lang], 40))
+    latin = "".join(map(chr, [*range(97, 123), *range(0xDF, 0xF7), *range(0x3B1, 0x3C9)])) * 100
+    samples = {"l": latin, **{lang: "\0".join(say(lang) for _ in range(60)) for lang in ("x", "y")}}
+    model = langid.Automaton(tuple(samples.items()))
+    letters = {c for text in samples.values() for c in text if c.isalpha()}
+    codes = [int(model.encode(c)[0]) for c in sorted(letters)]
+    assert len(letters) > 400 and len(set(codes)) == len(letters) and min(codes) > 0
+    assert model.encode("İ").tolist() == [0] and model.encode("Ψ").tolist() == model.encode("ψ").tolist() != [0]
+    texts = [say(lang) for lang in "xy" * 20]
+    assert [lang for lang, _ in model.predict(texts)] == list("xy" * 20)
+    for n, sample in enumerate(samples.values()):
+        text = "".join(sample[at : at + 1 + at % 7] for at in rng.integers(0, len(sample), 80)).replace("\0", "")
+        whole, codes = f",{','.join(map(str, model.encode(sample, keep_marks=True)))},", model.encode(text).tolist()
+        at, phrases = 0, 0
+        while at < len(codes):
+            size = 1
+            while at + size < len(codes) and f",{','.join(map(str, codes[at : at + size + 1]))}," in whole:
+                size += 1
+            at, phrases = at + size, phrases + 1
+        assert model.phrases([model.encode(text)])[0][n] == phrases
+
+
 def test_language_odd_rows(spark, odd):
     samples = langid.learn(odd)
     assert set(samples) == {"en", "fr"}
