@@ -4,18 +4,68 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Paths saved so far, a list for each open temporary() and one for the rest of the session.
+_saved: list[list[str]] = [[]]
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet: what uses it several times doesn't compute it again, and a lost
-    executor costs no more than the step at hand.  The folder is spark.checkpoint.dir, one of our own where that is unset."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.  Where that is unset, a local master gets one of its own;
+    on a cluster that is an error, since executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="linework-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/linework/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing stands under."""
+    path = f"{shared_dir(spark)}/linework/{name}-{uuid.uuid4().hex}"
+    _saved[-1].append(path)
+    return path
+
+
+def put(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet under path and read back."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet: what uses it several times doesn't compute it again, and a lost
+    executor costs no more than the step at hand.  It stays until its temporary() ends or clear()."""
+    return put(df, fresh_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete saved tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        for group in _saved:
+            if path in group:
+                group.remove(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are removed at the end: what is needed later must have been put() elsewhere."""
+    _saved.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_saved[-1].copy())
+        _saved.pop()
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove every table that the session has saved; results not yet collected can't be read after it."""
+    remove(spark, *_saved[0].copy())
