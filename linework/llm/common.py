@@ -1,13 +1,16 @@
-"""Helpers that the operators share: the cluster's shared folder, saved tables, words."""
+"""Helpers that the operators share: broadcasts and joins of bounded size, runs of texts, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linework.sources.scratch import save
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: digits, lower-case letters and everything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -15,22 +18,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 #: Tables up to this many bytes may be broadcast; above it Spark shuffles both sides.
 BROADCAST_BYTES = 16 * 1024 * 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="linework-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: later steps restart from the files."""
-    path = f"{shared_dir(df.sparkSession)}/linework/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A key of more rows than this is hot: its facts don't travel by the key.
+HOT_ROWS = 1_000_000
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -39,6 +28,41 @@ def checked_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) ->
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, row_bytes: int = 64) -> DataFrame:
+    """rows, total of them, joined on key with facts, which have one row a key and in n how many rows it has.
+
+    Keys of over HOT_ROWS rows are few (one in HOT_ROWS rows at most), so their facts are broadcast,
+    counted first, and their rows stay where they are; the other keys are shuffled as usual.
+    """
+    if total <= HOT_ROWS:
+        return rows.join(facts, key)
+    hot = save(facts.where(F.col("n") > HOT_ROWS), "hot")
+    hot = checked_broadcast(hot, row_bytes)
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col("n") <= HOT_ROWS), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def runs_of(texts: pa.Array, size: int = 4_000_000, most: int = 8192) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows of about size bytes and at most that many rows; a longer text is one alone."""
+    at, total = 0, 0
+    for n, x in enumerate(pc.binary_length(texts).to_pylist()):
+        x = x or 0
+        if n > at and (total + x > size or n - at >= most):
+            yield at, n
+            at, total = n, 0
+        total += x
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def unlike(name: str, taken: list[str]) -> str:
+    """name, with underscores until no taken name is the same in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def let(value: Column, then) -> Column:
     """then(value) with value evaluated once a row, also where then uses it inside another lambda."""
     return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log, log2, pi, acos
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import checked_broadcast, save
+from linework.llm.common import checked_broadcast, join_hot
 from linework.llm.components import connected_components
+from linework.sources.scratch import save
 
 THRESHOLD = 0.9
 #: The chance that a pair at the threshold itself meets in a bucket; nearer pairs meet oftener.
@@ -21,6 +22,12 @@ RECALL = 0.995
 BUCKET, BLOCK = 512, 2048
 #: The confidence bound of an estimate, in its standard deviations.
 BOUND = 6.0
+#: Bits a dimension of a stored query code.
+LEVELS = 4
+#: Blocks with more pairs inside the bound than this a vector are dense: their vectors go to the pairs.
+DENSE_PAIRS = 8
+#: Places by hash that order the vectors of a bucket; blocks are runs of them.
+SPOTS = 1 << 31
 SEED = 20
 
 
@@ -46,30 +53,59 @@ def keys(unit: np.ndarray, bits: int, count: int) -> np.ndarray:
     return signs.reshape(len(unit), count, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signs of the rotated vectors as unit vectors, stored correction factors <code, vector>)."""
-    turned = unit @ rotation(unit.shape[1], 0).T
-    code = np.where(turned > 0, 1.0, -1.0) / np.sqrt(unit.shape[1])
-    return code, np.einsum("ij,ij->i", code, turned)
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Bits (rows, dims) as 64-bit words, zeros behind."""
+    gap = -bits.shape[1] % 64
+    return np.packbits(np.pad(bits, ((0, 0), (0, gap))), axis=1, bitorder="little").view("<u8")
 
 
-def maybe_near(code: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (row of code, row of turned) whose inner product may reach threshold.
+def encode(unit: np.ndarray) -> dict[str, np.ndarray]:
+    """What is stored of unit vectors: their binary codes with correction factors, and their query codes.
 
-    <code, q> / <code, x> estimates <x, q> without bias; its deviation is at most
-    sqrt(1 - f * f) / f / sqrt(dims - 1), f the factor.  Pairs whose upper bound lies below are settled.
+    The code has the signs of the rotated vector, the factor is <signs / sqrt(dims), vector>.  The
+    query code has the rotated vector itself, LEVELS bits a dimension from low in steps, as bit
+    planes; rounding up or down is random in proportion, so that it adds no bias.
+    """
+    turned = unit @ rotation(unit.shape[1], 0).T
+    signs = turned > 0
+    factor = np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1])
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / (2**LEVELS - 1), 1e-12)
+    dither = np.random.default_rng([SEED, unit.shape[1]]).random(unit.shape[1])
+    level = np.clip(np.floor((turned - low[:, None]) / step[:, None] + dither), 0, 2**LEVELS - 1).astype(np.uint8)
+    planes = np.stack([_packed((level >> b & 1).astype(bool)) for b in range(LEVELS)], axis=1)
+    return {"code": _packed(signs), "factor": factor, "planes": planes, "low": low, "step": step, "total": level.sum(axis=1, dtype=np.int64)}
+
+
+def maybe_near(a: dict[str, np.ndarray], b: dict[str, np.ndarray], dims: int, threshold: float) -> np.ndarray:
+    """Pairs (row of a, row of b) whose inner product may reach threshold, by a's codes and b's query codes.
+
+    <code, q> / <code, x> estimates <x, q> without bias.  <code, q> is a sum of bit counts: each
+    plane of q under the code.  The deviation is at most sqrt(1 - f * f) / f / sqrt(dims - 1), f the
+    factor, and half a step over f for the rounding of q.  Pairs whose upper bound lies below are settled.
     """
-    spread = BOUND * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / np.sqrt(max(1, code.shape[1] - 1))
-    return (code @ turned.T) / factor[:, None] + spread[:, None] >= threshold
+    ones = np.bitwise_count(a["code"]).sum(axis=1, dtype=np.int64)
+    under = np.zeros((len(ones), len(b["low"])), np.int64)
+    for word in range(a["code"].shape[1]):
+        for plane in range(LEVELS):
+            under += np.bitwise_count(a["code"][:, word, None] & b["planes"][None, :, plane, word]).astype(np.int64) << plane
+    inner = b["low"] * (2 * ones[:, None] - dims) + b["step"] * (2 * under - b["total"])
+    factor = a["factor"][:, None]
+    spread = BOUND / factor * np.sqrt(np.maximum(0, 1 - factor**2) / max(1, dims - 1) + (b["step"] / 2) ** 2)
+    return inner / np.sqrt(dims) / factor + spread >= threshold
 
 
 def _to_bytes(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     """Each vector's components as bytes; null for those that link with nothing."""
     for batch in batches:
+        lists = batch.column(1)
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(kind) + 0  # + 0: no -0; nulls are nan
+        good = np.isfinite(flat)
         out = []
-        for v in batch.column(1):
-            a = np.array([np.nan if x is None else x for x in v.as_py()], kind) if v.is_valid else np.zeros(0)
-            out.append((a + 0).tobytes() if np.isfinite(a).all() and a.any() else None)  # + 0: no -0
+        for n, known in enumerate(lists.is_valid().to_pylist()):
+            part = slice(ends[n], ends[n + 1])
+            out.append(flat[part].tobytes() if known and good[part].all() and flat[part].any() else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "raw"])
 
 
@@ -80,59 +116,135 @@ def _units(raw: list[bytes], kind: str) -> np.ndarray:
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
-def _dealer(bits: int, count: int, kind: str, full: bool):
-    """A row for each table that a vector enters; full: with what comparing takes."""
+def _by_width(raws: list[bytes], most: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, rows) of up to most vectors of one width each."""
+    widths = np.array([len(r) for r in raws], np.int32)
+    for width in np.unique(widths):
+        some = np.flatnonzero(widths == width)
+        for at in range(0, len(some), most):
+            yield int(width), some[at : at + most]
+
+
+def _binary(a: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in a], pa.binary())
 
+
+_CODED = "cid long, width int, code binary, factor double, planes binary, low double, step double, total long"
+
+
+def _coder(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column(2).to_pylist()
-            widths = np.array([len(r) for r in raws], np.int32)
-            for width in np.unique(widths):
-                some = np.flatnonzero(widths == width)
-                for at in range(0, len(some), 512):
-                    take = some[at : at + 512]
-                    found = keys(_units([raws[i] for i in take], kind), bits, count)
-                    cols = {"width": pa.array(np.full(found.size, width, np.int32)), "tab": pa.array(np.tile(np.arange(count, dtype=np.int32), len(take))), "key": pa.array(found.ravel())}
-                    if full:
-                        again = pa.array(np.repeat(take, count))
-                        cols |= {name: batch.column(i).take(again) for i, name in enumerate(("cid", "n", "raw"))}
-                    yield pa.RecordBatch.from_pydict(cols)
+            raws = batch.column(1).to_pylist()
+            for width, take in _by_width(raws):
+                e = encode(_units([raws[i] for i in take], kind))
+                yield pa.RecordBatch.from_pydict({
+                    "cid": batch.column(0).take(pa.array(take)), "width": pa.array(np.full(len(take), width, np.int32)), "code": _binary(e["code"]), "factor": pa.array(e["factor"]),
+                    "planes": _binary(e["planes"]), "low": pa.array(e["low"]), "step": pa.array(e["step"]), "total": pa.array(e["total"]),
+                })
 
     return run
 
 
-def _pairs(left, right, same: bool, tab: int, bits: int, count: int, threshold: float):
-    """Which rows of left and right link and meet first in this table; exact, in double precision."""
-    (a, ak, code, factor), (b, bk, turned) = left, right
-    found = np.argwhere(maybe_near(code, factor, turned, threshold))
-    if same:
-        found = found[found[:, 0] < found[:, 1]]
-    i, j = found[:, 0], found[:, 1]
-    exact = np.empty(len(i))
-    for at in range(0, len(i), 65536):
-        exact[at : at + 65536] = np.einsum("ij,ij->i", a[i[at : at + 65536]], b[j[at : at + 65536]])
-    i, j = i[exact >= threshold], j[exact >= threshold]
-    new = np.ones(len(i), bool)
-    for t in range(tab):
-        new &= ak[i, t] != bk[j, t]
-    return i[new], j[new]
-
-
-def _comparer(bits: int, count: int, kind: str, threshold: float):
-    def compare(key: tuple, batch: pa.Table) -> pa.Table:
-        """One pair of blocks of a bucket: links a vector has here, and edges that connect the block."""
-        tab, p, q = key[1].as_py(), key[3].as_py(), key[4].as_py()
+def _dealer(bits: int, count: int, kind: str):
+    """A row (width, tab, key, cid) for each table that a vector enters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch.column(1).to_pylist()
+            for width, take in _by_width(raws):
+                found = keys(_units([raws[i] for i in take], kind), bits, count)
+                yield pa.RecordBatch.from_pydict({
+                    "width": pa.array(np.full(found.size, width, np.int32)), "tab": pa.array(np.tile(np.arange(count, dtype=np.int32), len(take))), "key": pa.array(found.ravel()),
+                    "cid": batch.column(0).take(pa.array(np.repeat(take, count))),
+                })
+
+    return run
+
+
+_PLACE = ["width", "tab", "key", "p", "q"]
+
+
+def _place_of(key: tuple) -> list:
+    return [k.as_py() for k in key[: len(_PLACE)]]
+
+
+def _sides(block: np.ndarray, p: int, q: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the blocks p and q, in order."""
+    block = block[order]
+    return order[block == p], order[block == q]
+
+
+def _filter(kind: str, threshold: float):
+    """Codes of a pair of blocks to the pairs inside the bound, or one row that says that these are many."""
+
+    def run(key: tuple, batch: pa.Table) -> pa.Table:
+        width, tab, bucket, p, q = _place_of(key)
+        dims = width // np.dtype(kind).itemsize
         cid, block = batch.column("cid").to_numpy(), batch.column("block").to_numpy()
-        weight = batch.column("n").to_numpy()
-        order = np.lexsort((cid, block))
-        unit = _units(batch.column("raw").to_pylist(), kind)[order]
-        cid, block, weight = cid[order], block[order], weight[order]
-        every = keys(unit, bits, count)
-        turned = unit @ rotation(unit.shape[1], 0).T
-        code, factor = codes(unit)
-        left, right = block == p, block == q
-        i, j = _pairs((unit[left], every[left], code[left], factor[left]), (unit[right], every[right], turned[right]), p == q, tab, bits, count, threshold)
-        i, j = np.flatnonzero(left)[i], np.flatnonzero(right)[j]
+        words = ceil(dims / 64)
+        read = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u8")
+        e = {"code": read("code").reshape(-1, words), "planes": read("planes").reshape(-1, LEVELS, words), **{n: batch.column(n).to_numpy() for n in ("factor", "low", "step", "total")}}
+        left, right = _sides(block, p, q, np.lexsort((cid, batch.column("spot").to_numpy())))
+        near = maybe_near({n: v[left] for n, v in e.items()}, {n: v[right] for n, v in e.items()}, dims, threshold)
+        if p == q:
+            near = np.triu(near, 1)  # of two vectors the one with the lesser spot gives the code, in every table
+        many = int(near.sum()) > DENSE_PAIRS * len(cid)
+        i, j = (np.zeros(1, np.int64),) * 2 if many else np.nonzero(near)
+        place = {n: pa.array(np.full(len(i), v), t) for n, v, t in zip(_PLACE, (width, tab, bucket, p, q), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)}
+        null = pa.nulls(1, pa.int64())
+        return pa.table(place | {"a": null if many else pa.array(cid[left[i]]), "b": null if many else pa.array(cid[right[j]])})
+
+    return run
+
+
+def _linked(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, tab: np.ndarray, bits: int, count: int, threshold: float) -> np.ndarray:
+    """Which of the pairs (row i of a, row j of b) link, in double precision, and meet first in the table tab."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 65536):
+        part = slice(at, at + 65536)
+        out[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]]) >= threshold
+    if out.any():
+        some = np.flatnonzero(out)
+        ai, aj = np.unique(i[some], return_inverse=True)
+        bi, bj = np.unique(j[some], return_inverse=True)
+        ka, kb = keys(a[ai], bits, count), keys(b[bi], bits, count)
+        for at in range(0, len(some), 65536):
+            part = slice(at, at + 65536)
+            met = ka[aj[part]] == kb[bj[part]]
+            out[some[part]] = met.argmax(axis=1) == tab[some[part]]
+    return out
+
+
+def _exact_pairs(bits: int, count: int, kind: str, threshold: float):
+    """Pairs with their vectors to those that link, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws, tab = batch.column("raw_a").to_pylist(), batch.column("tab").to_numpy()
+            others = batch.column("raw_b").to_pylist()
+            for _, take in _by_width(raws, 4096):
+                a, b = (_units([r[i] for i in take], kind) for r in (raws, others))
+                at = np.arange(len(take))
+                good = pa.array(take[_linked(a, b, at, at, tab[take], bits, count, threshold)])
+                yield pa.RecordBatch.from_pydict({n: batch.column(n).take(good) for n in ("a", "b", "na", "nb")})
+
+    return run
+
+
+def _exact_blocks(bits: int, count: int, kind: str, threshold: float):
+    """Vectors of a dense pair of blocks: links a vector has here, and edges that connect the block."""
+
+    def run(key: tuple, batch: pa.Table) -> pa.Table:
+        _, tab, _, p, q = _place_of(key)
+        cid, block, weight = (batch.column(n).to_numpy() for n in ("cid", "block", "n"))
+        unit = _units(batch.column("raw").to_pylist(), kind)
+        left, right = _sides(block, p, q, np.arange(len(cid)))
+        i, j = np.triu_indices(len(left), 1) if p == q else (x.ravel() for x in np.indices((len(left), len(right))))
+        near = np.flatnonzero((unit[left] @ unit[right].T)[i, j] >= threshold - 1e-9)  # those in question
+        i, j = i[near], j[near]
+        met = _linked(unit[left], unit[right], i, j, np.full(len(i), tab), bits, count, threshold)
+        i, j = left[i[met]], right[j[met]]
         links = np.bincount(i, weight[j], len(cid)) + np.bincount(j, weight[i], len(cid))
         root = np.arange(len(cid))
         while len(i):  # the least row reachable inside these blocks
@@ -146,19 +258,24 @@ def _comparer(bits: int, count: int, kind: str, threshold: float):
         some = links > 0
         return pa.table({"cid": cid[some], "links": links[some].astype(np.int64), "root": cid[root[some]]})
 
-    return compare
+    return run
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, n_links, component_id, kept) per row of vectors.
 
-    Equal unit vectors become one class with a count first.  Classes meet in buckets of sign bits of
-    random rotations; the bits grow with the number of classes, so buckets don't, and the number of
-    tables gives RECALL at the threshold.  In a bucket binary codes estimate each inner product; only
-    pairs whose confidence bound reaches the threshold are computed, in double precision, and those
-    decide.  A pair counts in the first table where it meets.  A bucket of more than BLOCK classes is
-    compared as pairs of blocks, in tasks of their own.  What leaves a task is a count and a
-    component's least member for each class, never pairs.
+    Equal vectors become one class with a count first, told apart by SHA-256.  Each class's binary
+    code, correction factor and query code are computed and stored once.  Classes meet in buckets of
+    sign bits of random rotations; the bits grow with the number of classes, so buckets don't, and
+    the number of tables gives RECALL at the threshold.  Buckets get ids and codes, no vectors: codes
+    estimate each inner product, and only pairs whose confidence bound reaches the threshold are
+    computed, in double precision, and those decide.  A pair counts in the first table where it meets.
+
+    A bucket of more than BLOCK classes is compared as pairs of blocks, in tasks of their own.  Pairs
+    inside the bound are joined with their vectors; where a pair of blocks has more than
+    DENSE_PAIRS a vector of them, its vectors are sent to one task instead, which gives counts and a
+    component's least member for each class, never pairs.  In a group of n distinct vectors that are
+    all near each other the links are n * n, and so is that work.
 
     Null vectors, zero ones and those with a null or non-finite component link with nothing, as do
     vectors of different lengths with each other.  Rows with a repeated id and equal vectors count
@@ -170,24 +287,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     slim = vectors.select(F.col(id_col).alias("id"), values.alias("v"))
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("raw", T.BinaryType())])
     rows = slim.mapInArrow(lambda batches: _to_bytes(batches, kind), schema)
-    rows = save(rows.withColumn("cid", F.when(F.col("raw").isNotNull(), F.xxhash64("raw"))), "vectors")
-    classes = save(rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.first("raw").alias("raw"), F.min("id").alias("least")), "vector-classes")
-    bits, count = tables(classes.count(), threshold)
-    place = "width int, tab int, key long"
-    inputs = classes.select("cid", "n", "raw")
-    sizes = inputs.mapInArrow(_dealer(bits, count, kind, False), place).groupBy("width", "tab", "key").agg(F.count("*").alias("held"))
-    hot = save(sizes.where(F.col("held") > BLOCK).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).drop("held"), "vector-buckets")
-    dealt = inputs.mapInArrow(_dealer(bits, count, kind, True), f"{place}, cid long, n long, raw binary").join(checked_broadcast(hot, 32), ["width", "tab", "key"], "left")
-    block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
-    spread = dealt.withColumn("block", block).withColumn("other", F.explode(others)).select("width", "tab", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "n", "raw")
-    found = save(spread.groupBy("width", "tab", "key", "p", "q").applyInArrow(_comparer(bits, count, kind, threshold), "cid long, links long, root long"), "vector-links")
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select("cid", "root"))
-    placed = classes.select("cid", "n", "least").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    placed = save(placed.select("cid", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root")), "vector-placed")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = rows.join(placed.join(named, "root").select("cid", "n_links", "component_id"), "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    rows = save(rows.withColumn("sha", F.unhex(F.sha2("raw", 256))), "vectors")
+    grouped = rows.where("sha is not null").groupBy("sha").agg(F.count("*").alias("n"), F.first("raw").alias("raw"), F.min("id").alias("least"))
+    classes = save(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    size = classes.agg(F.count("*"), F.sum("n")).first()
+    bits, count = tables(size[0], threshold)
+    codes = save(classes.select("cid", "raw").mapInArrow(_coder(kind), _CODED), "vector-codes")
+    dealt = save(classes.select("cid", "raw").mapInArrow(_dealer(bits, count, kind), "width int, tab int, key long, cid long"), "vector-keys")
+    sizes = dealt.groupBy("width", "tab", "key").agg(F.count("*").alias("held")).where("held > 1")
+    shared = save(sizes.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).drop("held"), "vector-buckets")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = dealt.join(checked_broadcast(shared, 32), ["width", "tab", "key"]).withColumn("spot", F.pmod(F.xxhash64("cid"), F.lit(SPOTS)))
+    spread = spread.withColumn("block", F.floor(F.col("spot") * F.col("blocks") / SPOTS).cast("int")).withColumn("other", other)
+    spread = spread.select("width", "tab", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "spot", "cid")
+    coded = spread.join(codes.drop("width"), "cid")
+    place = "width int, tab int, key long, p int, q int"
+    found = save(coded.groupBy(*_PLACE).applyInArrow(_filter(kind, threshold), f"{place}, a long, b long"), "vector-candidates")
+    held = classes.select("cid", "n", "raw")
+    side = lambda s: held.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("raw").alias(f"raw_{s}"))
+    pairs = found.where("a is not null").groupBy("a", "b").agg(F.min("tab").alias("tab"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = save(pairs.mapInArrow(_exact_pairs(bits, count, kind, threshold), "a long, b long, na long, nb long"), "vector-pairs")
+    dense = spread.join(found.where("a is null").select(*_PLACE), _PLACE).join(held, "cid")
+    dense = save(dense.groupBy(*_PLACE).applyInArrow(_exact_blocks(bits, count, kind, threshold), "cid long, links long, root long"), "vector-links")
+    both = F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("nb").alias("links")), F.struct(F.col("b").alias("cid"), F.col("na").alias("links")))).alias("x")
+    links = dense.select("cid", "links").union(pairs.select(both).select("x.*")).groupBy("cid").agg(F.sum("links").alias("links"))
+    roots = connected_components(dense.select("cid", "root").union(pairs.select("a", "b")))
+    placed = classes.select("cid", "sha", "n", "least").join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    placed = save(placed.select("sha", "n", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("root")), "vector-placed")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = save(join_hot(placed.withColumnRenamed("n", "rows"), named, "root", size[0]).select("sha", F.col("rows").alias("n"), "n_links", "component_id"), "vector-named")
+    plain = rows.where("sha is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = join_hot(rows.where("sha is not null").select("id", "sha"), named, "sha", size[1] or 0, 96).select("id", "n_links", "component_id").union(plain)
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).withColumnRenamed("id", id_col)
