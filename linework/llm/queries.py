@@ -27,7 +27,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     records = warc.read_archive(spark, archive)
-    return records.select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast("long").alias("refers_to"), "verified")
+    return records.select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast("long").alias("refers_to"), "verified", "record_bytes", "record_sha256")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

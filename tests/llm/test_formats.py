@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linework.llm import chat, packing, queries, sharding, template, warc
+from linework.llm import chat, common, packing, queries, sharding, template, warc
 
 
 def test_template_language():
@@ -44,12 +44,12 @@ def test_chat_round_trip_of_odd_turns(spark, monkeypatch):
         list(chat.turns("### user:\nno end"))
 
 
-def test_warc_of_odd_pages(spark, tmp_path):
-    rows = [(1, "http://a", "same"), (2, None, "same"), (2, None, "same"), (3, "http://b\r\nX: y", "é" * 1000), (None, "u", "same"), (5, "u", None), (6, "u", "")]
+def test_warc_of_odd_pages(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://a", "same"), (2, None, "same"), (2, None, "same"), (3, "http://b\r\nX: y", "é" * 1000), (None, "u", "same"), (5, "u", None), (6, "u", ""), (7, "http://a/%0Ab", "x\r\n\r\ny"), (8, "http://a/\nb", "x\r\n\r\ny"), (9, "", "z")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha256": F.lit("?"), "id": F.lit(0)})
     archive = warc.write_archive(frame, path=f"file://{tmp_path}/a")
     got = warc.read_archive(spark, archive).collect()
-    assert len(got) == 7 and all(r["verified"] for r in got) and archive.payloads(spark).count() == 3
+    assert len(got) == 10 and all(r["verified"] for r in got) and archive.payloads(spark).count() == 5
     by = defaultdict(list)
     for r in got:
         by[r["record_id"]].append(r)
@@ -57,8 +57,18 @@ def test_warc_of_odd_pages(spark, tmp_path):
         head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
         assert body == (b"" if r["record_type"] == "revisit" else bytes(r["payload"])) + b"\r\n\r\n" and f"Content-Length: {len(body) - 4}".encode() in head
     assert [(r["record_type"], r["refers_to"]) for r in by["1"]] == [("revisit", "2")] and [r["record_type"] for r in by["2"]] == ["response"] * 2
+    urls = {str(r[0]): r[1] for r in rows if r[0]}
+    assert all(r["target_uri"] == (urls[i] if urls[i] is not None else f"<urn:x-record:{i}>") for i, held in by.items() if i for r in held)
+    assert all(len(r["record"]) == r["record_bytes"] and hashlib.sha256(r["record"]).hexdigest() == r["record_sha256"] for r in got)
+    monkeypatch.setattr(warc, "PART_RECORDS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    parted = warc.write_archive(frame, path=f"file://{tmp_path}/parts")
+    assert parted.payloads(spark).where("parts > 1").count() > 0
+    assert sorted(r["record_sha256"] for r in warc.read_archive(spark, parted).collect()) == sorted(r["record_sha256"] for r in got)
+    broken = warc.records(spark, archive).where("record_id = '9'").withColumn("record", F.overlay("record", F.lit(b"!"), F.octet_length("record") - 4))
+    assert [r["verified"] for r in warc.read_records(broken).collect()] == [False]
     assert [(r["record_type"], r["refers_to"]) for r in by["5"]] == [("revisit", "6")] and b"\r\nX: y" not in bytes(by["3"][0]["record"])
-    assert warc.read_archive(spark, warc.write_archive(frame, path=f"file://{tmp_path}/b", min_bytes=5)).where("record_type = 'revisit'").count() == 0
+    assert warc.read_archive(spark, warc.write_archive(frame, path=f"file://{tmp_path}/b", min_bytes=7)).where("record_type = 'revisit'").count() == 0
     assert warc.read_archive(spark, warc.write_archive(frame.limit(0), path=f"file://{tmp_path}/c")).count() == 0
 
 
