@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import save
+from linework.llm.common import join_hot, runs_of
+from linework.sources.scratch import save
 from linework.llm.components import connected_components
 
 SEED = 42
@@ -45,8 +46,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at, stop in runs_of(batch.column(1)):
+            part = batch.slice(at, stop - at)
             fps = pa.array([fingerprint(t.as_py()) for t in part.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), fps], ["id", "fp"])
 
@@ -97,10 +98,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs are ignored, so their names can't clash.
     """
     hashed = save(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = save(hashed.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    distinct = save(hashed.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    total, held = distinct.agg(F.sum("n"), F.count("*")).first()
     roots = connected_components(links(distinct.select("fp")))
-    placed = save(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    out = hashed.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = save(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    classes = save(join_hot(placed, named, "root", held).select("fp", "component_id", F.col("rows").alias("n")), "simhash-classes")
+    out = join_hot(hashed, classes, "fp", total or 0).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
