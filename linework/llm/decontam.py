@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import checked_broadcast, let, save, word_count, words
+from linework.llm.common import checked_broadcast, let, word_count, words
+from linework.sources.scratch import save
 
 #: Words of a window; an item of fewer words is one window.
 SPAN = 13
 #: A document is contaminated if it has a hit and at least one word in this many is hit.
 SHARE = 20
+#: A place in a text has this many values.
+PLACES = 1 << 31
 
 
 def parameters(span: int) -> tuple[int, int]:
@@ -20,10 +23,14 @@ def parameters(span: int) -> tuple[int, int]:
     return k, span - k + 1
 
 
-def _grams(tokens: Column, k: int) -> Column:
-    """The hash of each k consecutive words; none if there are fewer."""
+def _placed_grams(tokens: Column, k: int) -> Column:
+    """A number for each k consecutive words: 31 bits of their hash, then 31 of their place (from 0).
+
+    So the least number has the least hash, and its place with it; none if there are fewer words.
+    """
     none = F.array().cast("array<long>")
-    each = lambda t: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.xxhash64(F.slice(t, i, k)))).otherwise(none)
+    hashed = lambda t, i: F.shiftrightunsigned(F.xxhash64(F.slice(t, i + 1, k)), 33)
+    each = lambda t: F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: hashed(t, i) * PLACES + i)).otherwise(none)
     return let(tokens, each)
 
 
@@ -37,7 +44,7 @@ def _least_with(by: int):
 
 
 def winnow(grams: Column, w: int) -> Column:
-    """The distinct minima of each w consecutive gram hashes.
+    """The distinct minima of each w consecutive placed grams.
 
     Minima of 2, 4, 8... are minima of two earlier ones.  Windows that run past the end hold what
     is left, so short texts have fingerprints too.
@@ -50,44 +57,29 @@ def winnow(grams: Column, w: int) -> Column:
     return F.array_distinct(grams)
 
 
-def fingerprints(texts: DataFrame, span: int, keys: list[str]) -> DataFrame:
-    """keys and one winnowed gram hash (fp) per row."""
+def _marks(tokens: Column, span: int) -> Column:
+    """An array of struct(span, fp, from, around): the winnowed grams of words, each with the words
+    that a window of span words over it can have, and where they begin."""
     k, w = parameters(span)
-    return texts.select(*keys, F.explode(winnow(_grams(F.col("words"), k), w)).alias("fp"))
 
+    def mark(x: Column) -> Column:
+        at = F.pmod(x, F.lit(PLACES)).cast("int")
+        start = F.greatest(at - (w - 1), F.lit(0))
+        return F.struct(F.lit(span).alias("span"), F.shiftrightunsigned(x, 31).alias("fp"), start.alias("from"), F.slice(tokens, start + 1, at + span - start).alias("around"))
 
-def _windows(items: DataFrame, span: int) -> DataFrame:
-    """Each distinct window of items, as text, with the ids of the items it stands in."""
-    starts = F.sequence(F.lit(1), F.size("words") - span + 1)
-    each = items.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, span), " "))).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item_id").alias("items"))
+    return F.transform(winnow(_placed_grams(tokens, k), w), mark)
 
 
-def _hits(docs: DataFrame, items: DataFrame, span: int) -> DataFrame:
-    """(id, th, start, stop, items) of each place where a window of span words occurs in a document."""
-    k, w = parameters(span)
-    marks = save(fingerprints(items, span, ["item_id"]).select("fp").distinct(), "benchmark-fingerprints")
-    windows = save(_windows(items, span), "benchmark-windows")
-    tokens = docs.withColumn("words", words(F.col("text"))).select("id", "th", "words")
-    met = fingerprints(tokens, span, ["id", "th"]).join(checked_broadcast(marks, 16), "fp")
-    found = save(met.groupBy("id", "th").agg(F.collect_set("fp").alias("fps")), "benchmark-met")
-    size = found.agg(F.count("*"), F.sum(F.size("fps"))).first()
-    found = found.select(F.col("id").alias("mid"), F.col("th").alias("mth"), "fps")
-    found = checked_broadcast(found, 8, rows=4 * size[0] + (size[1] or 0))
-    near = docs.join(found, docs["id"].eqNullSafe(found["mid"]) & (docs["th"] == found["mth"])).dropDuplicates(["id", "th"])
-    none = F.array().cast("array<struct<start:int,window:string>>")
-
-    def tried_in(t: Column) -> Column:
-        """Each window of the words t that covers a gram with a shared fingerprint."""
-        last = F.size(t) - span  # starts count from 0
-        starts = lambda p: F.sequence(F.greatest(p - w + 1, F.lit(0)), F.least(p, last))
-        around = let(_grams(t, k), lambda g: F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains("fps", F.get(g, i))), starts)))
-        window = lambda s: F.struct(s.alias("start"), F.array_join(F.slice(t, s + 1, span), " ").alias("window"))
-        return F.when(last >= 0, F.transform(F.array_distinct(around), window)).otherwise(none)
-
-    tried = near.select("id", "th", F.explode(let(words(F.col("text")), tried_in)).alias("s")).select("id", "th", "s.start", "s.window")
-    held = windows.agg(F.count("*"), F.sum(F.length("window") * 3 + 8 * F.size("items"))).first()
-    return tried.join(checked_broadcast(windows, 1, rows=64 * held[0] + (held[1] or 0)), "window").select("id", "th", "start", (F.col("start") + span).alias("stop"), "items")
+def fingerprints(texts: DataFrame, spans: list[int], keys: list[str]) -> DataFrame:
+    """keys, span, fp, from and around for each winnowed gram of the texts' words, for every span."""
+    marks = let(F.col("words"), lambda t: F.concat(*(_marks(t, s) for s in spans)))
+    return texts.select(*keys, F.explode(marks).alias("m")).select(*keys, "m.*")
+
+
+def _windows_in(words_of: Column, span: Column) -> Column:
+    """An array of struct(start, window): every window of span words, as text."""
+    starts = F.when(F.size(words_of) >= span, F.sequence(F.lit(0), F.size(words_of) - span)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice(words_of, i + 1, span), " ").alias("window")))
 
 
 def _covered(spans: Column) -> Column:
@@ -103,31 +95,42 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_hit, n_items, items_sha256, contaminated, text_hash) per row of docs.
 
-    Winnowed gram hashes of documents meet those of the items; around each shared one the exact
-    windows are compared as text, so no hash decides a hit.  Item lengths under SPAN words, of which
-    there can be twelve, are each winnowed for their own length.  Null texts have no words and no
-    hits; items with a null id or no words are left out; rows with the same id and text get the
-    same result each; an empty benchmark contaminates nothing; columns besides the named ones are
-    ignored, so their names can't clash.
+    One pass tokenises each document and winnows it for every length of item windows there is: SPAN
+    words, and fewer where items are shorter.  Winnowed grams carry the words around them to a
+    broadcast of the items' (a shuffle if that is too large), so a document's text is read once
+    and never shuffled.  Around each shared gram the exact windows are compared as text, so no
+    hash decides a hit.
+
+    Null texts have no words and no hits.  Items without words are left out; one with a null id
+    counts for n_hit, and its id is in no list.  Rows with the same id and text get the same result
+    each; an empty benchmark contaminates nothing; columns besides the named ones are ignored, so
+    their names can't clash.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), words(F.col(item_text_col).cast("string")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words(F.col(item_text_col).cast("string")).alias("words")).where(F.size("words") > 0)
     items = save(items.withColumn("span", F.least(F.size("words"), F.lit(SPAN))), "benchmark-items")
     spans = sorted(r["span"] for r in items.select("span").distinct().collect())
-    hits = [_hits(docs, items.where(F.col("span") == s), s) for s in spans]
     counted = docs.select("id", "th", word_count(F.col("text")).alias("n_words"))
     none = F.sha2(F.lit(""), 256)
-    if not hits:
+    if not spans:
         out = counted.select("id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"))
     else:
-        every = hits[0]
-        for h in hits[1:]:
-            every = every.union(h)
-        spans_of = F.array_sort(F.collect_set(F.struct("start", "stop")))
-        per_doc = every.groupBy("id", "th").agg(spans_of.alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
-        per_doc = save(per_doc.select(F.col("id").alias("hid"), F.col("th").alias("hth"), _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")), "benchmark-hits")
-        per_doc = checked_broadcast(per_doc, 128)
+        known = fingerprints(items, spans, ["span"]).toDF("own", "span", "fp", "from", "around").where("own = span")
+        known = save(known.select("span", "fp").distinct(), "benchmark-fingerprints")
+        held = items.select("item_id", F.explode(_windows_in(F.col("words"), F.col("span"))).alias("w")).select("item_id", "w.window").distinct()
+        held = save(held, "benchmark-windows")
+        tokens = docs.select("id", "th", words(F.col("text")).alias("words"))
+        met = fingerprints(tokens, spans, ["id", "th"]).join(checked_broadcast(known, 16), ["span", "fp"])
+        tried = met.select("id", "th", "span", "from", F.explode(_windows_in(F.col("around"), F.col("span"))).alias("w")).select("id", "th", "span", (F.col("from") + F.col("w.start")).alias("start"), "w.window")
+        windows = save(held.select("window").distinct(), "benchmark-window-texts")
+        size = windows.agg(F.count("*"), F.sum(F.octet_length("window"))).first()
+        hits = save(tried.join(checked_broadcast(windows, 1, rows=64 * size[0] + (size[1] or 0)), "window").select("id", "th", "start", (F.col("start") + F.col("span")).alias("stop"), "window").distinct(), "benchmark-hits")
+        covered = hits.groupBy("id", "th").agg(_covered(F.array_sort(F.collect_list(F.struct("start", "stop")))).alias("n_hit"))
+        listed = hits.select("id", "th", "window").distinct().join(held.where("item_id is not null"), "window").select("id", "th", "item_id").distinct()
+        listed = listed.groupBy("id", "th").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
+        same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
+        per_doc = covered.join(listed, same(covered, listed), "left").select(covered["id"].alias("hid"), covered["th"].alias("hth"), "n_hit", "n_items", "items_sha256")
+        per_doc = checked_broadcast(save(per_doc, "benchmark-counts"), 128)
         joined = counted.join(per_doc, counted["id"].eqNullSafe(per_doc["hid"]) & (counted["th"] == per_doc["hth"]), "left")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
         out = joined.select("id", "th", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
@@ -138,14 +141,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 #: The contract's rule in DuckDB: all windows of all items against all windows of the documents.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bs AS (SELECT item_id, w, least(len(w), 13) AS span FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, span, array_to_string(w[s : s + span - 1], ' ') AS win FROM (SELECT item_id, w, span, unnest(range(1, len(w) - span + 2)) AS s FROM bs)),
 dw AS (SELECT doc_id, s, x.span, array_to_string(w[s : s + x.span - 1], ' ') AS win
   FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS s FROM d, (SELECT DISTINCT span FROM bs)) x),
 hit AS (SELECT doc_id, s, dw.span, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.span = bw.span),
 nh AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + span)) AS p FROM hit) GROUP BY 1),
-it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS i FROM hit) GROUP BY 1)
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT d.doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, coalesce(h, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
