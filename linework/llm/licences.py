@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import let, save, word_count, words
+from linework.llm.common import let, word_count, words
+from linework.sources.scratch import save
 
 #: The base phrases and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
