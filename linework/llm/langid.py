@@ -13,36 +13,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Learning is bounded: at most this many slices a language, each of at most SLICE characters,
-#: cut to TRAIN_CHARS characters a language.
-SLICES, SLICE, TRAIN_CHARS = 256, 400, 20_000
+from linework.llm.common import runs_of, unlike
+
+#: Learning is bounded: at most this many documents a language (those least by hash), and of each
+#: one slice of at most so many characters, from a place that its hash chooses.
+SLICES, SLICE = 64, 400
 #: Codes: 0 a letter that no learned text has, 1 a run of anything but letters, 2 a mark between
 #: slices that no text contains, then every learned letter by frequency.
 MARK = 2
 #: Codes below this have a column in the dense table of transitions; those of rarer letters are sparse.
 DENSE = 64
-#: Texts are parsed in blocks of this many codes, so that very long ones take no more memory.
-BLOCK = 2048
+#: Texts are parsed side by side, this many codes at a time; when at most NARROW are left, one by one.
+BLOCK, NARROW = 2048, 32
 UNKNOWN = "und"
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, str]:
     """A sample of text per non-null language, the same for the same rows in any order.
 
-    Texts are dealt by their hash into SLICES parts a language and one slice of each part is kept
-    (the least by hash, so copies count once).  What comes to the driver is at most
-    SLICES * SLICE characters a language.
+    Texts are dealt by their hash into SLICES parts a language and one text of each part gives a
+    slice (the least by hash, so copies count once): SLICE characters from anywhere in it.  What
+    comes to the driver is at most SLICES rows a language.
     """
-    slim = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, SLICE).alias("slice"))
+    length = F.length(text_col)
+    start = F.pmod(F.xxhash64(F.lit("slice"), text_col), F.greatest(length - SLICE, F.lit(0)) + 1).cast("int") + 1
+    slim = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), start, F.lit(SLICE)).alias("slice"))
     least = slim.groupBy("lang", F.pmod("h", F.lit(SLICES)).alias("part")).agg(F.min(F.struct("h", "slice")).alias("least"))
     found: dict[str, list] = {}
     for r in least.select("lang", "least.h", "least.slice").collect():
         found.setdefault(r["lang"], []).append((r["h"], r["slice"]))
-    return {lang: "\0".join(s for _, s in sorted(rows))[:TRAIN_CHARS] for lang, rows in sorted(found.items())}
+    return {lang: "\0".join(s for _, s in sorted(rows)) for lang, rows in sorted(found.items())}
 
 
 class Automaton:
-    """Suffix automata of the learned languages as one: states are numbered through, target 0 is none.
+    """Suffix automata of the learned languages as one: states are numbered through from 1; 0 is none, and leads nowhere.
 
     Transitions on codes below DENSE are a table (row state, column code), the others sorted keys
     state * letters + code; those from the starts are a table of all codes besides (row language).
@@ -67,7 +71,7 @@ class Automaton:
         for n, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
             self.code[c] = MARK + 1 + n
         self.code[self.letter] = self.code[fold[self.letter]]
-        moves, self.starts, self.weight, at = [np.zeros((0, 3), np.int64)], [], [], 0
+        moves, self.starts, self.weight, at = [np.zeros((0, 3), np.int64)], [], [], 1
         for _, text in samples:
             codes = self.encode(text, keep_marks=True)
             states, found = _suffix_automaton(codes)
@@ -86,6 +90,7 @@ class Automaton:
         keys = state[~low] * self.codes + code[~low]
         order = np.argsort(keys)
         self.keys, self.targets = keys[order], target[~low][order].astype(np.int32)
+        self.rare = dict(zip(self.keys.tolist(), self.targets.tolist(), strict=True))
 
     def encode(self, text: str, keep_marks: bool = False) -> np.ndarray:
         """Codes of a text, each run of other characters than letters as one."""
@@ -106,33 +111,59 @@ class Automaton:
         return bool(self.letter[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language: greedy longest matches, from the start of each block."""
-        blocks = [(n, c[at : at + BLOCK]) for n, c in enumerate(coded) for at in range(0, len(c), BLOCK)]
-        blocks.sort(key=lambda b: -len(b[1]))
-        lengths = np.array([len(b) for _, b in blocks])
-        grid = np.zeros((lengths[0] if len(blocks) else 0, len(blocks)), self.code.dtype)
-        for n, (_, b) in enumerate(blocks):
-            grid[: len(b), n] = b
-        starts = np.array(self.starts, np.int32)[:, None]
-        state = np.repeat(starts, len(blocks), axis=1)
-        count = np.ones(state.shape, np.int32)
-        live = len(blocks) - np.searchsorted(lengths[::-1], np.arange(1, len(grid) + 1))
-        for row, n in zip(grid, live, strict=True):
-            c = row[:n].astype(np.int32)
-            again = self.first.take(c, axis=1)
-            if len(self.keys):
-                now = self.table.take(state[:, :n] * DENSE + np.where(c < DENSE, c, 0))
-                lang, at = np.nonzero((c >= DENSE) & (again > 0))  # a letter that a language lacks leads nowhere
-                now[lang, at] = self._sparse(state[lang, at], c[at])
-            else:
-                now = self.table.take(state[:, :n] * DENSE + c)
-            lost = now == 0
-            count[:, :n] += lost
-            state[:, :n] = np.where(lost, np.where(again > 0, again, starts), now)
-        out = np.zeros((len(coded), len(self.langs)), np.int64)
-        np.add.at(out, [n for n, _ in blocks], count.T)
+        """Phrases of each text in each language: greedy longest matches over the whole text.
+
+        Texts go code by code side by side, longest first, so that those still running are a
+        prefix, in blocks that carry each text's state on.  The few that are much longer than
+        the others are walked alone from there.
+        """
+        order = sorted(range(len(coded)), key=lambda i: -len(coded[i]))
+        lengths = np.array([len(coded[i]) for i in order])
+        state = np.zeros((len(self.langs), len(order)), np.int32)
+        count = np.zeros(state.shape, np.int64)
+        at, live = 0, len(order)
+        while live > NARROW:
+            grid = np.zeros((min(BLOCK, lengths[0] - at), live), self.code.dtype)
+            for n in range(live):
+                part = coded[order[n]][at : at + BLOCK]
+                grid[: len(part), n] = part
+            running = live - np.searchsorted(lengths[:live][::-1], np.arange(at + 1, at + len(grid) + 1))
+            for row, n in zip(grid, running, strict=True):
+                self._step(row[:n].astype(np.int32), state[:, :n], count[:, :n])
+            at += BLOCK
+            live = int((lengths > at).sum())
+        for n in range(live):
+            for lang in range(len(self.langs)):
+                count[lang, n] += self._walk(coded[order[n]][at:], int(state[lang, n]), lang)
+        out = np.empty((len(order), len(self.langs)), np.int64)
+        out[order] = count.T
         return out
 
+    def _step(self, c: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
+        """One code of each text: follow it, or begin a phrase with it.  One that a language lacks is a phrase alone."""
+        again = self.first.take(c, axis=1)
+        if len(self.keys):
+            now = self.table.take(state * DENSE + np.where(c < DENSE, c, 0))
+            lang, at = np.nonzero((c >= DENSE) & (again > 0))  # a letter that a language lacks leads nowhere
+            now[lang, at] = self._sparse(state[lang, at], c[at])
+        else:
+            now = self.table.take(state * DENSE + c)
+        lost = now == 0
+        count += lost
+        state[:] = np.where(lost, again, now)
+
+    def _walk(self, codes: np.ndarray, state: int, lang: int) -> int:
+        """Phrases that a text begins from a state on, in one language."""
+        table, first, count = memoryview(self.table), self.first[lang].tolist(), 0
+        rare = self.rare
+        for c in codes.tolist():
+            now = table[state * DENSE + c] if c < DENSE else rare.get(state * self.codes + c, 0)
+            if not now:
+                count += 1
+                now = first[c]
+            state = now
+        return count
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         coded = [self.encode(t) if t and self.has_letter(t) else None for t in texts]
         known = [c for c in coded if c is not None]
@@ -193,7 +224,7 @@ def _predictor(samples: tuple[tuple[str, str], ...], names: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = automaton(samples)
         for batch in batches:
-            for at, end in _cuts(batch.column(batch.num_columns - 1)):
+            for at, end in runs_of(batch.column(batch.num_columns - 1)):
                 part = batch.slice(at, end - at)
                 langs, scores = zip(*model.predict(part.column(part.num_columns - 1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
@@ -201,29 +232,19 @@ def _predictor(samples: tuple[tuple[str, str], ...], names: list[str]):
     return predict
 
 
-def _cuts(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about size bytes."""
-    import pyarrow.compute as pc
-
-    at, total = 0, 0
-    for n, x in enumerate(pc.binary_length(texts).to_pylist()):
-        total += x or 0
-        if total >= size or n - at >= 8192:
-            yield at, n + 1
-            at, total = n + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def identify(docs: DataFrame, samples: dict[str, str], columns: list[Column], text_col: str = "text") -> DataFrame:
     """columns of docs, then lang_pred and score, from whole texts.
 
     A language's rate is its phrases times log2 of its learned length, over the text's length; the
     least rate wins (the first language by name on ties).  score is the second rate's share of the
     two: 0.5 for a tie, up to 1.  Null texts and those without a letter are 'und' with score 0, and
-    all are if nothing was learned.  Columns of the result named lang_pred or score in docs must
-    not be among columns; others of docs are ignored.  Repeated rows and empty tables pass through.
+    all are if nothing was learned.  Of columns, those named like a column of the result give way to
+    it; others of docs are ignored.  Repeated rows and empty tables pass through.
     """
-    slim = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    names = ("lang_pred", "score")
+    kept = docs.select(*columns)
+    keep = [c for c, n in zip(columns, kept.columns, strict=True) if n.lower() not in names]
+    text = unlike("text", [*kept.columns, *names])
+    slim = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     fields = [*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return slim.mapInArrow(_predictor(tuple(samples.items()), [f.name for f in fields]), T.StructType(fields))

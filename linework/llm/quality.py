@@ -12,11 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Learning is bounded: this many labelled documents (those least by hash of their id), and of
-#: each this many lines at most, spread over the whole text.
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 64
-#: Lines, padding counted, that inference holds at once.
-GROUP_LINES = 200_000
+from linework.llm.common import runs_of, unlike
+from linework.sources.scratch import save
+
+#: Learning is bounded: this many labelled documents, whole (those least by hash of their text).
+SAMPLE_DOCS = 2000
+#: A training text is learned as chains of this many consecutive lines.
+CHAIN = 64
+#: Lines, padding counted, that inference holds at once; chains of more lines than LONG go alone.
+GROUP_LINES, LONG = 200_000, 4096
 ROUNDS, RATE, PENALTY = 250, 0.1, 1e-3
 FEATURES = 19
 _UPPER, _LOWER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
@@ -71,8 +75,12 @@ class Model:
         """P(good) of each line; chains of like length go together, in groups of bounded memory."""
         order, out, at = sorted(range(len(nodes)), key=lambda i: -len(nodes[i])), [None] * len(nodes), 0
         while at < len(order):
-            group = order[at : at + max(1, GROUP_LINES // max(1, len(nodes[order[at]])))]
-            for i, (p, _) in zip(group, forward_backward([nodes[i] for i in group], self.moves), strict=True):
+            longest = len(nodes[order[at]])
+            if longest > LONG:
+                out[order[at]], at = long_marginals(nodes[order[at]], self.moves), at + 1
+                continue
+            group = order[at : at + max(1, GROUP_LINES // max(1, longest))]
+            for i, (p, _) in zip(group, forward_backward([nodes[i] for i in group], self.moves, False), strict=True):
                 out[i] = p
             at += len(group)
         return out
@@ -93,8 +101,41 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def forward_backward(nodes: list[np.ndarray], moves: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each chain: P(good) of each line, and the expected number of each of the four moves.
+def _ahead(score: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The forward scores of one long chain (lines, 2), in about the root of its length in steps.
+
+    Each block's products of moves are taken for all blocks at once, then blocks follow each other,
+    and the scores inside are what comes in times the product so far.
+    """
+    lines = len(score)
+    size = max(1, int(np.sqrt(lines)))
+    blocks = -(-lines // size)
+    steps = np.full((blocks * size, 2, 2), -np.inf)
+    steps[:, 0, 0] = steps[:, 1, 1] = 0.0  # what pads the last block changes nothing
+    steps[:lines] = moves + score[:, None, :]
+    steps[0] = score[0]  # the first line comes from nowhere
+    steps = steps.reshape(blocks, size, 2, 2)
+    times = lambda a, b: np.logaddexp(a[..., 0, None] + b[..., None, 0, :], a[..., 1, None] + b[..., None, 1, :])
+    for t in range(1, size):
+        steps[:, t] = times(steps[:, t - 1], steps[:, t])
+    into, at = np.empty((blocks, 2)), np.array([0.0, -np.inf])
+    for n in range(blocks):
+        into[n] = at
+        at = np.logaddexp(at[0] + steps[n, -1, 0], at[1] + steps[n, -1, 1])
+    into = into[:, None, :]
+    return np.logaddexp(into[..., 0, None] + steps[..., 0, :], into[..., 1, None] + steps[..., 1, :]).reshape(-1, 2)[:lines]
+
+
+def long_marginals(node: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one long chain: forwards, and forwards over the reversed chain."""
+    score = np.stack([np.zeros(len(node)), node], axis=1)
+    with np.errstate(invalid="ignore"):
+        total = _ahead(score, moves) + _ahead(score[::-1], moves.T)[::-1] - score
+    return _sigmoid(total[:, 1] - total[:, 0])
+
+
+def forward_backward(nodes: list[np.ndarray], moves: np.ndarray, counted: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each chain: P(good) of each line and, if counted, the expected number of each of the four moves.
 
     nodes: a chain's scores of 'good' against 'bad' (0).  Chains go step by step side by side,
     longest first, so that those still running are a prefix.
@@ -117,7 +158,7 @@ def forward_backward(nodes: list[np.ndarray], moves: np.ndarray) -> list[tuple[n
     total = ahead + back
     good = _sigmoid(total[:, :, 1] - total[:, :, 0])
     expected = np.zeros((wide, 2, 2))
-    for t in range(1, steps):
+    for t in range(1, steps if counted else 0):
         n = live[t]
         pair = ahead[t - 1, :n, :, None] + moves + (score[t, :n] + back[t, :n])[:, None, :]
         pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
@@ -131,21 +172,26 @@ def forward_backward(nodes: list[np.ndarray], moves: np.ndarray) -> list[tuple[n
 def fit(chains: list[np.ndarray], weights: list[np.ndarray], labels: list[int]) -> Model:
     """Maximum likelihood with a quadratic penalty; each line carries its document's label.
 
+    Every line is learned with its real neighbours' features; a text is chains of CHAIN lines in a
+    row, which leave out only the moves between them.
     One class alone, or no rows, gives a model that says the share of good labels everywhere.
     """
     if len(set(labels)) < 2:
         share = float(np.mean(labels)) if labels else 0.5
         width = FEATURES * 3
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), 0.0, float(_logit(np.array(share))))
-    x = [with_neighbours(c) for c in chains]
+    whole, x, owner = [with_neighbours(c) for c in chains], [], []
+    for n, c in enumerate(whole):
+        x += [c[at : at + CHAIN] for at in range(0, len(c), CHAIN)]
+        owner += [labels[n]] * -(-len(c) // CHAIN)
     flat = np.vstack(x).astype(np.float64)
     mean, scale = flat.mean(axis=0), flat.std(axis=0)
     mean[scale < 1e-9], scale[scale < 1e-9] = 0.0, 1.0
     flat = (flat - mean) / scale
     ends = np.cumsum([len(c) for c in x])
-    target = np.repeat(np.array(labels, float), [len(c) for c in x])
+    target = np.repeat(np.array(owner, float), [len(c) for c in x])
     held = np.zeros((2, 2))
-    for c, y in zip(x, labels, strict=True):
+    for c, y in zip(x, owner, strict=True):
         held[y, y] += len(c) - 1
     theta, first, second = np.zeros(flat.shape[1] + 4), 0.0, 0.0
     for k in range(1, ROUNDS + 1):
@@ -169,32 +215,35 @@ def fit(chains: list[np.ndarray], weights: list[np.ndarray], labels: list[int])
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = {"good": [], "x": [], "w": []}
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, w = line_features(text)
-            some = np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_LINES)).astype(int))
-            rows["good"].append(label)
-            rows["x"].append(x[some].ravel().tolist())
-            rows["w"].append(w[some].tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(rows["good"], pa.int32()), pa.array(rows["x"], pa.list_(pa.float32())), pa.array(rows["w"], pa.list_(pa.float64()))], ["good", "x", "w"])
+        for at, stop in runs_of(batch.column(1)):
+            part = batch.slice(at, stop - at)
+            made = [line_features(t) for t in part.column(1).to_pylist()]
+            blobs = [pa.array([m[n].tobytes() for m in made], pa.binary()) for n in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *blobs], ["good", "x", "w"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on SAMPLE_DOCS documents of labels at most; ids with a null or with two different labels are left out."""
+    """Fit on SAMPLE_DOCS labelled documents at most, whole, each text once for each label.
+
+    Ids with a null or with two different labels are left out.  The bound is on rows: ids are chosen by
+    hash first, so that only theirs are joined, then texts, since an id may stand for many.
+    """
     sure = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good"), F.max(label_col).alias("most")).where("good = most")
     chosen = sure.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).select("id", F.col("good").cast("int").alias("good"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("good", "text").mapInArrow(_features, "good int, x array<float>, w array<double>").collect()
-    unique = {(r["good"], tuple(r["x"])): r["w"] for r in rows}  # copies count once
-    found = sorted(unique)
-    return fit([np.array(x, np.float32).reshape(-1, FEATURES) for _, x in found], [np.array(unique[k]) for k in found], [g for g, _ in found])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    once = texts.join(F.broadcast(chosen), "id").groupBy("good", F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))
+    once = save(once, "labelled-texts")
+    bound = once.select("th", "good").orderBy("th", "good").limit(SAMPLE_DOCS)
+    rows = once.join(F.broadcast(bound), ["th", "good"], "left_semi").select("good", "text").mapInArrow(_features, "good int, x binary, w binary").collect()
+    found = sorted((r["good"], bytes(r["x"]), bytes(r["w"])) for r in rows)
+    return fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found], [np.frombuffer(w) for _, _, w in found], [g for g, _, _ in found])
 
 
 def _scorer(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, stop in runs_of(batch.column(batch.num_columns - 1), 1_000_000, 512):
+                part = batch.slice(at, stop - at)
                 texts = part.column(part.num_columns - 1)
                 scores = model.score([line_features(t.as_py()) for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names)
@@ -205,10 +254,15 @@ def _scorer(model: Model, names: list[str]):
 def classify(docs: DataFrame, model: Model, columns: list[Column], text_col: str = "text") -> DataFrame:
     """columns of docs, then score (0 to 1) and predicted (1 if score >= 0.5), from whole texts.
 
-    Null and empty texts are one empty line and get a score too.  Names in columns must differ from
-    score and predicted; other columns of docs are ignored.  Repeated rows and empty tables pass through.
+    Null and empty texts are one empty line and get a score too.  Of columns, those named like a
+    column of the result give way to it; other columns of docs are ignored.  Repeated rows and empty
+    tables pass through.
     """
-    slim = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    names = ("score", "predicted")
+    kept = docs.select(*columns)
+    keep = [c for c, n in zip(columns, kept.columns, strict=True) if n.lower() not in names]
+    text = unlike("text", [*kept.columns, *names])
+    slim = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     fields = [*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]
     scored = slim.mapInArrow(_scorer(model, [f.name for f in fields]), T.StructType(fields))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -1,5 +1,6 @@
 """Quality classifier and language identification: held-out accuracy and odd inputs."""
 
+import math
 from itertools import product
 
 import numpy as np
@@ -25,6 +26,53 @@ def test_forward_backward_is_exact():
         assert np.allclose(expected, pairs)
 
 
+def test_long_chains_are_the_same():
+    rng = np.random.default_rng(4)
+    moves = rng.normal(size=(2, 2))
+    for n in (1, 2, 3, 10, 5000):
+        nodes = rng.normal(size=n) * 3
+        assert np.allclose(quality.long_marginals(nodes, moves), quality.forward_backward([nodes], moves, False)[0][0])
+
+
+def plain_score(model, text):
+    """The score of one text, line by line."""
+    x, weights = quality.line_features(text)
+    x, width, node = x.astype(float).tolist(), len(x[0]), []
+    for n in range(len(x)):
+        row = x[n] + (x[n - 1] if n else [0.0] * width) + (x[n + 1] if n + 1 < len(x) else [0.0] * width)
+        node.append(sum((v - m) / s * w for v, m, s, w in zip(row, model.mean, model.scale, model.weights, strict=True)))
+    ahead, back = [(0.0, node[0])], [(0.0, 0.0)]
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    for v in node[1:]:
+        ahead.append(tuple(add(*(ahead[-1][i] + model.moves[i, j] for i in (0, 1))) + v * j for j in (0, 1)))
+    for v in reversed(node[1:]):
+        back.append(tuple(add(*(model.moves[i, j] + v * j + back[-1][j] for j in (0, 1))) for i in (0, 1)))
+    good = [1 / (1 + math.exp(min(700, a[0] + b[0] - a[1] - b[1]))) for a, b in zip(ahead, reversed(back), strict=True)]
+    raw = min(1 - 1e-6, max(1e-6, sum(g * w for g, w in zip(good, weights, strict=True)) / sum(weights)))
+    return 1 / (1 + math.exp(-min(30, max(-30, model.slope * math.log(raw / (1 - raw)) + model.shift))))
+
+
+def test_quality_is_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality.learn(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
+    got = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, data).collect()}
+    some = docs.orderBy(F.xxhash64("doc_id")).limit(60).collect()
+    assert np.allclose([got[r["doc_id"]] for r in some], [plain_score(model, r["text"]) for r in some], atol=1e-5)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """An id of many texts, and a text of many rows, don't exceed the bound on rows."""
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 5)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, w, y: seen.append((len(x), sorted(len(c) for c in x))))
+    docs = spark.createDataFrame([(1, f"text {n}\nmore") for n in range(30)] + [(2, "same\n" * 100)] * 40, "doc_id long, text string")
+    quality.learn(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    assert seen[0][0] == 5
+    quality.learn(docs.where("doc_id = 2"), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    assert seen[1] == (1, [101])
+
+
 def test_quality_holds_out(spark, data):
     found = queries.op1_quality(spark, data)
     labels = spark.read.parquet(f"{data}/labels.parquet")
@@ -98,6 +146,54 @@ def test_every_letter_counts():
         assert model.phrases([model.encode(text)])[0][n] == phrases
 
 
+def plain_phrases(sample, text):
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_language_is_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    samples = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    assert all(len(x) > 10_000 and len(x.split("\0")) <= langid.SLICES for x in samples.values())
+    model = langid.Automaton(tuple(samples.items()))
+    plain = lambda t, marks=False: "".join(map(chr, (model.encode(t, marks) + 40).tolist()))
+    coded = [plain(s, True) for s in samples.values()]
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, data).collect()}
+    for r in docs.where("text is not null").orderBy(F.length("text").desc()).limit(3).collect() + docs.orderBy(F.xxhash64("doc_id")).limit(50).collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        text = plain(r["text"])
+        rates = [plain_phrases(s, text) * math.log2(len(s)) / len(text) for s in coded]
+        best, second = sorted(rates)[:2]
+        assert got[r["doc_id"]]["lang_pred"] == list(samples)[rates.index(best)] and abs(got[r["doc_id"]]["score"] - second / (second + best)) < 1e-9
+
+
+def test_parse_carries_on(monkeypatch):
+    """Blocks and lone walks parse as one run over the text does."""
+    rng = np.random.default_rng(6)
+    model = langid.Automaton((("a", "".join(rng.choice(list("abc d"), 400))), ("b", "".join(rng.choice(list("cdéž"), 300)))))
+    coded = [model.encode("".join(rng.choice(list("abcdé ž?"), n))) for n in (1, 3, 50, 700, 701, 9)]
+    want = model.phrases(coded)
+    for block, narrow in ((7, 0), (64, 2), (5, 4)):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        monkeypatch.setattr(langid, "NARROW", narrow)
+        assert (model.phrases(coded) == want).all()
+
+
+def test_slices_come_from_whole_texts(spark):
+    text = "".join(chr(97 + n % 26) for n in range(3000)) + "zzzz" * 500
+    docs = spark.createDataFrame([(f"{n} {text} {n}", "en") for n in range(200)], "text string, lang string")
+    slices = langid.learn(docs)["en"].split("\0")
+    assert 50 < len(slices) <= langid.SLICES and {len(s) for s in slices} == {langid.SLICE}
+    assert len({s[:30] for s in slices}) > 20 and any(set(s) == {"z"} for s in slices)
+
+
 def test_language_odd_rows(spark, odd):
     samples = langid.learn(odd)
     assert set(samples) == {"en", "fr"}
@@ -105,3 +201,8 @@ def test_language_odd_rows(spark, odd):
     assert {(r["doc_id"], r["lang_pred"]) for r in rows} == {(1, "und"), (2, "und"), (None, "en"), (4, "fr"), (5, "und")} and len(rows) == 6
     assert {r["lang_pred"] for r in langid.identify(odd, {}, [F.col("doc_id")]).collect()} == {"und"}
     assert langid.learn(odd.limit(0)) == {}
+    clash = odd.withColumns({"lang_pred": F.lit(1), "predicted": F.lit(1), "text_": F.lit(2)})
+    rows = langid.identify(clash, samples, [F.col(c) for c in ("doc_id", "score", "lang_pred", "text")])
+    assert rows.columns == ["doc_id", "text", "lang_pred", "score"] and rows.count() == 6
+    model = quality.learn(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.classify(clash, model, [F.col(c) for c in ("text", "score", "text_", "predicted")]).columns == ["text", "text_", "score", "predicted"]
