@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linework.llm.common import runs_of
 from linework.llm.template import compile_template
 
 END = "</turn>\n"
@@ -22,38 +22,69 @@ TEMPLATE = (
 )
 #: A long conversation comes in parts of about this many characters, each of whole turns.
 PART_CHARS = 1_000_000
-_ESCAPED, _ESCAPED_ROLE = re.compile(r"(\\|###|</turn>)"), re.compile(r"(\\|###|</turn>|:|\n)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*):\n((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
+#: What stands with a backslash before it inside a text, and inside a role (the backslash itself first).
+CONTROL = ("###", "</turn>")
+ROLE_CONTROL = (*CONTROL, ":", "\n")
+
+
+def _escape(text: str, control: tuple[str, ...]) -> str:
+    text = text.replace("\\", "\\\\")
+    for c in control:
+        text = text.replace(c, "\\" + c)
+    return text
+
+
+def _unescape(text: str, control: tuple[str, ...]) -> str:
+    """The inverse of _escape: no control string stands bare in what that gives, so the backslashes that
+    stand before one are its own, and the rest are pairs."""
+    for c in control:
+        text = text.replace("\\" + c, c)
+    return text.replace("\\\\", "\\")
 
 
 def escape(text: str | None) -> str:
     """Control strings and backslashes with a backslash before them."""
-    return _ESCAPED.sub(r"\\\1", text or "")
+    return _escape(text or "", CONTROL)
 
 
 def escape_role(role: str | None) -> str:
-    return _ESCAPED_ROLE.sub(r"\\\1", role or "")
+    return _escape(role or "", ROLE_CONTROL)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return _unescape(text, CONTROL)
+
+
+def _bare(text: str, mark: str, at: int) -> int:
+    """Where mark next stands from at on without a backslash of its own; -1 if nowhere."""
+    start = at
+    while (found := text.find(mark, at)) >= 0:
+        n = found
+        while n > start and text[n - 1] == "\\":
+            n -= 1
+        if (found - n) % 2 == 0:
+            break
+        at = found + 1
+    return found
 
 
 def turns(text: str) -> Iterator[tuple[str, str]]:
     """The (role, text) of each turn of a formatted text; a ValueError if it isn't one."""
     at = 0
     while at < len(text):
-        m = _TURN.match(text, at)
-        if not m:
+        role = _bare(text, ":\n", at + 4) if text.startswith("### ", at) else -1
+        end = _bare(text, END, role + 2) if role >= 0 else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}: {text[at : at + 40]!r}")
-        yield unescape(m[1]), unescape(m[2])
-        at = m.end()
+        yield _unescape(text[at + 4 : role], ROLE_CONTROL), unescape(text[role + 2 : end])
+        at = end + len(END)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple]:
+    """Rows of batches, decoded about 4 MB of the column text at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
+        for at, stop in runs_of(batch.column(text), most=256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, stop - at).columns), strict=True)
 
 
 def _in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -73,7 +104,7 @@ def _formatter(template: str, id_type: pa.DataType):
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         render = compile_template(template, {"escape": escape, "role": escape_role})
-        for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
+        for conv, rows in groupby(_rows(batches, 2), key=lambda r: r[0]):
             part, text, loss, at = 0, [], [], 0
             for piece, learned in render({"messages": ({"role": r[1] or "", "text": r[2] or ""} for r in rows)}):
                 text.append(piece)
@@ -93,7 +124,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, id_col: str
     """(conv_id, part, text, loss) per conversation, its rows by turn; loss holds the spans of generations.
 
     Rows go to a conversation's task sorted and are rendered as they come, so a conversation of any
-    length takes the memory of one part; parts of PART_CHARS are cut at turn ends.  Null roles and
+    length takes the memory of one part or of its longest turn; parts of PART_CHARS are cut at turn ends.  Null roles and
     texts are empty; a null id is a conversation; rows with the same turn sort by role and text and
     each count; an empty table gives none; other columns are ignored, so their names can't clash.
     """
@@ -111,7 +142,7 @@ def _digester(id_type: pa.DataType):
     schema = pa.schema([("conv_id", id_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for conv, parts in groupby(_rows(batches), key=lambda r: r[0]):
+        for conv, parts in groupby(_rows(batches, 2), key=lambda r: r[0]):
             n, learned, chars, every, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
             for _, _, text, spans in parts:
                 chars += len(text)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,6 +45,24 @@ def test_chat_round_trip_of_odd_turns(spark, monkeypatch):
         list(chat.turns("### user:\nno end"))
 
 
+def test_escapes_are_reversible():
+    rng = np.random.default_rng(8)
+    parts = ["\\", "#", "###", "</turn>", "<", "/turn>", ":", "\n", "a", "</turn>\n", "### "]
+    said = [("".join(rng.choice(parts, rng.integers(0, 9))), "".join(rng.choice(parts, rng.integers(0, 12)))) for _ in range(3000)]
+    text = "".join(f"### {chat.escape_role(r)}:\n{chat.escape(t)}</turn>\n" for r, t in said)
+    assert list(chat.turns(text)) == said and all(chat.unescape(chat.escape(t)) == t for _, t in said)
+
+
+def test_a_turn_of_twenty_million_characters():
+    tracemalloc.start()
+    for said in ("x" * 20_000_000, "\\</turn>" * 2_500_000):
+        text = f"### user:\n{chat.escape(said)}</turn>\n"
+        assert list(chat.turns(text)) == [("user", said)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500_000_000
+
+
 def test_warc_of_odd_pages(spark, tmp_path, monkeypatch):
     rows = [(1, "http://a", "same"), (2, None, "same"), (2, None, "same"), (3, "http://b\r\nX: y", "é" * 1000), (None, "u", "same"), (5, "u", None), (6, "u", ""), (7, "http://a/%0Ab", "x\r\n\r\ny"), (8, "http://a/\nb", "x\r\n\r\ny"), (9, "", "z")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha256": F.lit("?"), "id": F.lit(0)})
