@@ -59,25 +59,33 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.pad(bits, ((0, 0), (0, gap))), axis=1, bitorder="little").view("<u8")
 
 
-def encode(unit: np.ndarray) -> dict[str, np.ndarray]:
+def _stored(dims: int) -> np.dtype:
+    words = ceil(dims / 64)
+    return np.dtype([("code", "<u8", (words,)), ("planes", "<u8", (LEVELS, words)), ("factor", "<f4"), ("low", "<f4"), ("step", "<f4"), ("total", "<i4")])
+
+
+def encode(unit: np.ndarray) -> np.ndarray:
     """What is stored of unit vectors: their binary codes with correction factors, and their query codes.
 
     The code has the signs of the rotated vector, the factor is <signs / sqrt(dims), vector>.  The
     query code has the rotated vector itself, LEVELS bits a dimension from low in steps, as bit
-    planes; rounding up or down is random in proportion, so that it adds no bias.
+    planes, and the total of its levels; rounding up or down is random in proportion, so that it adds no bias.
     """
-    turned = unit @ rotation(unit.shape[1], 0).T
-    signs = turned > 0
-    factor = np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1])
-    low = turned.min(axis=1)
-    step = np.maximum((turned.max(axis=1) - low) / (2**LEVELS - 1), 1e-12)
-    dither = np.random.default_rng([SEED, unit.shape[1]]).random(unit.shape[1])
-    level = np.clip(np.floor((turned - low[:, None]) / step[:, None] + dither), 0, 2**LEVELS - 1).astype(np.uint8)
-    planes = np.stack([_packed((level >> b & 1).astype(bool)) for b in range(LEVELS)], axis=1)
-    return {"code": _packed(signs), "factor": factor, "planes": planes, "low": low, "step": step, "total": level.sum(axis=1, dtype=np.int64)}
-
-
-def maybe_near(a: dict[str, np.ndarray], b: dict[str, np.ndarray], dims: int, threshold: float) -> np.ndarray:
+    dims = unit.shape[1]
+    turned = unit @ rotation(dims, 0).T
+    out = np.zeros(len(unit), _stored(dims))
+    out["code"] = _packed(turned > 0)
+    out["factor"] = np.abs(turned).sum(axis=1) / np.sqrt(dims)
+    out["low"] = turned.min(axis=1)
+    out["step"] = np.maximum((turned.max(axis=1) - out["low"]) / (2**LEVELS - 1), 1e-12)
+    dither = np.random.default_rng([SEED, dims]).random(dims)
+    level = np.clip(np.floor((turned - out["low"][:, None]) / out["step"][:, None] + dither), 0, 2**LEVELS - 1).astype(np.uint8)
+    out["planes"] = np.stack([_packed((level >> b & 1).astype(bool)) for b in range(LEVELS)], axis=1)
+    out["total"] = level.sum(axis=1)
+    return out
+
+
+def maybe_near(a: np.ndarray, b: np.ndarray, dims: int, threshold: float) -> np.ndarray:
     """Pairs (row of a, row of b) whose inner product may reach threshold, by a's codes and b's query codes.
 
     <code, q> / <code, x> estimates <x, q> without bias.  <code, q> is a sum of bit counts: each
@@ -85,12 +93,12 @@ def maybe_near(a: dict[str, np.ndarray], b: dict[str, np.ndarray], dims: int, th
     factor, and half a step over f for the rounding of q.  Pairs whose upper bound lies below are settled.
     """
     ones = np.bitwise_count(a["code"]).sum(axis=1, dtype=np.int64)
-    under = np.zeros((len(ones), len(b["low"])), np.int64)
+    under = np.zeros((len(a), len(b)), np.int64)
     for word in range(a["code"].shape[1]):
         for plane in range(LEVELS):
             under += np.bitwise_count(a["code"][:, word, None] & b["planes"][None, :, plane, word]).astype(np.int64) << plane
     inner = b["low"] * (2 * ones[:, None] - dims) + b["step"] * (2 * under - b["total"])
-    factor = a["factor"][:, None]
+    factor = a["factor"][:, None].astype(np.float64)
     spread = BOUND / factor * np.sqrt(np.maximum(0, 1 - factor**2) / max(1, dims - 1) + (b["step"] / 2) ** 2)
     return inner / np.sqrt(dims) / factor + spread >= threshold
 
@@ -125,39 +133,30 @@ def _by_width(raws: list[bytes], most: int = 512) -> Iterator[tuple[int, np.ndar
             yield int(width), some[at : at + most]
 
 
-def _binary(a: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in a], pa.binary())
-
-
-_CODED = "cid long, width int, code binary, factor double, planes binary, low double, step double, total long"
-
-
 def _coder(kind: str):
+    """Rows (sha, n, raw, least) with what is stored of their vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column(1).to_pylist()
-            for width, take in _by_width(raws):
-                e = encode(_units([raws[i] for i in take], kind))
-                yield pa.RecordBatch.from_pydict({
-                    "cid": batch.column(0).take(pa.array(take)), "width": pa.array(np.full(len(take), width, np.int32)), "code": _binary(e["code"]), "factor": pa.array(e["factor"]),
-                    "planes": _binary(e["planes"]), "low": pa.array(e["low"]), "step": pa.array(e["step"]), "total": pa.array(e["total"]),
-                })
+            raws = batch.column("raw").to_pylist()
+            for _, take in _by_width(raws):
+                code = pa.array([x.tobytes() for x in encode(_units([raws[i] for i in take], kind))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(take)) for c in batch.columns), code], [*batch.schema.names, "code"])
 
     return run
 
 
 def _dealer(bits: int, count: int, kind: str):
-    """A row (width, tab, key, cid) for each table that a vector enters."""
+    """Rows (raw, ...) to a row (width, tab, key, ...) for each table that a vector enters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = batch.column(1).to_pylist()
+            raws = batch.column(0).to_pylist()
             for width, take in _by_width(raws):
                 found = keys(_units([raws[i] for i in take], kind), bits, count)
-                yield pa.RecordBatch.from_pydict({
-                    "width": pa.array(np.full(found.size, width, np.int32)), "tab": pa.array(np.tile(np.arange(count, dtype=np.int32), len(take))), "key": pa.array(found.ravel()),
-                    "cid": batch.column(0).take(pa.array(np.repeat(take, count))),
-                })
+                again = pa.array(np.repeat(take, count))
+                place = [pa.array(np.full(found.size, width, np.int32)), pa.array(np.tile(np.arange(count, dtype=np.int32), len(take))), pa.array(found.ravel())]
+                yield pa.RecordBatch.from_arrays([*place, *(c.take(again) for c in batch.columns[1:])], ["width", "tab", "key", *batch.schema.names[1:]])
 
     return run
 
@@ -182,11 +181,9 @@ def _filter(kind: str, threshold: float):
         width, tab, bucket, p, q = _place_of(key)
         dims = width // np.dtype(kind).itemsize
         cid, block = batch.column("cid").to_numpy(), batch.column("block").to_numpy()
-        words = ceil(dims / 64)
-        read = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u8")
-        e = {"code": read("code").reshape(-1, words), "planes": read("planes").reshape(-1, LEVELS, words), **{n: batch.column(n).to_numpy() for n in ("factor", "low", "step", "total")}}
+        stored = np.frombuffer(b"".join(batch.column("code").to_pylist()), _stored(dims))
         left, right = _sides(block, p, q, np.lexsort((cid, batch.column("spot").to_numpy())))
-        near = maybe_near({n: v[left] for n, v in e.items()}, {n: v[right] for n, v in e.items()}, dims, threshold)
+        near = maybe_near(stored[left], stored[right], dims, threshold)
         if p == q:
             near = np.triu(near, 1)  # of two vectors the one with the lesser spot gives the code, in every table
         many = int(near.sum()) > DENSE_PAIRS * len(cid)
@@ -265,7 +262,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id_col, n_links, component_id, kept) per row of vectors.
 
     Equal vectors become one class with a count first, told apart by SHA-256.  Each class's binary
-    code, correction factor and query code are computed and stored once.  Classes meet in buckets of
+    code, correction factor and query code are computed and stored once (56 bytes for 64 dimensions).  Classes meet in buckets of
     sign bits of random rotations; the bits grow with the number of classes, so buckets don't, and
     the number of tables gives RECALL at the threshold.  Buckets get ids and codes, no vectors: codes
     estimate each inner product, and only pairs whose confidence bound reaches the threshold are
@@ -289,26 +286,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = slim.mapInArrow(lambda batches: _to_bytes(batches, kind), schema)
     rows = save(rows.withColumn("sha", F.unhex(F.sha2("raw", 256))), "vectors")
     grouped = rows.where("sha is not null").groupBy("sha").agg(F.count("*").alias("n"), F.first("raw").alias("raw"), F.min("id").alias("least"))
-    classes = save(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    coded = grouped.select("sha", "n", "raw", "least").mapInArrow(_coder(kind), T.StructType([*grouped.select("sha", "n", "raw", "least").schema.fields, T.StructField("code", T.BinaryType())]))
+    classes = save(coded.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     size = classes.agg(F.count("*"), F.sum("n")).first()
     bits, count = tables(size[0], threshold)
-    codes = save(classes.select("cid", "raw").mapInArrow(_coder(kind), _CODED), "vector-codes")
-    dealt = save(classes.select("cid", "raw").mapInArrow(_dealer(bits, count, kind), "width int, tab int, key long, cid long"), "vector-keys")
-    sizes = dealt.groupBy("width", "tab", "key").agg(F.count("*").alias("held")).where("held > 1")
+    deal = lambda *more: classes.select("raw", "cid", *more).mapInArrow(_dealer(bits, count, kind), ", ".join(["width int, tab int, key long, cid long", *(f"{c} binary" for c in more)]))
+    sizes = deal().groupBy("width", "tab", "key").agg(F.count("*").alias("held")).where("held > 1")
     shared = save(sizes.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).drop("held"), "vector-buckets")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.join(checked_broadcast(shared, 32), ["width", "tab", "key"]).withColumn("spot", F.pmod(F.xxhash64("cid"), F.lit(SPOTS)))
-    spread = spread.withColumn("block", F.floor(F.col("spot") * F.col("blocks") / SPOTS).cast("int")).withColumn("other", other)
-    spread = spread.select("width", "tab", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "spot", "cid")
-    coded = spread.join(codes.drop("width"), "cid")
+    shared = checked_broadcast(shared, 32)
+
+    def spread(*more: str) -> DataFrame:
+        """Classes in buckets of two or more, once for each pair of blocks that theirs is in."""
+        placed = deal(*more).join(shared, ["width", "tab", "key"]).withColumn("spot", F.pmod(F.xxhash64("cid"), F.lit(SPOTS)))
+        placed = placed.withColumn("block", F.floor(F.col("spot") * F.col("blocks") / SPOTS).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return placed.select("width", "tab", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "spot", "cid", *more)
+
     place = "width int, tab int, key long, p int, q int"
-    found = save(coded.groupBy(*_PLACE).applyInArrow(_filter(kind, threshold), f"{place}, a long, b long"), "vector-candidates")
+    found = save(spread("code").groupBy(*_PLACE).applyInArrow(_filter(kind, threshold), f"{place}, a long, b long"), "vector-candidates")
     held = classes.select("cid", "n", "raw")
     side = lambda s: held.select(F.col("cid").alias(s), F.col("n").alias(f"n{s}"), F.col("raw").alias(f"raw_{s}"))
     pairs = found.where("a is not null").groupBy("a", "b").agg(F.min("tab").alias("tab"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = save(pairs.mapInArrow(_exact_pairs(bits, count, kind, threshold), "a long, b long, na long, nb long"), "vector-pairs")
-    dense = spread.join(found.where("a is null").select(*_PLACE), _PLACE).join(held, "cid")
+    dense = spread().join(found.where("a is null").select(*_PLACE), _PLACE).join(held, "cid")
     dense = save(dense.groupBy(*_PLACE).applyInArrow(_exact_blocks(bits, count, kind, threshold), "cid long, links long, root long"), "vector-links")
     both = F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("nb").alias("links")), F.struct(F.col("b").alias("cid"), F.col("na").alias("links")))).alias("x")
     links = dense.select("cid", "links").union(pairs.select(both).select("x.*")).groupBy("cid").agg(F.sum("links").alias("links"))
