@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +20,8 @@ BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61)
 BROADCAST_BYTES = 16 * 1024 * 1024
 #: A key of more rows than this is hot: its facts don't travel by the key.
 HOT_ROWS = 1_000_000
+#: Bits of a hash that a bitmap of known hashes tells apart: 8 KB in the plan, however many are known.
+PREFIX_BITS = 16
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -42,6 +44,19 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, row_bytes:
     return rows.join(hot, key).unionByName(rest)
 
 
+def prefix_bitmap(prefixes: Iterable[int]) -> Column:
+    """A bitmap, as an array of 64-bit words, of hash prefixes of PREFIX_BITS bits."""
+    held = [0] * ((1 << PREFIX_BITS) // 64)
+    for n in prefixes:
+        held[n // 64] |= 1 << n % 64
+    return F.array(*(F.lit(x - (1 << 64) * (x >> 63)).cast("long") for x in held))
+
+
+def in_bitmap(prefix: Column, bitmap: Column) -> Column:
+    """Whether the bitmap knows a prefix: no false negatives, so what it refuses can't join."""
+    return F.getbit(F.get(bitmap, F.shiftright(prefix, 6).cast("int")), prefix.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def runs_of(texts: pa.Array, size: int = 4_000_000, most: int = 8192) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of rows of about size bytes and at most that many rows; a longer text is one alone."""
     at, total = 0, 0

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import BETWEEN, UPPER, checked_broadcast, let, word_count, words
+from linework.llm.common import BETWEEN, PREFIX_BITS, UPPER, checked_broadcast, in_bitmap, let, prefix_bitmap, word_count, words
 from linework.sources.scratch import save
 
 #: The base phrases and their labels (fixed values).
@@ -105,8 +105,6 @@ REACH = 4
 DRIFT, MOST_DRIFT = 10, 8
 #: The share of a notice's words that must agree.
 COVERAGE = 0.8
-#: Bits of a gram's hash that a bitmap of the templates' grams knows.
-BITMAP_BITS = 16
 
 
 def template_words(text: str) -> list[str]:
@@ -142,18 +140,8 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFram
     return table.withColumn("h", F.when(F.col("base"), _hash(at[:SHORT])).otherwise(_hash(at)))
 
 
-def _bitmap(hashes: list[int]) -> Column:
-    """The leading BITMAP_BITS bits of hashes as an array of 64-bit words."""
-    held = [0] * ((1 << BITMAP_BITS) // 64)
-    for h in hashes:
-        n = (h % (1 << 64)) >> (64 - BITMAP_BITS)
-        held[n // 64] |= 1 << n % 64
-    return F.array(*(F.lit(x - (1 << 64) * (x >> 63)).cast("long") for x in held))
-
-
-def _known(h: Column, bitmap: Column) -> Column:
-    n = F.shiftrightunsigned(h, 64 - BITMAP_BITS)
-    return F.getbit(F.get(bitmap, F.shiftright(n, 6).cast("int")), n.bitwiseAND(F.lit(63)).cast("int")) == 1
+def _prefix(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - PREFIX_BITS)
 
 
 def _grams(docs: DataFrame, short: Column, long: Column) -> DataFrame:
@@ -163,7 +151,7 @@ def _grams(docs: DataFrame, short: Column, long: Column) -> DataFrame:
     pair = lambda a, b: F.xxhash64(a, b)
 
     def found(w: Column, hashes: Column, k: int, bitmap: Column, reach: int, base: bool) -> Column:
-        at = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda x: _known(x["h"], bitmap))
+        at = F.filter(F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), lambda x: in_bitmap(_prefix(x["h"]), bitmap))
 
         def row(x: Column) -> Column:
             before = F.least(x["pos"], F.lit(reach))
@@ -196,9 +184,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     t = save(templates(docs.sparkSession, phrases, notices), "licence-templates")
-    hashes = {base: [r["h"] for r in t.where(F.col("base") == base).select("h").distinct().collect()] for base in (True, False)}
+    prefixes = lambda base: [r[0] for r in t.where(F.col("base") == base).select(_prefix(F.col("h"))).distinct().collect()]
     widest = t.agg(F.max(F.size("tw") * 24)).first()[0] or 0
-    grams = _grams(docs, _bitmap(hashes[True]), _bitmap(hashes[False]))
+    grams = _grams(docs, prefix_bitmap(prefixes(True)), prefix_bitmap(prefixes(False)))
     met = grams.join(checked_broadcast(t, 64 + widest), ["base", "h"])
     size = F.when(F.col("base"), SHORT).otherwise(LONG)
     met = met.where(F.slice("around", F.col("before") + 1, size) == F.slice("tw", F.col("at") + 1, size))
