@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import join_hot
+from linework.llm.common import checked_broadcast, join_hot
 from linework.sources.scratch import save
 
 #: Bits a dimension; with three dimensions the curve has 4096 cells.
 BITS = 4
-#: Parts of a cell by the text's hash, and of a hot group by the id's.
-PARTS = 64
+#: Rows of a part of a cell (by the text's hash), and of a part of a hot group (by the id's), about.
+PART_ROWS, HOT_ROWS = 100_000, 1000
 #: A group of equal texts stays whole unless it holds more than this share of a shard's bytes.
 WHOLE = 0.01
-#: Groups of more rows than this are numbered in PARTS parts.
-HOT_ROWS = 1000
-ACCURACY = 2000
 
 
 def add_hilbert(df: DataFrame, dimensions: list[str], out: str, bits: int = BITS) -> DataFrame:
@@ -51,51 +48,65 @@ def add_hilbert(df: DataFrame, dimensions: list[str], out: str, bits: int = BITS
     return df.withColumn(out, index).drop(*drop)
 
 
-def _rank(value: Column) -> Column:
-    """The first six bytes of a string as a number of the same order; null and empty are 0."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(F.encode(F.coalesce(value, F.lit("")), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double"), F.lit(0.0))
+def _levels(groups: DataFrame, column: str, bits: int) -> DataFrame:
+    """(value, level) for each value of a column: which of 2**bits equal parts of the rows, in the
+    column's order, holds the middle of the value's rows (null first).
 
-
-def _level(value: str, cuts: list[float]) -> Column:
-    """How many of the cuts lie below value."""
-    return F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(value)))
+    Counts go to ranges of values; a range's start is the sum of those before it, so no task sees more
+    than its range.
+    """
+    counts = groups.groupBy(F.col(column).alias("value")).agg(F.sum("n").alias("n"))
+    dealt = save(counts.repartitionByRange("value").withColumn("range", F.spark_partition_id()), "shard-values")
+    ranges = dealt.groupBy("range").agg(F.sum("n").alias("rows"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranges.select("range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"), F.sum("rows").over(Window.partitionBy(F.lit(0))).alias("total"))
+    within = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("n") / 2
+    found = dealt.join(F.broadcast(starts), "range").select("value", F.least(F.floor(middle * (1 << bits) / F.col("total")), F.lit((1 << bits) - 1)).cast("int").alias("level"))
+    return save(found, "shard-levels")
 
 
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), bits: int = BITS) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard, curve) per row of docs, by the law 'bytes'.
 
-    Dimensions are the size and the categories, each cut at its own quantiles over all rows.  Rows
-    sort by Hilbert cell; runs of near equal bytes are the shards, so each shard's files span a
-    small box of the dimensions.  Equal texts are a group: it sorts at one place (the least of its
-    rows' categories) and stays in one shard, unless it holds over WHOLE of a shard's bytes.
+    Dimensions are the size and the categories, each cut into levels of equal rows over all rows, by
+    the whole value.  Rows sort by Hilbert cell; runs of near equal bytes are the shards, so each
+    shard's files span a small box of the dimensions.  Equal texts are a group: it sorts at one place
+    (the least of its rows' categories) and stays in one shard, unless it holds over WHOLE of a
+    shard's bytes.
 
     Positions are sums over cells, then over parts of a cell, then within a part; a hot group has
-    parts of its own by id.  No window sees more than 4096 cells, a cell's parts or one part.
+    parts of its own by id.  The parts grow in number with the rows, so no window sees more than
+    4096 cells, a cell's parts or one part.
     Null texts have size 1 and the CRC of no bytes; null categories sort first; repeated rows each
     get a slot; an empty table gives none; other columns are ignored, so their names can't clash.
     """
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     have = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in categories]
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), *(c.alias(f"c{i}") for i, c in enumerate(have)))
-    ranks = {f"r{i}": _rank(F.col(f"c{i}")) for i in range(len(have))}
-    slim = rows.select("id", (F.octet_length("raw") + 1).cast("long").alias("size"), F.crc32("raw").alias("crc"), F.xxhash64("raw").alias("th"), *(v.alias(k) for k, v in ranks.items()))
+    own = [f"c{i}" for i in range(len(have))]
+    slim = rows.select("id", (F.octet_length("raw") + 1).cast("long").alias("size"), F.crc32("raw").alias("crc"), F.xxhash64("raw").alias("th"), *own)
     slim = save(slim, "shard-rows")
-    group, dims = ["th", "crc", "size"], ["size", *ranks]
-    groups = slim.groupBy(*group).agg(F.count("*").alias("n"), *(F.min(k).alias(k) for k in ranks))
-    groups = save(groups, "shard-groups")
-    stats = groups.agg(F.sum(F.col("n") * F.col("size")).alias("bytes"), *(F.percentile_approx(F.col(d).cast("double"), [i / (1 << bits) for i in range(1, 1 << bits)], F.lit(ACCURACY)).alias(d) for d in dims)).first()
-    total = stats["bytes"] or 0
-    cuts = {d: sorted(set(stats[d] or [])) for d in dims}
-    levels = groups.withColumns({f"d{i}": _level(d, cuts[d]) for i, d in enumerate(dims)})
+    group, dims = ["th", "crc", "size"], ["size", *own]
+    groups = save(slim.groupBy(*group).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in own)), "shard-groups")
+    total, count = (x or 0 for x in groups.agg(F.sum(F.col("n") * F.col("size")), F.sum("n")).first())
+    levels = groups
+    for i, d in enumerate(dims):
+        known = _levels(groups, d, bits).withColumnRenamed("level", f"d{i}")
+        known = checked_broadcast(known, 64)
+        levels = levels.join(known, levels[d].eqNullSafe(known["value"])).drop("value")
     placed = add_hilbert(levels, [f"d{i}" for i in range(len(dims))], "curve", bits)
     heavy = F.col("n") * F.col("size") > WHOLE * total / shards
-    placed = placed.select(*group, "curve", heavy.alias("heavy"), (heavy | (F.col("n") > HOT_ROWS)).alias("hot"))
+    placed = save(placed.select(*group, "n", "curve", heavy.alias("heavy"), (heavy | (F.col("n") > HOT_ROWS)).alias("hot")), "shard-groups")
+    cell_rows = placed.groupBy("curve").agg(F.ceil(F.sum("n") / PART_ROWS).alias("parts"))
+    placed = placed.join(F.broadcast(cell_rows), "curve").withColumn("group", F.struct(*group))  # 2 ** (bits * dimensions) rows at most
     # The order: cell, part of the hash, groups that aren't hot and then each hot one, part of the id.
     unit = ["curve", "part", "alone", "turn"]
-    part = F.shiftrightunsigned("th", 58)
+    part = F.pmod("th", F.col("parts"))
     alone = F.when(F.col("hot"), F.col("th"))
-    turn = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(F.lit(0))
-    rows = slim.join(placed, group).select("id", *group, "curve", "heavy", part.alias("part"), alone.alias("alone"), turn.alias("turn"))
+    turn = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HOT_ROWS))).otherwise(F.lit(0))
+    rows = join_hot(slim.select("id", F.struct(*group).alias("group")), placed.drop(*group), "group", count, 96)
+    rows = rows.select("id", "group.*", "n", "curve", "heavy", "hot", "parts").select("id", *group, "curve", "heavy", part.alias("part"), alone.alias("alone"), turn.alias("turn"))
     rows = save(rows, "shard-placed")
     units = rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.count("*").alias("k"))
     cells = units.groupBy("curve").agg(F.sum("b").alias("b"), F.sum("k").alias("k"))
