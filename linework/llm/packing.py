@@ -6,7 +6,7 @@ import base64
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import join_hot
+from linework.llm.common import checked_broadcast, runs_of
 from linework.sources.scratch import save
 
 CAPACITY = 1024
@@ -24,27 +24,41 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Blanks in a row that are cut out before the pattern is tried.
 LONG_BLANK = 10_000
 _BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
-#: Ranks within a length are counted in this many parts, so that one length may hold most pieces.
-SALTS = 64
+#: Ranks within a length are counted in parts of about this many pieces, so that one length may hold most of them.
+PART_PIECES = 1_000_000
+
+
+def is_plain(held: dict) -> bool:
+    """Whether a tokenizer's .json is byte-level BPE with the published word pattern and nothing else that changes a text."""
+    cut, model = held.get("pre_tokenizer") or {}, held["model"]
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and not held.get("normalizer")
+    marks = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in held["added_tokens"])
+    return bool(plain and marks and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges"))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE that stands in path: a tokenizer's .json with its special tokens, or a .tiktoken file.
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """A function from a text to its ids by the tokenizer in path: a .json, or a .tiktoken file of ranks.
 
-    Its ids are those that the tokenizers library gives without adding special tokens; this
-    library is some eight times as fast.
+    The ids are those that the tokenizers library gives without adding special tokens.  For plain byte-level
+    BPE another library finds them some eight times as fast; any other .json goes to tokenizers itself.
     """
     import tiktoken
 
     with open(path, "rb") as f:
         if path.endswith(".json"):
             held = json.load(f)
+            if not is_plain(held):
+                from tokenizers import Tokenizer
+
+                known = Tokenizer.from_file(path)
+                return lambda text: known.encode(text, add_special_tokens=False).ids
             special = {t["content"]: t["id"] for t in held["added_tokens"]}
             ranks = {bytes(map(_bytes_of().__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in special}
         else:
             special, ranks = {}, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: ids_of(text, encoding)
 
 
 @lru_cache
@@ -64,19 +78,19 @@ def ids_of(text: str, encoding) -> list[int]:
             end = m.end()
             if end < len(text) and not text.startswith(tuple(encoding.special_tokens_set), end):
                 end -= 1
-            ids += encoding.encode(text[at : m.start()], allowed_special="all") + encoding._encode_single_piece(text[m.start() : end].encode())
+            ids += encoding.encode(text[at : m.start()], allowed_special="all") + encoding.encode(text[m.start() : end])
             at = end
     return ids + encoding.encode(text[at:], allowed_special="all")
 
 
 def _cutter(path: str, capacity: int, end_id: int, names: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(path)
+        encode = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
+            for at, stop in runs_of(batch.column(1)):
+                part, rows = batch.slice(at, stop - at), []
                 for n, text in enumerate(part.column(1)):
-                    ids = np.array([*ids_of(text.as_py() or "", encoding), end_id], dtype="<u4")
+                    ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
                     rows += [(n, s, len(x := ids[s : s + capacity]), zlib.crc32(x.tobytes()), len(ids)) for s in range(0, len(ids), capacity)]
                 n, *cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(n)), *(pa.array(c, pa.int64()) for c in cols)], names)
@@ -153,20 +167,22 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     Columns: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to.  Text is
     tokenized once; what follows works on numbers.  The driver gets the histogram of lengths (at
     most capacity rows) and returns the plan; a piece's rank among those of its length gives its
-    place.  Ranks are counted in SALTS parts a length, so one length may hold any share of the
-    rows.  padded_to is capacity, or the sequence's own size where that is a power of two.
+    place.  Ranks are counted in parts of PART_PIECES a length, so one length may hold any share of
+    the rows.  padded_to is capacity, or the sequence's own size where that is a power of two.
     Null texts give one id; repeated rows are packed each; an empty table gives no rows; other
     columns are ignored, so their names can't clash.
     """
     spark = docs.sparkSession
-    cut = save(pieces(docs, path, id_col, text_col, capacity, end_id), "pieces").withColumn("salt", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(SALTS)))
-    counted = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "start", "ids_crc32"))
-    ranked = cut.withColumn("nth", within).join(F.broadcast(offsets), ["length", "salt"])  # capacity * SALTS rows at most
+    cut = save(pieces(docs, path, id_col, text_col, capacity, end_id), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame([(k, -(-n // PART_PIECES)) for k, n in histogram.items()], "length long, parts long")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), "parts")).drop("parts")  # capacity rows at most
+    counted = save(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-parts")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32"))
+    ranked = cut.withColumn("nth", within).join(checked_broadcast(offsets, 24, counted.count()), ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("earlier") + F.col("nth") - 1)
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     schema = "length long, first_rank long, n long, per_sequence long, first_sequence long, first_offset long, tokens long"
     table = spark.createDataFrame(plan(histogram, capacity), schema)
     r = F.col("rank") - F.col("first_rank")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -117,14 +118,107 @@ def test_shards_are_even(spark, data):
     assert all(len(s) == 1 for t, s in copies.items() if (len(t) + 1) * sum(1 for x in docs.values() if x == t) <= sharding.WHOLE * mean)
 
 
-def test_shards_of_odd_rows(spark):
+def hilbert(point, bits):
+    """The index of a point, cube by cube: each level's child and the turn of the curve in it."""
+    n = len(point)
+    x = list(point)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        if x[n - 1] & q:
+            t ^= q - 1
+    index = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            index = index * 2 + ((v ^ t) >> b & 1)
+    return index
+
+
+def test_shards_are_the_curve_in_runs(spark, data):
+    """Levels, cells and cuts in plain Python over all rows; the order inside a cell is the operator's own."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    raw = {d["doc_id"]: (d["text"] or "").encode() for d in docs}
+    groups = defaultdict(list)
+    for d in docs:
+        groups[raw[d["doc_id"]]].append(d)
+    low = lambda held, c: min((d[c] for d in held if d[c] is not None), default=None)
+    values = {t: (len(t) + 1, low(held, "lang"), low(held, "source")) for t, held in groups.items()}
+    levels = []
+    for i in range(3):
+        count = Counter()
+        for t, held in groups.items():
+            count[values[t][i]] += len(held)
+        before, level = 0, {}
+        for v in sorted(count, key=lambda v: (v is not None, v)):
+            level[v] = min(15, int((before + count[v] / 2) * 16 / len(docs)))
+            before += count[v]
+        levels.append(level)
+    curve = {d["doc_id"]: hilbert([levels[i][values[raw[d["doc_id"]]][i]] for i in range(3)], 4) for d in docs}
+    rows = queries.op7_sharding(spark, data).collect()
+    assert {r["doc_id"]: r["curve"] for r in rows} == curve
+    total, at = sum(r["size"] for r in rows), 0
+    rows.sort(key=lambda r: (r["shard"], r["slot"]))
+    heavy = sharding.WHOLE * total / 16
+    assert [r["curve"] for r in rows] == sorted(r["curve"] for r in rows) or max(len(t) * len(g) for t, g in groups.items()) > heavy
+    for r in rows:  # a row starts in its shard's share of the bytes, or its whole group does
+        held = groups[raw[r["doc_id"]]]
+        slack = 0 if len(held) == 1 else r["size"] * len(held)
+        assert (at - slack) * 16 // total <= r["shard"] <= (at + slack) * 16 // total
+        at += r["size"]
+
+
+def test_shards_prune(spark, data):
+    """Shards that hold rows of a predicate: by the curve, against 16 by a hash."""
+    docs = {d["doc_id"]: d for d in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = queries.op7_sharding(spark, data).collect()
+    box = defaultdict(lambda: (set(), set(), []))
+    for r in rows:
+        d = docs[r["doc_id"]]
+        for held, v in zip(box[r["shard"]][:2], (d["lang"], d["source"]), strict=True):
+            held.add(v)
+        box[r["shard"]][2].append(r["size"])
+    touched = {
+        "lang": np.mean([sum(v in b[0] for b in box.values()) for v in {d["lang"] for d in docs.values()} - {None}]),
+        "source": np.mean([sum(v in b[1] for b in box.values()) for v in {d["source"] for d in docs.values()} - {None}]),
+        "size": sum(max(b[2]) >= sorted(r["size"] for r in rows)[-len(rows) // 20] for b in box.values()),
+    }
+    print("shards touched", touched)
+    assert touched["lang"] <= 13 and touched["source"] <= 12 and touched["size"] <= 12
+
+
+def test_levels_use_whole_values(spark):
+    rows = [(f"common_crawl_20{n:02d}", n + 1) for n in range(20)] + [(None, 10)]
+    got = {r["value"]: r["level"] for r in sharding._levels(spark.createDataFrame(rows, "c string, n long"), "c", 2).collect()}
+    assert got[None] == 0 and got["common_crawl_2000"] == 0 and got["common_crawl_2019"] == 3 and len(set(got.values())) == 4
+
+
+def test_shards_of_odd_rows(spark, monkeypatch):
     rows = [(i, "same text", None, "x") for i in range(3000)] + [(None, None, "en", None), (None, None, "en", None), (7, "", "", ""), (8, "y" * 500_000, "fr", "z")]
+    rows += [(10_000 + i, f"text {i} " * (i % 7 + 1), "en", f"s{i % 3}") for i in range(500)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"curve": F.lit(1), "th": F.lit(2)})
-    got = sharding.shard(frame, shards=4).collect()
-    slots = defaultdict(list)
-    for r in got:
-        slots[r["shard"]].append(r["slot"])
-    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    for parts, hot, keys in ((100_000, 1000, 10**6), (50, 100, 200)):
+        monkeypatch.setattr(sharding, "PART_ROWS", parts)
+        monkeypatch.setattr(sharding, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_ROWS", keys)
+        got = sharding.shard(frame, shards=4).collect()
+        slots, held = defaultdict(list), Counter()
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+            held[r["shard"]] += r["size"]
+        assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        small = {n: v for n, v in held.items() if v < 400_000}  # the others hold the one long text
+        assert len(small) <= 3 and sum(held.values()) == sum(len((t or "").encode()) + 1 for _, t, _, _ in rows)
+    even = sharding.shard(frame.where("doc_id is null or doc_id <> 8"), shards=4).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert max(r["b"] for r in even) - min(r["b"] for r in even) <= 0.02 * sum(r["b"] for r in even) / 4 + 100
     assert sharding.shard(frame.limit(0)).count() == 0
     assert sharding.shard(frame.select("doc_id", "text")).count() == len(rows)
 
@@ -163,6 +257,37 @@ def test_packing_keeps_every_id(spark, data):
     assert sum(fill.values()) >= 0.99 * 1024 * (len(fill) - 1)
 
 
+def test_other_tokenizers_go_to_their_library():
+    import public_tokenizers
+
+    assert packing.is_plain(json.load(open(public_tokenizers.path("byte_bpe_50k.json"))))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not packing.is_plain(json.load(open(path)))
+    from tokenizers import Tokenizer
+
+    text = "Some WORDS, don't you know?  é 12"
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_in_parts(spark, monkeypatch):
+    """Lengths of many pieces are ranked in parts; the sequences are the same in number and fill."""
+    import public_tokenizers
+
+    frame = spark.createDataFrame([(i % 40, "word " * (i % 30)) for i in range(600)] + [(None, None)] * 50, "doc_id long, text string")
+    found = []
+    for most in (1_000_000, 7):
+        monkeypatch.setattr(packing, "PART_PIECES", most)
+        rows = packing.pack(frame, public_tokenizers.path("byte_bpe_50k.json")).collect()
+        fill = defaultdict(list)
+        for r in rows:
+            fill[r["sequence_id"]].append((r["offset"], r["length"]))
+        for held in fill.values():
+            held.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:], strict=False)) and held[0][0] == 0
+        found.append((len(rows), sorted(sum(n for _, n in h) for h in fill.values())))
+    assert found[0] == found[1] and found[0][0] == 650
+
+
 def test_packing_of_odd_texts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
