@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linework.llm import decontam, langid, packing, quality, simhash
-from linework.llm.common import checked_broadcast, crc_mod, save
+from linework.llm.common import checked_broadcast, crc_mod
+from linework.sources.scratch import fresh_path, put, remove, save, temporary
 
 
 def _row(docs: DataFrame):
@@ -80,8 +81,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are saved in the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's rows are saved in the shared folder for the next.
+
+    What a stage saved on its way goes with it, and its rows once the next one's stand; the last stage's tables
+    stay, as its result reads them.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with temporary(spark):
+            docs = put(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
