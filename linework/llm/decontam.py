@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import checked_broadcast, let, word_count, words
+from linework.llm.common import PREFIX_BITS, checked_broadcast, in_bitmap, let, prefix_bitmap, word_count, words
 from linework.sources.scratch import save
 
 #: Words of a window; an item of fewer words is one window.
@@ -57,9 +57,10 @@ def winnow(grams: Column, w: int) -> Column:
     return F.array_distinct(grams)
 
 
-def _marks(tokens: Column, span: int) -> Column:
+def _marks(tokens: Column, span: int, known: Column | None) -> Column:
     """An array of struct(span, fp, from, around): the winnowed grams of words, each with the words
-    that a window of span words over it can have, and where they begin."""
+    that a window of span words over it can have, and where they begin.  known: a bitmap of the
+    prefixes of those that can join."""
     k, w = parameters(span)
 
     def mark(x: Column) -> Column:
@@ -67,12 +68,15 @@ def _marks(tokens: Column, span: int) -> Column:
         start = F.greatest(at - (w - 1), F.lit(0))
         return F.struct(F.lit(span).alias("span"), F.shiftrightunsigned(x, 31).alias("fp"), start.alias("from"), F.slice(tokens, start + 1, at + span - start).alias("around"))
 
-    return F.transform(winnow(_placed_grams(tokens, k), w), mark)
+    found = winnow(_placed_grams(tokens, k), w)
+    if known is not None:
+        found = F.filter(found, lambda x: in_bitmap(F.shiftrightunsigned(x, 31 + 31 - PREFIX_BITS), known))
+    return F.transform(found, mark)
 
 
-def fingerprints(texts: DataFrame, spans: list[int], keys: list[str]) -> DataFrame:
+def fingerprints(texts: DataFrame, spans: list[int], keys: list[str], known: Column | None = None) -> DataFrame:
     """keys, span, fp, from and around for each winnowed gram of the texts' words, for every span."""
-    marks = let(F.col("words"), lambda t: F.concat(*(_marks(t, s) for s in spans)))
+    marks = let(F.col("words"), lambda t: F.concat(*(_marks(t, s, known) for s in spans)))
     return texts.select(*keys, F.explode(marks).alias("m")).select(*keys, "m.*")
 
 
@@ -98,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     One pass tokenises each document and winnows it for every length of item windows there is: SPAN
     words, and fewer where items are shorter.  Winnowed grams carry the words around them to a
     broadcast of the items' (a shuffle if that is too large), so a document's text is read once
-    and never shuffled.  Around each shared gram the exact windows are compared as text, so no
+    and never shuffled; grams whose hash prefix no item has are left out by a bitmap before.  Around each shared gram the exact windows are compared as text, so no
     hash decides a hit.
 
     Null texts have no words and no hits.  Items without words are left out; one with a null id
@@ -120,7 +124,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         held = items.select("item_id", F.explode(_windows_in(F.col("words"), F.col("span"))).alias("w")).select("item_id", "w.window").distinct()
         held = save(held, "benchmark-windows")
         tokens = docs.select("id", "th", words(F.col("text")).alias("words"))
-        met = fingerprints(tokens, spans, ["id", "th"]).join(checked_broadcast(known, 16), ["span", "fp"])
+        bitmap = prefix_bitmap(r[0] for r in known.select(F.shiftrightunsigned("fp", 31 - PREFIX_BITS)).distinct().collect())
+        met = fingerprints(tokens, spans, ["id", "th"], bitmap).join(checked_broadcast(known, 16), ["span", "fp"])
         tried = met.select("id", "th", "span", "from", F.explode(_windows_in(F.col("around"), F.col("span"))).alias("w")).select("id", "th", "span", (F.col("from") + F.col("w.start")).alias("start"), "w.window")
         windows = save(held.select("window").distinct(), "benchmark-window-texts")
         size = windows.agg(F.count("*"), F.sum(F.octet_length("window"))).first()
