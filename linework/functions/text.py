@@ -16,11 +16,11 @@ ORPHANS = ("THK", "±", "+", "-", "REF")
 HORIZONTAL = ("horizontal", "unresolved_horizontal_fragment", "rotated")
 VERTICAL = ("vertical", "unresolved_vertical_fragment")
 NOISE = (
-    r"^\d{1,2}[./]\d{1,2}[./]\d{2,4}$", r"^\d{1,2}[./]\d{2}$",  # dates
-    r"^\d{6,}$", r"^\d{5,}$",  # numbers of parts
-    r"^[^(]*\($", r"^\d+\.\s*$",  # cut short
-    r"^[0-9]{1,2}[A-Za-z]$", r"^0\d{1,2}$", r"^0\d{2,}$", r"^\d+[A-Za-z]{1,4}$",
-)
+    r"^\d{1,2}[./](\d{1,2}[./]\d{2,4}|\d{2})$",  # a date
+    r"^(\d{5,}|0\d+)$",  # a part's number
+    r"^\d+[A-Za-z]{1,4}$",  # a number with a unit
+    r"^([^(]*\(|\d+\.)$",  # cut short
+)
 FAR, WEAK = 18.0, 12.0
 LEAST_CONFIDENCE = 0.35
 
@@ -126,8 +126,17 @@ def valid_pair(left: Column, right: Column, right_text: Column, tail: Column) ->
     return F.coalesce(plausible_pair(left, right, t) & ~counted & ~both.contains("ø") & ~both.rlike(r"(?i)\bM\d") & right_text.rlike(r"^\d") & ~letters, F.lit(False))
 
 
-def pair_may_form(left: Column, right: Column, right_text: Column, tail: Column, orientation: Column) -> Column:
-    return ~F.coalesce(orientation.startswith("unresolved"), F.lit(False)) & valid_pair(left, right, right_text, tail)
+#: Pairs of so few glyphs need a side that is plausible by itself.
+FEW_GLYPHS = 4
+
+
+def pair_may_form(left: Column, right: Column, right_text: Column, tail: Column, orientation: Column, glyphs: Column | None = None) -> Column:
+    """A valid pair that isn't a loose fragment; of few glyphs (where they are counted) only with a side
+    of 10 or more or a decimal one, whatever its tail."""
+    fits = ~F.coalesce(orientation.startswith("unresolved"), F.lit(False)) & valid_pair(left, right, right_text, tail)
+    if glyphs is not None:
+        fits &= ~F.coalesce((glyphs <= FEW_GLYPHS) & ~plausible_pair(left, right, F.lit("")), F.lit(False))
+    return fits
 
 
 def valid_tolerance(value: Column) -> Column:
@@ -147,8 +156,13 @@ def tolerance_fits(nominal: Column, tolerance: Column) -> Column:
 
 
 def same_reading(a: Column, b: Column) -> Column:
-    """Equal orientations or two of one family."""
-    return F.coalesce((a == b) | (a.isin(*HORIZONTAL) & b.isin(*HORIZONTAL)) | (a.isin(*VERTICAL) & b.isin(*VERTICAL)), F.lit(False))
+    """Equal orientations (none counts as one) or two of one family."""
+    return reading_family(a).eqNullSafe(reading_family(b))
+
+
+def reading_family(orientation: Column) -> Column:
+    """One name for the orientations that read alike; others stand for themselves."""
+    return F.when(orientation.isin(*HORIZONTAL), HORIZONTAL[0]).when(orientation.isin(*VERTICAL), VERTICAL[0]).otherwise(orientation)
 
 
 def reading_direction(axis: Column) -> Column:

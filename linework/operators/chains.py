@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linework.functions.text import OPERATORS, mostly_digits
+from linework.functions.text import OPERATORS, mostly_digits, strip
 
 KEYS = ["doc_id", "page"]
 #: The longest chain, and how much wider than the median a gap must be to break one (fixed values).
@@ -69,6 +69,17 @@ def with_axes(glyphs: DataFrame) -> DataFrame:
     return glyphs.withColumns({"axis_bucket": bucket, "along": F.when(up, -F.col("cy")).otherwise(F.col("cx")), "reach": F.when(up, F.col("v_gap_max")).otherwise(F.col("h_gap_max"))})
 
 
+def reading_order(axis, cx, cy):
+    """What sorts the glyphs of a group: upwards, along x and then y if angled, or along x."""
+    return F.struct(F.when(axis == "vertical", -cy).otherwise(cx).alias("k"), F.when(axis == "angled", cy).otherwise(F.lit(0.0)).alias("then"))
+
+
+def chain_text(glyphs, axis):
+    """The characters of an ordered array of glyphs, trimmed; upwards a ± stands apart from a digit before it."""
+    text = F.array_join(F.transform(glyphs, lambda g: g["char"]), "")
+    return strip(F.when(axis == "vertical", F.regexp_replace(text, r"([0-9])(±)", "$1 $2")).otherwise(text))
+
+
 def _linked(rows: pd.DataFrame) -> pd.DataFrame:
     """Components of one line whose sizes differ too much for islands: sizes must fit pair by pair."""
     rows = rows.sort_values(["along", "seq"], kind="stable")
@@ -127,7 +138,7 @@ def split_components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     g = g.withColumn("chunk", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(ordered))
     chunk, in_chunk = Window.partitionBy(*comp, "chunk"), Window.partitionBy(*comp, "chunk").orderBy("along", "seq")
     g = g.withColumns({"length": F.count("*").over(chunk), "nth": F.row_number().over(in_chunk) - 1})
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("along", "seq", "char")).over(chunk)), lambda x: x["char"]), "")
+    text = chain_text(F.array_sort(F.collect_list(F.struct("along", "seq", "char")).over(chunk)), F.col("dimension_axis"))
     long = ~F.col("has_operator") & (F.col("length") > MOST_GLYPHS)
     piece = F.when(~long, 0).when(mostly_digits(text), F.floor(F.col("nth") / MOST_GLYPHS)).otherwise(F.col("nth"))
     return g.withColumn("piece", piece.cast("int")).drop("gap", "usual", "members", "length", "nth")

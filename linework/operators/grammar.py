@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.functions import text as tx
-from linework.operators.chains import KEYS
+from linework.operators.chains import KEYS, reading_order
 
 TOKEN = "struct<text:string,type:string,ids:array<long>>"
 FUSED = "struct<text:string,ids:array<long>,grammar_fused:boolean,grammar_rule:string,nominal:double,nominal_text:string,tolerance_value:double,entity_type:string,operator:string,values:array<double>>"
@@ -129,7 +129,7 @@ def implicit_pair(a: Column, b: Column) -> Column:
     x, y = tx.strip(a["text"]), tx.strip(b["text"])
     whole = x.rlike(r"^\d{1,9}$") & y.rlike(r"^\d{1,9}$")
     u, v = F.when(whole, x.try_cast("double")), F.when(whole, y.try_cast("double"))
-    fits = F.coalesce(u.between(1, 499) & v.between(1, 499) & tx.valid_pair(u, v, y, F.lit("")), F.lit(False))
+    fits = F.coalesce(u.between(1, 499) & v.between(1, 499) & tx.pair_may_form(u, v, y, F.lit(""), F.lit(None).cast("string"), F.size(a["ids"]) + F.size(b["ids"])), F.lit(False))
     return F.when(fits, _fused(F.concat(x, F.lit(" X "), y), F.concat(a["ids"], b["ids"]), "IMPLICIT_X_BETWEEN_NUMBERS", True, kind=F.lit("SRC_dimension"), operator=F.lit("X"), values=F.array(u, v)))
 
 
@@ -152,5 +152,6 @@ def dimensions(glyphs: Column, has_operator: Column) -> Column:
 def groups(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per prepared glyph group with its ordered glyphs, its place in processing order and its dimensions."""
     comp = [*keys, "dimension_axis", "axis_bucket", "component", "chunk", "piece"]
-    g = glyphs.groupBy(*comp).agg(F.array_sort(F.collect_list(F.struct("along", "seq", "char"))).alias("glyphs"), F.max("has_operator").alias("has_operator"), F.min("seq").alias("first_seq"))
+    order = reading_order(F.col("dimension_axis"), F.col("cx"), F.col("cy"))
+    g = glyphs.groupBy(*comp).agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "seq", "along", "char"))).alias("glyphs"), F.max("has_operator").alias("has_operator"), F.min("seq").alias("first_seq"))
     return g.withColumn("found", dimensions(F.col("glyphs"), F.col("has_operator")))

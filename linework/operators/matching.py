@@ -6,18 +6,22 @@ and only the matches of one page, in order, go through a fold.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.functions import text as tx
-from linework.functions.geometry import Box, distance, mm, rounded
+from linework.functions.geometry import Box, mm, rounded
 from linework.operators.chains import KEYS
-from linework.operators.registry import pair_key
+from linework.operators.registry import FORMED, FUSED, MERGED, pair_key
+from linework.operators.spatial import within
 
 # Fixed values of the drawing rules.
 ANCHOR_MM, PAIR_GAP_MM, THICKNESS_MM = 2.0, 6.0, 2.0
 REFERENCE_REACH, TOLERANCE_REACH, LINE = 40.0, 60.0, 12.0
-FORMED = 1 << 41
+#: How much farther a tolerance may stand from its number on a vertical line.
+UPRIGHT = 1.5
 
 
 def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -59,7 +63,7 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     box = Box.of("a.").merged(Box.of("b."))
     x, y = box.center()
     out = formed.select(
-        *keys, (F.col("order") + F.lit(FORMED)).cast("long").alias("seq"), F.concat(tx.short_number(F.col("left")), F.lit(" X "), tx.short_number(F.col("right"))).alias("text"),
+        *keys, (F.col("order") + F.lit(FORMED + 1)).cast("long").alias("seq"), F.concat(tx.short_number(F.col("left")), F.lit(" X "), tx.short_number(F.col("right"))).alias("text"),
         *(c.alias(n) for n, c in box.columns().items()), x.alias("cx"), y.alias("cy"), (F.col("a.glyph_count") + F.col("b.glyph_count")).alias("glyph_count"),
         F.col("a.orientation").alias("orientation"), "dimension_axis", "axis_bucket", tx.reading_direction(axis).alias("reading_direction"), F.lit(True).alias("direction_locked"), F.lit(True).alias("grammar_fused"),
         F.lit("LOCAL_ANCHOR_PAIR").alias("grammar_rule"), F.lit("SRC_dimension").alias("entity_type"), F.lit("X").alias("operator"), F.array("left", "right").alias("values"), F.col("zone").alias("semantic_zone_id"),
@@ -85,30 +89,67 @@ def nearest_parent(modifiers: DataFrame, entities: DataFrame, keys: list[str] =
     right of its number, or above it on a vertical line.
     """
     m = modifiers.select(*keys, F.col("seq").alias("mseq"), tx.parse_tolerance(F.col("text")).alias("value"), F.col("cx").alias("mx"), F.col("cy").alias("my"), F.col("orientation").alias("mo"), F.col("dimension_axis").alias("ma")).where("value is not null")
-    both = m.join(entities.where("nominal is not null"), keys)
-    gap = distance(F.col("mx"), F.col("my"), F.col("cx"), F.col("cy"))
+    numbers = entities.where("nominal is not null").select(*keys, "seq", "nominal", "cx", "cy", "orientation", "dimension_axis")
+    both = within(m, numbers, keys, TOLERANCE_REACH * UPRIGHT, ("mx", "my"), ("cx", "cy"))
     dx, dy = F.col("mx") - F.col("cx"), F.col("cy") - F.col("my")
     up = F.col("dimension_axis") == "vertical"
-    placed = F.when(up, (F.abs(dx) <= LINE) & (gap <= TOLERANCE_REACH * 1.5) & (dy >= 0)).otherwise((F.abs(dy) <= LINE) & (gap <= TOLERANCE_REACH) & (dx >= 0))
+    placed = F.when(up, (F.abs(dx) <= LINE) & (dy >= 0)).otherwise((F.abs(dy) <= LINE) & (F.col("gap") <= TOLERANCE_REACH) & (dx >= 0))
     fits = F.col("ma").eqNullSafe(F.col("dimension_axis")) & tx.same_reading(F.col("orientation"), F.col("mo")) & tx.tolerance_fits(F.col("nominal"), F.col("value"))
-    return both.where(placed & fits).groupBy(*keys, "mseq").agg(F.min_by("seq", F.struct(gap, F.col("seq"))).alias("seq"))
+    return both.where(placed & fits).groupBy(*keys, "mseq").agg(F.min_by("seq", F.struct("gap", "seq")).alias("seq"))
+
+
+def _attached(rows: pd.DataFrame) -> pd.DataFrame:
+    """(mseq, seq) of one page: modifiers in order, each to its nearest number as that stands by then."""
+    e = rows[rows["value"].isna()].sort_values("seq")
+    seq, nominal, axis, family, free = (e[c].to_numpy() for c in ("seq", "nominal", "dimension_axis", "family", "free"))
+    box = e[["x0", "y0", "x1", "y1"]].to_numpy(float)
+    cx, cy, free = e["cx"].to_numpy(float), e["cy"].to_numpy(float), free.astype(bool)
+    up = axis == "vertical"
+    found = []
+    for m in rows[rows["value"].notna()].sort_values("seq").itertuples():
+        dx, dy = m.cx - cx, cy - m.cy
+        gap = np.sqrt(dx * dx + dy * dy)
+        near = np.where(up, (np.abs(dx) <= LINE) & (gap <= TOLERANCE_REACH * UPRIGHT) & (dy >= 0), (np.abs(dy) <= LINE) & (gap <= TOLERANCE_REACH) & (dx >= 0))
+        near &= (axis == m.dimension_axis) & (family == m.family) & ((nominal == 0) | (m.value <= tx.LARGEST_SHARE * np.abs(nominal)))
+        if not near.any():
+            continue
+        best = int(np.where(near, gap, np.inf).argmin())
+        if free[best]:
+            free[best] = False
+            other = np.array([m.x0, m.y0, m.x1, m.y1])
+            box[best] = [*np.minimum(box[best, :2], other[:2]), *np.maximum(box[best, 2:], other[2:])]
+            cx[best], cy[best] = (box[best, 0] + box[best, 2]) / 2, (box[best, 1] + box[best, 3]) / 2
+            found.append((m.seq, seq[best]))
+    return pd.DataFrame(found, columns=["mseq", "seq"]).astype("int64")
 
 
 def attach_modifiers(modifiers: DataFrame, entities: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Entities with their tolerances: the first modifier whose nearest number it is.
+    """Entities with their tolerances.
 
-    A number that has a tolerance takes no other, and a modifier doesn't look for a second choice.
-    Its box and centre grow by the modifier's.
+    Modifiers go in order: each finds its nearest number (as nearest_parent has it, but with the boxes
+    that earlier modifiers have widened).  A number that has a tolerance takes no other, and a modifier
+    doesn't look for a second choice.  A number's box and centre grow by its modifier's.  Only
+    pages with modifiers are folded, one at a time.
     """
-    met = nearest_parent(modifiers, entities, keys)
-    first = met.groupBy(*keys, "seq").agg(F.min("mseq").alias("mseq"))
     m = modifiers.select(*keys, F.col("seq").alias("mseq"), tx.parse_tolerance(F.col("text")).alias("value"), F.concat(F.lit("±"), tx.tolerance_text(F.col("text"))).alias("value_text"), *(F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")), F.col("glyph_count").alias("m_glyphs"))
+    place = ["x0", "y0", "x1", "y1", "cx", "cy"]
+    none = lambda c: F.coalesce(c, F.lit(""))
+    about = [none(F.col("dimension_axis")).alias("dimension_axis"), none(tx.reading_family(F.col("orientation"))).alias("family")]
+    value = tx.parse_tolerance(F.col("text"))
+    marks = modifiers.where(value.isNotNull() & tx.valid_tolerance(value)).select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, value.alias("value"), F.lit(None).cast("double").alias("nominal"), F.lit(True).alias("free"))
+    numbers = entities.where("nominal is not null").select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, F.lit(None).cast("double").alias("value"), "nominal", F.col("tolerance").isNull().alias("free"))
+    page = numbers.join(marks.select(*keys).distinct(), keys, "left_semi").unionByName(marks)
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _attached(rows).assign(**dict(zip(keys, key, strict=True)))[[*keys, "mseq", "seq"]]
+
+    schema = marks.select(*keys, F.col("seq").alias("mseq"), "seq").schema
+    first = page.groupBy(*keys).applyInPandas(fold, schema)
     e = entities.join(first.join(m, [*keys, "mseq"]), [*keys, "seq"], "left")
-    takes = F.col("mseq").isNotNull() & F.col("tolerance").isNull()
     box = Box.of().merged(Box.of("m_"))
     x, y = box.center()
     new = {"tolerance": F.col("value"), "tolerance_text": F.col("value_text"), "display_text": tx.strip(F.concat_ws(" ", "nominal_text", "value_text")), "glyph_count": F.col("glyph_count") + F.col("m_glyphs"), "cx": x, "cy": y, **box.columns()}
-    e = e.withColumn("takes", takes).withColumns({n: F.when(F.col("takes"), c).otherwise(F.col(n)) for n, c in new.items()})
+    e = e.withColumn("takes", F.col("mseq").isNotNull()).withColumns({n: F.when(F.col("takes"), c).otherwise(F.col(n)) for n, c in new.items()})
     return e.select(*entities.columns)
 
 
@@ -121,7 +162,7 @@ def bind_thickness(entities: DataFrame, keys: list[str] = KEYS, reach_mm: float
     e = e.withColumn("page_thk", F.max("is_thk").over(Window.partitionBy(*keys)))
     thk = e.where("is_thk").select(*keys, F.col("seq").alias("tseq"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")))
     number = e.where("page_thk and nominal is not null and entity_type <> 'thickness_dimension'").select(*keys, F.col("seq").alias("nseq"), "cx", "cy")
-    near = thk.join(number, keys).withColumn("gap", distance(F.col("tx"), F.col("ty"), F.col("cx"), F.col("cy"))).where(F.col("gap") <= mm(reach_mm))
+    near = within(thk, number, keys, mm(reach_mm), ("tx", "ty"), ("cx", "cy"))
     met = _greedy(near, keys, "tseq", "nseq", "gap")
     bound = met.join(thk, [*keys, "tseq"]).select(*keys, F.col("nseq").alias("seq"), "t_x0", "t_y0", "t_x1", "t_y1", F.lit(True).alias("bound"))
     out = e.join(bound, [*keys, "seq"], "left").withColumn("bound", F.coalesce("bound", F.lit(False)))
@@ -134,17 +175,17 @@ def bind_thickness(entities: DataFrame, keys: list[str] = KEYS, reach_mm: float
     return out.where(~lost).select(*entities.columns)
 
 
-def merge_references(entities: DataFrame, keys: list[str] = KEYS, strict: bool = False) -> DataFrame:
+def merge_references(entities: DataFrame, keys: list[str] = KEYS, strict: bool = True) -> DataFrame:
     """A bare number and the (REF) nearest to it become 'N(REF)'.
 
-    strict: on pages where any merged, unmatched numbers and marks go, as the drawing rules have it;
-    otherwise they stay.
+    On pages where any merged, unmatched numbers and marks go, as the drawing rules have it; unless
+    strict they stay.
     """
     shown = tx.strip(F.col("display_text"))
     e = entities.withColumns({"is_ref": F.upper(shown).isin("(REF)", "REF"), "is_number": shown.rlike(r"^\d+(\.\d+)?$")})
     ref = e.where("is_ref").select(*keys, F.col("seq").alias("rseq"), F.col("cx").alias("rx"), F.col("cy").alias("ry"), *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
     number = e.where("is_number").select(*keys, F.col("seq").alias("nseq"), "cx", "cy")
-    near = ref.join(number, keys).withColumn("gap", distance(F.col("rx"), F.col("ry"), F.col("cx"), F.col("cy"))).where(F.col("gap") < REFERENCE_REACH)
+    near = within(ref, number, keys, REFERENCE_REACH, ("rx", "ry"), ("cx", "cy")).where(F.col("gap") < REFERENCE_REACH)
     met = _greedy(near, keys, "rseq", "nseq", "gap").withColumn("merged_as", F.row_number().over(Window.partitionBy(*keys).orderBy("rseq")))
     bound = met.join(ref, [*keys, "rseq"]).select(*keys, F.col("nseq").alias("seq"), "merged_as", "r_x0", "r_y0", "r_x1", "r_y1")
     gone = met.select(*keys, F.col("rseq").alias("seq"), F.lit(True).alias("used"))
@@ -152,7 +193,7 @@ def merge_references(entities: DataFrame, keys: list[str] = KEYS, strict: bool =
     box = Box.of().merged(Box.of("r_"))
     x, y = box.center()
     text = F.concat(shown, F.lit("(REF)"))
-    new = {"entity_type": F.lit("reference_dimension"), "display_text": text, "nominal_text": text, "nominal": tx.to_double(shown), "grammar_rule": F.lit("REFERENCE_SUFFIX_MERGE"), "cx": x, "cy": y, "seq": F.lit(FORMED * 2).cast("long") + F.col("merged_as"), **box.columns()}
+    new = {"entity_type": F.lit("reference_dimension"), "display_text": text, "nominal_text": text, "nominal": tx.to_double(shown), "grammar_rule": F.lit("REFERENCE_SUFFIX_MERGE"), "cx": x, "cy": y, "seq": F.lit(MERGED).cast("long") + F.col("merged_as"), **box.columns()}
     any_merged = F.max(F.col("merged_as").isNotNull()).over(Window.partitionBy(*keys))
     out = out.withColumns({"any_merged": any_merged, "bound": F.col("merged_as").isNotNull()})
     if strict:
@@ -190,7 +231,7 @@ def fuse_stacked_digits(entities: DataFrame, keys: list[str] = KEYS) -> DataFram
     part = lambda c, t="double": F.transform("stack.m", lambda x: x[c].cast(t))
     found = found.withColumns({"x0": F.array_min(part("x0")), "y0": F.array_min(part("y0")), "x1": F.array_max(part("x1")), "y1": F.array_max(part("y1")), "shown": F.array_join(part("digit", "string"), "")})
     x, y = Box.of().center()
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("first", "nth")) + F.lit(FORMED * 4)
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("first", "nth")) + F.lit(FUSED)
     fused = found.select(
         *keys, order.cast("long").alias("seq"), F.lit("linear_dimension").alias("entity_type"), F.col("shown").alias("display_text"), tx.to_double(F.col("shown")).alias("nominal"), F.col("shown").alias("nominal_text"),
         F.lit("vertical").alias("orientation"), F.lit("vertical").alias("dimension_axis"), F.get("stack.m", F.lit(0))["axis_bucket"].alias("axis_bucket"), F.lit("bottom_to_top").alias("reading_direction"), F.lit("VERTICAL_DIGIT_FUSION").alias("grammar_rule"),

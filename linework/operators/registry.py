@@ -10,8 +10,9 @@ from linework.functions.geometry import envelope, rounded
 from linework.functions.text import OPERATORS, reading_direction
 from linework.operators.chains import KEYS, singleton_kind
 
-#: Leftover glyphs come after all chains.
-AFTER = 1 << 40
+#: Where the phases of a page's order begin; within a phase rows are numbered from 1, so phases never
+#: meet: chains from 1 on, then leftover glyphs, formed pairs, merged references and fused digits.
+AFTER, FORMED, MERGED, FUSED = (phase << 40 for phase in range(1, 5))
 
 
 def _place(cx, cy, char, digits: int | None = None):
@@ -106,6 +107,6 @@ def chains(settled: DataFrame, glyphs: DataFrame, keys: list[str] = KEYS) -> Dat
     lone = rest.select(
         *keys, null("int").alias("chain_id"), "dimension_axis", "axis_bucket", F.col("char").alias("text"), F.lit(False).alias("grammar_fused"), null("string").alias("grammar_rule"), null("double").alias("nominal"), null("string").alias("nominal_text"),
         null("double").alias("tolerance_value"), null("string").alias("entity_type"), null("string").alias("operator"), null("array<double>").alias("values"), "x0", "y0", "x1", "y1", F.lit(1).alias("glyph_count"), "h_near",
-        singleton_kind(F.col("dimension_axis"), F.col("h_near")).alias("orientation"), (F.col("seq") + AFTER).alias("seq"), null("boolean").alias("direction_locked"),
+        singleton_kind(F.col("dimension_axis"), F.col("h_near")).alias("orientation"), (F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) + F.lit(AFTER)).cast("long").alias("seq"), null("boolean").alias("direction_locked"),
     )
     return long.unionByName(lone).drop("h_near").withColumn("reading_direction", reading_direction(F.col("dimension_axis")))

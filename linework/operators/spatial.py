@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.functions.geometry import Box, distance
@@ -11,28 +11,93 @@ from linework.operators.chains import KEYS
 PAGE = ["doc_id", "page"]
 
 
+#: Side of the cells that boxes are dealt into for overlaps.
+CELL = 128.0
+#: Sides of the cells that drawings are sought in, from fine to coarse, and a page's drawings up to which all are tried.
+SIDES, FEW_DRAWINGS = (16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0), 256
+
+
+def _cell(c: Column, side) -> Column:
+    return F.floor(c / side).cast("long")
+
+
+def _cells(box: Box, side: float) -> Column:
+    """An array of struct(gx, gy): the cells that a box meets."""
+    n = box.normalised()
+    run = lambda a, b: F.sequence(_cell(a, side), _cell(b, side))
+    return F.flatten(F.transform(run(n.x0, n.x1), lambda x: F.transform(run(n.y0, n.y1), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
+
+
+def _around(gx: Column, gy: Column) -> Column:
+    """An array of struct(gx, gy): a cell and the eight about it."""
+    return F.array(*(F.struct((gx + i).alias("gx"), (gy + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+
+
 def clip(rows: DataFrame, regions: DataFrame, by_mode: bool = True) -> DataFrame:
     """rows once for each region of their page that they meet, with region_id.
 
     by_mode: a region's glyph_mode 'center' asks for the centre inside, any other for overlap.
+    Boxes and regions meet in cells; of the cells they share the first one counts.
     """
     r = regions.select(*PAGE, "region_id", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")), *(["glyph_mode"] if by_mode else []))
     box, region = Box.of(), Box.of("r_")
     meets = box.intersects(region)
     if by_mode:
         meets = F.when(F.col("glyph_mode") == "center", box.center_inside(region)).otherwise(meets)
-    return rows.join(r, PAGE).where(meets).select(*rows.columns, "region_id")
+    spread = rows.withColumn("g", F.explode(_cells(box, CELL))).withColumns({"gx": F.col("g.gx"), "gy": F.col("g.gy")})
+    areas = r.withColumn("g", F.explode(_cells(region, CELL))).select(*r.columns, "g.gx", "g.gy")
+    a, b = box.normalised(), region.normalised()
+    first = (F.col("gx") == F.greatest(_cell(a.x0, CELL), _cell(b.x0, CELL))) & (F.col("gy") == F.greatest(_cell(a.y0, CELL), _cell(b.y0, CELL)))
+    return spread.join(areas, [*PAGE, "gx", "gy"]).where(first & meets).select(*rows.columns, "region_id")
+
+
+def within(left: DataFrame, right: DataFrame, keys: list[str], reach: float, at: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Pairs of rows of a page whose points are at most reach apart, with their gap: rows of left look into
+    the nine cells of that side about them."""
+    a = left.withColumn("g", F.explode(_around(*(_cell(F.col(c), reach) for c in at)))).select(*left.columns, "g.gx", "g.gy")
+    b = right.withColumns({g: _cell(F.col(c), reach) for g, c in zip(("gx", "gy"), other, strict=True)})
+    both = a.join(b, [*keys, "gx", "gy"]).drop("gx", "gy")
+    return both.withColumn("gap", distance(*(F.col(c) for c in (*at, *other)))).where(F.col("gap") <= reach)
+
+
+def _best(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    gap = distance(F.col("cx"), F.col("cy"), F.col("dx"), F.col("dy"))
+    return pairs.groupBy(*keys, "seq").agg(F.min(gap).alias("distance"), F.min_by("box", F.struct(gap, F.col("dseq"))).alias("box"))
+
+
+def _search(points: DataFrame, drawings: DataFrame, keys: list[str]) -> DataFrame:
+    """points with the level at which they must look: the side of the finest cells of which one with a
+    drawing lies about them bounds the distance, and cells of four times that side hold all that is nearer.
+
+    The last level is one cell for the whole page.
+    """
+    levels = lambda x, y: F.array(*(F.struct(F.lit(n).alias("level"), _cell(x, s).alias("gx"), _cell(y, s).alias("gy")) for n, s in enumerate(SIDES)))
+    held = drawings.select(*keys, F.explode(levels(F.col("dx"), F.col("dy"))).alias("g")).select(*keys, "g.*").distinct()
+    looks = points.select(*keys, "seq", F.explode(levels(F.col("cx"), F.col("cy"))).alias("g")).select(*keys, "seq", "g.level", F.explode(_around(F.col("g.gx"), F.col("g.gy"))).alias("g")).select(*keys, "seq", "level", "g.*")
+    found = looks.join(held, [*keys, "level", "gx", "gy"]).groupBy(*keys, "seq").agg(F.min("level").alias("level"))
+    found = points.join(found, [*keys, "seq"], "left").withColumn("level", F.coalesce("level", F.lit(len(SIDES))))
+    return found.withColumn("level", F.least(F.col("level") + 1, F.lit(len(SIDES))))
 
 
 def nearest_drawing(entities: DataFrame, drawings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """entities with distance and near_x0..near_y1 of the page's drawing with the nearest centre.
 
-    The first drawn wins a tie; a page without drawings gives an infinite distance and no box.
+    The first drawn wins a tie; a page without drawings gives an infinite distance and no box.  On pages
+    of up to FEW_DRAWINGS an entity tries them all; on others it looks into the cells about it, of
+    a size that is sure to hold the nearest one.
     """
     x, y = Box.of().center()
     d = drawings.select(*keys, F.col("seq").alias("dseq"), x.alias("dx"), y.alias("dy"), F.struct("x0", "y0", "x1", "y1").alias("box"))
-    gap = distance(F.col("cx"), F.col("cy"), F.col("dx"), F.col("dy"))
-    best = entities.select(*keys, "seq", "cx", "cy").join(d, keys).groupBy(*keys, "seq").agg(F.min(gap).alias("distance"), F.min_by("box", F.struct(gap, F.col("dseq"))).alias("box"))
+    d = d.withColumn("many", F.count("*").over(Window.partitionBy(*keys)) > FEW_DRAWINGS)
+    points, few, many = entities.select(*keys, "seq", "cx", "cy"), d.where("not many"), d.where("many")
+    dense = _search(points.join(many.select(*keys).distinct(), keys, "left_semi"), many, keys)
+    side = F.get(F.array(*map(F.lit, SIDES)), F.col("level"))
+    own = lambda x, y: [F.coalesce(_cell(c, side), F.lit(0)) for c in (x, y)]
+    looks = dense.withColumn("g", F.explode(F.when(F.col("level") < len(SIDES), _around(*own(F.col("cx"), F.col("cy")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("gx"), F.lit(0).cast("long").alias("gy"))))))
+    looks = looks.select(*points.columns, "level", "g.gx", "g.gy")
+    dealt = many.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(SIDES)))))
+    dealt = dealt.withColumns(dict(zip(("gx", "gy"), own(F.col("dx"), F.col("dy")), strict=True)))
+    best = _best(points.join(few, keys), keys).unionByName(_best(looks.join(dealt, [*keys, "level", "gx", "gy"]), keys))
     out = entities.join(best, [*keys, "seq"], "left")
     return out.withColumn("distance", F.coalesce("distance", F.lit(float("inf")))).withColumns({f"near_{c}": F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")}).drop("box")
 

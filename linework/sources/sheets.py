@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHAR = "struct<c:string,bbox:array<double>>"
@@ -15,7 +15,7 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, page, seq, char, x0..y1, font, size) of pages(doc_id, page, blocks).
 
     Blocks of other types than text and characters of white space alone are left out; seq numbers
-    a page's characters in reading order of the file.
+    a page's remaining characters from 1 in the order of the file.
     """
     at = []
     rows = pages.select("doc_id", "page", "blocks")
@@ -26,9 +26,9 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
         if name == "block":
             rows = rows.where("block.type = 0")
     rows = rows.where(~F.col("ch.c").rlike(r"^[\s\p{Z}]*$"))
-    key = sum(F.col(c).cast("long") * w for c, w in zip(at, (1 << 45, 1 << 30, 1 << 15, 1), strict=True))
+    order = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*at)).cast("long")
     box = [F.get("ch.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
-    return rows.select("doc_id", "page", key.alias("seq"), F.col("ch.c").alias("char"), *box, F.coalesce("span.font", F.lit("")).alias("font"), F.coalesce("span.size", F.lit(0.0)).alias("size"))
+    return rows.select("doc_id", "page", order.alias("seq"), F.col("ch.c").alias("char"), *box, F.coalesce("span.font", F.lit("")).alias("font"), F.coalesce("span.size", F.lit(0.0)).alias("size"))
 
 
 def read_page_json(spark: SparkSession, path: str) -> DataFrame:
