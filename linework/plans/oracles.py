@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from linework.plans.queries import _AT, _FORM, _PLACE, HEIGHT, WIDTH
+from linework.functions.text import STANDARD_TOLERANCES
+from linework.plans.queries import _AT, _FORM, _MARKS, _MIXED, _PLACE, _READING, HEIGHT, WIDTH
 
 
 def _annotations(least: int = 0) -> str:
@@ -18,13 +19,12 @@ PIECES = """pieces AS (SELECT event_id, unnest(range(0, 5)) AS nth, unnest([text
 
 NOMINAL = r"(NOT starts_with({0}, '±') AND regexp_matches({0}, '(?i)^R\s*[0-9]|^Ø\s*[0-9]|^[0-9]|°|THK|[0-9]+\.[0-9]+'))"
 TYPE = r"""CASE WHEN regexp_matches({0}, '^R\s*[0-9]') THEN 'radius' WHEN contains({0}, 'Ø') OR regexp_matches({0}, '^O\s*[0-9]') THEN 'diameter' WHEN contains({0}, '°') THEN 'angular' WHEN contains({0}, 'THK') THEN 'thickness' WHEN contains({0}, '(REF)') THEN 'reference' ELSE 'linear' END || '_dimension'"""
-STANDARD = (0.1, 0.2, 0.25, 0.5, 0.8, 1.0, 1.2, 1.5, 2.0, 2.5, 3.0, 4.0)
 NOISE = r"""({0} = '' OR regexp_matches({0}, '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}$|^[0-9]{{1,2}}[./][0-9]{{2}}$|^[0-9]{{5,}}$|^[^(]*\($|^[0-9]+\.\s*$|^[0-9]{{1,2}}[A-Za-z]$|^0[0-9]{{1,2}}$|^0[0-9]{{2,}}$|^[0-9]+[A-Za-z]{{1,4}}$')
  OR (length({0}) >= 7 AND length(regexp_replace({0}, '[^0-9]', '', 'g')) / length({0}) > 0.85))"""
 
 
 def _valid(t: str) -> str:
-    near = " OR ".join(f"abs(abs({t}) - {s}e0) < 0.02e0" for s in STANDARD)
+    near = " OR ".join(f"abs(abs({t}) - {s}e0) < 0.02e0" for s in STANDARD_TOLERANCES)
     return f"(abs({t}) <= 10 AND ({near} OR (abs({t}) < 1 AND abs(abs({t}) - round_even(abs({t}), 2)) < 0.001e0) OR (abs({t}) BETWEEN 1 AND 4 AND abs(abs({t}) - round(abs({t}))) < 0.001e0)))"
 
 
@@ -55,11 +55,11 @@ def _confidence(kind: str, n: str, gap: str, rebuilt: str = "false", isolated: s
  * CASE WHEN {kind} = 'SRC_dimension' AND {gap} > 12 THEN 0.55e0 ELSE 1.0e0 END * CASE WHEN {isolated} THEN 0.4e0 ELSE 1.0e0 END, 3)"""
 
 
-def _exported(rows: str) -> str:
+def _exported(rows: str, margins: bool = True) -> str:
     """rows (with kind, display, num, n, cx, cy, distance) that pass the export rules."""
     return f"""SELECT *, {_confidence("kind", "n", "distance")} AS confidence FROM {rows}
  WHERE NOT (kind = 'thickness_dimension' AND num IS NULL) AND NOT ({NOISE.format("display")} AND kind NOT IN ('SRC_dimension', 'radius_dimension', 'diameter_dimension'))
- AND NOT (kind = 'SRC_dimension' AND distance > 18) AND {_confidence("kind", "n", "distance")} >= 0.35e0 AND upper(display) NOT IN ('THK', '±', '+', '-', 'REF') AND NOT {MARGIN.format(x="cx", y="cy")}"""
+ AND NOT (kind = 'SRC_dimension' AND distance > 18) AND {_confidence("kind", "n", "distance")} >= 0.35e0 AND upper(display) NOT IN ('THK', '±', '+', '-', 'REF') AND NOT {MARGIN.format(x="cx", y="cy") if margins else "false"}"""
 
 
 def _sql(*parts: str, least: int = 0) -> str:
@@ -93,6 +93,41 @@ MODS = "mods AS (SELECT doc_id, page, seq + 1000000000 AS mseq, seq % 5 AS v, x0
 PARENTS = f"""parents AS (SELECT mseq, seq, v, mx0, mx1, mn FROM (SELECT *, row_number() OVER (PARTITION BY mseq ORDER BY sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)), seq) AS nth FROM mods JOIN entities USING (doc_id, page)
   WHERE num IS NOT NULL AND abs(cy - my) <= 12 AND sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)) <= 60 AND mx >= cx AND {_fits("num", "v::double")}) WHERE nth = 1)"""
 
+#: The mixed sheets and the rules of links between any two glyphs of a page: font, size, reach along and tolerance across.
+MIXED = f"""mixed AS (SELECT *, x0 + 5 AS x1, y0 + 9 AS y1, x0 + 2.5e0 AS cx, y0 + 4.5e0 AS cy FROM (SELECT doc_id, page, {_MIXED} FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM annot) JOIN (VALUES (0), (16)) c(copy) ON copy = 0 OR event_id % 4 = 3)),
+tols AS (SELECT doc_id, page, greatest(median(h) * 0.5e0, 2) AS line_tol, greatest(median(w) * 0.35e0, 2) AS col_tol, greatest(median(w) * 1.8e0, 6) AS h_gap, greatest(median(h) * 1.8e0, 6) AS v_gap, greatest(median(h) * 0.35e0, 0.5e0) AS size_tol
+  FROM (SELECT *, greatest(x1 - x0, 0.1e0) AS w, greatest(y1 - y0, 0.1e0) AS h FROM mixed) GROUP BY 1, 2),
+linked AS (SELECT doc_id, page, a.seq, b.seq AS other, abs(a.cx - b.cx) > 0 AND abs(a.cx - b.cx) <= h_gap AND abs(a.cy - b.cy) <= line_tol AS level, abs(a.cy - b.cy) > 0 AND abs(a.cy - b.cy) <= v_gap AND abs(a.cx - b.cx) <= col_tol AS upright
+  FROM mixed a JOIN mixed b USING (doc_id, page, font) JOIN tols USING (doc_id, page) WHERE abs(a.size - b.size) <= size_tol),
+near AS (SELECT seq, count(*) FILTER (level) AS h_near, count(*) FILTER (upright) AS v_near FROM linked GROUP BY 1),
+mlines AS (SELECT *, CASE WHEN up THEN 'vertical' ELSE 'horizontal' END AS axis, cast(round_even(CASE WHEN up THEN cx / greatest(col_tol, 1) ELSE cy / greatest(line_tol, 1) END, 0) AS int) AS bucket FROM (SELECT *,
+  CASE WHEN y1 - y0 > (x1 - x0) * 1.15e0 AND v_near >= h_near THEN true WHEN x1 - x0 > (y1 - y0) * 1.15e0 AND h_near > v_near THEN false ELSE v_near > h_near END AS up FROM mixed JOIN near USING (seq) JOIN tols USING (doc_id, page)))"""
+#: A page's chains where each annotation is one: those kept (a pair once a page) in reading order, then the glyphs of no chain.
+CHAINS = """pc AS (SELECT *, length(whole) AS n, length(whole) = 1 AS up, min(event_id) OVER (PARTITION BY doc_id, page, length(whole) = 1, CASE WHEN length(whole) = 1 THEN ax ELSE ay END) AS bucket_first,
+  row_number() OVER (PARTITION BY doc_id, page, rule, CASE WHEN rule LIKE 'IMPLICIT%' THEN least(a, b) ELSE event_id END, CASE WHEN rule LIKE 'IMPLICIT%' THEN greatest(a, b) END ORDER BY event_id) AS again
+  FROM (SELECT doc_id, page, event_id, ax, ay, a, b, annot.text AS whole, found.text, grammar_rule AS rule FROM annot JOIN found USING (event_id))),
+kept AS (SELECT *, CASE WHEN rule = 'NOMINAL_ONLY' THEN length(text) WHEN rule LIKE 'IMPLICIT%' THEN n - 1 ELSE n END AS used FROM pc WHERE again = 1),
+lost AS (SELECT *, substr(whole, i, 1) AS char FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM pc WHERE rule = 'NOMINAL_ONLY' OR rule LIKE 'IMPLICIT%'))"""
+CHAIN_ROWS = """SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY up, bucket_first, event_id) AS seq, text, CASE WHEN used > 1 THEN 'horizontal' WHEN up THEN 'unresolved_vertical_fragment' ELSE 'unresolved_horizontal_fragment' END AS orientation,
+ rule AS grammar_rule, used AS glyph_count, CASE WHEN rule = 'NOMINAL_ONLY' THEN ax + 6 * (n - length(text)) ELSE ax END AS x0, ay AS y0 FROM kept
+UNION ALL SELECT doc_id, page, 1099511627776 + row_number() OVER (PARTITION BY doc_id, page ORDER BY event_id, i), char, 'unresolved_horizontal_fragment', NULL, 1, ax + 6 * (i - 1), ay FROM lost WHERE CASE WHEN rule = 'NOMINAL_ONLY' THEN i <= length(a::varchar) ELSE char = 'X' END"""
+POINTS = "regions AS (SELECT doc_id, page, event_id AS region_id, ax + 11 - 24 AS rx0, ay + 15 - 24 AS ry0, ax + 11 + 24 AS rx1, ay + 15 + 24 AS ry1, ax + 11 AS px, ay + 15 AS py, false AS by_centre FROM annot WHERE slot % 10 = 3)"
+_INSIDE = "CASE WHEN by_centre THEN cx BETWEEN rx0 AND rx1 AND cy BETWEEN ry0 AND ry1 ELSE x0 < rx1 AND x1 > rx0 AND y0 < ry1 AND y1 > ry0 END"
+#: What a region's glyphs come to, annotation by annotation: the part of each text inside it, read by the grammar's rules,
+#: then the entities, their nearest drawing in the region and the export rules without margins.
+CUT = f"""cut AS (SELECT region_id, annot.*, c, length(c) AS m FROM (SELECT region_id, event_id, string_agg(char, '' ORDER BY seq) AS c FROM glyphs JOIN regions USING (doc_id, page) WHERE {_INSIDE} GROUP BY 1, 2) JOIN annot USING (event_id)),
+halves AS (SELECT *, regexp_extract(c, '^([0-9]+)[±X]', 1) AS l, regexp_extract(c, '^[0-9]+[±X](.*)$', 1) AS r FROM cut),
+rules AS (SELECT *, CASE WHEN NOT contains(c, '±') THEN CASE WHEN contains(c, 'X') AND r <> '' THEN CASE WHEN l::int < 500 THEN 'IMPLICIT' ELSE 'EXPLICIT' END ELSE 'STRING' END
+  WHEN r = '' THEN 'LEFT' WHEN {_fits("l::double", "try_cast(r AS double)")} THEN 'TRIPLE' ELSE 'RIGHT' END AS rule FROM halves),
+spans AS (SELECT *, CASE rule WHEN 'LEFT' THEN length(l) WHEN 'RIGHT' THEN length(r) WHEN 'IMPLICIT' THEN m - 1 ELSE m END AS n, CASE rule WHEN 'RIGHT' THEN ax + 6 * (m - length(r)) ELSE ax END AS ex0, CASE rule WHEN 'LEFT' THEN ax + 6 * length(l) - 1 ELSE ax + 6 * m - 1 END AS ex1,
+  CASE rule WHEN 'LEFT' THEN l WHEN 'RIGHT' THEN r WHEN 'TRIPLE' THEN l || ' ±' || CASE WHEN r::double = floor(r::double) THEN r::double::bigint || '.0' ELSE r END WHEN 'STRING' THEN c ELSE l || ' X ' || r END AS display,
+  CASE WHEN rule IN ('IMPLICIT', 'EXPLICIT') THEN 'SRC_dimension' ELSE {TYPE.format("c")} END AS kind, CASE WHEN rule NOT IN ('IMPLICIT', 'EXPLICIT') THEN 1.0 END AS num FROM rules),
+once AS (SELECT *, (ex0 + ex1) / 2 AS cx, ay + 4.5e0 AS cy FROM (SELECT *, row_number() OVER (PARTITION BY region_id, kind, CASE WHEN kind = 'SRC_dimension' THEN least(l::int, r::int) ELSE event_id END, CASE WHEN kind = 'SRC_dimension' THEN greatest(l::int, r::int) END ORDER BY event_id) AS again FROM spans) WHERE again = 1 AND n > 1),
+drawn AS (SELECT region_id, dx, dy, dseq FROM drawings JOIN regions USING (doc_id, page) WHERE dx0 < rx1 AND dx1 > rx0 AND dy0 < ry1 AND dy1 > ry0),
+gaps AS (SELECT o.region_id, o.event_id, min(sqrt((cx - dx) * (cx - dx) + (cy - dy) * (cy - dy))) AS gap FROM once o JOIN drawn USING (region_id) GROUP BY 1, 2),
+placed AS (SELECT o.*, coalesce(gap, 'Infinity'::double) AS distance FROM once o LEFT JOIN gaps USING (region_id, event_id)),
+shown AS ({_exported("placed", margins=False)})"""
+
 SQL = {
     "q_entity_types": _sql(f"SELECT event_id, text, {TYPE.format('text')} AS entity_type FROM annot"),
     "q_lexemes": _sql(
@@ -134,6 +169,16 @@ SQL = {
         "isles AS (SELECT *, sum(coalesce(cut, false)::int) OVER (PARTITION BY doc_id, page, axis, bucket ORDER BY k, seq ROWS UNBOUNDED PRECEDING) AS isle FROM gaps)",
         "SELECT seq, CASE WHEN min(k) OVER w = max(k) OVER w THEN seq ELSE min(seq) OVER w END AS component FROM isles WINDOW w AS (PARTITION BY doc_id, page, axis, bucket, isle)",
     ),
+    "q_mixed_axes": _sql(
+        MIXED,
+        """SELECT seq, h_near, v_near, axis AS dimension_axis, bucket AS axis_bucket, CASE WHEN up THEN 'unresolved_vertical_fragment' WHEN h_near > 0 THEN 'unresolved_horizontal_fragment' ELSE 'isolated_glyph' END AS lone, CASE WHEN up THEN 'bottom_to_top' ELSE 'left_to_right' END AS reading FROM mlines""",
+    ),
+    "q_mixed_components": _sql(
+        MIXED,
+        "links AS MATERIALIZED (SELECT k.seq, other FROM linked k JOIN mlines a ON a.seq = k.seq JOIN mlines b ON b.seq = other WHERE a.axis = b.axis AND a.bucket = b.bucket AND CASE WHEN a.up THEN upright ELSE level END)",
+        "reach AS (SELECT seq, seq AS other FROM mlines UNION SELECT reach.seq, links.other FROM reach JOIN links ON links.seq = reach.other)",
+        "SELECT seq, min(other) AS component FROM reach GROUP BY 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "q_splits": _sql(
         "SELECT event_id * 32 + i AS seq, (i > 5)::int AS chunk, CASE WHEN event_id % 6 * 4 + 1 - 5 > 12 AND i > 5 THEN cast(floor((i - 6) / 12) AS int) ELSE 0 END AS piece FROM (SELECT event_id, unnest(range(1, event_id % 6 * 4 + 2)) AS i FROM annot)"
     ),
@@ -148,6 +193,14 @@ SQL = {
     ),
     "q_nearest_drawings": _sql(CANDS, DRAWINGS, NEAR.format("cands"), "SELECT seq, distance, dx0 AS near_x0, dy0 AS near_y0, dx1 AS near_x1, dy1 AS near_y1 FROM near"),
     "q_nearest_parents": _sql(CANDS, ENTITIES, MODS, PARENTS, "SELECT mseq, seq FROM parents"),
+    "q_mixed_parents": _sql(
+        CANDS, ENTITIES,
+        f"marks AS (SELECT doc_id, page, event_id % 2 = 1 AS mup, event_id % 5 AS v, {_MARKS} FROM cands WHERE event_id % 3 = 0)",
+        f"read AS (SELECT *, event_id % 2 = 1 AS up, {_READING} AS o FROM entities)",
+        "family AS (SELECT * FROM (VALUES ('horizontal', 'h'), ('unresolved_horizontal_fragment', 'h'), ('rotated', 'h'), ('vertical', 'v'), ('unresolved_vertical_fragment', 'v')) f(name, family))",
+        f"""SELECT mseq, seq FROM (SELECT mseq, seq, row_number() OVER (PARTITION BY mseq ORDER BY gap, seq) AS nth FROM (SELECT *, sqrt((mx - cx) * (mx - cx) + (my - cy) * (my - cy)) AS gap FROM marks JOIN read USING (doc_id, page) LEFT JOIN family fo ON fo.name = o LEFT JOIN family fm ON fm.name = mo
+ WHERE num IS NOT NULL AND mup = up AND fo.family IS NOT DISTINCT FROM fm.family AND {_fits("num", "v::double")}) WHERE CASE WHEN up THEN abs(mx - cx) <= 12 AND gap <= 90 AND cy >= my ELSE abs(my - cy) <= 12 AND gap <= 60 AND mx >= cx END) WHERE nth = 1""",
+    ),
     "q_attached_modifiers": _sql(
         CANDS, ENTITIES, MODS, PARENTS,
         """SELECT seq, CASE WHEN takes THEN own || ' ±' || v ELSE display END AS display_text, CASE WHEN takes THEN v::double ELSE tol END AS tolerance, CASE WHEN takes THEN n + mn ELSE n END AS glyph_count, CASE WHEN takes THEN greatest(x1, mx1) ELSE x1 END AS x1,
@@ -158,7 +211,12 @@ SQL = {
         "SELECT doc_id, page, l::bigint || ' X ' || r AS text, x0, x1, round_even(greatest(0.55e0, 1 - gap / (6e0 * 300 / 25.4e0) * 0.35e0), 3) AS confidence FROM c WHERE again = 1",
     ),
     "q_bound_thickness": _sql("SELECT event_id AS seq, CASE WHEN event_id % 8 = 5 THEN a || ' THK' ELSE b || 'THK' END AS display_text, ax AS x0, CASE WHEN event_id % 8 = 5 THEN greatest(ax + 29, ax + 6 * length(text) - 1) ELSE ax + 6 * length(text) - 1 END AS x1 FROM annot WHERE event_id % 8 IN (5, 6)"),
-    "q_merged_references": _sql("SELECT doc_id, page, a || '(REF)' AS display_text, a::double AS nominal, ax AS x0, ax + 47 AS x1 FROM annot WHERE event_id % 8 = 5"),
+    "q_merged_references": _sql(
+        CANDS, ENTITIES,
+        "r AS (SELECT event_id, a, doc_id, page, ax, ax + 6 * length(text) - 1 AS x1 FROM annot WHERE event_id % 8 = 5)",
+        """SELECT doc_id, page, a || '(REF)' AS display_text, a::double AS nominal, 'reference_dimension' AS entity_type, ax AS x0, greatest(x1, ax + 47) AS x1 FROM r
+UNION ALL SELECT doc_id, page, display, num, kind, x0, x1 FROM entities WHERE NOT regexp_matches(display, '^[0-9]+([.][0-9]+)?$') AND display NOT IN ('REF', '(REF)') OR (doc_id, page) NOT IN (SELECT (doc_id, page) FROM r)""",
+    ),
     "q_stacked_digits": _sql("s AS (SELECT event_id AS doc_id, ay AS y0, ay + 33 AS y1, concat((event_id * 7 + 6) % 10, (event_id * 7 + 3) % 10, (event_id * 7) % 10) AS display_text FROM annot)", "SELECT *, display_text::double AS nominal, 3 AS glyph_count FROM s"),
     "q_exported": _sql(CANDS, ENTITIES, DRAWINGS, NEAR.format("entities"), f"SELECT seq, display AS display_text, confidence FROM ({_exported('near')})"),
     "q_flattened_pages": _sql(GLYPHS, "SELECT doc_id, page, count(*) AS n, sum(x0) AS x, count(*) AS places, string_agg(char, '' ORDER BY seq) AS text FROM glyphs GROUP BY 1, 2"),
@@ -168,5 +226,19 @@ SQL = {
         "SELECT user_id AS client, max(event_id) AS request_id, arg_max(ax, event_id) AS x, arg_max(ay, event_id) AS y FROM runs GROUP BY user_id, run",
     ),
     "q_full_page": _sql(*FULL, FULL_ROWS, least=10),
+    "q_page_chains": _sql(CANDS, GRAMMAR, CHAINS, CHAIN_ROWS),
+    "q_region_extract": _sql(
+        GLYPHS, DRAWINGS, REGIONS, CUT,
+        f"""SELECT region_id, doc_id, page, rx0 AS x0, ry0 AS y0, rx1 AS x1, ry1 AS y1, {WIDTH}e0 AS page_width, {HEIGHT}e0 AS page_height, coalesce(n, 0)::bigint AS entity_count, coalesce(texts, '') AS texts
+ FROM regions LEFT JOIN (SELECT region_id, count(*) AS n, string_agg(display, '|' ORDER BY event_id) AS texts FROM shown GROUP BY 1) USING (region_id)""",
+        least=10,
+    ),
+    "q_snap": _sql(
+        GLYPHS, DRAWINGS, POINTS, CUT,
+        "boxed AS (SELECT s.*, sqrt(greatest(ex0 - px, 0, px - ex1) ** 2 + greatest(ay - py, 0, py - (ay + 9)) ** 2) AS d FROM shown s JOIN regions USING (region_id))",
+        """SELECT region_id AS point_id, doc_id, coalesce(n, 0)::bigint AS candidate_count, display AS display_text, round_even(d, 3) AS snap_distance
+ FROM regions LEFT JOIN (SELECT region_id, count(*) AS n, arg_min(display, d) AS display, min(d) AS d FROM boxed GROUP BY 1) USING (region_id)""",
+        least=10,
+    ),
     "q_page_summary": _sql(*FULL, f'SELECT doc_id, entity_type, count(*) AS n, sum(tolerance) AS tolerances, max("max") AS most FROM ({FULL_ROWS}) GROUP BY 1, 2', least=10),
 }

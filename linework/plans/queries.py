@@ -27,6 +27,16 @@ _PLACE = "event_id, cast(floor(event_id/500) as bigint) doc_id, cast(floor((even
 _AT = "cast(40 as double)+160*(slot%5) ax, cast(60 as double)+72*cast(floor(slot/5) as int) ay"
 
 
+#: The mixed sheets: every second annotation on is upright, of two sizes, or struck twice in a font of its own.
+_MIXED = """event_id*32+i+copy seq, substr(text, i, 1) char, case event_id%4 when 3 then 'F2' else 'F1' end font, cast(case when event_id%4=2 and i%2=0 then 14 else 10 end as double) size,
+ ax + case event_id%4 when 1 then 0 when 2 then 4*(i-1) else 6*(i-1) end x0, ay - case event_id%4 when 1 then 10*(i-1) else 0 end y0"""
+#: Tolerance marks beside every third annotation: above it where that is upright, else to its right.
+_MARKS = """event_id+1000000000 mseq, concat('±', event_id%5) mtext, cx + case event_id%2 when 1 then 3 else 20 end mx, cy - case event_id%2 when 1 then 20 else 4 end my,
+ case when event_id%15=0 then null when event_id%2=1 then 'unresolved_vertical_fragment' else 'rotated' end mo"""
+#: How the annotations read then.
+_READING = "case when event_id%10=5 then null when event_id%2=1 then 'vertical' when event_id%6=0 then 'unresolved_horizontal_fragment' else 'horizontal' end"
+
+
 def annotations(spark: SparkSession, d: str, least: int = 0) -> DataFrame:
     """One row per event; least is added to its number a (10 leaves no single digits)."""
     e = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_split(_PLACE), f"cast(floor(value) as bigint)+{least} a", "event_type", "user_id", "ts")
@@ -37,12 +47,30 @@ def _split(columns: str) -> list[str]:
     return columns.split(", ")
 
 
+def _columns(text: str) -> list[str]:
+    """Expressions of a select list, cut at the commas outside brackets."""
+    out, depth = [""], 0
+    for c in text.replace("\n", " "):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 def glyphs(annot: DataFrame) -> DataFrame:
     i = F.col("i")
     g = annot.select("doc_id", "page", "event_id", "ax", "ay", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
     return g.select("doc_id", "page", (F.col("event_id") * 32 + i).alias("seq"), F.substring("text", i, F.lit(1)).alias("char"), (F.col("ax") + 6 * (i - 1)).alias("x0"), F.col("ay").alias("y0"), (F.col("ax") + 6 * (i - 1) + 5).alias("x1"), (F.col("ay") + 9).alias("y1"), F.lit("F1").alias("font"), F.lit(10.0).alias("size"))
 
 
+def mixed_glyphs(annot: DataFrame) -> DataFrame:
+    copies = F.explode(F.when(F.col("event_id") % 4 == 3, F.array(F.lit(0), F.lit(16))).otherwise(F.array(F.lit(0))))
+    g = annot.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("text")))).withColumn("copy", copies)
+    return g.selectExpr("doc_id", "page", *_columns(_MIXED)).select("*", (F.col("x0") + 5).alias("x1"), (F.col("y0") + 9).alias("y1"))
+
+
 def drawings(annot: DataFrame) -> DataFrame:
     return annot.where("event_id % 3 = 0").select("doc_id", "page", F.col("event_id").alias("seq"), (F.col("ax") - 4).alias("x0"), (F.col("ay") + 12).alias("y0"), (F.col("ax") + 40).alias("x1"), (F.col("ay") + 12).alias("y1"))
 
@@ -173,6 +201,21 @@ def components(spark, d):
     return ch.components(ch.with_axes(ch.neighbor_counts(_metric_glyphs(spark, d)))).select("seq", "component")
 
 
+def _mixed(spark, d):
+    g = ch.with_metrics(mixed_glyphs(annotations(spark, d)))
+    return ch.with_axes(ch.neighbor_counts(g.join(ch.thresholds(g), ch.KEYS)))
+
+
+def mixed_axes(spark, d):
+    """Two fonts, two sizes, upright rows and glyphs struck twice."""
+    lone = ch.singleton_kind(F.col("dimension_axis"), F.col("h_near"))
+    return _mixed(spark, d).select("seq", "h_near", "v_near", "dimension_axis", "axis_bucket", lone.alias("lone"), tx.reading_direction(F.col("dimension_axis")).alias("reading"))
+
+
+def mixed_components(spark, d):
+    return ch.components(save(_mixed(spark, d), "axes")).select("seq", "component")
+
+
 def splits(spark, d):
     """Rows of digits with a wide gap after the fifth and 14 in the longest: chunks and slices."""
     n = F.col("event_id") % 6 * 4
@@ -231,6 +274,17 @@ def nearest_parents(spark, d):
     return matching.nearest_parent(_near_modifiers(a), _entities(candidate_rows(a))).select("mseq", "seq")
 
 
+def mixed_parents(spark, d):
+    """Marks beside upright and level numbers, of several orientations and none."""
+    axis = F.expr("case event_id%2 when 1 then 'vertical' else 'horizontal' end")
+    a = annotations(spark, d)
+    c = candidate_rows(a).withColumn("event_id", F.col("seq"))
+    marks = c.where("event_id % 3 = 0").selectExpr("doc_id", "page", "event_id", *_columns(_MARKS)).withColumn("dimension_axis", axis)
+    marks = marks.select("doc_id", "page", F.col("mseq").alias("seq"), F.col("mtext").alias("text"), F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mo").alias("orientation"), "dimension_axis")
+    c = c.withColumns({"dimension_axis": axis, "orientation": F.expr(_READING)}).drop("event_id")
+    return matching.nearest_parent(marks, _entities(c)).select("mseq", "seq")
+
+
 def attached_modifiers(spark, d):
     a = annotations(spark, d)
     return matching.attach_modifiers(_near_modifiers(a), _entities(candidate_rows(a))).select("seq", "display_text", "tolerance", "glyph_count", "x1", "cx")
@@ -254,11 +308,11 @@ def bound_thickness(spark, d):
 
 
 def merged_references(spark, d):
-    """A lone (REF) beside each annotation of a bare number; what didn't merge stays."""
+    """A lone (REF) beside each annotation of a bare number; what is left of each page."""
     a = annotations(spark, d)
     ref = candidate_rows(a.where("event_id % 8 = 5").withColumn("text", F.lit("(REF)")).withColumn("ax", F.col("ax") + 18)).withColumn("seq", F.col("seq") + 1_000_000_000)
     found = matching.merge_references(_entities(candidate_rows(a).unionByName(ref)))
-    return found.where("grammar_rule = 'REFERENCE_SUFFIX_MERGE'").select("doc_id", "page", "display_text", "nominal", "x0", "x1")
+    return found.select("doc_id", "page", "display_text", "nominal", "entity_type", "x0", "x1")
 
 
 def stacked_digits(spark, d):
@@ -320,16 +374,18 @@ def page_summary(spark, d):
 def region_extract(spark, d):
     a = annotations(spark, d, 10)
     found = extract.extract_regions(glyphs(a), drawings(a), sheets(a), regions(a))
-    return extract.region_summary(regions(a), sheets(a), found).select("region_id", "doc_id", "page", "region_bbox", "entity_count", F.transform("entities", lambda e: e["display_text"]).alias("texts"))
+    texts = F.concat_ws("|", F.transform("entities", lambda e: e["display_text"]))
+    box = [F.get("region_bbox", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return extract.region_summary(regions(a), sheets(a), found).select("region_id", "doc_id", "page", *box, "page_width", "page_height", F.col("entity_count").cast("long").alias("entity_count"), texts.alias("texts"))
 
 
 def snap(spark, d):
     a = annotations(spark, d, 10)
     found = extract.snap(glyphs(a), drawings(a), sheets(a), points(a))
-    return found.select("point_id", "doc_id", "candidate_count", "selected.display_text", "snap_distance")
+    return found.select("point_id", "doc_id", F.col("candidate_count").cast("long").alias("candidate_count"), "selected.display_text", "snap_distance")
 
 
 QUERIES = {f"q_{f.__name__}": f for f in (
-    entity_types, lexemes, noise, numbers, tolerances, pairs, margins, confidences, envelopes, coordinates, clipped_glyphs, point_distances, thresholds, neighbors, axes, components, splits, tokens, parentheses, grammar_rules, entities,
-    dedupe_pairs, dedupe_best, nearest_drawings, nearest_parents, attached_modifiers, formed_pairs, bound_thickness, merged_references, stacked_digits, exported, flattened_pages, bursts, full_page, page_chains, page_summary, region_extract, snap,
+    entity_types, lexemes, noise, numbers, tolerances, pairs, margins, confidences, envelopes, coordinates, clipped_glyphs, point_distances, thresholds, neighbors, axes, components, mixed_axes, mixed_components, splits, tokens, parentheses, grammar_rules, entities,
+    dedupe_pairs, dedupe_best, nearest_drawings, nearest_parents, mixed_parents, attached_modifiers, formed_pairs, bound_thickness, merged_references, stacked_digits, exported, flattened_pages, bursts, full_page, page_chains, page_summary, region_extract, snap,
 )}
