@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,9 +121,7 @@ def valid_pair(left: Column, right: Column, right_text: Column, tail: Column) ->
     """A plausible pair A X B whose right side and tail are a dimension, not a quantity or thread."""
     t = strip(tail)
     both = F.lower(F.concat(right_text, t))
-    counted = F.lit(False)
-    for word in QUANTITY_WORDS:
-        counted |= both.contains(word)
+    counted = both.rlike("|".join(map(re.escape, QUANTITY_WORDS)))
     letters = F.regexp_replace(t, r"[\d.\s()°±\-+]", "") != ""
     return F.coalesce(plausible_pair(left, right, t) & ~counted & ~both.contains("ø") & ~both.rlike(r"(?i)\bM\d") & right_text.rlike(r"^\d") & ~letters, F.lit(False))
 
@@ -141,9 +141,7 @@ def pair_may_form(left: Column, right: Column, right_text: Column, tail: Column,
 
 def valid_tolerance(value: Column) -> Column:
     t = F.abs(value)
-    standard = F.lit(False)
-    for s in STANDARD_TOLERANCES:
-        standard |= F.abs(t - s) < 0.02
+    standard = F.exists(F.array(*map(F.lit, STANDARD_TOLERANCES)), lambda s: F.abs(t - s) < 0.02)
     small = (t < 1) & (F.abs(t - rounded(t, 2)) < 0.001)
     whole = t.between(1, 4) & (F.abs(t - F.rint(t)) < 0.001)
     return (t <= LARGEST_TOLERANCE) & (standard | small | whole)

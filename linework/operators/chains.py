@@ -27,34 +27,44 @@ def with_metrics(glyphs: DataFrame) -> DataFrame:
     })
 
 
+def _tolerances(w, h) -> dict:
+    """line_tol, col_tol, h_gap_max, v_gap_max, size_tol from the width and height of a page's median glyph."""
+    at_least = lambda c, k, least: F.greatest(c * k, F.lit(least))
+    return {"line_tol": at_least(h, 0.5, 2.0), "col_tol": at_least(w, 0.35, 2.0), "h_gap_max": at_least(w, 1.8, 6.0), "v_gap_max": at_least(h, 1.8, 6.0), "size_tol": at_least(h, 0.35, 0.5)}
+
+
 def thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Per page, from the median glyph: line_tol, col_tol, h_gap_max, v_gap_max, size_tol."""
     med = glyphs.groupBy(*keys).agg(F.median("w").alias("mw"), F.median("h").alias("mh"))
-    at_least = lambda c, k, least: F.greatest(F.col(c) * k, F.lit(least))
-    return med.select(*keys, at_least("mh", 0.5, 2.0).alias("line_tol"), at_least("mw", 0.35, 2.0).alias("col_tol"), at_least("mw", 1.8, 6.0).alias("h_gap_max"), at_least("mh", 1.8, 6.0).alias("v_gap_max"), at_least("mh", 0.35, 0.5).alias("size_tol"))
+    return med.select(*keys, *(c.alias(n) for n, c in _tolerances(F.col("mw"), F.col("mh")).items()))
+
 
+def with_thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """glyphs (with metrics) with their page's thresholds."""
+    page = Window.partitionBy(*keys)
+    g = glyphs.withColumns({"mw": F.median("w").over(page), "mh": F.median("h").over(page)})
+    return g.withColumns(_tolerances(F.col("mw"), F.col("mh"))).drop("mw", "mh")
 
-def _band_counts(glyphs: DataFrame, keys: list[str], along: str, across: str, reach: str, tol: str, out: str) -> DataFrame:
-    """How many others of its font and size each glyph has within reach along and tol across.
 
-    A grid of cells of that size is an equi-join key: each glyph looks into the nine cells about it.
+def _with_count(glyphs: DataFrame, keys: list[str], along: str, across: str, reach: str, tol: str, out: str) -> DataFrame:
+    """glyphs with how many others of its font and size each has within reach along and tol across.
+
+    Glyphs stand in bands as high as the tolerance, their own and the two beside it; a glyph sees what
+    its own band holds within reach, a sorted window, and counts what fits.
     """
-    cell = lambda c, size: F.floor(F.col(c) / F.col(size)).cast("long")
-    g = glyphs.withColumns({"ga": cell(along, reach), "gb": cell(across, tol)})
-    steps = [F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))] * 2
-    a = g.withColumn("da", F.explode(steps[0])).withColumn("db", F.explode(steps[1]))
-    a = a.select(*keys, "font", (F.col("ga") + F.col("da")).alias("ga"), (F.col("gb") + F.col("db")).alias("gb"), "seq", F.col(along).alias("a"), F.col(across).alias("b"), "size", reach, tol, "size_tol")
-    b = g.select(*keys, "font", "ga", "gb", F.col(along).alias("oa"), F.col(across).alias("ob"), F.col("size").alias("osize"))
-    near = (F.abs(F.col("oa") - F.col("a")) > 0) & (F.abs(F.col("oa") - F.col("a")) <= F.col(reach)) & (F.abs(F.col("ob") - F.col("b")) <= F.col(tol)) & (F.abs(F.col("osize") - F.col("size")) <= F.col("size_tol"))
-    return a.join(b, [*keys, "font", "ga", "gb"]).where(near).groupBy(*keys, "seq").agg(F.count("*").alias(out))
+    near = Window.partitionBy(*keys, "font", "__band").orderBy("__at").rangeBetween(-1001, 1001)
+    g = glyphs.withColumn("__shift", F.explode(F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))))
+    g = g.withColumns({"__band": F.floor(F.col(across) / F.col(tol)).cast("long") + F.col("__shift"), "__at": F.col(along) / F.col(reach) * 1000})
+    g = g.withColumn("__near", F.collect_list(F.struct(F.col(along).alias("a"), F.col(across).alias("b"), "size")).over(near)).where("__shift = 0")
+    gap = lambda o: F.abs(o["a"] - F.col(along))
+    fits = lambda o: (gap(o) > 0) & (gap(o) <= F.col(reach)) & (F.abs(o["b"] - F.col(across)) <= F.col(tol)) & (F.abs(o["size"] - F.col("size")) <= F.col("size_tol"))
+    return g.withColumn(out, F.size(F.filter("__near", fits)).cast("long")).drop("__shift", "__band", "__at", "__near")
 
 
 def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """glyphs (with metrics and thresholds) with h_near and v_near."""
-    h = _band_counts(glyphs, keys, "cx", "cy", "h_gap_max", "line_tol", "h_near")
-    v = _band_counts(glyphs, keys, "cy", "cx", "v_gap_max", "col_tol", "v_near")
-    out = glyphs.join(h, [*keys, "seq"], "left").join(v, [*keys, "seq"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("h_near", "v_near")})
+    level = _with_count(glyphs, keys, "cx", "cy", "h_gap_max", "line_tol", "h_near")
+    return _with_count(level, keys, "cy", "cx", "v_gap_max", "col_tol", "v_near")
 
 
 def with_axes(glyphs: DataFrame) -> DataFrame:
@@ -102,6 +112,12 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(component=first.to_numpy())
 
 
+def with_spread(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """glyphs with how much the sizes of their line differ."""
+    line = Window.partitionBy(*keys, "dimension_axis", "axis_bucket", "font")
+    return glyphs.withColumn("spread", F.max("size").over(line) - F.min("size").over(line))
+
+
 def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """glyphs with component: the least seq of those linked with it along its line.
 
@@ -110,8 +126,8 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way.
     """
     line = [*keys, "dimension_axis", "axis_bucket", "font"]
-    w, ordered = Window.partitionBy(*line), Window.partitionBy(*line).orderBy("along", "seq")
-    g = glyphs.withColumn("spread", F.max("size").over(w) - F.min("size").over(w))
+    ordered = Window.partitionBy(*line).orderBy("along", "seq")
+    g = glyphs if "spread" in glyphs.columns else with_spread(glyphs, keys)
     cut = F.col("along") - F.lag("along").over(ordered) > F.col("reach")
     even = g.where(F.col("spread") <= F.col("size_tol")).withColumn("island", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(ordered))
     island = Window.partitionBy(*line, "island")

@@ -25,33 +25,40 @@ def _median(values: Column) -> Column:
     return _let(F.array_sort(values), middle)
 
 
+_NUMERALS = tuple("0123456789.")
+
+
 def tokens(glyphs: Column) -> Column:
     """Tokens of an ordered array of struct(along, seq, char).
 
     Digits and points run together while the gap between them is usual for the chain; every
     other character is a token of its own.
     """
-    number = lambda g: g["char"].rlike("^[0-9.]$")
+    number = lambda g: g["char"].isin(*_NUMERALS)
+    shifted = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
 
     def steps(a: Column) -> Column:
-        return F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.abs(x["along"] - y["along"]))
+        return F.zip_with(shifted(a), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.abs(x["along"] - y["along"]))
 
     usual = F.coalesce(_median(_let(F.filter(glyphs, number), steps)), F.lit(8.0))
 
-    def fold(limit: Column) -> Column:
-        empty = F.array().cast("array<struct<text:string,type:string,ids:array<long>,end:double>>")
+    def cut(limit: Column) -> Column:
+        """Where tokens start, counted from 1."""
+        joins = lambda x, y: F.coalesce(number(x) & number(y) & (F.abs(x["along"] - y["along"]) <= limit), F.lit(False))
+        ends = F.zip_with(glyphs, shifted(glyphs), lambda x, y: ~joins(x, y))  # the last has no next one
+        return F.filter(F.transform(F.concat(F.array(F.lit(True)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda new, i: F.when(new, i + 1)), lambda i: i.isNotNull())
 
-        def add(out: Column, g: Column) -> Column:
-            last = F.try_element_at(out, F.lit(-1))
-            joins = number(g) & F.coalesce((last["type"] == "number") & (F.abs(g["along"] - last["end"]) <= limit), F.lit(False))
-            grown = F.struct(F.concat(last["text"], g["char"]).alias("text"), F.lit("number").alias("type"), F.concat(last["ids"], F.array(g["seq"])).alias("ids"), g["along"].alias("end"))
-            alone = F.struct(g["char"].alias("text"), tx.lexeme(g["char"]).alias("type"), F.array(g["seq"]).alias("ids"), g["along"].alias("end"))
-            return F.when(joins, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(out, F.array(alone)))
+    def token(part: Column) -> Column:
+        first = F.get(part, F.lit(0))
+        text = F.array_join(F.transform(part, lambda g: g["char"]), "")
+        return F.struct(text.alias("text"), F.when(number(first), F.lit("number")).otherwise(tx.lexeme(first["char"])).alias("type"), F.transform(part, lambda g: g["seq"]).alias("ids"))
 
-        return F.aggregate(glyphs, empty, add)
+    def made(starts: Column) -> Column:
+        parts = F.transform(starts, lambda at, n: F.slice(glyphs, at, F.coalesce(F.get(starts, n + 1), F.size(glyphs) + 1) - at))
+        return F.transform(parts, token)
 
-    found = _let(usual, lambda m: fold(F.greatest(2.5 * m, m + 6.0, F.lit(10.0))))
-    return F.transform(found, lambda t: F.struct(t["text"].alias("text"), t["type"].alias("type"), t["ids"].alias("ids")))
+    none = F.array().cast(f"array<{TOKEN}>")
+    return F.when(F.size(glyphs) > 0, _let(_let(usual, lambda m: cut(F.greatest(2.5 * m, m + 6.0, F.lit(10.0)))), made)).otherwise(none)
 
 
 def merge_parentheses(found: Column) -> Column:
@@ -82,20 +89,22 @@ def _fused(text, ids, rule, fused=False, nominal=None, nominal_text=None, tolera
     )
 
 
+def _with_tolerance(left: Column, right: Column, ids: Column, rule: str) -> Column:
+    """Two texts as 'N ±T' if they are numbers and the tolerance fits, else null; each is read once."""
+    number = lambda s: F.struct(s["l"].alias("l"), s["r"].alias("r"), tx.to_double(s["l"]).alias("a"), F.abs(tx.to_double(s["r"])).alias("b"))
+    made = lambda v: F.when(v["a"].isNotNull() & v["b"].isNotNull() & tx.tolerance_fits(v["a"], v["b"]), _fused(F.concat(v["l"], F.lit(" ±"), v["r"]), ids, rule, True, v["a"], v["l"], v["b"]))
+    return _let(_let(F.struct(left.alias("l"), right.alias("r")), number), made)
+
+
 def tolerance_triple(n: Column, op: Column, t: Column) -> Column:
     """NUMBER operator NUMBER as one dimension; null if the tolerance doesn't fit."""
-    a, b = tx.to_double(tx.strip(n["text"])), tx.to_double(tx.strip(t["text"]))
-    text = F.concat(tx.strip(n["text"]), F.lit(" ±"), tx.strip(t["text"]))
-    ids = F.concat(n["ids"], op["ids"], t["ids"])
-    return F.when(a.isNotNull() & b.isNotNull() & tx.tolerance_fits(a, b), _fused(text, ids, "NUMBER_OPERATOR_NUMBER", True, a, tx.strip(n["text"]), b))
+    return _with_tolerance(tx.strip(n["text"]), tx.strip(t["text"]), F.concat(n["ids"], op["ids"], t["ids"]), "NUMBER_OPERATOR_NUMBER")
 
 
 def inline_tolerance(token: Column) -> Column:
     """One token 'N ± T' as a dimension; null if it is none or the tolerance doesn't fit."""
-    text = tx.strip(token["text"])
-    left, right = (F.regexp_extract(text, r"^([\d.]+)\s*±\s*([\d.]+)$", i) for i in (1, 2))
-    a, b = tx.to_double(left), tx.to_double(right)
-    return F.when(a.isNotNull() & b.isNotNull() & tx.tolerance_fits(a, b), _fused(F.concat(left, F.lit(" ±"), right), token["ids"], "INLINE_TOLERANCE", True, a, left, b))
+    left, right = (F.regexp_extract(tx.strip(token["text"]), r"^([\d.]+)\s*±\s*([\d.]+)$", i) for i in (1, 2))
+    return _with_tolerance(left, right, token["ids"], "INLINE_TOLERANCE")
 
 
 def nominal_only(token: Column) -> Column:
@@ -112,12 +121,15 @@ def parse(found: Column) -> Column:
         def add(acc: Column, i: Column) -> Column:
             t, op, n = F.get(a, i), F.get(a, i + 1), F.get(a, i + 2)
             is_triple = F.coalesce((t["type"] == "number") & (op["type"] == "operator") & (n["type"] == "number"), F.lit(False))
-            triple = tolerance_triple(t, op, n)
             inline = (t["type"] == "fused_tolerance") | (t["text"].contains("±") & (t["type"] != "operator"))
-            one = F.when(inline, inline_tolerance(t)).when(is_triple, triple).when(t["type"] == "number", nominal_only(t)).when(t["type"].isin("nominal", "other") & tx.is_nominal(t["text"]), nominal_only(t))
-            jump = F.when(~inline & is_triple & triple.isNotNull(), i + 2).otherwise(acc["skip"])
-            out = F.when(one.isNotNull(), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-            return F.when(i <= acc["skip"], acc).otherwise(F.struct(out.alias("out"), jump.alias("skip")))
+            triple = ~inline & is_triple
+            one = F.when(inline, inline_tolerance(t)).when(is_triple, tolerance_triple(t, op, n)).when((t["type"] == "number") | t["type"].isin("nominal", "other") & tx.is_nominal(t["text"]), nominal_only(t))
+
+            def added(x: Column) -> Column:
+                out = F.when(x.isNotNull(), F.concat(acc["out"], F.array(x))).otherwise(acc["out"])
+                return F.struct(out.alias("out"), F.when(triple & x.isNotNull(), i + 2).otherwise(acc["skip"]).alias("skip"))
+
+            return F.when(i <= acc["skip"], acc).otherwise(_let(one, added))
 
         return F.when(F.size(a) > 0, F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, add, lambda x: x["out"])).otherwise(F.array().cast(f"array<{FUSED}>"))
 
@@ -126,11 +138,17 @@ def parse(found: Column) -> Column:
 
 def implicit_pair(a: Column, b: Column) -> Column:
     """Two whole numbers side by side as 'A X B'; null if they are no pair."""
-    x, y = tx.strip(a["text"]), tx.strip(b["text"])
-    whole = x.rlike(r"^\d{1,9}$") & y.rlike(r"^\d{1,9}$")
-    u, v = F.when(whole, x.try_cast("double")), F.when(whole, y.try_cast("double"))
-    fits = F.coalesce(u.between(1, 499) & v.between(1, 499) & tx.pair_may_form(u, v, y, F.lit(""), F.lit(None).cast("string"), F.size(a["ids"]) + F.size(b["ids"])), F.lit(False))
-    return F.when(fits, _fused(F.concat(x, F.lit(" X "), y), F.concat(a["ids"], b["ids"]), "IMPLICIT_X_BETWEEN_NUMBERS", True, kind=F.lit("SRC_dimension"), operator=F.lit("X"), values=F.array(u, v)))
+
+    def read(s: Column) -> Column:
+        whole = s["x"].rlike(r"^\d{1,9}$") & s["y"].rlike(r"^\d{1,9}$")
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), F.when(whole, s["x"].try_cast("double")).alias("u"), F.when(whole, s["y"].try_cast("double")).alias("v"))
+
+    def made(s: Column) -> Column:
+        u, v = s["u"], s["v"]
+        fits = F.coalesce(u.between(1, 499) & v.between(1, 499) & tx.pair_may_form(u, v, s["y"], F.lit(""), F.lit(None).cast("string"), F.size(a["ids"]) + F.size(b["ids"])), F.lit(False))
+        return F.when(fits, _fused(F.concat(s["x"], F.lit(" X "), s["y"]), F.concat(a["ids"], b["ids"]), "IMPLICIT_X_BETWEEN_NUMBERS", True, kind=F.lit("SRC_dimension"), operator=F.lit("X"), values=F.array(u, v)))
+
+    return _let(_let(F.struct(tx.strip(a["text"]).alias("x"), tx.strip(b["text"]).alias("y")), read), made)
 
 
 def dimensions(glyphs: Column, has_operator: Column) -> Column:
@@ -146,12 +164,14 @@ def dimensions(glyphs: Column, has_operator: Column) -> Column:
     def plain(t: Column) -> Column:
         return _let(F.filter(t, lambda x: x["type"] == "number"), lambda n: _let(implicit_pair(F.get(n, F.lit(0)), F.get(n, F.lit(1))), lambda p: F.when((F.size(n) >= 2) & p.isNotNull(), F.array(p)).otherwise(F.when(text == "", none).otherwise(chain))))
 
-    return _let(merge_parentheses(tokens(glyphs)), lambda t: F.when(has_operator, parse(t)).otherwise(plain(t)))
+    opens = F.exists(glyphs, lambda g: g["char"] == "(")
+    return _let(_let(tokens(glyphs), lambda t: F.when(opens, merge_parentheses(t)).otherwise(t)), lambda t: F.when(has_operator, parse(t)).otherwise(plain(t)))
 
 
 def groups(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per prepared glyph group with its ordered glyphs, its place in processing order and its dimensions."""
     comp = [*keys, "dimension_axis", "axis_bucket", "component", "chunk", "piece"]
     order = reading_order(F.col("dimension_axis"), F.col("cx"), F.col("cy"))
-    g = glyphs.groupBy(*comp).agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "seq", "along", "char"))).alias("glyphs"), F.max("has_operator").alias("has_operator"), F.min("seq").alias("first_seq"))
+    own = F.struct(order.alias("order"), "seq", "along", "char", "x0", "y0", "x1", "y1", "cx", "cy", "h_near")
+    g = glyphs.groupBy(*comp).agg(F.array_sort(F.collect_list(own)).alias("glyphs"), F.max("has_operator").alias("has_operator"), F.min("seq").alias("first_seq"))
     return g.withColumn("found", dimensions(F.col("glyphs"), F.col("has_operator")))

@@ -6,19 +6,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linework.functions.geometry import envelope, rounded
+from linework.functions.geometry import rounded
 from linework.functions.text import OPERATORS, reading_direction
 from linework.operators.chains import KEYS, singleton_kind
+from linework.sources.scratch import save
 
 #: Where the phases of a page's order begin; within a phase rows are numbered from 1, so phases never
 #: meet: chains from 1 on, then leftover glyphs, formed pairs, merged references and fused digits.
 AFTER, FORMED, MERGED, FUSED = (phase << 40 for phase in range(1, 5))
 
 
-def _place(cx, cy, char, digits: int | None = None):
+def _place(g, digits: int | None = None):
     """A glyph's identity: where it is (to a tenth, or exactly) and what it says."""
-    at = [rounded(c, digits) if digits is not None else c for c in (cx, cy)]
-    return F.concat_ws("|", *(c.cast("string") for c in at), char)
+    at = [rounded(g[c], digits) if digits is not None else g[c] for c in ("cx", "cy")]
+    return F.concat_ws("|", *(c.cast("string") for c in at), g["char"])
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -50,59 +51,76 @@ def pair_key(axis, values):
     return F.concat_ws("|", axis, F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
 
 
-def settle(groups: DataFrame, glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The dimensions of groups with their status: one row each, and one for a group that found none.
+ORDER = ["axis_rank", "bucket_first", "component", "chunk", "piece"]
+
+
+def ordered(groups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """groups with their place in a page's processing order (ORDER), and hard: whether the page has a
+    glyph drawn twice or a pair repeated, so that the order decides what it keeps."""
+    line, page = Window.partitionBy(*keys, "dimension_axis", "axis_bucket"), Window.partitionBy(*keys)
+    pairs = F.transform(F.filter("found", lambda d: d["entity_type"] == "SRC_dimension"), lambda d: pair_key(F.col("dimension_axis"), d["values"]))
+    spots = F.transform("glyphs", lambda g: _place(g, 1))
+    all_of = lambda c: F.flatten(F.collect_list(c).over(page))
+    repeated = lambda a: F.size(a) > F.size(F.array_distinct(a))
+    g = groups.withColumns({"axis_rank": F.when(F.col("dimension_axis") == "horizontal", 0).otherwise(1), "bucket_first": F.min("first_seq").over(line), "__pairs": pairs, "__spots": spots})
+    g = g.withColumns({"__pairs": all_of("__pairs"), "__spots": all_of("__spots")})
+    return g.withColumn("hard", repeated(F.col("__pairs")) | repeated(F.col("__spots"))).drop("__pairs", "__spots", "first_seq")
 
-    Only pages with a glyph drawn twice or a pair repeated need the order, and only those go page by
-    page through a fold; everywhere else all are kept.
-    """
-    line = Window.partitionBy(*keys, "dimension_axis", "axis_bucket")
-    g = groups.withColumns({"axis_rank": F.when(F.col("dimension_axis") == "horizontal", 0).otherwise(1), "bucket_first": F.min("first_seq").over(line)})
-    place = ["axis_rank", "bucket_first", "component", "chunk", "piece"]
-    dims = g.select(*keys, "dimension_axis", "axis_bucket", *place, "has_operator", F.transform("glyphs", lambda x: x["seq"]).alias("group_ids"), F.posexplode_outer("found").alias("nth", "d"))
-    dims = dims.withColumns({"nth": F.coalesce("nth", F.lit(-1)), "pair": F.when(F.col("d.entity_type") == "SRC_dimension", pair_key(F.col("dimension_axis"), F.col("d.values")))})
-    dims = dims.where((F.col("nth") >= 0) | F.col("has_operator"))
-    dims = dims.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*place, "nth")).cast("long"))
-    page = Window.partitionBy(*keys)
-    spots = glyphs.groupBy(*keys).agg((F.count("*") > F.count_distinct(_place(F.col("cx"), F.col("cy"), F.col("char"), 1))).alias("doubled"))
-    dims = dims.withColumn("repeats", F.size(F.collect_set("pair").over(page)) < F.count("pair").over(page)).join(spots, keys)
-    hard = dims.where("doubled or repeats")
-    named = glyphs.select(*keys, "seq", _place(F.col("cx"), F.col("cy"), F.col("char"), 1).alias("key"), _place(F.col("cx"), F.col("cy"), F.col("char")).alias("exact"))
-    in_group = hard.select(*keys, "row", F.explode("group_ids").alias("seq"), F.coalesce("d.ids", F.array().cast("array<long>")).alias("own")).join(named, [*keys, "seq"])
-    own = F.array_contains("own", F.col("seq"))
-    sets = in_group.groupBy(*keys, "row").agg(F.collect_list("key").alias("group_keys"), F.collect_list("exact").alias("group_exact"), F.collect_list(F.when(own, F.col("key"))).alias("keys"), F.collect_list(F.when(own, F.col("exact"))).alias("exact"))
-    ready = hard.select(*keys, "row", *place, "nth", "pair").join(sets, [*keys, "row"])
-    key_types = [f for f in ready.schema.fields if f.name in keys]
+
+def _settled(hard: DataFrame, keys: list[str]) -> DataFrame:
+    """The dimensions of hard pages with their status: one row each, and one for a group that found none."""
+    dims = hard.select(*keys, "dimension_axis", "axis_bucket", *ORDER, "has_operator", "glyphs", F.posexplode_outer("found").alias("nth", "d"))
+    dims = dims.withColumn("nth", F.coalesce("nth", F.lit(-1))).where((F.col("nth") >= 0) | F.col("has_operator"))
+    dims = save(dims.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER, "nth")).cast("long")), "hard")
+    own = _own(F.col("glyphs"), F.coalesce("d.ids", F.array().cast("array<long>")))
+    spots = lambda a, digits=None: F.transform(a, lambda g: _place(g, digits))
+    pair = F.when(F.col("d.entity_type") == "SRC_dimension", pair_key(F.col("dimension_axis"), F.col("d.values")))
+    ready = dims.select(*keys, "row", *ORDER, "nth", pair.alias("pair"), spots(F.col("glyphs"), 1).alias("group_keys"), spots(F.col("glyphs")).alias("group_exact"), spots(own, 1).alias("keys"), spots(own).alias("exact"))
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = _settle(rows)
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        return out[[*keys, "row", "status"]]
+        return _settle(rows).assign(**dict(zip(keys, key, strict=True)))[[*keys, "row", "status"]]
 
     schema = ready.select(*keys, "row", F.lit("").alias("status")).schema
-    assert len(key_types) == len(keys)
-    settled = ready.groupBy(*keys).applyInPandas(fold, schema)
-    plain = dims.where("not (doubled or repeats)").withColumn("status", F.when(F.col("nth") < 0, "burned").otherwise("kept"))
-    out = plain.unionByName(hard.join(settled, [*keys, "row"]))
-    return out.select(*keys, "dimension_axis", "axis_bucket", "row", "group_ids", "nth", "d", "status")
-
-
-def chains(settled: DataFrame, glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Kept chains in order, then each glyph that no chain used, as a chain of its own."""
-    kept = settled.where("status = 'kept'").withColumn("chain_id", F.row_number().over(Window.partitionBy(*keys).orderBy("row")))
-    parts = kept.select(*keys, "chain_id", F.explode("d.ids").alias("seq")).join(glyphs.select(*keys, "seq", "x0", "y0", "x1", "y1", "h_near"), [*keys, "seq"])
-    boxes = parts.groupBy(*keys, "chain_id").agg(*envelope(), F.count("*").cast("int").alias("glyph_count"), F.max("h_near").alias("h_near"))
+    return save(dims.join(ready.groupBy(*keys).applyInPandas(fold, schema), [*keys, "row"]), "settled")
+
+
+def _own(glyphs, ids):
+    return F.filter(glyphs, lambda g: F.array_contains(ids, g["seq"]))
+
+
+def chains(groups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Kept chains in order, then each glyph that no chain used, as a chain of its own.
+
+    groups is ordered().  Where no glyph or pair repeats, a group keeps all that it found, and its
+    other glyphs are left over.  Only the other pages need the order, and only those go page by page through
+    a fold.
+    """
+    plain, hard = groups.where("not hard"), groups.where("hard")
+    dims = plain.select(*keys, "dimension_axis", "axis_bucket", *ORDER, "glyphs", F.posexplode("found").alias("nth", "d"))
+    settled = _settled(hard, keys)
+    kept = dims.unionByName(settled.where("status = 'kept'").select(*dims.columns))
+    own = _own(F.col("glyphs"), F.col("d.ids"))
+    over = lambda f, c: f(F.transform("own", lambda g: g[c]))
     named = ["grammar_fused", "grammar_rule", "nominal", "nominal_text", "tolerance_value", "entity_type", "operator", "values"]
-    long = kept.select(*keys, "chain_id", "dimension_axis", "axis_bucket", F.col("d.text").alias("text"), *(F.col(f"d.{n}").alias(n) for n in named)).join(boxes, [*keys, "chain_id"])
+    long = kept.withColumns({"own": own, "chain_id": F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER, "nth"))})
+    long = long.select(
+        *keys, "chain_id", "dimension_axis", "axis_bucket", F.col("d.text").alias("text"), *(F.col(f"d.{n}").alias(n) for n in named),
+        over(F.array_min, "x0").alias("x0"), over(F.array_min, "y0").alias("y0"), over(F.array_max, "x1").alias("x1"), over(F.array_max, "y1").alias("y1"), F.size("own").alias("glyph_count"), over(F.array_max, "h_near").alias("h_near"),
+    )
     long = long.withColumns({"orientation": F.when(F.col("glyph_count") > 1, F.col("dimension_axis")).otherwise(singleton_kind(F.col("dimension_axis"), F.col("h_near"))), "seq": F.col("chain_id").cast("long"), "direction_locked": F.lit(True)})
-    spent = settled.where("status in ('kept', 'spent')").select(*keys, F.explode("d.ids").alias("seq"))
-    burned = settled.where("status = 'burned'").select(*keys, F.explode("group_ids").alias("seq"))
-    g = glyphs.withColumns({"key": _place(F.col("cx"), F.col("cy"), F.col("char"), 1), "exact": _place(F.col("cx"), F.col("cy"), F.col("char"))})
-    spent_keys = g.join(spent, [*keys, "seq"], "left_semi").select(*keys, "key")
-    burned_exact = g.join(burned, [*keys, "seq"], "left_semi").select(*keys, "exact")
-    rest = g.join(spent_keys, [*keys, "key"], "left_anti").join(burned_exact, [*keys, "exact"], "left_anti")
-    rest = rest.withColumn("again", F.row_number().over(Window.partitionBy(*keys, "key").orderBy("seq"))).where("again = 1").where(~F.col("char").isin(*OPERATORS))
+
+    used = F.flatten(F.transform("found", lambda d: d["ids"]))
+    burned = F.col("has_operator") & (F.size("found") == 0)
+    left = F.filter("glyphs", lambda g: ~burned & ~F.array_contains(F.col("used"), g["seq"]))
+    glyph = ["seq", "char", "x0", "y0", "x1", "y1", "h_near"]
+    one = lambda df, c: df.select(*keys, "dimension_axis", "axis_bucket", F.explode(c).alias("g"))
+    rest = one(plain.withColumn("used", used), left)
+    g = one(hard, F.col("glyphs")).withColumns({"key": _place(F.col("g"), 1), "exact": _place(F.col("g"))})
+    spent = settled.where("status in ('kept', 'spent')").select(*keys, F.explode(F.transform(own, lambda g: _place(g, 1))).alias("key")).distinct()
+    gone = settled.where("status = 'burned'").select(*keys, F.explode(F.transform("glyphs", lambda g: _place(g))).alias("exact")).distinct()
+    g = g.join(spent, [*keys, "key"], "left_anti").join(gone, [*keys, "exact"], "left_anti")
+    g = g.withColumn("again", F.row_number().over(Window.partitionBy(*keys, "key").orderBy("g.seq"))).where("again = 1").select(*rest.columns)
+    rest = rest.unionByName(g).select(*keys, "dimension_axis", "axis_bucket", *(F.col(f"g.{n}").alias(n) for n in glyph)).where(~F.col("char").isin(*OPERATORS))
     null = lambda t: F.lit(None).cast(t)
     lone = rest.select(
         *keys, null("int").alias("chain_id"), "dimension_axis", "axis_bucket", F.col("char").alias("text"), F.lit(False).alias("grammar_fused"), null("string").alias("grammar_rule"), null("double").alias("nominal"), null("string").alias("nominal_text"),

@@ -16,31 +16,36 @@ REGION_KEYS = ["doc_id", "page", "region_id"]
 
 
 def page_chains(glyphs: DataFrame, keys: list[str] = ch.KEYS) -> DataFrame:
-    """Glyphs to chains: thresholds, axes, components, grammar and single use of glyphs."""
-    g = ch.with_metrics(glyphs)
-    g = save(ch.with_axes(ch.neighbor_counts(g.join(ch.thresholds(g, keys), keys), keys)), "axes")
-    prepared = save(ch.split_components(ch.components(g, keys), keys), "pieces")
-    groups = save(grammar.groups(prepared, keys), "groups")
-    return registry.chains(save(registry.settle(groups, prepared, keys), "settled"), prepared, keys)
+    """Glyphs to chains: thresholds, axes, components, grammar and single use of glyphs.
+
+    Rows are dealt by page once a step: medians, neighbours and axes are windows over that, and so are
+    splits, groups and their order.
+    """
+    g = ch.with_thresholds(ch.with_metrics(glyphs).repartition(*keys), keys)
+    g = save(ch.with_spread(ch.with_axes(ch.neighbor_counts(g, keys)), keys), "axes")
+    pieces = ch.split_components(ch.components(g, keys).repartition(*keys), keys)
+    return registry.chains(save(registry.ordered(grammar.groups(pieces, keys), keys), "groups"), keys)
 
 
 def page_entities(glyphs: DataFrame, keys: list[str] = ch.KEYS) -> DataFrame:
-    """Glyphs to deduplicated entities with their thickness marks bound."""
+    """Glyphs to deduplicated entities with their thickness marks bound.
+
+    A chain that starts with ± can't be: operators are tokens of their own and are never emitted.  So
+    there is no lone tolerance to attach here.
+    """
     found = save(en.with_pair_columns(en.candidates(page_chains(glyphs, keys))), "candidates")
-    found = save(matching.form_pairs(found, keys), "pairs")
-    modifiers = found.where(tx.is_tolerance_modifier(F.col("text")))
-    numbers = found.where(~tx.is_tolerance_modifier(F.col("text")) & (F.col("grammar_fused") | tx.is_nominal(F.col("text"))))
-    built = save(en.build(numbers), "built")
-    best = save(en.deduplicate(en.sanitize(matching.attach_modifiers(modifiers, built, keys)), keys), "entities")
+    numbers = matching.form_pairs(found, keys).where(F.col("grammar_fused") | tx.is_nominal(F.col("text")))
+    best = save(en.deduplicate(en.sanitize(en.build(numbers)), keys), "entities")
     return save(matching.bind_thickness(best, keys), "bound")
 
 
-def finish(entities: DataFrame, drawings: DataFrame, sheets: DataFrame, keys: list[str] = ch.KEYS, margins: bool = True, strict_references: bool = True) -> DataFrame:
-    """Nearest drawings, stacked digits, references, export rules and the export schema."""
+def finish(entities: DataFrame, drawings: DataFrame, sheets: DataFrame, keys: list[str] = ch.KEYS, margins: bool = True) -> DataFrame:
+    """Nearest drawings, stacked digits, export rules and the export schema.
+
+    A lone (REF) is no candidate (it has no number), so there is none to merge here.
+    """
     near = save(spatial.nearest_drawing(entities, drawings, keys), "placed")
-    stacked = save(matching.fuse_stacked_digits(near, keys), "stacked")
-    merged = matching.merge_references(stacked, keys, strict_references)
-    return en.export_records(en.exportable(merged, sheets, keys, margins), keys)
+    return en.export_records(en.exportable(matching.fuse_stacked_digits(near, keys), sheets, keys, margins), keys)
 
 
 def extract_document(glyphs: DataFrame, drawings: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -181,8 +181,7 @@ def point_distances(spark, d):
 
 
 def _metric_glyphs(spark, d):
-    g = ch.with_metrics(glyphs(annotations(spark, d)))
-    return g.join(ch.thresholds(g), ch.KEYS)
+    return ch.with_thresholds(ch.with_metrics(glyphs(annotations(spark, d)).repartition(*ch.KEYS)))
 
 
 def thresholds(spark, d):
@@ -202,8 +201,7 @@ def components(spark, d):
 
 
 def _mixed(spark, d):
-    g = ch.with_metrics(mixed_glyphs(annotations(spark, d)))
-    return ch.with_axes(ch.neighbor_counts(g.join(ch.thresholds(g), ch.KEYS)))
+    return ch.with_axes(ch.neighbor_counts(ch.with_thresholds(ch.with_metrics(mixed_glyphs(annotations(spark, d))))))
 
 
 def mixed_axes(spark, d):

@@ -1,6 +1,7 @@
 """The drawing operators: truth tables, small pages with known results, and the SQL oracles."""
 
 import math
+import random
 from collections import Counter
 
 import duckdb
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from linework.functions import geometry
 from linework.functions import text as tx
+from linework.operators import chains, entities, grammar, matching, registry, spatial
 from linework.plans import extract, oracles, queries
 from linework.sources import sheets
 from linework.streaming import ingest
@@ -53,6 +56,8 @@ CASES = {
     "M5": (word("M5", "17") + word("M5", "28", x=131, seq=10), ["17 X 28"]), "M6": (word("M6", "3X4"), ["3X4"]), "M7": (word("M7", "R10"), ["R10"]), "M7d": (word("M7d", "Ø10"), ["10"]),
     "M8": (word("M8", "10") + word("M8", "THK", x=112, font="F2", seq=10), ["10 THK"]), "M9": (word("M9", "3THK"), []), "M9b": (word("M9b", "2.5THK"), ["2.5THK"]), "M10": (word("M10", "78.7(REF)"), ["78.7(REF)"]), "M12": (word("M12", "12.25"), []),
     "M13": (word("M13", "50.7±0.2"), ["50.7 ±0.2"]), "M15": (word("M15", "123", y=720.0), []), "M16": (word("M16", "123") + word("M16", "123", font="F2", seq=10), ["123"]), "T": (word("T", "12−0.5"), ["12 ±0.5"]),
+    "X4a": (word("X4a", "12X2nos"), ["12 X 2"]), "X4b": (word("X4b", "12/05"), ["12 X 05"]), "X4c": (word("X4c", "4XR10"), ["4 X 10"]), "X7": (word("X7", "R5±0.2"), ["5 ±0.2"]), "X8a": (word("X8a", "12±0.20"), ["12 ±0.2"]), "X8b": (word("X8b", "30±1"), ["30 ±1.0"]),
+    "X11": (word("X11", "7") + word("X11", "THK", x=112, font="F2", seq=10), []), "X20": (word("X20", "١٢٫٥"), []),
 }
 
 
@@ -78,6 +83,128 @@ def test_small_pages(pages):
     assert far["distance"] == math.inf and far["confidence"] == 0.35
 
 
+def test_traps_of_single_rules(spark):
+    token = F.struct(F.col("t").alias("text"), F.array(F.lit(1).cast("long")).alias("ids"))
+    got = spark.createDataFrame([("12.5±0.3",), (" 8 ± 1 ",), ("5±9",), ("12±",), ("x",)], "t string").select(grammar.inline_tolerance(token).alias("x")).select("x.text", "x.grammar_rule", "x.nominal", "x.tolerance_value").collect()
+    assert [tuple(r) for r in got] == [("12.5 ±0.3", "INLINE_TOLERANCE", 12.5, 0.3), ("8 ±1", "INLINE_TOLERANCE", 8.0, 1.0), (None,) * 4, (None,) * 4, (None,) * 4]
+    rows = [(5.0, 4.0, "4", "°", None, True), (5.0, 4.0, "4", "°", 4, False), (5.0, 4.0, "4", "°", 5, True), (5.5, 4.0, "4", "", 4, True), (12.0, 4.0, "4", "", 3, True)]
+    got = values(spark, rows, "l double, r double, rt string, tail string, n int, want boolean", tx.pair_may_form(F.col("l"), F.col("r"), F.col("rt"), F.col("tail"), F.lit("horizontal"), F.col("n")), "want")
+    assert all(a == b for a, b in got)
+    assert values(spark, [("unresolved_vertical_fragment",)], "o string", tx.pair_may_form(F.lit(17.0), F.lit(28.0), F.lit("28"), F.lit(""), F.col("o"))) == [(False,)]
+    same = values(spark, [(None, None), ("rotated", "horizontal"), ("vertical", None), ("odd", "odd"), ("vertical", "horizontal")], "a string, b string", tx.same_reading(F.col("a"), F.col("b")))
+    assert [x for (x,) in same] == [True, True, False, True, False]
+    chars = F.transform(F.split("t", ""), lambda c: F.struct(c.alias("char")))
+    assert values(spark, [("5±0.2",)], "t string", chains.chain_text(chars, F.lit("vertical")), chains.chain_text(chars, F.lit("horizontal"))) == [("5 ±0.2", "5±0.2")]
+    at = spark.createDataFrame([(1, 2.0, 5.0), (2, 2.0, 3.0), (3, 1.0, 9.0)], "n int, x double, y double")
+    order = lambda axis: [r["n"] for r in at.orderBy(chains.reading_order(F.lit(axis), F.col("x"), F.col("y")), "n").collect()]
+    assert (order("horizontal"), order("vertical"), order("angled")) == ([3, 1, 2], [3, 1, 2], [3, 2, 1])
+    assert [r[0] for r in spark.range(1).select(geometry.page_height(F.array(*map(F.lit, (0.0, 5.0, 9.0, 45.0))))).collect()] == [40.0]
+    lone = spark.createDataFrame(word("d", "7"), GLYPH)
+    assert [(r["dimension_axis"], r["h_near"], r["v_near"]) for r in chains.with_axes(chains.neighbor_counts(chains.with_thresholds(chains.with_metrics(lone)))).collect()] == [("vertical", 0, 0)]
+    assert values(spark, [("١٢",), ("12",)], "t string", tx.is_number_token(F.col("t"))) == [(False,), (True,)]
+
+
+ENTITY = "doc_id string, page int, seq long, x0 double, y0 double, x1 double, y1 double, cx double, cy double, nominal double, nominal_text string, display_text string, tolerance double, tolerance_text string, orientation string, dimension_axis string, glyph_count int"
+
+
+def entity(seq, x, y, nominal, text=None, tolerance=None, axis="horizontal", w=10.0):
+    text = text or f"{nominal:g}"
+    return ("d", 1, seq, x, y, x + w, y + 9, x + w / 2, y + 4.5, nominal, text, text, tolerance, None, axis, axis, len(text))
+
+
+def mark(seq, x, y, text, axis="horizontal"):
+    return ("d", 1, seq, text, x, y, x + 10, y + 9, x + 5, y + 4.5, axis, axis, 3)
+
+
+def test_modifiers_attach_in_order(spark):
+    """A number grows by its mark, so that the next mark finds another one nearest, or nothing."""
+    marks = "doc_id string, page int, seq long, text string, x0 double, y0 double, x1 double, y1 double, cx double, cy double, orientation string, dimension_axis string, glyph_count int"
+    attached = lambda e, m: {r["seq"]: (r["display_text"], r["x1"], r["cx"], r["glyph_count"]) for r in matching.attach_modifiers(spark.createDataFrame(m, marks), spark.createDataFrame(e, ENTITY)).collect()}
+    # 20 takes the first mark; its centre moves from 105 to 122.5, so the second one is nearer to 30's than it was, and goes there.
+    e = [entity(1, 100.0, 100.0, 20.0), entity(2, 92.0, 104.0, 30.0)]
+    assert attached(e, [mark(10, 135.0, 100.0, "±0.2"), mark(11, 104.0, 102.0, "±0.5")]) == {1: ("20 ±0.2", 145.0, 122.5, 5), 2: ("30 ±0.5", 114.0, 103.0, 5)}
+    # In the other order the first mark takes 20, which then is still the nearest for the second: that one is lost.
+    assert attached(e, [mark(10, 104.0, 102.0, "±0.5"), mark(11, 135.0, 100.0, "±0.2")])[1][0] == "20 ±0.5"
+    # A number with a tolerance takes no other, and there is no second choice.
+    taken = [entity(1, 100.0, 100.0, 20.0, tolerance=0.1), entity(2, 60.0, 100.0, 30.0)]
+    assert {k: v[0] for k, v in attached(taken, [mark(10, 112.0, 100.0, "±0.2")]).items()} == {1: "20", 2: "30"}
+    # Upright: the mark stands above its number; one below it isn't its own.
+    up = [entity(1, 100.0, 100.0, 20.0, axis="vertical")]
+    assert attached(up, [mark(10, 100.0, 130.0, "±0.2", "vertical")])[1][0] == "20" and attached(up, [mark(10, 100.0, 70.0, "±0.2", "vertical")])[1][0] == "20 ±0.2"
+    assert attached(e, [mark(10, 112.0, 100.0, "±15"), mark(11, 112.0, 100.0, "none")]) == attached(e, [mark(10, 500.0, 500.0, "±1")])
+
+
+def test_references_are_strict(spark):
+    rows = [entity(1, 100.0, 100.0, 20.0), entity(2, 120.0, 100.0, None, "(REF)"), entity(3, 300.0, 100.0, 7.0), entity(4, 400.0, 100.0, None, "(REF)"), entity(5, 500.0, 100.0, 8.0, "R8")]
+    kinds = spark.createDataFrame(rows, ENTITY).withColumns({"entity_type": F.lit("linear_dimension"), "grammar_rule": F.lit("CHAIN_STRING")})
+    shown = lambda df: sorted(r["display_text"] for r in df.collect())
+    assert shown(matching.merge_references(kinds)) == ["20(REF)", "R8"]
+    assert shown(matching.merge_references(kinds, strict=False)) == ["(REF)", "20(REF)", "7", "R8"]
+    assert shown(matching.merge_references(kinds.where("seq in (3, 4)"))) == ["(REF)", "7"]
+
+
+def test_stacks_have_no_bound_at_first(spark):
+    """The first gap of a stack may be of any size; it bounds those that follow."""
+    def stack(doc, ys):
+        return [(doc, 1, n, 100.0, y, 105.0, y + 9, 102.5, y + 4.5, None, None, str(n + 1), None, None, "unresolved_vertical_fragment", "vertical", 1) for n, y in enumerate(ys)]
+
+    rows = spark.createDataFrame(stack("far", [500.0, 300.0, 290.0]) + stack("near", [500.0, 488.0, 400.0]), ENTITY)
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("entity_type", "string"), ("grammar_rule", "string"), ("reading_direction", "string"), ("axis_bucket", "int"))})
+    assert sorted((r["doc_id"], r["display_text"]) for r in matching.fuse_stacked_digits(rows).collect()) == [("far", "123"), ("near", "12")]
+
+
+def nearest(spark, cells, few, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW_DRAWINGS", few)
+    e, d = cells
+    return {(r["doc_id"], r["seq"]): (r["distance"], r["near_x0"], r["near_y0"]) for r in spatial.nearest_drawing(e, d).collect()}
+
+
+def test_nearest_drawings_by_cells(spark, monkeypatch):
+    """Cells of growing size find what trying all drawings finds: dense, sparse and far ones, ties and empty pages."""
+    rng = random.Random(5)
+    at = lambda wide: (rng.uniform(-wide, wide), rng.uniform(-wide, wide))
+    points = [(f"p{wide}", 1, n, *at(wide)) for wide in (30, 900, 9000) for n in range(60)] + [("none", 1, 1, 0.0, 0.0), ("one", 1, 1, 1e6, -1e6), ("tie", 1, 1, 10.0, 10.0)]
+    boxes = [(f"p{wide}", 1, n, x, y, x + n % 9, y + n % 5) for wide, held in ((30, 400), (900, 300), (9000, 5)) for n in range(held) for x, y in [at(wide)]]
+    boxes += [("one", 1, 0, 0.0, 0.0, 1.0, 1.0), ("tie", 1, 4, 0.0, 10.0, 0.0, 10.0), ("tie", 1, 2, 20.0, 10.0, 20.0, 10.0)]
+    cells = spark.createDataFrame(points, "doc_id string, page int, seq long, cx double, cy double"), spark.createDataFrame(boxes, BOX)
+    all_of = nearest(spark, cells, 10**6, monkeypatch)
+    assert nearest(spark, cells, 0, monkeypatch) == all_of and len(all_of) == len(points)
+    assert all_of["none", 1] == (math.inf, None, None) and all_of["tie", 1] == (10.0, 20.0, 10.0)
+    assert nearest(spark, cells, 20, monkeypatch) == all_of
+
+
+def test_clip_meets_once(spark):
+    rng = random.Random(6)
+    box = lambda wide: (lambda x, y: (x, y, x + rng.uniform(-wide, wide), y + rng.uniform(-wide, wide)))(rng.uniform(-400, 400), rng.uniform(-400, 400))
+    rows = [("d", n % 2, n, *box(20 if n % 9 else 700)) for n in range(900)]
+    areas = [(n, "d", n % 2, *box(200), "center" if n % 3 else "any") for n in range(25)]
+    got = spatial.clip(spark.createDataFrame(rows, BOX), spark.createDataFrame(areas, "region_id long, doc_id string, page int, x0 double, y0 double, x1 double, y1 double, glyph_mode string"))
+
+    def meets(b, r, mode):
+        x0, x1, y0, y1 = min(r[0], r[2]), max(r[0], r[2]), min(r[1], r[3]), max(r[1], r[3])
+        if mode == "center":
+            return x0 <= (b[0] + b[2]) / 2 <= x1 and y0 <= (b[1] + b[3]) / 2 <= y1
+        return min(b[0], b[2]) < x1 and max(b[0], b[2]) > x0 and min(b[1], b[3]) < y1 and max(b[1], b[3]) > y0
+
+    want = sorted((g[2], a[0]) for g in rows for a in areas if g[1] == a[2] and meets(g[3:7], a[3:7], a[7]))
+    assert sorted((r["seq"], r["region_id"]) for r in got.collect()) == want and len(want) > 100
+
+
+def test_order_of_nested_pages(spark):
+    """Glyphs of several blocks and of a very long span keep their order, and formed pairs come after leftovers."""
+    char = lambda c, x, y: {"c": c, "bbox": [float(x), float(y), x + 5.0, y + 9.0]}
+    span = lambda chars: {"type": 0, "lines": [{"spans": [{"font": "F1", "size": 10.0, "chars": chars}]}]}
+    blocks = [span([char("a", 0, 0)]), {"type": 1, "lines": []}, span([char("b", 0, 9)] + [char(" ", 0, 0)] * 33_000 + [char(c, n % 500, n) for n, c in enumerate("cd" * 17_000)]), span([char("e", 0, 0)])]
+    flat = sheets.flatten_pages(spark.createDataFrame([("d", 1, blocks)], f"doc_id string, page int, {sheets.PAGE_JSON}"))
+    got = flat.orderBy("seq").select("seq", "char").collect()
+    assert [r["seq"] for r in got] == list(range(1, 34_004)) and got[0]["char"] + got[1]["char"] + got[-1]["char"] == "abe"
+    text = lambda t, x: [char(c, x + 6 * n, 200) for n, c in enumerate(t)]
+    pair = [span(text("17", 100)), span(text("28", 131)), span(text("9", 400)), span(text("45±90", 500))]
+    page = sheets.flatten_pages(spark.createDataFrame([("d", 1, pair)], f"doc_id string, page int, {sheets.PAGE_JSON}"))
+    found = matching.form_pairs(entities.with_pair_columns(entities.candidates(extract.page_chains(page)))).orderBy("seq").collect()
+    assert [r["text"] for r in found] == ["90", "9", "4", "5", "17 X 28"] and found[1]["seq"] < registry.AFTER < found[2]["seq"] < found[3]["seq"] < registry.FORMED < found[-1]["seq"]
+
+
 def test_regions_and_points(spark, pages):
     areas = spark.createDataFrame([(1, "M1", 1, 250.0, 300.0, 50.0, 100.0, "intersects"), (2, "M1", 1, 0.0, 0.0, 9.0, 9.0, "center"), (3, "M15", 1, 0.0, 700.0, 850.0, 800.0, "center")], "region_id long, doc_id string, page int, x0 double, y0 double, x1 double, y1 double, glyph_mode string")
     found = extract.extract_regions(*pages, areas)
