@@ -90,31 +90,43 @@ def chain_text(glyphs, axis):
     return strip(F.when(axis == "vertical", F.regexp_replace(text, r"([0-9])(±)", "$1 $2")).otherwise(text))
 
 
+LINE = ["dimension_axis", "axis_bucket", "font"]
+
+
 def _linked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Components of one line whose sizes differ too much for islands: sizes must fit pair by pair."""
-    rows = rows.sort_values(["along", "seq"], kind="stable")
-    k, size, seq = rows["along"].to_numpy(), rows["size"].to_numpy(), rows["seq"].to_numpy()
-    reach, fits = rows["reach"].iloc[0], rows["size_tol"].iloc[0]
+    """Components of a page's lines whose sizes differ too much for islands: sizes must fit pair by pair.
+
+    Rows of a line are sorted, so the pairs in reach are those one, two, ... places apart until none is.
+    """
+    rows = rows.sort_values([*LINE, "along", "seq"], kind="stable").reset_index(drop=True)
+    line = rows.groupby(LINE, sort=False, dropna=False).ngroup().to_numpy()
+    k, size, seq, reach, fits = (rows[c].to_numpy() for c in ("along", "size", "seq", "reach", "size_tol"))
+    left, right = [], []
+    for apart in range(1, len(rows)):
+        i = np.arange(len(rows) - apart)
+        gap = k[i + apart] - k[i]
+        near = (line[i] == line[i + apart]) & (gap <= reach[i])
+        if not near.any():
+            break
+        i = i[near & (gap > 0) & (np.abs(size[i + apart] - size[i]) <= fits[i])]
+        left.append(i)
+        right.append(i + apart)
+    i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
     root = np.arange(len(rows))
-    ends = np.searchsorted(k, k + reach, side="right")
-    changed = True
-    while changed:
+    while len(i):  # the least row reachable
+        least = np.minimum(root[i], root[j])
         before = root.copy()
-        for i, end in enumerate(ends):
-            j = np.arange(i + 1, end)
-            j = j[(k[j] > k[i]) & (np.abs(size[j] - size[i]) <= fits)]
-            if len(j):
-                least = min(root[i], root[j].min())
-                root[i], root[j] = least, least
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
         root = root[root]
-        changed = bool((root != before).any())
-    first = pd.Series(seq).groupby(root).transform("min")
-    return rows.assign(component=first.to_numpy())
+        if (root == before).all():
+            break
+    return rows.assign(component=pd.Series(seq).groupby(root).transform("min"))
 
 
 def with_spread(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """glyphs with how much the sizes of their line differ."""
-    line = Window.partitionBy(*keys, "dimension_axis", "axis_bucket", "font")
+    line = Window.partitionBy(*keys, *LINE)
     return glyphs.withColumn("spread", F.max("size").over(line) - F.min("size").over(line))
 
 
@@ -123,9 +135,9 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
     A line is an axis bucket of one font, as wide as the tolerance across, so links are gaps in one
     sorted column: an island ends where the gap is too large, and one at a single position falls
-    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way.
+    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, a page at a time.
     """
-    line = [*keys, "dimension_axis", "axis_bucket", "font"]
+    line = [*keys, *LINE]
     ordered = Window.partitionBy(*line).orderBy("along", "seq")
     g = glyphs if "spread" in glyphs.columns else with_spread(glyphs, keys)
     cut = F.col("along") - F.lag("along").over(ordered) > F.col("reach")
@@ -135,7 +147,7 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     even = even.withColumn("component", F.when(alone, F.col("seq")).otherwise(F.min("seq").over(island))).drop("island")
     mixed = g.where(F.col("spread") > F.col("size_tol"))
     schema = mixed.withColumn("component", F.lit(0).cast("long")).schema
-    mixed = mixed.groupBy(*line).applyInPandas(_linked, schema)
+    mixed = mixed.groupBy(*keys).applyInPandas(_linked, schema)
     return even.unionByName(mixed).drop("spread")
 
 
