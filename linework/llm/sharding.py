@@ -12,7 +12,7 @@ from linework.sources.scratch import save
 BITS = 4
 #: Rows of a part of a cell (by the text's hash), and of a part of a hot group (by the id's), about.
 PART_ROWS, HOT_ROWS = 100_000, 1000
-#: A group of equal texts stays whole unless it holds more than this share of a shard's bytes.
+#: A group of equal texts stays whole unless it holds more than this share of a shard's bytes and more than the largest text.
 WHOLE = 0.01
 
 
@@ -73,7 +73,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     the whole value.  Rows sort by Hilbert cell; runs of near equal bytes are the shards, so each
     shard's files span a small box of the dimensions.  Equal texts are a group: it sorts at one place
     (the least of its rows' categories) and stays in one shard, unless it holds over WHOLE of a
-    shard's bytes.
+    shard's bytes and more than the largest text, which unbalances shards as much.
 
     Positions are sums over cells, then over parts of a cell, then within a part; a hot group has
     parts of its own by id.  The parts grow in number with the rows, so no window sees more than
@@ -89,14 +89,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     slim = save(slim, "shard-rows")
     group, dims = ["th", "crc", "size"], ["size", *own]
     groups = save(slim.groupBy(*group).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in own)), "shard-groups")
-    total, count = (x or 0 for x in groups.agg(F.sum(F.col("n") * F.col("size")), F.sum("n")).first())
+    total, count, largest = (x or 0 for x in groups.agg(F.sum(F.col("n") * F.col("size")), F.sum("n"), F.max("size")).first())
     levels = groups
     for i, d in enumerate(dims):
         known = _levels(groups, d, bits).withColumnRenamed("level", f"d{i}")
         known = checked_broadcast(known, 64)
         levels = levels.join(known, levels[d].eqNullSafe(known["value"])).drop("value")
     placed = add_hilbert(levels, [f"d{i}" for i in range(len(dims))], "curve", bits)
-    heavy = F.col("n") * F.col("size") > WHOLE * total / shards
+    heavy = F.col("n") * F.col("size") > max(WHOLE * total / shards, largest)
     placed = save(placed.select(*group, "n", "curve", heavy.alias("heavy"), (heavy | (F.col("n") > HOT_ROWS)).alias("hot")), "shard-groups")
     cell_rows = placed.groupBy("curve").agg(F.ceil(F.sum("n") / PART_ROWS).alias("parts"))
     placed = placed.join(F.broadcast(cell_rows), "curve").withColumn("group", F.struct(*group))  # 2 ** (bits * dimensions) rows at most
