@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.functions.geometry import Box, distance
 from linework.operators.chains import KEYS
+from linework.sources.scratch import save
 
 PAGE = ["doc_id", "page"]
 
@@ -79,6 +80,17 @@ def _search(points: DataFrame, drawings: DataFrame, keys: list[str]) -> DataFram
     return found.withColumn("level", F.least(F.col("level") + 1, F.lit(len(SIDES))))
 
 
+def _nearest_by_cells(points: DataFrame, drawings: DataFrame, keys: list[str]) -> DataFrame:
+    points = _search(points, drawings, keys)
+    side = F.get(F.array(*map(F.lit, SIDES)), F.col("level"))
+    own = lambda x, y: [F.coalesce(_cell(c, side), F.lit(0)) for c in (x, y)]
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("gx"), F.lit(0).cast("long").alias("gy")))
+    looks = points.withColumn("g", F.explode(F.when(F.col("level") < len(SIDES), _around(*own(F.col("cx"), F.col("cy")))).otherwise(whole))).select(*points.columns, "g.gx", "g.gy")
+    dealt = drawings.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(SIDES)))))
+    dealt = dealt.withColumns(dict(zip(("gx", "gy"), own(F.col("dx"), F.col("dy")), strict=True)))
+    return _best(looks.join(dealt, [*keys, "level", "gx", "gy"]), keys)
+
+
 def nearest_drawing(entities: DataFrame, drawings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """entities with distance and near_x0..near_y1 of the page's drawing with the nearest centre.
 
@@ -88,16 +100,13 @@ def nearest_drawing(entities: DataFrame, drawings: DataFrame, keys: list[str] =
     """
     x, y = Box.of().center()
     d = drawings.select(*keys, F.col("seq").alias("dseq"), x.alias("dx"), y.alias("dy"), F.struct("x0", "y0", "x1", "y1").alias("box"))
-    d = d.withColumn("many", F.count("*").over(Window.partitionBy(*keys)) > FEW_DRAWINGS)
-    points, few, many = entities.select(*keys, "seq", "cx", "cy"), d.where("not many"), d.where("many")
-    dense = _search(points.join(many.select(*keys).distinct(), keys, "left_semi"), many, keys)
-    side = F.get(F.array(*map(F.lit, SIDES)), F.col("level"))
-    own = lambda x, y: [F.coalesce(_cell(c, side), F.lit(0)) for c in (x, y)]
-    looks = dense.withColumn("g", F.explode(F.when(F.col("level") < len(SIDES), _around(*own(F.col("cx"), F.col("cy")))).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("gx"), F.lit(0).cast("long").alias("gy"))))))
-    looks = looks.select(*points.columns, "level", "g.gx", "g.gy")
-    dealt = many.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(SIDES)))))
-    dealt = dealt.withColumns(dict(zip(("gx", "gy"), own(F.col("dx"), F.col("dy")), strict=True)))
-    best = _best(points.join(few, keys), keys).unionByName(_best(looks.join(dealt, [*keys, "level", "gx", "gy"]), keys))
+    points = entities.select(*keys, "seq", "cx", "cy")
+    dense = save(drawings.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FEW_DRAWINGS).select(*keys), "dense-pages")
+    if dense.isEmpty():
+        best = _best(points.join(d, keys), keys)
+    else:
+        many = _nearest_by_cells(points.join(dense, keys, "left_semi"), d.join(dense, keys, "left_semi"), keys)
+        best = _best(points.join(d.join(dense, keys, "left_anti"), keys), keys).unionByName(many)
     out = entities.join(best, [*keys, "seq"], "left")
     return out.withColumn("distance", F.coalesce("distance", F.lit(float("inf")))).withColumns({f"near_{c}": F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")}).drop("box")
 
