@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +22,8 @@ BROADCAST_BYTES = 16 * 1024 * 1024
 HOT_ROWS = 1_000_000
 #: Bits of a hash that a bitmap of known hashes tells apart: 8 KB in the plan, however many are known.
 PREFIX_BITS = 16
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1500
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -57,6 +59,17 @@ def in_bitmap(prefix: Column, bitmap: Column) -> Column:
     return F.getbit(F.get(bitmap, F.shiftright(prefix, 6).cast("int")), prefix.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the rows of an Arrow batch to BATCH_ROWS where that setting stands at Spark's default.
+
+    A batch is held whole by the JVM and by Python, and the default's 10,000 texts may be very long.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def runs_of(texts: pa.Array, size: int = 4_000_000, most: int = 8192) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of rows of about size bytes and at most that many rows; a longer text is one alone."""
     at, total = 0, 0
@@ -70,6 +83,26 @@ def runs_of(texts: pa.Array, size: int = 4_000_000, most: int = 8192) -> Iterato
         yield at, len(texts)
 
 
+def with_text(docs: DataFrame, columns: list[Column], text_col: str, results: tuple[str, ...], text_in: str | None = None) -> tuple[DataFrame, list[str], Callable[[pa.RecordBatch], pa.Array]]:
+    """What a Python step reads: (rows, names of the columns it hands on, a function from a batch to its texts).
+
+    Of columns, those named like a result give way to it.  The text follows them as a column of its
+    own, unless text_in names one of them that is a struct with the text, which then goes once.
+    """
+    named = docs.select(*columns).columns
+    keep, names = [], []
+    for c, n in zip(columns, named, strict=True):
+        if n.lower() not in results:
+            keep.append(c)
+            names.append(n)
+    docs = small_batches(docs)
+    if text_in is not None and dict(docs.dtypes).get(text_col) == "string":
+        at = names.index(text_in)
+        return docs.select(*keep), names, lambda batch: batch.column(at).field(text_col)
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(unlike("text", [*names, *results])))
+    return rows, names, lambda batch: batch.column(len(names))
+
+
 def unlike(name: str, taken: list[str]) -> str:
     """name, with underscores until no taken name is the same in any case."""
     low = {t.lower() for t in taken}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import log2
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import runs_of, unlike
+from linework.llm.common import runs_of, with_text
 
 #: Learning is bounded: at most this many documents a language (those least by hash), and of each
 #: one slice of at most so many characters, from a place that its hash chooses.
@@ -23,9 +23,10 @@ SLICES, SLICE = 64, 400
 MARK = 2
 #: Codes below this have a column in the dense table of transitions; those of rarer letters are sparse.
 DENSE = 64
-#: Texts are parsed side by side, this many codes at a time; when at most NARROW are left, one by one.
-BLOCK, NARROW = 2048, 32
+#: Blocks of this many codes are parsed side by side.
+BLOCK = 2048
 UNKNOWN = "und"
+RESULTS = ("lang_pred", "score")
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, str]:
@@ -80,8 +81,9 @@ class Automaton:
             self.weight.append(log2(max(2, len(codes))))
             at += states
         state, code, target = np.concatenate(moves).T
-        self.table = np.zeros((at, DENSE), np.int32)
-        low = code < DENSE
+        self.wide = min(DENSE, self.codes)
+        self.table = np.zeros((at, self.wide), np.int32)
+        low = code < self.wide
         self.table[state[low], code[low]] = target[low]
         self.table = self.table.reshape(-1)
         self.first = np.zeros((len(samples), self.codes), np.int32)
@@ -113,56 +115,64 @@ class Automaton:
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language: greedy longest matches over the whole text.
 
-        Texts go code by code side by side, longest first, so that those still running are a
-        prefix, in blocks that carry each text's state on.  The few that are much longer than
-        the others are walked alone from there.
+        All blocks of all texts go code by code side by side, longest first, so that those still
+        running are a prefix.  Each starts as if a phrase began there; then the few codes until that
+        parse meets the one that comes over from the block before are walked again (_rejoin).
         """
-        order = sorted(range(len(coded)), key=lambda i: -len(coded[i]))
-        lengths = np.array([len(coded[i]) for i in order])
+        blocks = [(n, c[at : at + BLOCK]) for n, c in enumerate(coded) for at in range(0, len(c), BLOCK)]
+        order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b][1]))
+        lengths = np.array([len(blocks[b][1]) for b in order])
+        grid = np.zeros((lengths[0] if len(order) else 0, len(order)), self.code.dtype)
+        for col, b in enumerate(order):
+            grid[: lengths[col], col] = blocks[b][1]
         state = np.zeros((len(self.langs), len(order)), np.int32)
         count = np.zeros(state.shape, np.int64)
-        at, live = 0, len(order)
-        while live > NARROW:
-            grid = np.zeros((min(BLOCK, lengths[0] - at), live), self.code.dtype)
-            for n in range(live):
-                part = coded[order[n]][at : at + BLOCK]
-                grid[: len(part), n] = part
-            running = live - np.searchsorted(lengths[:live][::-1], np.arange(at + 1, at + len(grid) + 1))
-            for row, n in zip(grid, running, strict=True):
-                self._step(row[:n].astype(np.int32), state[:, :n], count[:, :n])
-            at += BLOCK
-            live = int((lengths > at).sum())
-        for n in range(live):
-            for lang in range(len(self.langs)):
-                count[lang, n] += self._walk(coded[order[n]][at:], int(state[lang, n]), lang)
-        out = np.empty((len(order), len(self.langs)), np.int64)
-        out[order] = count.T
+        running = len(order) - np.searchsorted(lengths[::-1], np.arange(1, len(grid) + 1))
+        for row, n in zip(grid, running, strict=True):
+            self._step(row[:n].astype(np.int32), state[:, :n], count[:, :n])
+        column = np.empty(len(order), int)
+        column[order] = np.arange(len(order))
+        out = np.zeros((len(coded), len(self.langs)), np.int64)
+        for lang in range(len(self.langs)):
+            ends, held, before = state[lang].tolist(), count[lang].tolist(), (-1, 0)
+            for b, (n, codes) in enumerate(blocks):
+                end, extra = ends[column[b]], 0
+                if n == before[0]:
+                    extra, met = self._rejoin(codes, before[1], lang)
+                    end = end if met is None else met
+                out[n, lang] += held[column[b]] + extra
+                before = n, end
         return out
 
     def _step(self, c: np.ndarray, state: np.ndarray, count: np.ndarray) -> None:
         """One code of each text: follow it, or begin a phrase with it.  One that a language lacks is a phrase alone."""
         again = self.first.take(c, axis=1)
         if len(self.keys):
-            now = self.table.take(state * DENSE + np.where(c < DENSE, c, 0))
-            lang, at = np.nonzero((c >= DENSE) & (again > 0))  # a letter that a language lacks leads nowhere
+            now = self.table.take(state * self.wide + np.where(c < self.wide, c, 0))
+            lang, at = np.nonzero((c >= self.wide) & (again > 0))  # a letter that a language lacks leads nowhere
             now[lang, at] = self._sparse(state[lang, at], c[at])
         else:
-            now = self.table.take(state * DENSE + c)
+            now = self.table.take(state * self.wide + c)
         lost = now == 0
         count += lost
         state[:] = np.where(lost, again, now)
 
-    def _walk(self, codes: np.ndarray, state: int, lang: int) -> int:
-        """Phrases that a text begins from a state on, in one language."""
-        table, first, count = memoryview(self.table), self.first[lang].tolist(), 0
-        rare = self.rare
-        for c in codes.tolist():
-            now = table[state * DENSE + c] if c < DENSE else rare.get(state * self.codes + c, 0)
-            if not now:
-                count += 1
-                now = first[c]
-            state = now
-        return count
+    def _rejoin(self, codes: np.ndarray, state: int, lang: int) -> tuple[int, int | None]:
+        """How many phrases more a block has if it is entered in that state, and the state at its end if
+        that differs: both parses are walked until they are in one state."""
+        table, first, rare, wide, letters = memoryview(self.table), self.first[lang], self.rare, self.wide, self.codes
+        fresh, extra = 0, 0
+        for at in range(0, len(codes), 64):
+            for c in codes[at : at + 64].tolist():
+                now, other = ((table[s * wide + c] for s in (state, fresh)) if c < wide else (rare.get(s * letters + c, 0) for s in (state, fresh)))
+                if not now:
+                    extra, now = extra + 1, int(first[c])
+                if not other:
+                    extra, other = extra - 1, int(first[c])
+                if now == other:
+                    return extra, None
+                state, fresh = now, other
+        return extra, state
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         coded = [self.encode(t) if t and self.has_letter(t) else None for t in texts]
@@ -220,31 +230,28 @@ def automaton(samples: tuple[tuple[str, str], ...]) -> Automaton:
     return Automaton(samples)
 
 
-def _predictor(samples: tuple[tuple[str, str], ...], names: list[str]):
+def _predictor(samples: tuple[tuple[str, str], ...], kept: list[str], texts: Callable[[pa.RecordBatch], pa.Array]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = automaton(samples)
         for batch in batches:
-            for at, end in runs_of(batch.column(batch.num_columns - 1)):
+            for at, end in runs_of(texts(batch)):
                 part = batch.slice(at, end - at)
-                langs, scores = zip(*model.predict(part.column(part.num_columns - 1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+                langs, scores = zip(*model.predict(texts(part).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, *RESULTS])
 
     return predict
 
 
-def identify(docs: DataFrame, samples: dict[str, str], columns: list[Column], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, str], columns: list[Column], text_col: str = "text", text_in: str | None = None) -> DataFrame:
     """columns of docs, then lang_pred and score, from whole texts.
 
     A language's rate is its phrases times log2 of its learned length, over the text's length; the
     least rate wins (the first language by name on ties).  score is the second rate's share of the
     two: 0.5 for a tie, up to 1.  Null texts and those without a letter are 'und' with score 0, and
     all are if nothing was learned.  Of columns, those named like a column of the result give way to
-    it; others of docs are ignored.  Repeated rows and empty tables pass through.
+    it; others of docs are ignored.  text_in: a struct among columns that has the text.  Repeated rows
+    and empty tables pass through.
     """
-    names = ("lang_pred", "score")
-    kept = docs.select(*columns)
-    keep = [c for c, n in zip(columns, kept.columns, strict=True) if n.lower() not in names]
-    text = unlike("text", [*kept.columns, *names])
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias(text))
-    fields = [*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return slim.mapInArrow(_predictor(tuple(samples.items()), [f.name for f in fields]), T.StructType(fields))
+    rows, kept, texts = with_text(docs, columns, text_col, RESULTS, text_in)
+    fields = [*rows.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(_predictor(tuple(samples.items()), kept, texts), T.StructType(fields))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import checked_broadcast, runs_of
+from linework.llm.common import checked_broadcast, runs_of, small_batches
 from linework.sources.scratch import save
 
 CAPACITY = 1024
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in names[1:])])
-    return slim.mapInArrow(_cutter(path, capacity, end_id, names), schema)
+    return small_batches(slim).mapInArrow(_cutter(path, capacity, end_id, names), schema)
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:

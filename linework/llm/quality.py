@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import runs_of, unlike
+from linework.llm.common import runs_of, small_batches, with_text
 from linework.sources.scratch import save
 
 #: Learning is bounded: this many labelled documents, whole (those least by hash of their text).
@@ -234,35 +234,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     once = texts.join(F.broadcast(chosen), "id").groupBy("good", F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))
     once = save(once, "labelled-texts")
     bound = once.select("th", "good").orderBy("th", "good").limit(SAMPLE_DOCS)
-    rows = once.join(F.broadcast(bound), ["th", "good"], "left_semi").select("good", "text").mapInArrow(_features, "good int, x binary, w binary").collect()
+    rows = once.join(F.broadcast(bound), ["th", "good"], "left_semi").select("good", "text").transform(small_batches).mapInArrow(_features, "good int, x binary, w binary").collect()
     found = sorted((r["good"], bytes(r["x"]), bytes(r["w"])) for r in rows)
     return fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found], [np.frombuffer(w) for _, _, w in found], [g for g, _, _ in found])
 
 
-def _scorer(model: Model, names: list[str]):
+def _scorer(model: Model, kept: list[str], texts: Callable[[pa.RecordBatch], pa.Array]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, stop in runs_of(batch.column(batch.num_columns - 1), 1_000_000, 512):
+            for at, stop in runs_of(texts(batch), 1_000_000, 512):
                 part = batch.slice(at, stop - at)
-                texts = part.column(part.num_columns - 1)
-                scores = model.score([line_features(t.as_py()) for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names)
+                scores = model.score([line_features(t.as_py()) for t in texts(part)])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(scores, pa.float64())], [*kept, "score"])
 
     return run
 
 
-def classify(docs: DataFrame, model: Model, columns: list[Column], text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Model, columns: list[Column], text_col: str = "text", text_in: str | None = None) -> DataFrame:
     """columns of docs, then score (0 to 1) and predicted (1 if score >= 0.5), from whole texts.
 
     Null and empty texts are one empty line and get a score too.  Of columns, those named like a
-    column of the result give way to it; other columns of docs are ignored.  Repeated rows and empty
-    tables pass through.
+    column of the result give way to it; other columns of docs are ignored.  text_in: a struct among
+    columns that has the text.  Repeated rows and empty tables pass through.
     """
-    names = ("score", "predicted")
-    kept = docs.select(*columns)
-    keep = [c for c, n in zip(columns, kept.columns, strict=True) if n.lower() not in names]
-    text = unlike("text", [*kept.columns, *names])
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias(text))
-    fields = [*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())]
-    scored = slim.mapInArrow(_scorer(model, [f.name for f in fields]), T.StructType(fields))
+    rows, kept, texts = with_text(docs, columns, text_col, ("score", "predicted"), text_in)
+    fields = [*rows.schema.fields[: len(kept)], T.StructField("score", T.DoubleType())]
+    scored = rows.mapInArrow(_scorer(model, kept, texts), T.StructType(fields))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

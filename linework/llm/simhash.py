@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linework.llm.common import join_hot, runs_of
+from linework.llm.common import join_hot, runs_of, small_batches
 from linework.sources.scratch import save
 from linework.llm.components import connected_components
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) per row of docs.  A null or wordless text has fingerprint 0."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", slim.schema["id"].dataType), T.StructField("fp", T.LongType())])
-    return slim.mapInArrow(_fingerprints, schema)
+    return small_batches(slim).mapInArrow(_fingerprints, schema)
 
 
 def _block(fp, i: int):

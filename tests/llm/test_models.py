@@ -175,15 +175,20 @@ def test_language_is_brute_force(spark, data):
 
 
 def test_parse_carries_on(monkeypatch):
-    """Blocks and lone walks parse as one run over the text does."""
+    """Blocks parse as one run over the text does."""
     rng = np.random.default_rng(6)
     model = langid.Automaton((("a", "".join(rng.choice(list("abc d"), 400))), ("b", "".join(rng.choice(list("cdéž"), 300)))))
     coded = [model.encode("".join(rng.choice(list("abcdé ž?"), n))) for n in (1, 3, 50, 700, 701, 9)]
     want = model.phrases(coded)
-    for block, narrow in ((7, 0), (64, 2), (5, 4)):
+    for block in (1, 2, 7, 64):
         monkeypatch.setattr(langid, "BLOCK", block)
-        monkeypatch.setattr(langid, "NARROW", narrow)
         assert (model.phrases(coded) == want).all()
+    same = langid.Automaton((("a", "ab" * 300), ("b", "c" * 50)))  # parses that meet late or never
+    long = [same.encode("ab" * 100), same.encode("a" * 100), same.encode("c" * 130)]
+    monkeypatch.setattr(langid, "BLOCK", 10**6)
+    want = same.phrases(long)
+    monkeypatch.setattr(langid, "BLOCK", 9)
+    assert (same.phrases(long) == want).all()
 
 
 def test_slices_come_from_whole_texts(spark):
