@@ -20,13 +20,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good; it learns from labels whose crc32 mod 3 isn't 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1))
-    return quality.classify(docs, model, [_row(docs)]).where("predicted = 1").select("__row.*")
+    return quality.classify(docs, model, [_row(docs)], text_in="__row").where("predicted = 1").select("__row.*")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without a text or a letter ('und') go."""
     samples = langid.learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return langid.identify(docs, samples, [_row(docs)]).where(F.col("lang_pred") != langid.UNKNOWN).select("__row.*")
+    return langid.identify(docs, samples, [_row(docs)], text_in="__row").where(F.col("lang_pred") != langid.UNKNOWN).select("__row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
