@@ -54,7 +54,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
                 known = Tokenizer.from_file(path)
                 return lambda text: known.encode(text, add_special_tokens=False).ids
             special = {t["content"]: t["id"] for t in held["added_tokens"]}
-            ranks = {bytes(map(_bytes_of().__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in special}
+            ranks = {bytes(map(byte_of().__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in special}
         else:
             special, ranks = {}, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -62,7 +62,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
 
 @lru_cache
-def _bytes_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for
     themselves, the rest in order from U+0100 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm import chat, decontam, embeddings, langid, licences, packing, quality, sharding, simhash, warc
+from linework.llm import align, chat, decontam, divergence, embeddings, langid, licences, packing, quality, sharding, simhash, substrings, warc
 from linework.llm.common import crc_mod
 
 
@@ -66,5 +66,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_warc, op4_language_id, op5_chat, op6_licences, op7_sharding, op8_embeddings, op9_packing, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op5_chat": chat.SQL}
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_warc, op4_language_id, op5_chat, op6_licences, op7_sharding, op8_embeddings, op9_packing, op10_simhash, op11_align, op12_substrings, op13_divergence)}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op5_chat": chat.SQL, "op13_divergence": divergence.SQL}
