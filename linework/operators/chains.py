@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.functions.text import OPERATORS, mostly_digits, strip
+from linework.operators.linking import roots
+from linework.sources.scratch import save
 
 KEYS = ["doc_id", "page"]
 #: The longest chain, and how much wider than the median a gap must be to break one (fixed values).
 MOST_GLYPHS, BREAK = 12, 2.2
+#: Glyphs of a page that one task holds; tiles of larger pages are at least so many times as wide as glyphs reach.
+TILE_GLYPHS, LEAST_TILE = 200_000, 8
 
 
 def with_metrics(glyphs: DataFrame) -> DataFrame:
@@ -33,38 +37,128 @@ def _tolerances(w, h) -> dict:
     return {"line_tol": at_least(h, 0.5, 2.0), "col_tol": at_least(w, 0.35, 2.0), "h_gap_max": at_least(w, 1.8, 6.0), "v_gap_max": at_least(h, 1.8, 6.0), "size_tol": at_least(h, 0.35, 0.5)}
 
 
+def _middle(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median) of counts(keys, value, n), by counting: the mean of the two values in the middle."""
+    page = Window.partitionBy(*keys)
+    upto = F.sum("n").over(page.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    c = counts.withColumns({"upto": upto, "total": F.sum("n").over(page)})
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("value")))
+    return c.groupBy(*keys).agg(((at(F.ceil(F.col("total") / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2).alias("median"))
+
+
+def page_sizes(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Per page: mw and mh (of the median glyph), on_page (how many glyphs), and left, top, right, bottom of their centres.
+
+    Equal sizes are counted where they are read, so what is shuffled and sorted is a row for each size
+    of a page, however many glyphs have it.
+    """
+    ends = [F.min("cx").alias("left"), F.min("cy").alias("top"), F.max("cx").alias("right"), F.max("cy").alias("bottom")]
+    sizes = save(glyphs.groupBy(*keys, "w", "h").agg(F.count("*").alias("n"), *ends), "sizes")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("value"), F.col("n").alias("n")) for c in ("w", "h")))).alias("v")
+    counts = sizes.select(*keys, each).select(*keys, "v.*").where("value is not null").groupBy(*keys, "of", "value").agg(F.sum("n").alias("n"))
+    medians = _middle(counts, [*keys, "of"]).groupBy(*keys).agg(*(F.max(F.when(F.col("of") == c, F.col("median"))).alias(f"m{c}") for c in ("w", "h")))
+    pages = sizes.groupBy(*keys).agg(F.sum("n").alias("on_page"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
+    return pages.join(medians, keys)
+
+
 def thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Per page, from the median glyph: line_tol, col_tol, h_gap_max, v_gap_max, size_tol."""
-    med = glyphs.groupBy(*keys).agg(F.median("w").alias("mw"), F.median("h").alias("mh"))
+    med = page_sizes(glyphs, keys)
     return med.select(*keys, *(c.alias(n) for n, c in _tolerances(F.col("mw"), F.col("mh")).items()))
 
 
 def with_thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """glyphs (with metrics) with their page's thresholds."""
-    page = Window.partitionBy(*keys)
-    g = glyphs.withColumns({"mw": F.median("w").over(page), "mh": F.median("h").over(page)})
-    return g.withColumns(_tolerances(F.col("mw"), F.col("mh"))).drop("mw", "mh")
+    """glyphs (with metrics) with their page's thresholds and on_page; where there are pages of over TILE_GLYPHS glyphs
+    also with tile, how they are cut: struct(left, top, side, reach), null on other pages."""
+    pages = page_sizes(glyphs, keys)
+    pages = pages.select(*keys, "on_page", "left", "top", "right", "bottom", *(c.alias(n) for n, c in _tolerances(F.col("mw"), F.col("mh")).items()))
+    reach = F.greatest("line_tol", "col_tol", "h_gap_max", "v_gap_max")
+    side = F.greatest(reach * LEAST_TILE, F.sqrt((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")) * TILE_GLYPHS / F.col("on_page")))
+    pages = pages.withColumn("tile", F.when(F.col("on_page") > TILE_GLYPHS, F.struct("left", "top", side.alias("side"), reach.alias("reach"))))
+    pages = save(pages.drop("left", "top", "right", "bottom"), "thresholds")
+    return glyphs.join(pages.drop("tile") if pages.where("tile is not null").isEmpty() else pages, keys)
+
+
+def _bounds(values: np.ndarray, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first, stop) in sorted distinct values of those at most reach from each of at, by the difference itself."""
+    lo, hi, last = np.searchsorted(values, at - reach), np.searchsorted(values, at + reach, "right"), len(values) - 1
+    while (m := (lo > 0) & (at - values[lo - 1] <= reach)).any():
+        lo[m] -= 1
+    while (m := (lo <= last) & (at - values[np.minimum(lo, last)] > reach)).any():
+        lo[m] += 1
+    while (m := (hi <= last) & (values[np.minimum(hi, last)] - at <= reach)).any():
+        hi[m] += 1
+    while (m := (hi > 0) & (values[hi - 1] - at > reach)).any():
+        hi[m] -= 1
+    return lo, np.maximum(lo, hi)
+
+
+def _near(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, reach: float, tol: float) -> np.ndarray:
+    """For each query how many points are at most reach away in x, but not at 0, and at most tol in y.
+
+    A sweep in order of x: how many of the first k points rank below a given y is a sum over blocks of 1, 2, 4, ...
+    points, each with its ranks in order, one size of block at a time.
+    """
+    if not len(x):
+        return np.zeros(len(qx), np.int64)
+    xs, at_x = np.unique(x, return_inverse=True)
+    ys, rank = np.unique(y, return_inverse=True)
+    order = np.argsort(at_x, kind="stable")
+    before, rank = np.searchsorted(at_x[order], np.arange(len(xs) + 1)), rank[order]
+    (x0, x1), (y0, y1) = _bounds(xs, qx, reach), _bounds(ys, qy, tol)
+    own0, own1 = np.searchsorted(xs, qx), np.searchsorted(xs, qx, "right")
+    k = before[np.stack([x1, x0, own0, own1])]
+    sign = np.array([1, -1, 1, -1])[:, None]
+    total, wide = np.zeros(len(qx), np.int64), len(ys) + 1
+    for level in range(len(x).bit_length()):
+        keys = np.sort((np.arange(len(x)) >> level) * wide + rank, kind="stable")
+        block = (k >> (level + 1)) << 1
+        found = np.searchsorted(keys, block * wide + y1) - np.searchsorted(keys, block * wide + y0)
+        total += (sign * np.where(k >> level & 1, found, 0)).sum(axis=0)
+    return total
+
+
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """One page or tile with h_near and v_near; rows that aren't own only count for others."""
+    cx, cy, size, own = (rows[c].to_numpy() for c in ("cx", "cy", "size", "own"))
+    font = pd.factorize(rows["font"], use_na_sentinel=False)[0]
+    first = rows.iloc[0]
+    near = np.zeros((2, len(rows)), np.int64)
+    for f in range(font.max() + 1):
+        of = np.flatnonzero(font == f)
+        of = of[np.argsort(size[of], kind="stable")]
+        sizes, at = np.unique(size[of], return_inverse=True)
+        lo, hi = _bounds(sizes, sizes, first["size_tol"])
+        for a, b in np.unique(np.stack([lo, hi], axis=1), axis=0):  # sizes that fit the same sizes go together
+            p, q = of[(at >= a) & (at < b)], of[(lo[at] == a) & (hi[at] == b)]
+            q = q[own[q]]
+            near[0, q] = _near(cx[p], cy[p], cx[q], cy[q], first["h_gap_max"], first["line_tol"])
+            near[1, q] = _near(cy[p], cx[p], cy[q], cx[q], first["v_gap_max"], first["col_tol"])
+    return rows.assign(h_near=near[0], v_near=near[1])[own]
 
 
-def _with_count(glyphs: DataFrame, keys: list[str], along: str, across: str, reach: str, tol: str, out: str) -> DataFrame:
-    """glyphs with how many others of its font and size each has within reach along and tol across.
+def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """glyphs (with metrics and thresholds) with h_near and v_near: how many others of its font and size each has within
+    reach along a line or a column.
 
-    Glyphs stand in bands as high as the tolerance, their own and the two beside it; a glyph sees what
-    its own band holds within reach, a sorted window, and counts what fits.
+    A page is one task's; a page of over TILE_GLYPHS glyphs is cut into tiles, whose glyphs also see those within
+    reach beyond their edges.
     """
-    near = Window.partitionBy(*keys, "font", "__band").orderBy("__at").rangeBetween(-1001, 1001)
-    g = glyphs.withColumn("__shift", F.explode(F.array(*(F.lit(i).cast("long") for i in (-1, 0, 1)))))
-    g = g.withColumns({"__band": F.floor(F.col(across) / F.col(tol)).cast("long") + F.col("__shift"), "__at": F.col(along) / F.col(reach) * 1000})
-    g = g.withColumn("__near", F.collect_list(F.struct(F.col(along).alias("a"), F.col(across).alias("b"), "size")).over(near)).where("__shift = 0")
-    gap = lambda o: F.abs(o["a"] - F.col(along))
-    fits = lambda o: (gap(o) > 0) & (gap(o) <= F.col(reach)) & (F.abs(o["b"] - F.col(across)) <= F.col(tol)) & (F.abs(o["size"] - F.col("size")) <= F.col("size_tol"))
-    return g.withColumn(out, F.size(F.filter("__near", fits)).cast("long")).drop("__shift", "__band", "__at", "__near")
+    g, by = glyphs.withColumn("own", F.lit(True)), keys
+    if "tile" in glyphs.columns:
+        nth = lambda c, edge, by: F.coalesce(F.floor((F.col(c) + by - F.col(f"tile.{edge}")) / F.col("tile.side")).cast("long"), F.lit(0))
+        spread = lambda c, edge: F.explode(F.sequence(nth(c, edge, -F.col("tile.reach")), nth(c, edge, F.col("tile.reach"))))
+        g = g.withColumn("tile_x", spread("cx", "left")).withColumn("tile_y", spread("cy", "top"))
+        g = g.withColumn("own", (F.col("tile_x") == nth("cx", "left", F.lit(0.0))) & (F.col("tile_y") == nth("cy", "top", F.lit(0.0))))
+        by = [*keys, "tile_x", "tile_y"]
+    glyphs, g = glyphs.drop("tile"), g.drop("tile")
+    names = glyphs.columns
+    schema = glyphs.withColumns({"h_near": F.lit(0).cast("long"), "v_near": F.lit(0).cast("long")}).schema
 
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _counted(rows)[[*names, "h_near", "v_near"]]
 
-def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """glyphs (with metrics and thresholds) with h_near and v_near."""
-    level = _with_count(glyphs, keys, "cx", "cy", "h_gap_max", "line_tol", "h_near")
-    return _with_count(level, keys, "cy", "cx", "v_gap_max", "col_tol", "v_near")
+    return g.groupBy(*by).applyInPandas(count, schema)
 
 
 def with_axes(glyphs: DataFrame) -> DataFrame:
@@ -112,15 +206,7 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
         left.append(i)
         right.append(i + apart)
     i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    root = np.arange(len(rows))
-    while len(i):  # the least row reachable
-        least = np.minimum(root[i], root[j])
-        before = root.copy()
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
-        root = root[root]
-        if (root == before).all():
-            break
+    root = roots(i, j, len(rows))
     return rows.assign(component=pd.Series(seq).groupby(root).transform("min"))
 
 
@@ -135,7 +221,8 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
     A line is an axis bucket of one font, as wide as the tolerance across, so links are gaps in one
     sorted column: an island ends where the gap is too large, and one at a single position falls
-    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, a page at a time.
+    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, a page (or a part of a large
+    page's lines) at a time.
     """
     line = [*keys, *LINE]
     ordered = Window.partitionBy(*line).orderBy("along", "seq")
@@ -147,7 +234,8 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     even = even.withColumn("component", F.when(alone, F.col("seq")).otherwise(F.min("seq").over(island))).drop("island")
     mixed = g.where(F.col("spread") > F.col("size_tol"))
     schema = mixed.withColumn("component", F.lit(0).cast("long")).schema
-    mixed = mixed.groupBy(*keys).applyInPandas(_linked, schema)
+    part = F.pmod(F.xxhash64(*LINE), F.ceil(F.col("on_page") / TILE_GLYPHS)) if "on_page" in g.columns else F.lit(0)
+    mixed = mixed.groupBy(*keys, part.alias("part")).applyInPandas(_linked, schema)
     return even.unionByName(mixed).drop("spread")
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from linework.functions import text as tx
 from linework.functions.geometry import Box, mm, rounded
 from linework.operators.chains import KEYS
+from linework.operators.linking import fold_knots
 from linework.operators.registry import FORMED, FUSED, MERGED, pair_key
 from linework.operators.spatial import within
+from linework.sources.scratch import save
 
 # Fixed values of the drawing rules.
 ANCHOR_MM, PAIR_GAP_MM, THICKNESS_MM = 2.0, 6.0, 2.0
@@ -47,23 +49,14 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     fits &= tx.pair_may_form(F.col("left"), F.col("right"), tx.plain_number(F.col("right")), F.lit(""), F.col("a.orientation"))
     mark = lambda s: F.concat_ws("|", rounded(F.col(f"{s}.cx"), 1).cast("string"), rounded(F.col(f"{s}.cy"), 1).cast("string"), F.col(f"{s}.text"))
     p = p.where(fits).withColumns({"ka": mark("a"), "kb": mark("b"), "pair": pair_key(axis, F.array("left", "right"))})
-    known = cands.where("entity_type = 'SRC_dimension'").groupBy(*keys).agg(F.collect_set(pair_key(axis, F.col("values"))).alias("known"))
-    row = F.struct("line_first", "nth", "ka", "kb", "pair")
-    page = p.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows")).join(known, keys, "left")
-    strings = F.array().cast("array<string>")
-    start = F.struct(strings.alias("used"), F.coalesce("known", strings).alias("pairs"), F.array().cast("array<struct<line_first:bigint,nth:int>>").alias("taken"))
-
-    def take(acc: Column, r: Column) -> Column:
-        free = ~F.array_contains(acc["used"], r["ka"]) & ~F.array_contains(acc["used"], r["kb"]) & ~F.array_contains(acc["pairs"], r["pair"])
-        new = F.struct(F.concat(acc["used"], F.array(r["ka"], r["kb"])).alias("used"), F.concat(acc["pairs"], F.array(r["pair"])).alias("pairs"), F.concat(acc["taken"], F.array(F.struct(r["line_first"].alias("line_first"), r["nth"].alias("nth")))).alias("taken"))
-        return F.when(free, new).otherwise(acc)
-
-    taken = page.select(*keys, F.posexplode(F.aggregate("rows", start, take, lambda x: x["taken"])).alias("order", "t")).select(*keys, "order", "t.line_first", "t.nth")
-    formed = p.join(taken, [*keys, "line_first", "nth"])
+    known = cands.where("entity_type = 'SRC_dimension'").select(*keys, pair_key(axis, F.col("values")).alias("pair")).distinct()
+    formed = _chosen(p.join(known, [*keys, "pair"], "left_anti"), keys)
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("line_first", "nth"))
+    formed = save(formed.withColumn("order", order), "formed")
     box = Box.of("a.").merged(Box.of("b."))
     x, y = box.center()
     out = formed.select(
-        *keys, (F.col("order") + F.lit(FORMED + 1)).cast("long").alias("seq"), F.concat(tx.short_number(F.col("left")), F.lit(" X "), tx.short_number(F.col("right"))).alias("text"),
+        *keys, (F.col("order") + F.lit(FORMED)).cast("long").alias("seq"), F.concat(tx.short_number(F.col("left")), F.lit(" X "), tx.short_number(F.col("right"))).alias("text"),
         *(c.alias(n) for n, c in box.columns().items()), x.alias("cx"), y.alias("cy"), (F.col("a.glyph_count") + F.col("b.glyph_count")).alias("glyph_count"),
         F.col("a.orientation").alias("orientation"), "dimension_axis", "axis_bucket", tx.reading_direction(axis).alias("reading_direction"), F.lit(True).alias("direction_locked"), F.lit(True).alias("grammar_fused"),
         F.lit("LOCAL_ANCHOR_PAIR").alias("grammar_rule"), F.lit("SRC_dimension").alias("entity_type"), F.lit("X").alias("operator"), F.array("left", "right").alias("values"), F.col("zone").alias("semantic_zone_id"),
@@ -73,13 +66,60 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return cands.join(gone, [*keys, "seq"], "left_anti").unionByName(out, allowMissingColumns=True)
 
 
+def _take_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs in order: each is taken whose numbers and whose pair are still free."""
+    used, pairs, taken = set(), set(), []
+    for r in rows.sort_values(["line_first", "nth"]).itertuples():
+        if r.ka not in used and r.kb not in used and r.pair not in pairs:
+            used.update((r.ka, r.kb))
+            pairs.add(r.pair)
+            taken.append((r.line_first, r.nth))
+    return pd.DataFrame(taken, columns=["line_first", "nth"]).astype({"line_first": "int64", "nth": "int32"})
+
+
+def _chosen(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of pairs (neighbours a, b at place nth of their line, none of a known pair) that form.
+
+    Pairs that follow each other on a line share a number: of such an island every second one forms, from the
+    first on.  Where a pair or a number's place stands more than once on the page, an earlier one may stop a
+    later one, so islands with such a pair or place go through a fold.
+    """
+    line = Window.partitionBy(*keys, "line_first").orderBy("nth")
+    island = Window.partitionBy(*keys, "line_first", "run")
+    p = pairs.withColumn("run", F.col("nth") - F.row_number().over(line))
+    p = save(p.withColumns({"place": F.col("nth") - F.min("nth").over(island), "node": F.min_by("a.seq", "nth").over(island)}), "neighbours")
+    twice = lambda marks: marks.groupBy(*keys, "mark").agg(F.count_distinct("id").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
+    marks = p.select(*keys, "node", F.explode(F.array(F.struct(F.concat(F.lit("p"), "pair").alias("mark"), F.col("a.seq").alias("id")), F.struct(F.concat(F.lit("n"), "ka").alias("mark"), F.col("a.seq").alias("id")), F.struct(F.concat(F.lit("n"), "kb").alias("mark"), F.col("b.seq").alias("id")))).alias("m")).select(*keys, "node", "m.*")
+    shared = save(marks.join(twice(marks), [*keys, "mark"]).select(*keys, F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "shared")
+    tied = shared.select(*keys, F.col("u").alias("node")).distinct()
+    plain = p.join(tied, [*keys, "node"], "left_anti").where("place % 2 = 0")
+    rows = save(p.join(tied, [*keys, "node"], "left_semi").select(*keys, "node", "line_first", "nth", "ka", "kb", "pair"), "shared-pairs")
+    taken = fold_knots(rows, shared, keys, _take_pairs, "line_first long, nth int")
+    return plain.unionByName(p.join(taken, [*keys, "line_first", "nth"], "left_semi"))
+
+
+def _take_nearest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Lefts in order: each takes its nearest right that is still free."""
+    lefts, rights, taken = set(), set(), []
+    for r in rows.sort_values(["l", "d", "r"]).itertuples():
+        if r.l not in lefts and r.r not in rights:
+            lefts.add(r.l)
+            rights.add(r.r)
+            taken.append((r.l, r.r))
+    return pd.DataFrame(taken, columns=["l", "r"]).astype("int64")
+
+
 def _greedy(pairs: DataFrame, keys: list[str], left: str, right: str, gap: str) -> DataFrame:
-    """One-to-one matches: each left in order takes its nearest right that is still free (then by seq)."""
-    row = F.struct(F.col(left).alias("l"), F.col(gap).alias("d"), F.col(right).alias("r"))
-    page = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.array().cast("array<struct<l:bigint,r:bigint>>")
-    take = lambda acc, x: F.when(F.exists(acc, lambda m: (m["l"] == x["l"]) | (m["r"] == x["r"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["l"].alias("l"), x["r"].alias("r")))))
-    return page.select(*keys, F.explode(F.aggregate("rows", start, take)).alias("m")).select(*keys, F.col("m.l").alias(left), F.col("m.r").alias(right))
+    """One-to-one matches: each left in order takes its nearest right that is still free (then by seq).
+
+    Two that have nobody else match at once; only the others go through a fold.
+    """
+    only = lambda c: F.count("*").over(Window.partitionBy(*keys, c)) == 1
+    p = pairs.select(*keys, F.col(left).alias("l"), F.col(right).alias("r"), F.col(gap).alias("d")).withColumns({"one": only("l"), "other": only("r")})
+    p = save(p.select(*keys, F.col("l").alias("node"), "l", "r", "d", (F.col("one") & F.col("other")).alias("sure")), "matches")
+    rest = p.where("not sure").drop("sure")
+    met = fold_knots(rest, rest.select(*keys, F.col("l").alias("u"), F.col("r").alias("v")), keys, _take_nearest, "l long, r long")
+    return p.where("sure").select(*keys, "l", "r").union(met).toDF(*keys, left, right)
 
 
 def nearest_parent(modifiers: DataFrame, entities: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linework.functions.geometry import rounded
 from linework.functions.text import OPERATORS, reading_direction
 from linework.operators.chains import KEYS, singleton_kind
+from linework.operators.linking import fold_knots
 from linework.sources.scratch import save
 
 #: Where the phases of a page's order begin; within a phase rows are numbered from 1, so phases never
@@ -23,26 +24,26 @@ def _place(g, digits: int | None = None):
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """One page with conflicts, in processing order: kept, spent, skipped or burned."""
+    """Groups that share a place or a pair, in processing order: kept, spent, skipped or burned."""
     used, taken, pairs, status = set(), set(), set(), []
     blocked, group = False, None
-    for r in rows.sort_values(["axis_rank", "bucket_first", "component", "chunk", "piece", "nth"]).itertuples():
-        if (place := (r.axis_rank, r.bucket_first, r.component, r.chunk, r.piece)) != group:
-            group, blocked = place, not used.isdisjoint(r.group_exact) or not taken.isdisjoint(r.group_keys)
+    for r in rows.sort_values([*ORDER, "nth"]).itertuples():
+        if r.node != group:
+            group, blocked = r.node, not used.isdisjoint(r.group_exact) or not taken.isdisjoint(r.group_keys)
         if blocked or r.nth >= 0 and not (used.isdisjoint(r.exact) and taken.isdisjoint(r.keys)):
-            status.append((r.row, "skipped"))
+            status.append((r.node, r.nth, "skipped"))
         elif r.nth < 0:
             used.update(r.group_exact)
-            status.append((r.row, "burned"))
+            status.append((r.node, r.nth, "burned"))
         elif r.pair is not None and r.pair in pairs:
             taken.update(r.keys)
-            status.append((r.row, "spent"))
+            status.append((r.node, r.nth, "spent"))
         else:
             pairs.add(r.pair)
             used.update(r.exact)
             taken.update(r.keys)
-            status.append((r.row, "kept"))
-    return pd.DataFrame(status, columns=["row", "status"]).astype({"row": "int64"})
+            status.append((r.node, r.nth, "kept"))
+    return pd.DataFrame(status, columns=["first_seq", "nth", "status"]).astype({"first_seq": "int64", "nth": "int32"})
 
 
 def pair_key(axis, values):
@@ -55,33 +56,35 @@ ORDER = ["axis_rank", "bucket_first", "component", "chunk", "piece"]
 
 
 def ordered(groups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """groups with their place in a page's processing order (ORDER), and hard: whether the page has a
-    glyph drawn twice or a pair repeated, so that the order decides what it keeps."""
-    line, page = Window.partitionBy(*keys, "dimension_axis", "axis_bucket"), Window.partitionBy(*keys)
-    pairs = F.transform(F.filter("found", lambda d: d["entity_type"] == "SRC_dimension"), lambda d: pair_key(F.col("dimension_axis"), d["values"]))
-    spots = F.transform("glyphs", lambda g: _place(g, 1))
-    all_of = lambda c: F.flatten(F.collect_list(c).over(page))
-    repeated = lambda a: F.size(a) > F.size(F.array_distinct(a))
-    g = groups.withColumns({"axis_rank": F.when(F.col("dimension_axis") == "horizontal", 0).otherwise(1), "bucket_first": F.min("first_seq").over(line), "__pairs": pairs, "__spots": spots})
-    g = g.withColumns({"__pairs": all_of("__pairs"), "__spots": all_of("__spots")})
-    return g.withColumn("hard", repeated(F.col("__pairs")) | repeated(F.col("__spots"))).drop("__pairs", "__spots", "first_seq")
-
-
-def _settled(hard: DataFrame, keys: list[str]) -> DataFrame:
-    """The dimensions of hard pages with their status: one row each, and one for a group that found none."""
-    dims = hard.select(*keys, "dimension_axis", "axis_bucket", *ORDER, "has_operator", "glyphs", F.posexplode_outer("found").alias("nth", "d"))
-    dims = dims.withColumn("nth", F.coalesce("nth", F.lit(-1))).where((F.col("nth") >= 0) | F.col("has_operator"))
-    dims = save(dims.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER, "nth")).cast("long")), "hard")
+    """groups with their place in a page's processing order (ORDER); first_seq, their first glyph's, names them."""
+    line = Window.partitionBy(*keys, "dimension_axis", "axis_bucket")
+    return groups.withColumns({"axis_rank": F.when(F.col("dimension_axis") == "horizontal", 0).otherwise(1), "bucket_first": F.min("first_seq").over(line)})
+
+
+def _shared(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first_seq, least) for the groups that share a glyph's place or a pair with others, or have one twice;
+    least is the first group with it.  Only among those the order decides what is kept.
+
+    Places and pairs are counted as hashes on the page; equal hashes of different ones put groups
+    into order that needn't be, which changes nothing.
+    """
+    spots = F.transform("glyphs", lambda g: F.xxhash64(F.lit("place"), rounded(g["cx"], 1), rounded(g["cy"], 1), g["char"]))
+    pairs = F.transform(F.filter("found", lambda d: d["entity_type"] == "SRC_dimension"), lambda d: F.xxhash64(F.lit("pair"), pair_key(F.col("dimension_axis"), d["values"])))
+    marks = groups.select(*keys, "first_seq", F.explode(F.concat(spots, pairs)).alias("mark"))
+    shared = marks.groupBy(*keys, "mark").agg(F.count("*").alias("n"), F.min("first_seq").alias("least")).where("n > 1").drop("n")
+    return marks.join(shared, [*keys, "mark"]).select(*keys, "first_seq", "least").distinct()
+
+
+def _settled(hard: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
+    """The dimensions of groups that share something, with their status: one row each, and one for a group that found none."""
+    dims = hard.select(*keys, "first_seq", "dimension_axis", "axis_bucket", *ORDER, "has_operator", "glyphs", F.posexplode_outer("found").alias("nth", "d"))
+    dims = save(dims.withColumn("nth", F.coalesce("nth", F.lit(-1))).where((F.col("nth") >= 0) | F.col("has_operator")), "shared-dimensions")
     own = _own(F.col("glyphs"), F.coalesce("d.ids", F.array().cast("array<long>")))
     spots = lambda a, digits=None: F.transform(a, lambda g: _place(g, digits))
     pair = F.when(F.col("d.entity_type") == "SRC_dimension", pair_key(F.col("dimension_axis"), F.col("d.values")))
-    ready = dims.select(*keys, "row", *ORDER, "nth", pair.alias("pair"), spots(F.col("glyphs"), 1).alias("group_keys"), spots(F.col("glyphs")).alias("group_exact"), spots(own, 1).alias("keys"), spots(own).alias("exact"))
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _settle(rows).assign(**dict(zip(keys, key, strict=True)))[[*keys, "row", "status"]]
-
-    schema = ready.select(*keys, "row", F.lit("").alias("status")).schema
-    return save(dims.join(ready.groupBy(*keys).applyInPandas(fold, schema), [*keys, "row"]), "settled")
+    ready = dims.select(*keys, F.col("first_seq").alias("node"), *ORDER, "nth", pair.alias("pair"), spots(F.col("glyphs"), 1).alias("group_keys"), spots(F.col("glyphs")).alias("group_exact"), spots(own, 1).alias("keys"), spots(own).alias("exact"))
+    status = fold_knots(ready, shared.toDF(*keys, "u", "v"), keys, _settle, "first_seq long, nth int, status string")
+    return save(dims.join(status, [*keys, "first_seq", "nth"]), "settled")
 
 
 def _own(glyphs, ids):
@@ -92,12 +95,12 @@ def chains(groups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Kept chains in order, then each glyph that no chain used, as a chain of its own.
 
     groups is ordered().  Where no glyph or pair repeats, a group keeps all that it found, and its
-    other glyphs are left over.  Only the other pages need the order, and only those go page by page through
-    a fold.
+    other glyphs are left over.  Only groups that share one need the order, and only those go through a fold.
     """
-    plain, hard = groups.where("not hard"), groups.where("hard")
+    shared = save(_shared(groups, keys), "shared")
+    plain, hard = (groups.join(shared.select(*keys, "first_seq"), [*keys, "first_seq"], how) for how in ("left_anti", "left_semi"))
     dims = plain.select(*keys, "dimension_axis", "axis_bucket", *ORDER, "glyphs", F.posexplode("found").alias("nth", "d"))
-    settled = _settled(hard, keys)
+    settled = _settled(hard, shared, keys)
     kept = dims.unionByName(settled.where("status = 'kept'").select(*dims.columns))
     own = _own(F.col("glyphs"), F.col("d.ids"))
     over = lambda f, c: f(F.transform("own", lambda g: g[c]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.functions.geometry import Box, distance
@@ -12,8 +12,10 @@ from linework.sources.scratch import save
 PAGE = ["doc_id", "page"]
 
 
-#: Side of the cells that boxes are dealt into for overlaps.
-CELL = 128.0
+#: The grid for overlaps: cells of CELL at its finest level and STEP times that at each next one; the last level is one cell.
+CELL, STEP, LEVELS = 128.0, 4, 12
+#: Levels that the regions of a page stand at, at most.
+REGION_LEVELS = 4
 #: Sides of the cells that drawings are sought in, from fine to coarse, and a page's drawings up to which all are tried.
 SIDES, FEW_DRAWINGS = (16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0), 256
 
@@ -22,11 +24,31 @@ def _cell(c: Column, side) -> Column:
     return F.floor(c / side).cast("long")
 
 
-def _cells(box: Box, side: float) -> Column:
-    """An array of struct(gx, gy): the cells that a box meets."""
+def _sound(box: Box) -> Column:
+    """Whether all coordinates are numbers."""
+    ok = F.lit(True)
+    for c in (box.x0, box.y0, box.x1, box.y1):
+        ok &= c.isNotNull() & ~F.isnan(c)
+    return ok
+
+
+def _level(box: Box) -> Column:
+    """The finest level of the grid whose cells are as large as a box (and whose cells can be numbered where it is)."""
     n = box.normalised()
-    run = lambda a, b: F.sequence(_cell(a, side), _cell(b, side))
-    return F.flatten(F.transform(run(n.x0, n.x1), lambda x: F.transform(run(n.y0, n.y1), lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
+    size = F.greatest(n.x1 - n.x0, n.y1 - n.y0, *(F.abs(c) / 2**31 for c in (n.x0, n.y0, n.x1, n.y1)))
+    return sum(((size > CELL * STEP**k).cast("int") for k in range(LEVELS)), F.lit(0))
+
+
+def _grid(c: Column, level: Column) -> Column:
+    return F.when(level >= LEVELS, F.lit(0).cast("long")).otherwise(_cell(c, F.lit(CELL) * F.pow(F.lit(float(STEP)), level)))
+
+
+def _region_levels(regions: DataFrame) -> DataFrame:
+    """regions with their level, raised so that a page has REGION_LEVELS of them at most."""
+    page = Window.partitionBy(*PAGE)
+    r = regions.withColumn("level", _level(Box.of("r_"))).withColumns({"least": F.min("level").over(page), "most": F.max("level").over(page)})
+    step = F.ceil((F.col("most") - F.col("least") + 1) / REGION_LEVELS)
+    return r.withColumn("level", (F.col("most") - F.floor((F.col("most") - F.col("level")) / step) * step).cast("int")).drop("least", "most")
 
 
 def _around(gx: Column, gy: Column) -> Column:
@@ -38,18 +60,27 @@ def clip(rows: DataFrame, regions: DataFrame, by_mode: bool = True) -> DataFrame
     """rows once for each region of their page that they meet, with region_id.
 
     by_mode: a region's glyph_mode 'center' asks for the centre inside, any other for overlap.
-    Boxes and regions meet in cells; of the cells they share the first one counts.
+    Pages without a region are left out first.  A box and a region meet at the level of the larger one of
+    them, where neither is larger than a cell: the box stands in the cell of its corner, once for each
+    level of its page's regions (REGION_LEVELS at most), and the region looks into the cells it may reach
+    boxes of.  So no box makes many rows, whatever its size.  Boxes and regions with a coordinate that is null
+    or not a number meet nothing; infinite ones are as large as the page.
     """
     r = regions.select(*PAGE, "region_id", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")), *(["glyph_mode"] if by_mode else []))
     box, region = Box.of(), Box.of("r_")
+    r = _region_levels(r.where(_sound(region)))
     meets = box.intersects(region)
     if by_mode:
         meets = F.when(F.col("glyph_mode") == "center", box.center_inside(region)).otherwise(meets)
-    spread = rows.withColumn("g", F.explode(_cells(box, CELL))).withColumns({"gx": F.col("g.gx"), "gy": F.col("g.gy")})
-    areas = r.withColumn("g", F.explode(_cells(region, CELL))).select(*r.columns, "g.gx", "g.gy")
-    a, b = box.normalised(), region.normalised()
-    first = (F.col("gx") == F.greatest(_cell(a.x0, CELL), _cell(b.x0, CELL))) & (F.col("gy") == F.greatest(_cell(a.y0, CELL), _cell(b.y0, CELL)))
-    return spread.join(areas, [*PAGE, "gx", "gy"]).where(first & meets).select(*rows.columns, "region_id")
+    near = rows.where(_sound(box)).join(r.groupBy(*PAGE).agg(F.collect_set("level").alias("levels")), PAGE).withColumn("own", _level(box))
+    near = near.withColumn("at", F.explode(F.array_distinct(F.transform("levels", lambda x: F.greatest(x, F.col("own"))))))
+    b, n = box.normalised(), region.normalised()
+    near = near.withColumns({"gx": _grid(b.x0, F.col("at")), "gy": _grid(b.y0, F.col("at"))})
+    areas = r.withColumn("at", F.explode(F.sequence("level", F.lit(LEVELS))))
+    reach = lambda a, z: F.sequence(_grid(a, F.col("at")) - (F.col("at") < LEVELS).cast("long"), _grid(z, F.col("at")))
+    areas = areas.withColumn("gx", F.explode(reach(n.x0, n.x1))).withColumn("gy", F.explode(reach(n.y0, n.y1)))
+    both = near.join(areas, [*PAGE, "at", "gx", "gy"])
+    return both.where((F.col("at") == F.greatest("own", "level")) & meets).select(*rows.columns, "region_id")
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], reach: float, at: tuple[str, str], other: tuple[str, str]) -> DataFrame:
@@ -112,16 +143,17 @@ def nearest_drawing(entities: DataFrame, drawings: DataFrame, keys: list[str] =
 
 
 def nearest_to_point(entities: DataFrame, points: DataFrame) -> DataFrame:
-    """Per point: candidate_count, the entity (struct) whose box is nearest, its centre and snap_distance.
+    """Per point (doc_id, page, point_id): candidate_count, the entity (struct) whose box is nearest, its centre and snap_distance.
 
-    entities have region_id = point_id and text_bbox; the first by seq wins a tie.
+    entities have region_id = point_id and text_bbox; the first by seq wins a tie.  Ids count within their page.
     """
+    keys = [*PAGE, "point_id"]
     e = entities.withColumnRenamed("region_id", "point_id")
     fields = [c for c in e.columns if c not in ("point_id", "doc_id")]
-    p = points.select("point_id", "doc_id", "x", "y", "radius")
+    p = points.select(*keys, "x", "y", "radius")
     box = Box.from_array(F.col("text_bbox"))
-    both = p.join(e.drop("doc_id"), "point_id").withColumn("gap", box.to_point(F.col("x"), F.col("y")))
-    best = both.groupBy("point_id").agg(F.count("*").alias("candidate_count"), F.min_by(F.struct(*fields), F.struct("gap", "seq")).alias("selected"), F.min("gap").alias("gap"))
+    both = p.join(e, keys).withColumn("gap", box.to_point(F.col("x"), F.col("y")))
+    best = both.groupBy(*keys).agg(F.count("*").alias("candidate_count"), F.min_by(F.struct(*fields), F.struct("gap", "seq")).alias("selected"), F.min("gap").alias("gap"))
     sx, sy = Box.from_array(F.col("selected.text_bbox")).center()
-    out = p.join(best, "point_id", "left")
-    return out.select("point_id", "doc_id", "x", "y", "radius", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), "selected", F.when(F.col("selected").isNotNull(), F.array(sx, sy)).alias("center"), F.bround("gap", 3).alias("snap_distance"))
+    out = p.join(best, keys, "left")
+    return out.select(*keys, "x", "y", "radius", F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), "selected", F.when(F.col("selected").isNotNull(), F.array(sx, sy)).alias("center"), F.bround("gap", 3).alias("snap_distance"))

@@ -66,7 +66,9 @@ def _sql(*parts: str, least: int = 0) -> str:
     return "WITH " + ",\n".join([_annotations(least), *parts[:-1]]) + "\n" + parts[-1]
 
 
-REGIONS = "regions AS (SELECT doc_id, page, event_id AS region_id, ax - 42 AS rx0, ay - 30 AS ry0, ax + 182 AS rx1, ay + 81 AS ry1, event_id % 2 = 0 AS by_centre FROM annot WHERE slot IN (7, 28))"
+#: A region's id counts within its page; rid is its own.
+REGIONS = """regions AS (SELECT doc_id, page, slot + wider AS region_id, event_id * 2 + wider AS rid, ax - 42 - wider AS rx0, ay - 30 AS ry0, ax + 182 AS rx1, ay + 81 AS ry1, event_id % 2 = 0 AS by_centre
+  FROM annot JOIN (VALUES (0), (1)) v(wider) ON wider = 0 OR slot = 7 WHERE slot IN (7, 28))"""
 COUNTS = """counts AS (SELECT g.seq, count(*) FILTER (abs(o.cx - g.cx) > 0 AND abs(o.cx - g.cx) <= 9 AND abs(o.cy - g.cy) <= 4.5) AS h_near, count(*) FILTER (abs(o.cy - g.cy) > 0 AND abs(o.cy - g.cy) <= 16.2e0 AND abs(o.cx - g.cx) <= 2) AS v_near
   FROM glyphs g JOIN glyphs o USING (doc_id, page) GROUP BY 1)"""
 AXES = "axes AS (SELECT g.*, h_near, v_near, CASE WHEN v_near >= h_near THEN 'vertical' ELSE 'horizontal' END AS axis FROM glyphs g JOIN counts USING (seq)), lines AS (SELECT *, CASE WHEN axis = 'vertical' THEN cast(round_even(cx / 2.0e0, 0) AS int) ELSE cast(round_even(cy / 4.5e0, 0) AS int) END AS bucket FROM axes)"
@@ -111,21 +113,21 @@ lost AS (SELECT *, substr(whole, i, 1) AS char FROM (SELECT *, unnest(range(1, n
 CHAIN_ROWS = """SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY up, bucket_first, event_id) AS seq, text, CASE WHEN used > 1 THEN 'horizontal' WHEN up THEN 'unresolved_vertical_fragment' ELSE 'unresolved_horizontal_fragment' END AS orientation,
  rule AS grammar_rule, used AS glyph_count, CASE WHEN rule = 'NOMINAL_ONLY' THEN ax + 6 * (n - length(text)) ELSE ax END AS x0, ay AS y0 FROM kept
 UNION ALL SELECT doc_id, page, 1099511627776 + row_number() OVER (PARTITION BY doc_id, page ORDER BY event_id, i), char, 'unresolved_horizontal_fragment', NULL, 1, ax + 6 * (i - 1), ay FROM lost WHERE CASE WHEN rule = 'NOMINAL_ONLY' THEN i <= length(a::varchar) ELSE char = 'X' END"""
-POINTS = "regions AS (SELECT doc_id, page, event_id AS region_id, ax + 11 - 24 AS rx0, ay + 15 - 24 AS ry0, ax + 11 + 24 AS rx1, ay + 15 + 24 AS ry1, ax + 11 AS px, ay + 15 AS py, false AS by_centre FROM annot WHERE slot % 10 = 3)"
+POINTS = "regions AS (SELECT doc_id, page, slot AS region_id, event_id AS rid, ax + 11 - 24 AS rx0, ay + 15 - 24 AS ry0, ax + 11 + 24 AS rx1, ay + 15 + 24 AS ry1, ax + 11 AS px, ay + 15 AS py, false AS by_centre FROM annot WHERE slot % 10 = 3)"
 _INSIDE = "CASE WHEN by_centre THEN cx BETWEEN rx0 AND rx1 AND cy BETWEEN ry0 AND ry1 ELSE x0 < rx1 AND x1 > rx0 AND y0 < ry1 AND y1 > ry0 END"
 #: What a region's glyphs come to, annotation by annotation: the part of each text inside it, read by the grammar's rules,
 #: then the entities, their nearest drawing in the region and the export rules without margins.
-CUT = f"""cut AS (SELECT region_id, annot.*, c, length(c) AS m FROM (SELECT region_id, event_id, string_agg(char, '' ORDER BY seq) AS c FROM glyphs JOIN regions USING (doc_id, page) WHERE {_INSIDE} GROUP BY 1, 2) JOIN annot USING (event_id)),
+CUT = f"""cut AS (SELECT rid, annot.*, c, length(c) AS m FROM (SELECT rid, event_id, string_agg(char, '' ORDER BY seq) AS c FROM glyphs JOIN regions USING (doc_id, page) WHERE {_INSIDE} GROUP BY 1, 2) JOIN annot USING (event_id)),
 halves AS (SELECT *, regexp_extract(c, '^([0-9]+)[±X]', 1) AS l, regexp_extract(c, '^[0-9]+[±X](.*)$', 1) AS r FROM cut),
 rules AS (SELECT *, CASE WHEN NOT contains(c, '±') THEN CASE WHEN contains(c, 'X') AND r <> '' THEN CASE WHEN l::int < 500 THEN 'IMPLICIT' ELSE 'EXPLICIT' END ELSE 'STRING' END
   WHEN r = '' THEN 'LEFT' WHEN {_fits("l::double", "try_cast(r AS double)")} THEN 'TRIPLE' ELSE 'RIGHT' END AS rule FROM halves),
 spans AS (SELECT *, CASE rule WHEN 'LEFT' THEN length(l) WHEN 'RIGHT' THEN length(r) WHEN 'IMPLICIT' THEN m - 1 ELSE m END AS n, CASE rule WHEN 'RIGHT' THEN ax + 6 * (m - length(r)) ELSE ax END AS ex0, CASE rule WHEN 'LEFT' THEN ax + 6 * length(l) - 1 ELSE ax + 6 * m - 1 END AS ex1,
   CASE rule WHEN 'LEFT' THEN l WHEN 'RIGHT' THEN r WHEN 'TRIPLE' THEN l || ' ±' || CASE WHEN r::double = floor(r::double) THEN r::double::bigint || '.0' ELSE r END WHEN 'STRING' THEN c ELSE l || ' X ' || r END AS display,
   CASE WHEN rule IN ('IMPLICIT', 'EXPLICIT') THEN 'SRC_dimension' ELSE {TYPE.format("c")} END AS kind, CASE WHEN rule NOT IN ('IMPLICIT', 'EXPLICIT') THEN 1.0 END AS num FROM rules),
-once AS (SELECT *, (ex0 + ex1) / 2 AS cx, ay + 4.5e0 AS cy FROM (SELECT *, row_number() OVER (PARTITION BY region_id, kind, CASE WHEN kind = 'SRC_dimension' THEN least(l::int, r::int) ELSE event_id END, CASE WHEN kind = 'SRC_dimension' THEN greatest(l::int, r::int) END ORDER BY event_id) AS again FROM spans) WHERE again = 1 AND n > 1),
-drawn AS (SELECT region_id, dx, dy, dseq FROM drawings JOIN regions USING (doc_id, page) WHERE dx0 < rx1 AND dx1 > rx0 AND dy0 < ry1 AND dy1 > ry0),
-gaps AS (SELECT o.region_id, o.event_id, min(sqrt((cx - dx) * (cx - dx) + (cy - dy) * (cy - dy))) AS gap FROM once o JOIN drawn USING (region_id) GROUP BY 1, 2),
-placed AS (SELECT o.*, coalesce(gap, 'Infinity'::double) AS distance FROM once o LEFT JOIN gaps USING (region_id, event_id)),
+once AS (SELECT *, (ex0 + ex1) / 2 AS cx, ay + 4.5e0 AS cy FROM (SELECT *, row_number() OVER (PARTITION BY rid, kind, CASE WHEN kind = 'SRC_dimension' THEN least(l::int, r::int) ELSE event_id END, CASE WHEN kind = 'SRC_dimension' THEN greatest(l::int, r::int) END ORDER BY event_id) AS again FROM spans) WHERE again = 1 AND n > 1),
+drawn AS (SELECT rid, dx, dy, dseq FROM drawings JOIN regions USING (doc_id, page) WHERE dx0 < rx1 AND dx1 > rx0 AND dy0 < ry1 AND dy1 > ry0),
+gaps AS (SELECT o.rid, o.event_id, min(sqrt((cx - dx) * (cx - dx) + (cy - dy) * (cy - dy))) AS gap FROM once o JOIN drawn USING (rid) GROUP BY 1, 2),
+placed AS (SELECT o.*, coalesce(gap, 'Infinity'::double) AS distance FROM once o LEFT JOIN gaps USING (rid, event_id)),
 shown AS ({_exported("placed", margins=False)})"""
 
 SQL = {
@@ -151,10 +153,10 @@ SQL = {
     "q_confidences": _sql(f"SELECT event_id, CASE WHEN slot % 7 <> 0 AND slot % 11 = 0 THEN 0.0 ELSE {_confidence(chr(39) + 'SRC_dimension' + chr(39) + ' = CASE WHEN slot % 3 = 0 THEN ' + chr(39) + 'SRC_dimension' + chr(39) + ' END AND ' + chr(39) + 'SRC_dimension' + chr(39), '(t - 1)', 'b', 'slot % 2 = 0', 'slot % 7 = 0')} END AS confidence FROM annot"),
     "q_envelopes": _sql(GLYPHS, "SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM glyphs GROUP BY 1, 2"),
     "q_coordinates": _sql(CANDS, f"SELECT seq, 4 * ({HEIGHT} - y1) + 3 AS x, 2 * x0 + 5 AS y, 4 * (y1 - y0) AS w, 2 * (x1 - x0) AS h, {HEIGHT} - y1 AS up_y0, {HEIGHT} - y0 AS up_y1, x0 AS back_x0, y0 AS back_y0, x1 AS back_x1, y1 AS back_y1 FROM cands"),
-    "q_clipped_glyphs": _sql(GLYPHS, REGIONS, 'SELECT region_id, count(*) AS n, min(seq) AS "first", max(seq) AS "last" FROM glyphs JOIN regions USING (doc_id, page) WHERE CASE WHEN by_centre THEN cx BETWEEN rx0 AND rx1 AND cy BETWEEN ry0 AND ry1 ELSE x0 < rx1 AND x1 > rx0 AND y0 < ry1 AND y1 > ry0 END GROUP BY 1'),
+    "q_clipped_glyphs": _sql(GLYPHS, REGIONS, 'SELECT doc_id, page, region_id, count(*) AS n, min(seq) AS "first", max(seq) AS "last" FROM glyphs JOIN regions USING (doc_id, page) WHERE CASE WHEN by_centre THEN cx BETWEEN rx0 AND rx1 AND cy BETWEEN ry0 AND ry1 ELSE x0 < rx1 AND x1 > rx0 AND y0 < ry1 AND y1 > ry0 END GROUP BY 1, 2, 3'),
     "q_point_distances": _sql(
-        CANDS, "pts AS (SELECT event_id AS point_id, doc_id, page, ax + 11 AS x, ay + 15 AS y FROM annot WHERE slot % 10 = 3)",
-        "SELECT point_id, min(sqrt(greatest(x0 - x, 0, x - x1) ** 2 + greatest(y0 - y, 0, y - y1) ** 2)) AS nearest, min(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS centre FROM cands JOIN pts USING (doc_id, page) GROUP BY 1",
+        CANDS, "pts AS (SELECT slot AS point_id, doc_id, page, ax + 11 AS x, ay + 15 AS y FROM annot WHERE slot % 10 = 3)",
+        "SELECT doc_id, page, point_id, min(sqrt(greatest(x0 - x, 0, x - x1) ** 2 + greatest(y0 - y, 0, y - y1) ** 2)) AS nearest, min(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) AS centre FROM cands JOIN pts USING (doc_id, page) GROUP BY 1, 2, 3",
     ),
     "q_thresholds": _sql(
         GLYPHS,
@@ -230,14 +232,14 @@ UNION ALL SELECT doc_id, page, display, num, kind, x0, x1 FROM entities WHERE NO
     "q_region_extract": _sql(
         GLYPHS, DRAWINGS, REGIONS, CUT,
         f"""SELECT region_id, doc_id, page, rx0 AS x0, ry0 AS y0, rx1 AS x1, ry1 AS y1, {WIDTH}e0 AS page_width, {HEIGHT}e0 AS page_height, coalesce(n, 0)::bigint AS entity_count, coalesce(texts, '') AS texts
- FROM regions LEFT JOIN (SELECT region_id, count(*) AS n, string_agg(display, '|' ORDER BY event_id) AS texts FROM shown GROUP BY 1) USING (region_id)""",
+ FROM regions LEFT JOIN (SELECT rid, count(*) AS n, string_agg(display, '|' ORDER BY event_id) AS texts FROM shown GROUP BY 1) USING (rid)""",
         least=10,
     ),
     "q_snap": _sql(
         GLYPHS, DRAWINGS, POINTS, CUT,
-        "boxed AS (SELECT s.*, sqrt(greatest(ex0 - px, 0, px - ex1) ** 2 + greatest(ay - py, 0, py - (ay + 9)) ** 2) AS d FROM shown s JOIN regions USING (region_id))",
-        """SELECT region_id AS point_id, doc_id, coalesce(n, 0)::bigint AS candidate_count, display AS display_text, round_even(d, 3) AS snap_distance
- FROM regions LEFT JOIN (SELECT region_id, count(*) AS n, arg_min(display, d) AS display, min(d) AS d FROM boxed GROUP BY 1) USING (region_id)""",
+        "boxed AS (SELECT s.*, sqrt(greatest(ex0 - px, 0, px - ex1) ** 2 + greatest(ay - py, 0, py - (ay + 9)) ** 2) AS d FROM shown s JOIN regions USING (rid))",
+        """SELECT region_id AS point_id, doc_id, page, coalesce(n, 0)::bigint AS candidate_count, display AS display_text, round_even(d, 3) AS snap_distance
+ FROM regions LEFT JOIN (SELECT rid, count(*) AS n, arg_min(display, d) AS display, min(d) AS d FROM boxed GROUP BY 1) USING (rid)""",
         least=10,
     ),
     "q_page_summary": _sql(*FULL, f'SELECT doc_id, entity_type, count(*) AS n, sum(tolerance) AS tolerances, max("max") AS most FROM ({FULL_ROWS}) GROUP BY 1, 2', least=10),

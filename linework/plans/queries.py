@@ -80,13 +80,16 @@ def sheets(annot: DataFrame) -> DataFrame:
 
 
 def regions(annot: DataFrame) -> DataFrame:
-    """Two a page, one by overlap and one by centres."""
+    """Three a page, with the same ids on every page: one by overlap, one by centres, and one that holds what the first does."""
     mode = F.when(F.col("event_id") % 2 == 0, "center").otherwise("intersects")
-    return annot.where("slot in (7, 28)").select("doc_id", "page", F.col("event_id").alias("region_id"), (F.col("ax") - 42).alias("x0"), (F.col("ay") - 30).alias("y0"), (F.col("ax") + 182).alias("x1"), (F.col("ay") + 81).alias("y1"), mode.alias("glyph_mode"))
+    twice = F.explode(F.when(F.col("slot") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    r = annot.where("slot in (7, 28)").withColumn("wider", twice)
+    return r.select("doc_id", "page", (F.col("slot") + F.col("wider")).cast("long").alias("region_id"), (F.col("ax") - 42 - F.col("wider")).alias("x0"), (F.col("ay") - 30).alias("y0"), (F.col("ax") + 182).alias("x1"), (F.col("ay") + 81).alias("y1"), mode.alias("glyph_mode"))
 
 
 def points(annot: DataFrame) -> DataFrame:
-    return annot.where("slot % 10 = 3").select(F.col("event_id").alias("point_id"), "doc_id", "page", (F.col("ax") + 11).alias("x"), (F.col("ay") + 15).alias("y"), F.lit(24.0).alias("radius"), F.lit("intersects").alias("glyph_mode"))
+    """Five a page, with the same ids on every page."""
+    return annot.where("slot % 10 = 3").select(F.col("slot").cast("long").alias("point_id"), "doc_id", "page", (F.col("ax") + 11).alias("x"), (F.col("ay") + 15).alias("y"), F.lit(24.0).alias("radius"), F.lit("intersects").alias("glyph_mode"))
 
 
 def candidate_rows(annot: DataFrame) -> DataFrame:
@@ -171,17 +174,17 @@ def coordinates(spark, d):
 
 def clipped_glyphs(spark, d):
     a = annotations(spark, d)
-    return spatial.clip(glyphs(a), regions(a)).groupBy("region_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    return spatial.clip(glyphs(a), regions(a)).groupBy("doc_id", "page", "region_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 def point_distances(spark, d):
     a = annotations(spark, d)
     both = candidate_rows(a).drop("radius").join(points(a).select("point_id", "doc_id", "page", "x", "y"), ["doc_id", "page"])
-    return both.groupBy("point_id").agg(F.min(Box.of().to_point(F.col("x"), F.col("y"))).alias("nearest"), F.min(distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("centre"))
+    return both.groupBy("doc_id", "page", "point_id").agg(F.min(Box.of().to_point(F.col("x"), F.col("y"))).alias("nearest"), F.min(distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("centre"))
 
 
 def _metric_glyphs(spark, d):
-    return ch.with_thresholds(ch.with_metrics(glyphs(annotations(spark, d)).repartition(*ch.KEYS)))
+    return ch.with_thresholds(ch.with_metrics(glyphs(annotations(spark, d))))
 
 
 def thresholds(spark, d):
@@ -380,7 +383,7 @@ def region_extract(spark, d):
 def snap(spark, d):
     a = annotations(spark, d, 10)
     found = extract.snap(glyphs(a), drawings(a), sheets(a), points(a))
-    return found.select("point_id", "doc_id", F.col("candidate_count").cast("long").alias("candidate_count"), "selected.display_text", "snap_distance")
+    return found.select("point_id", "doc_id", "page", F.col("candidate_count").cast("long").alias("candidate_count"), "selected.display_text", "snap_distance")
 
 
 QUERIES = {f"q_{f.__name__}": f for f in (

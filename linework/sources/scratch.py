@@ -6,11 +6,26 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths saved so far, a list for each open temporary() and one for the rest of the session.
-_saved: list[list[str]] = [[]]
+#: Paths saved in the temporary() that is open in this thread or task, if any, with the session they belong to.
+_open: ContextVar[tuple[int, list[str]] | None] = ContextVar("open", default=None)
+#: Paths saved outside of any, by session.
+_kept: dict[int, list[str]] = {}
+_lock = Lock()
+
+
+def _session(spark: SparkSession) -> int:
+    return spark._jsparkSession.hashCode()
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    """The list that a new path of a session goes to: another thread's or another session's is never this one."""
+    session, group = _session(spark), _open.get()
+    return group[1] if group and group[0] == session else _kept.setdefault(session, [])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing stands under."""
     path = f"{shared_dir(spark)}/linework/{name}-{uuid.uuid4().hex}"
-    _saved[-1].append(path)
+    with _lock:
+        _paths(spark).append(path)
     return path
 
 
@@ -44,28 +60,37 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return put(df, fresh_path(df.sparkSession, name))
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete saved tables that nothing reads any more."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-        for group in _saved:
-            if path in group:
-                group.remove(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete saved tables that nothing reads any more; the lists of the session and of the open temporary() forget them."""
+    _delete(spark, list(paths))
+    group = _open.get()
+    with _lock:
+        for held in (_kept.get(_session(spark), []), group[1] if group else []):
+            held[:] = [p for p in held if p not in paths]
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside are removed at the end: what is needed later must have been put() elsewhere."""
-    _saved.append([])
+    """Tables saved inside, by this thread and session, are removed at the end: what is needed later must have been put()
+    elsewhere.  Blocks may be nested."""
+    group: list[str] = []
+    token = _open.set((_session(spark), group))
     try:
         yield
     finally:
-        remove(spark, *_saved[-1].copy())
-        _saved.pop()
+        _open.reset(token)
+        _delete(spark, group)
 
 
 def clear(spark: SparkSession) -> None:
-    """Remove every table that the session has saved; results not yet collected can't be read after it."""
-    remove(spark, *_saved[0].copy())
+    """Remove every table that the session has saved outside of temporary(); results not yet collected can't be read after it."""
+    with _lock:
+        paths = _kept.pop(_session(spark), [])
+    _delete(spark, paths)

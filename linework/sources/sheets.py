@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ CHAR = "struct<c:string,bbox:array<double>>"
 #: A page as text extractors give it: blocks of lines of spans of characters.
 PAGE_JSON = f"blocks array<struct<type:int,lines:array<struct<spans:array<struct<font:string,size:double,chars:array<{CHAR}>>>>>>>"
 LEAST_BYTES = 64
+#: Units about a point that are looked at (fixed values).
+LEAST_RADIUS, MOST_RADIUS, DEFAULT_RADIUS = 2.0, 80.0, 24.0
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
@@ -60,14 +65,56 @@ def write_json(records: DataFrame, path: str, mode: str = "overwrite") -> None:
     finite.sortWithinPartitions(*keys).write.mode(mode).json(path)
 
 
+def check_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) snap points: a radius is over LEAST_RADIUS and at most MOST_RADIUS units, a null one is the usual
+    DEFAULT_RADIUS; refused ones have a reason."""
+    radius = F.coalesce("radius", F.lit(DEFAULT_RADIUS))
+    reason = F.when(F.col("x").isNull() | F.col("y").isNull(), "no place").when(F.isnan(radius) | (radius <= LEAST_RADIUS) | (radius > MOST_RADIUS), "radius out of range")
+    p = points.withColumns({"radius": radius, "reason": reason})
+    return p.where("reason is null").drop("reason"), p.where("reason is not null")
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create a file that nobody else has created: true for exactly one of all who try.
+
+    Stores with an exclusive create (HDFS and its like) decide it themselves; for local files it is the
+    operating system's.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    fs.mkdirs(p.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":
+            folder = jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0))
+            jvm.java.nio.file.Files.createFile(folder, spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            fs.create(p, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e from None
+    return True
+
+
 def write_versioned(records: DataFrame, path: str) -> str:
-    """Write to the first free of path/v=1, path/v=2, ... and return it; earlier ones stay as they are."""
-    jvm, conf = records.sparkSession._jvm, records.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    n = 1
-    while True:
-        target = f"{path}/v={n}"
-        p = jvm.org.apache.hadoop.fs.Path(target)
-        if not p.getFileSystem(conf).exists(p):
-            write_json(records, target, mode="errorifexists")
-            return target
+    """Write to the first version of path/v=1, path/v=2, ... that nobody has claimed, and return it.
+
+    A version is claimed by a file under path/_claims that only one writer can create; its rows are written under
+    path/_parts and appear under their version by one rename.  So two writers at once get two versions, one that
+    is killed leaves none half visible (its number stays unused), and earlier versions stay as they are.
+    """
+    spark = records.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs, n = at("v=1").getFileSystem(conf), 1
+    while fs.exists(at(f"v={n}")) or not _claim(spark, f"{path}/_claims/v={n}"):
         n += 1
+    part = f"_parts/{uuid.uuid4().hex}"
+    try:
+        write_json(records, f"{path}/{part}", mode="errorifexists")
+        if not fs.rename(at(part), at(f"v={n}")):
+            raise OSError(f"could not publish {path}/v={n}")
+    finally:
+        fs.delete(at(part), True)
+    return f"{path}/v={n}"

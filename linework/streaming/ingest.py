@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from linework.plans.extract import extract_document
+from linework.sources.scratch import remove, save, temporary
 from linework.sources.sheets import PAGE_JSON, flatten_pages
 
-SCHEMA = f"doc_id string, page int, width double, height double, {PAGE_JSON}, drawings array<array<double>>"
+SCHEMA = f"doc_id string, page int, version long, width double, height double, {PAGE_JSON}, drawings array<array<double>>"
+#: Parts of the target that are written again by themselves.
+BUCKETS = 64
 
 
 def extract_batch(pages: DataFrame) -> DataFrame:
@@ -19,18 +23,65 @@ def extract_batch(pages: DataFrame) -> DataFrame:
     return extract_document(flatten_pages(pages), drawings, pages.select("doc_id", "page", "width", "height"))
 
 
-def stream_pages(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the dimensions of each new page file under source to Parquet under target.
+def _newest(pages: DataFrame) -> DataFrame:
+    """One row for each page: that of the highest version, of equal ones the first by content."""
+    best = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.desc_nulls_last("version"), F.xxhash64("width", "height", F.to_json(F.struct("blocks", "drawings")))))
+    return pages.withColumn("nth", best).where("nth = 1").drop("nth")
+
+
+def _in(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table under path, or an empty one of that schema where nothing stands yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def merge_batch(batch: DataFrame, target: str) -> None:
+    """Bring pages (SCHEMA) into the dimensions under target/records, where each page stands once.
 
-    A page stands in one row, so a micro-batch is complete in itself; a batch that is run again after
-    a failure overwrites its own folder.
+    What has been seen of each page, its version, stands under target/pages.  A page with a version
+    that is not higher than that is late and dropped; a newer one takes the place of the page's dimensions.
+    Both tables are dealt into BUCKETS by page, and only the buckets of the batch's pages are written
+    again, records first: a batch that is run again after a failure finds its versions unwritten, or
+    everything in place.
     """
+    spark = batch.sparkSession
+    with temporary(spark):
+        bucket = F.pmod(F.xxhash64("doc_id", "page"), F.lit(BUCKETS)).cast("int")
+        seen_schema = batch.select("doc_id", "page", "version").withColumn("bucket", bucket).schema
+        seen = _in(spark, f"{target}/pages", seen_schema)
+        fresh = _newest(batch).withColumn("bucket", bucket)
+        old = seen.select("doc_id", "page", F.col("version").alias("had"), F.lit(True).alias("known"))
+        fresh = fresh.join(old, ["doc_id", "page"], "left").where("known is null or (version is not null and (had is null or version > had))").drop("had", "known")
+        fresh = save(fresh, "fresh-pages")
+        touched = fresh.select("bucket").distinct()
+        if touched.isEmpty():
+            return
+        found = extract_batch(fresh.drop("version", "bucket")).withColumn("bucket", bucket)
+        records = _in(spark, f"{target}/records", found.schema)
 
-    def write(batch: DataFrame, number: int) -> None:
-        extract_batch(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        def merged(rows: DataFrame, new: DataFrame, name: str) -> DataFrame:
+            kept = rows.join(F.broadcast(touched), "bucket", "left_semi").join(fresh.select("doc_id", "page"), ["doc_id", "page"], "left_anti")  # BUCKETS rows at most
+            return save(kept.select(*new.columns).union(new), name)
 
-    stream = spark.readStream.schema(SCHEMA).json(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        empty = touched.select("bucket").collect()  # BUCKETS numbers at most
+        for name, rows, new in (("records", records, found), ("pages", seen, fresh.select("doc_id", "page", "version", "bucket"))):
+            out = merged(rows, new, name)
+            out.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{target}/{name}")
+            held = {r["bucket"] for r in out.select("bucket").distinct().collect()}
+            remove(spark, *(f"{target}/{name}/bucket={r['bucket']}" for r in empty if r["bucket"] not in held))
+
+
+def stream_pages(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Keep the dimensions of all page files under source in Parquet under target/records, the newest version of each page.
+
+    A page stands in one row, so a micro-batch is complete in itself.  A page without a version has the time its file
+    was written.  The tables between a batch's steps are removed with it.
+    """
+    written = (F.unix_micros("_metadata.file_modification_time")).cast("long")
+    stream = spark.readStream.schema(SCHEMA).json(source).withColumn("version", F.coalesce("version", written))
+    return stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_per_client(requests: DataFrame, gap: str = "60 milliseconds") -> DataFrame:

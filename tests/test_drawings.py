@@ -235,7 +235,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "p.json").write_text(line % chars)
     ingest.stream_pages(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    assert [r["display_text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["50.7 ±0.2"]
+    assert [r["display_text"] for r in spark.read.parquet(f"{tmp_path}/out/records").collect()] == ["50.7 ±0.2"]
 
 
 def plain(v):
