@@ -2,8 +2,8 @@
 
 Both token sequences of a text are merged by their cumulative byte ends, two pointers side by side: an offset where
 both have an end closes a group and links the tokens that end there.  Neither tokenizer merges over a place
-where a blank follows something else, so a text is a row of chunks that begin there, and a chunk is encoded and
-merged once for all the times it occurs.
+where a blank follows something else, so a text is a row of chunks that begin there: a worker remembers those it has met,
+and encodes and merges a text's other chunks together.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, chain
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from linework.sources.scratch import save
 #: A chunk: from a blank that follows something else up to the next such.
 _CHUNK = re.compile(r"(?<=\S)(?= )")
 #: Chunks that a worker remembers, and the longest.
-REMEMBERED, LONGEST = 1 << 16, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 #: The sign that stands for a blank in pieces, and pieces that stand for a byte (fixed values).
 BLANK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -38,12 +39,21 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 @dataclass
 class Side:
-    """A tokenizer: encode gives the ids of a text, size and text the bytes of an id; chunked says whether chunks can be encoded alone."""
+    """A tokenizer: encode gives the ids of a text, tokens the bytes of an id; chunked says whether chunks can be encoded apart."""
 
     encode: Callable[[str], list[int]]
     tokens: list[bytes]
     chunked: bool
 
+    def __post_init__(self):
+        self.sizes = list(map(len, self.tokens))
+        self.shown = list(map(str, range(len(self.tokens))))
+
+    def read(self, text: str, raw: bytes) -> tuple[list[int], list[int]] | None:
+        """(ids, ends in bytes) of a text; None if their bytes aren't the text's."""
+        ids = self.encode(text)
+        return (ids, list(accumulate(map(self.sizes.__getitem__, ids)))) if b"".join(map(self.tokens.__getitem__, ids)) == raw else None
+
 
 @lru_cache(maxsize=4)
 def side(path: str) -> Side:
@@ -102,69 +112,76 @@ def merge(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int
     return groups
 
 
-@dataclass
-class Aligned:
-    """A text or chunk aligned: ids of both sides, groups as merge() has them, links as pairs of ids, groups as text."""
+#: A pair of ids as a number.
+PAIR = 1 << 32
 
-    a: list[int]
-    b: list[int]
-    groups: list[tuple[int, int, int, int]]
-    links: list[int] = field(default_factory=list)
-    shown: str = ""
 
+class Chunk(NamedTuple):
+    """A chunk aligned: its tokens on both sides, its groups and their text, and its links as pairs of ids."""
 
-#: A pair of ids as a number.
-PAIR = 1 << 32
+    n_a: int
+    n_b: int
+    n_groups: int
+    shown: str
+    links: tuple[int, ...]
 
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = side(a_path), side(b_path)
         self.chunked = self.a.chunked and self.b.chunked
-        self.known: dict[str, Aligned | None] = {}
-
-    def _align(self, chunk: str) -> Aligned | None:
-        raw, sides, ends = chunk.encode(), [], []
-        for s in (self.a, self.b):
-            ids = s.encode(chunk)
-            own = [s.tokens[i] for i in ids]
-            if b"".join(own) != raw:
-                return None
-            sides.append(ids)
-            ends.append(np.cumsum(np.fromiter(map(len, own), np.int64, len(own))).tolist())
-        a, b = sides
-        out = Aligned(a, b, merge(*ends))
-        shown = []
-        for a0, a1, b0, b1 in out.groups:
-            shown.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
-            at = ends[0][a1 - 1]
-            i, j = a1 - 1, b1 - 1
-            while i > a0 and ends[0][i - 1] == at:  # tokens without bytes end where the one before does
-                i -= 1
-            while j > b0 and ends[1][j - 1] == at:
-                j -= 1
-            out.links += [x * PAIR + y for x in a[i:a1] for y in b[j:b1]]
-        out.shown = ";".join(shown)
+        self.known: dict[str, Chunk] = {}
+
+    def _align(self, chunks: list[str]) -> list[Chunk] | None:
+        """Chunks that follow each other in some text, read and merged together and cut where each one ends."""
+        text = "".join(chunks)
+        raw = text.encode()
+        left, right = self.a.read(text, raw), self.b.read(text, raw)
+        if left is None or right is None:
+            return None
+        (a, a_ends), (b, b_ends) = left, right
+        a_shown, b_shown = self.a.shown, self.b.shown
+        out, shown, links, a_from, b_from = [], [], [], 0, 0
+        ends = accumulate(len(c.encode()) for c in chunks)
+        end = next(ends)
+        for a0, a1, b0, b1 in merge(a_ends, b_ends):
+            at = a_ends[a1 - 1]
+            if a1 - a0 == 1 == b1 - b0:
+                shown.append(f"{a_shown[a[a0]]}|{b_shown[b[b0]]}")
+                links.append(a[a0] * PAIR + b[b0])
+            else:
+                shown.append(f"{','.join([a_shown[x] for x in a[a0:a1]])}|{','.join([b_shown[x] for x in b[b0:b1]])}")
+                i, j = a1 - 1, b1 - 1
+                while i > a0 and a_ends[i - 1] == at:  # tokens without bytes end where the one before does
+                    i -= 1
+                while j > b0 and b_ends[j - 1] == at:
+                    j -= 1
+                links += [x * PAIR + y for x in a[i:a1] for y in b[j:b1]]
+            if at == end:
+                out.append(Chunk(a1 - a_from, b1 - b_from, len(shown), ";".join(shown), tuple(links)))
+                shown, links, a_from, b_from, end = [], [], a1, b1, next(ends, None)
         return out
 
-    def chunk(self, chunk: str) -> Aligned | None:
-        known = self.known
-        if chunk in known:
-            return known[chunk]
-        found = self._align(chunk)
-        if len(chunk) <= LONGEST:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[chunk] = found
-        return found
-
-    def text(self, text: str | None) -> list[Aligned] | None:
+    def text(self, text: str | None) -> list[Chunk] | None:
         """The chunks of a text aligned; None if it has no tokens: null, empty, or changed by a tokenizer."""
         if not text:
             return None
         text = " " + text
-        found = list(map(self.chunk, _CHUNK.split(text))) if self.chunked else [self._align(text)]
-        return None if None in found else found
+        if not self.chunked:
+            return self._align([text])
+        chunks = _CHUNK.split(text)
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            new = list(dict.fromkeys(c for c, x in zip(chunks, found, strict=True) if x is None))
+            aligned = self._align(new)
+            if aligned is None:
+                return None
+            fresh = dict(zip(new, aligned, strict=True))
+            found = [x or fresh[c] for c, x in zip(chunks, found, strict=True)]
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+            self.known.update((c, x) for c, x in fresh.items() if len(c) <= LONGEST)
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -185,13 +202,11 @@ def _digests(a_path: str, b_path: str):
                     if found is None:
                         rows.append((0, 0, 0, 0, ""))
                     else:
-                        links: Counter[int] = Counter()
-                        for x in found:
-                            links.update(x.links)
-                        sha = hashlib.sha256()
-                        for n, x in enumerate(found):
-                            sha.update((";" * (n > 0) + x.shown).encode())
-                        rows.append((sum(len(x.a) for x in found), sum(len(x.b) for x in found), sum(len(x.groups) for x in found), links.total(), sha.hexdigest()))
+                        links = Counter(chain.from_iterable(x.links for x in found))
+                        sha = hashlib.sha256(found[0].shown.encode())
+                        for n in range(1, len(found), 1024):
+                            sha.update("".join([";" + x.shown for x in found[n : n + 1024]]).encode())
+                        rows.append((sum(x.n_a for x in found), sum(x.n_b for x in found), sum(x.n_groups for x in found), links.total(), sha.hexdigest()))
                         pairs += links.keys()
                         times += links.values()
                     ends.append(len(pairs))
@@ -215,9 +230,10 @@ def _groups(a_path: str, b_path: str):
                 for n, text in enumerate(part.column(1)):
                     nth = place = 0
                     for x in align.text(text.as_py()) or ():
-                        for a0, a1, b0, b1 in x.groups:
-                            size = sum(len(align.a.tokens[i]) for i in x.a[a0:a1])
-                            rows.append((n, nth, place, place + size, x.a[a0:a1], x.b[b0:b1]))
+                        for group in x.shown.split(";"):
+                            a, b = (list(map(int, ids.split(","))) for ids in group.split("|"))
+                            size = sum(map(align.a.sizes.__getitem__, a))
+                            rows.append((n, nth, place, place + size, a, b))
                             nth, place = nth + 1, place + size
                 if rows:
                     n, *cols = zip(*rows, strict=True)
