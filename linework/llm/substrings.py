@@ -3,8 +3,9 @@
 A passage of WINDOW words that two documents share holds a whole aligned block of BLOCK words of either one, wherever it
 begins (2 * BLOCK - 1 < WINDOW).  So each document's non-overlapping blocks are the index, and every rolling window
 of BLOCK words probes it.  Equal blocks and windows have the same least gram, and windows side by side mostly share theirs: they
-travel as one row (a run) under it, which is a twentieth of the windows' own size.  Around windows that met a block,
-the WINDOW-word windows are compared by their text's digest; their union is the maximal repeats.
+travel as one row (a run) under it, which is a tenth of the windows' own size.  From a window that met a block a hit is
+extended as far as all windows' grams stand elsewhere too; there the WINDOW-word windows are compared by their text's
+digest, and their union is the maximal repeats.
 """
 
 from __future__ import annotations
@@ -80,14 +81,10 @@ def _anchored(text: str | None, window: int, block: int):
 
 
 def _extended(text: str, spans: list[tuple[int, int]], window: int, block: int):
-    """The windows of window words that hold an anchored place (spans of them, sorted), in runs of the same least gram:
+    """The windows of window words all of whose block-word windows begin inside one of spans, in runs of the same least gram:
     (least gram, digest of the run's text, start, length, digests of its windows)."""
     words = _words(text)
-    mark = np.zeros(len(words) + 1, np.int64)
-    for a, b in spans:
-        mark[max(0, a - (window - block))] += 1
-        mark[min(b, len(words) - window + 1)] -= 1
-    at = np.flatnonzero(np.cumsum(mark)[: len(words) - window + 1])
+    at = np.concatenate([np.arange(a, b - (window - block)) for a, b in spans])
     least = _least(_grams(words, GRAM), window - GRAM + 1)[at]
     first, length = _runs(least, at)
     joined = b" ".join(words)
@@ -186,19 +183,23 @@ def _join_key(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, th, anchored) for each of docs(id, th, text) with windows that meet a block elsewhere: anchored are spans of
-    places at which a block-word window begins that has the least gram of some document's block, and not alone."""
+    """(id, th, anchored) for those of docs(id, th, text) with hits: anchored are spans of places at each of which a
+    window of a block's length begins whose least gram stands elsewhere too, at one of them as that of some document's block.
+
+    Runs meet the counts of their grams by a join on the gram; one that very many runs have doesn't travel by its key.
+    """
     block = window // 2
     schema = _schema(docs, "th long, gram array<long>, start array<int>, length array<int>, block array<boolean>")
-    runs = save(docs.mapInArrow(_anchor_step(window, block), schema), "repeat-anchors")
+    runs = save(docs.mapInArrow(_anchor_step(window, block), schema).withColumn("row", F.monotonically_increasing_id()), "repeat-anchors")
     each = lambda *c: F.explode(F.arrays_zip(*c)).alias("r")
     met = runs.select(each("gram", "block")).groupBy("r.gram").agg(F.count("*").alias("n"), F.bool_or("r.block").alias("indexed"))
-    live = save(met.where("indexed and n > 1").select("gram", "n"), "repeat-grams")
-    held, total = live.agg(F.count("*"), F.sum("n")).first()
-    rows = runs.select("id", "th", each("gram", "start", "length")).select("id", "th", "r.*")
-    rows = rows.join(F.broadcast(live.select("gram")), "gram") if held * 32 <= BROADCAST_BYTES else join_hot(rows, live, "gram", total)
-    span = F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop"))
-    return rows.groupBy("id", "th").agg(F.array_sort(F.collect_set(span)).alias("anchored")).select("id", "th", _merged("anchored"))
+    live = save(met.where("n > 1"), "repeat-grams")
+    rows = join_hot(runs.select("row", each("gram", "start", "length")).select("row", "r.*"), live, "gram", live.agg(F.sum("n")).first()[0] or 0)
+    span = F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop"), "indexed")
+    spans = rows.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("s")).select("row", "s", _merged("s").alias("anchored"))
+    hit = lambda x: (x["stop"] - x["start"] > window - block) & F.exists("s", lambda r: r["indexed"] & (r["start"] >= x["start"]) & (r["stop"] <= x["stop"]))
+    spans = spans.select("row", F.filter("anchored", hit).alias("anchored")).where(F.size("anchored") > 0)
+    return spans.join(runs.select("row", "id", "th"), "row").dropDuplicates(["id", "th"]).select("id", "th", "anchored")
 
 
 def _merged(spans: str) -> Column:
@@ -206,7 +207,7 @@ def _merged(spans: str) -> Column:
     s = F.col(spans)
     starts = F.transform(F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["stop"] < x["start"])), lambda x: x["start"])
     stops = F.transform(F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["start"] > x["stop"], F.lit(True))), lambda x: x["stop"])
-    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop"))).alias(spans)
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
 
 
 def repeats(docs: DataFrame, anchored: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,24 +220,20 @@ def repeats(docs: DataFrame, anchored: DataFrame, window: int = WINDOW) -> DataF
     block = window // 2
     around = _join_key(docs, _sized_broadcast(anchored, "anchored"), "inner").select("id", "th", "text", "anchored")
     runs = around.mapInArrow(_extend_step(window, block), _schema(docs, "th long, gram long, run long, start int, length int, windows array<long>"))
-    runs = save(runs.select("id", "th", "start", F.struct("gram", "run", "length").alias("class"), "windows"), "repeat-runs")
+    runs = save(runs.select("id", "th", "start", "length", F.struct("gram", "run").alias("class"), "windows"), "repeat-runs")
     classes = runs.groupBy("class").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"), F.any_value("windows").alias("windows"))
-    classes = save(classes, "repeat-classes")
+    classes = save(classes.withColumn("no", F.monotonically_increasing_id()), "repeat-classes")
     several = classes.groupBy("class.gram").agg(F.count("*").alias("classes")).where("classes > 1").select("gram")
-    loose = classes.withColumn("gram", F.col("class.gram")).join(several, "gram", "left_semi")
-    loose = loose.select("class", "gram", "least", F.posexplode("windows").alias("nth", "window"))
+    loose = classes.select("no", "class.gram", "least", "windows").join(several, "gram", "left_semi").select("no", "gram", "least", F.posexplode("windows").alias("nth", "window"))
     first = loose.groupBy("gram", "window").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("gram", "window", "first")
-    earlier = loose.join(first, ["gram", "window"]).groupBy("class").agg(F.collect_list(F.struct("nth", "first")).alias("earlier"))
-    facts = classes.drop("windows").join(earlier, "class", "left").where("earlier is not null or least < most")
+    earlier = loose.join(first, ["gram", "window"]).where("first < least").groupBy("no").agg(F.collect_list(F.struct("nth", "first")).alias("earlier"))
+    facts = classes.drop("windows").join(earlier, "no", "left").where("earlier is not null or least < most")
     facts = save(facts.select("class", "least", "n", "earlier"), "repeat-facts")
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    size = facts.agg(F.sum(96 + 24 * F.coalesce(F.size("earlier"), F.lit(0)))).first()[0] or 0
-    rows = runs.select("id", "th", "start", "class")
-    rows = rows.join(F.broadcast(facts), "class") if size <= BROADCAST_BYTES else join_hot(rows, facts, "class", total, 1024)
+    rows = join_hot(runs.select("id", "th", "start", "length", "class"), facts, "class", facts.agg(F.sum("n")).first()[0] or 0, 1024)
     span = lambda at, n: F.struct((F.col("start") + at).cast("int").alias("start"), (F.col("start") + at + n + window - 1).cast("int").alias("stop"))
     some = F.transform(F.filter("earlier", lambda w: w["first"] < F.col("id")), lambda w: span(w["nth"], F.lit(1)))
-    gone = F.when(F.col("least") < F.col("id"), F.array(span(F.lit(0), F.col("class.length")))).otherwise(some)
-    return rows.select("id", "th", F.explode(gone).alias("s")).groupBy("id", "th").agg(F.array_sort(F.collect_set("s")).alias("spans")).select("id", "th", _merged("spans"))
+    gone = F.when(F.col("least") < F.col("id"), F.array(span(F.lit(0), F.col("length")))).otherwise(some)
+    return rows.select("id", "th", F.explode(gone).alias("s")).groupBy("id", "th").agg(F.array_sort(F.collect_set("s")).alias("spans")).select("id", "th", _merged("spans").alias("spans"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
