@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linework.llm.common import runs_of, with_text
+from linework.sources.scratch import save
 
-#: Learning is bounded: at most this many documents a language (those least by hash), and of each
-#: one slice of at most so many characters, from a place that its hash chooses.
-SLICES, SLICE = 64, 400
+#: Learning is bounded: so many whole texts a language, of up to LONGEST characters where there are such, and so many languages.
+SAMPLES, LONGEST, MOST_LANGS = 8, 8_000, 256
 #: Codes: 0 a letter that no learned text has, 1 a run of anything but letters, 2 a mark between
-#: slices that no text contains, then every learned letter by frequency.
+#: samples that no text contains, then every learned letter by frequency.
 MARK = 2
 #: Codes below this have a column in the dense table of transitions; those of rarer letters are sparse.
 DENSE = 64
@@ -30,19 +30,22 @@ RESULTS = ("lang_pred", "score")
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, str]:
-    """A sample of text per non-null language, the same for the same rows in any order.
+    """A sample of whole texts per non-null language, the same for the same rows in any order.
 
-    Texts are dealt by their hash into SLICES parts a language and one text of each part gives a
-    slice (the least by hash, so copies count once): SLICE characters from anywhere in it.  What
-    comes to the driver is at most SLICES rows a language.
+    Texts are dealt by their hash into SAMPLES parts a language and each part gives one text: the least by hash of
+    those of up to LONGEST characters, or the shortest where all are longer.  So copies count once,
+    and what comes to the driver is SAMPLES texts a language at most, of the MOST_LANGS languages with the most rows.
     """
-    length = F.length(text_col)
-    start = F.pmod(F.xxhash64(F.lit("slice"), text_col), F.greatest(length - SLICE, F.lit(0)) + 1).cast("int") + 1
-    slim = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), start, F.lit(SLICE)).alias("slice"))
-    least = slim.groupBy("lang", F.pmod("h", F.lit(SLICES)).alias("part")).agg(F.min(F.struct("h", "slice")).alias("least"))
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    over = F.when(F.length("text") > LONGEST, F.length("text")).otherwise(0)
+    least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("part")).agg(F.min(F.struct(over.alias("over"), "h")).alias("least"), F.count("*").alias("n"))
+    least = save(least.select("lang", "least.h", "n"), "language-samples")
+    langs = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).select("lang")
+    chosen = save(least.join(F.broadcast(langs), "lang").select("lang", "h"), "language-samples")
+    once = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))  # SAMPLES rows a language at most
     found: dict[str, list] = {}
-    for r in least.select("lang", "least.h", "least.slice").collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["slice"]))
+    for r in once.collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
     return {lang: "\0".join(s for _, s in sorted(rows)) for lang, rows in sorted(found.items())}
 
 

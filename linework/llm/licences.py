@@ -103,6 +103,8 @@ SHORT, LONG = 2, 3
 REACH = 4
 #: Diagonals at most a tenth of the template, and eight words, apart are one match with words put in or left out.
 DRIFT, MOST_DRIFT = 10, 8
+#: A match drifts by an eighth of the template at most, or twice MOST_DRIFT words: so its words stand in order, but for that, in a span of about its length.
+SPREAD = 8
 #: The share of a notice's words that must agree.
 COVERAGE = 0.8
 
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     left out by a bitmap before), and their words must be the template's.  A shared gram votes
     for its diagonal with the template words that agree there, its own and those up to REACH beside
     it, so repeated rows don't count twice.  Diagonals with few votes are dropped, neighbouring ones
-    merge.  A phrase stands where its diagonal has all its words.  A notice's label is given where
+    merge, but only so far apart as SPREAD allows (two spans that overlap by half hold every match that is not wider).  A phrase stands where its diagonal has all its words.  A notice's label is given where
     COVERAGE of its words agree, all its numbers (versions) among them; score is the best
     coverage (1 for a phrase).  Templates are constants of the code or of the caller; their table is
     broadcast if it fits.  Texts are read once and never shuffled.
@@ -197,7 +199,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     lines = save(voted.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("held")), "licence-votes")
     order = Window.partitionBy("id", "th", "template").orderBy("diagonal")
     strong = lines.where(~F.col("base") & (F.size("held") >= F.col("least"))).withColumn("step", F.col("diagonal") - F.lag("diagonal").over(order))
-    runs = strong.withColumn("run", F.sum((F.col("step").isNull() | (F.col("step") > F.col("apart"))).cast("int")).over(order)).groupBy(*key, "run").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+    runs = strong.withColumn("run", F.sum((F.col("step").isNull() | (F.col("step") > F.col("apart"))).cast("int")).over(order)).withColumn("first", F.min("diagonal").over(Window.partitionBy("id", "th", "template", "run")))
+    half = F.greatest(F.floor(F.col("size") / SPREAD), F.lit(2 * MOST_DRIFT))
+    nth = F.floor((F.col("diagonal") - F.col("first")) / half)
+    runs = runs.withColumn("span", F.explode(F.array(nth, nth - 1))).groupBy(*key, "run", "span").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
     share = F.when(F.size(F.array_except("numbers", "held")) == 0, F.size("held") / F.col("size")).otherwise(0.0)
     noted = runs.select("id", "th", "label", share.alias("coverage")).groupBy("id", "th").agg(F.collect_set(F.when(F.col("coverage") >= COVERAGE, F.col("label"))).alias("more"), F.max("coverage").alias("best"))
     whole = lines.where("base").where(F.size("held") == F.col("size"))

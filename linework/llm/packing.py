@@ -173,14 +173,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     columns are ignored, so their names can't clash.
     """
     spark = docs.sparkSession
-    cut = save(pieces(docs, path, id_col, text_col, capacity, end_id), "pieces")
+    cut = save(pieces(docs, path, id_col, text_col, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(k, -(-n // PART_PIECES)) for k, n in histogram.items()], "length long, parts long")
-    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), "parts")).drop("parts")  # capacity rows at most
+    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).drop("parts")  # capacity rows at most
     counted = save(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32", "row"))
     ranked = cut.withColumn("nth", within).join(checked_broadcast(offsets, 24, counted.count()), ["length", "part"])
     ranked = ranked.withColumn("rank", F.col("earlier") + F.col("nth") - 1)
     schema = "length long, first_rank long, n long, per_sequence long, first_sequence long, first_offset long, tokens long"

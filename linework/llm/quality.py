@@ -8,15 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linework.llm.common import runs_of, small_batches, with_text
 from linework.sources.scratch import save
 
-#: Learning is bounded: this many labelled documents, whole (those least by hash of their text).
-SAMPLE_DOCS = 2000
+#: Learning is bounded: this many labelled documents, whole (those least by hash of their text), and this many lines of
+#: them all (some 100 MB of features); a document of over a tenth of that isn't learned from.
+SAMPLE_DOCS, SAMPLE_LINES = 2000, 200_000
 #: A training text is learned as chains of this many consecutive lines.
 CHAIN = 64
 #: Lines, padding counted, that inference holds at once; chains of more lines than LONG go alone.
@@ -223,7 +224,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on SAMPLE_DOCS labelled documents at most, whole, each text once for each label.
+    """Fit on SAMPLE_DOCS labelled documents at most, whole, each text once for each label, of SAMPLE_LINES lines at most
+    together; texts of over a tenth of that are not among them.
 
     Ids with a null or with two different labels are left out.  The bound is on rows: ids are chosen by
     hash first, so that only theirs are joined, then texts, since an id may stand for many.
@@ -233,7 +235,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     once = texts.join(F.broadcast(chosen), "id").groupBy("good", F.xxhash64("text").alias("th")).agg(F.first("text").alias("text"))
     once = save(once, "labelled-texts")
-    bound = once.select("th", "good").orderBy("th", "good").limit(SAMPLE_DOCS)
+    lines = F.length(F.regexp_replace("text", "[^\n\r]", "")) + 1
+    bound = once.select("th", "good", lines.alias("lines")).where(F.col("lines") <= SAMPLE_LINES // 10).orderBy("th", "good").limit(SAMPLE_DOCS)
+    upto = F.sum("lines").over(Window.partitionBy(F.lit(0)).orderBy("th", "good"))  # SAMPLE_DOCS rows at most
+    bound = bound.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_LINES).select("th", "good")
     rows = once.join(F.broadcast(bound), ["th", "good"], "left_semi").select("good", "text").transform(small_batches).mapInArrow(_features, "good int, x binary, w binary").collect()
     found = sorted((r["good"], bytes(r["x"]), bytes(r["w"])) for r in rows)
     return fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in found], [np.frombuffer(w) for _, _, w in found], [g for g, _, _ in found])

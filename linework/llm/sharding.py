@@ -10,7 +10,7 @@ from linework.sources.scratch import save
 
 #: Bits a dimension; with three dimensions the curve has 4096 cells.
 BITS = 4
-#: Rows of a part of a cell (by the text's hash), and of a part of a hot group (by the id's), about.
+#: Rows of a part of a cell (by the text's hash), and of a part of a hot group (by the row's number), about.
 PART_ROWS, HOT_ROWS = 100_000, 1000
 #: A group of equal texts stays whole unless it holds more than this share of a shard's bytes and more than the largest text.
 WHOLE = 0.01
@@ -76,7 +76,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     shard's bytes and more than the largest text, which unbalances shards as much.
 
     Positions are sums over cells, then over parts of a cell, then within a part; a hot group has
-    parts of its own by id.  The parts grow in number with the rows, so no window sees more than
+    parts of its own, by the number that its rows got when they were first saved.  The parts grow in number with the rows, so no window sees more than
     4096 cells, a cell's parts or one part.
     Null texts have size 1 and the CRC of no bytes; null categories sort first; repeated rows each
     get a slot; an empty table gives none; other columns are ignored, so their names can't clash.
@@ -85,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     have = [F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in categories]
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), *(c.alias(f"c{i}") for i, c in enumerate(have)))
     own = [f"c{i}" for i in range(len(have))]
-    slim = rows.select("id", (F.octet_length("raw") + 1).cast("long").alias("size"), F.crc32("raw").alias("crc"), F.xxhash64("raw").alias("th"), *own)
+    slim = rows.select("id", (F.octet_length("raw") + 1).cast("long").alias("size"), F.crc32("raw").alias("crc"), F.xxhash64("raw").alias("th"), F.monotonically_increasing_id().alias("row"), *own)
     slim = save(slim, "shard-rows")
     group, dims = ["th", "crc", "size"], ["size", *own]
     groups = save(slim.groupBy(*group).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in own)), "shard-groups")
@@ -100,13 +100,13 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     placed = save(placed.select(*group, "n", "curve", heavy.alias("heavy"), (heavy | (F.col("n") > HOT_ROWS)).alias("hot")), "shard-groups")
     cell_rows = placed.groupBy("curve").agg(F.ceil(F.sum("n") / PART_ROWS).alias("parts"))
     placed = placed.join(F.broadcast(cell_rows), "curve").withColumn("group", F.struct(*group))  # 2 ** (bits * dimensions) rows at most
-    # The order: cell, part of the hash, groups that aren't hot and then each hot one, part of the id.
+    # The order: cell, part of the hash, groups that aren't hot and then each hot one, part of the row's number.
     unit = ["curve", "part", "alone", "turn"]
     part = F.pmod("th", F.col("parts"))
     alone = F.when(F.col("hot"), F.col("th"))
-    turn = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HOT_ROWS))).otherwise(F.lit(0))
-    rows = join_hot(slim.select("id", F.struct(*group).alias("group")), placed.drop(*group), "group", count, 96)
-    rows = rows.select("id", "group.*", "n", "curve", "heavy", "hot", "parts").select("id", *group, "curve", "heavy", part.alias("part"), alone.alias("alone"), turn.alias("turn"))
+    turn = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / HOT_ROWS))).otherwise(F.lit(0))
+    rows = join_hot(slim.select("id", "row", F.struct(*group).alias("group")), placed.drop(*group), "group", count, 96)
+    rows = rows.select("id", "row", "group.*", "n", "curve", "heavy", "hot", "parts").select("id", "row", *group, "curve", "heavy", part.alias("part"), alone.alias("alone"), turn.alias("turn"))
     rows = save(rows, "shard-placed")
     units = rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.count("*").alias("k"))
     cells = units.groupBy("curve").agg(F.sum("b").alias("b"), F.sum("k").alias("k"))
@@ -122,7 +122,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     for c in ("curve", "part", "turn"):
         on &= rows[c] == unit_at[f"u_{c}"]
     joined = rows.join(unit_at, on)
-    within = Window.partitionBy(*unit).orderBy("th", "crc", "size", "id")
+    within = Window.partitionBy(*unit).orderBy("th", "crc", "size", "id", "row")
     whole = Window.partitionBy(*unit, "th", "crc", "size")
     joined = joined.withColumn("at", F.col("b0") + over("size", within)).withColumn("rank", F.col("k0") + F.row_number().over(within) - 1)
     start = F.when(F.col("heavy"), F.col("at")).when(F.col("alone").isNotNull(), F.col("g0")).otherwise(F.min("at").over(whole))

@@ -75,7 +75,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     kind = dict(pages.dtypes)[payload_col]
     raw = F.col(payload_col) if kind == "binary" else F.encode(F.col(payload_col).cast("string"), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(raw, F.lit(b"")).alias("payload"))
-    slim = save(rows.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("sha1")), "warc-digests")
+    slim = save(rows.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("n"), sha1_base32(F.col("payload")).alias("sha1"), F.monotonically_increasing_id().alias("row")), "warc-digests")
     top = save(slim.groupBy("sha256").agg(F.max("id").alias("top"), F.count("*").alias("n")), "warc-groups")
     known = join_hot(slim.withColumnRenamed("n", "bytes"), top, "sha256", top.agg(F.sum("n")).first()[0] or 0, 128)
     parts = F.ceil(F.col("n") / PART_RECORDS).cast("int")
@@ -95,7 +95,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         _line("X-Payload-Length", F.col("bytes")),
         _line("X-Payload-SHA256", F.col("sha256")),
     )
-    part = F.pmod(F.xxhash64("id", "url"), parts).cast("int")
+    part = F.pmod(F.xxhash64("row"), parts).cast("int")
     known.select(F.col("id").cast("string").alias("record_id"), "sha256", part.alias("part"), header.alias("header")).write.parquet(f"{archive.path}/headers")
     keyed = rows.select(F.sha2("payload", 256).alias("sha256"), "payload")
     counted = keyed.groupBy("sha256").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))

@@ -100,6 +100,22 @@ def test_hilbert_curve_is_continuous(spark):
     assert all(sum(abs(x - y) for x, y in zip(p[1:], q[1:], strict=True)) == 1 for p, q in zip(rows, rows[1:], strict=False))
 
 
+def recursive_hilbert(level):
+    """The plane curve from its definition: four copies of the one before, the outer two turned over a diagonal."""
+    if not level:
+        return [(0, 0)]
+    before, n = recursive_hilbert(level - 1), 1 << (level - 1)
+    return [(y, x) for x, y in before] + [(x, y + n) for x, y in before] + [(x + n, y + n) for x, y in before] + [(2 * n - 1 - y, n - 1 - x) for x, y in before]
+
+
+def test_hilbert_curve_is_the_plane_one(spark):
+    side, curve = 16, recursive_hilbert(4)
+    frame = spark.range(side**2).selectExpr(f"id % {side} a", f"cast(floor(id / {side}) as long) b")
+    got = [(r["a"], r["b"]) for r in sorted(sharding.add_hilbert(frame, ["a", "b"], "h", 4).collect(), key=lambda r: r["h"])]
+    turned = lambda p: [p, [(y, x) for x, y in p]]
+    assert got in turned(curve)
+
+
 def test_shards_are_even(spark, data):
     docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = queries.op7_sharding(spark, data).collect()

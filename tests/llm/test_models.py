@@ -159,7 +159,7 @@ def plain_phrases(sample, text):
 def test_language_is_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     samples = langid.learn(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    assert all(len(x) > 10_000 and len(x.split("\0")) <= langid.SLICES for x in samples.values())
+    assert all(len(x) > 5_000 and len(x.split("\0")) <= langid.SAMPLES for x in samples.values())
     model = langid.Automaton(tuple(samples.items()))
     plain = lambda t, marks=False: "".join(map(chr, (model.encode(t, marks) + 40).tolist()))
     coded = [plain(s, True) for s in samples.values()]
@@ -191,13 +191,27 @@ def test_parse_carries_on(monkeypatch):
     assert (same.phrases(long) == want).all()
 
 
-def test_slices_come_from_whole_texts(spark):
-    text = "".join(chr(97 + n % 26) for n in range(3000)) + "zzzz" * 500
-    docs = spark.createDataFrame([(f"{n} {text} {n}", "en") for n in range(200)], "text string, lang string")
-    slices = langid.learn(docs)["en"].split("\0")
-    assert 50 < len(slices) <= langid.SLICES and {len(s) for s in slices} == {langid.SLICE}
-    assert len({s[:30] for s in slices}) > 20 and any(set(s) == {"z"} for s in slices)
-
+def test_samples_are_whole_texts(spark, monkeypatch):
+    rows = [(f"{n} " + "abc " * (n * 37 % 5000), "en") for n in range(60)] + [("x" * (langid.LONGEST + n), "xx") for n in range(1, 40)] + [("copied text", "cc")] * 50 + [("lone", "rare"), (None, "rare"), ("  ", "rare")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = langid.learn(docs)
+    texts = {t for t, _ in rows}
+    assert all(s in texts for x in found.values() for s in x.split("\0")) and found["cc"] == "copied text" and found["rare"] == "lone"
+    assert len(found["en"].split("\0")) == langid.SAMPLES and all(len(s) <= langid.LONGEST for s in found["en"].split("\0"))
+    assert min(map(len, found["xx"].split("\0"))) == langid.LONGEST + 1 and len(found["xx"].split("\0")) <= langid.SAMPLES
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    assert set(langid.learn(docs)) == {"en", "cc"}
+
+
+def test_quality_learns_from_so_many_lines(spark, monkeypatch):
+    rows = [(n, "\n".join(f"line {n} {k}" for k in range(1 + n % 4))) for n in range(40)] + [(99, "\n".join("one more" for _ in range(500)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    held = []
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 50)
+    monkeypatch.setattr(quality, "fit", lambda chains, weights, labels: held.append([len(c) for c in chains]))
+    quality.learn(docs, labels)
+    assert 10 < sum(held[0]) <= 50 and max(held[0]) <= 5
 
 def test_language_odd_rows(spark, odd):
     samples = langid.learn(odd)
