@@ -46,6 +46,20 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, row_bytes:
     return rows.join(hot, key).unionByName(rest)
 
 
+def join_skewed(rows: DataFrame, facts: DataFrame, keys: list[str], facts_bytes: int) -> DataFrame:
+    """rows joined on keys with facts of about facts_bytes bytes: broadcast if they fit.
+
+    Else the rows of each key are counted; the facts of keys of over HOT_ROWS rows, which are few, are broadcast (their
+    rows stay where they are), and the others are shuffled.
+    """
+    if facts_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts), keys)
+    rows = save(rows, "skewed")
+    hot = save(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(*keys), "hot")
+    known = F.broadcast(hot)  # one row in HOT_ROWS at most
+    return rows.join(F.broadcast(facts.join(known, keys, "left_semi")), keys).unionByName(rows.join(known, keys, "left_anti").join(facts.join(known, keys, "left_anti"), keys))
+
+
 def prefix_bitmap(prefixes: Iterable[int]) -> Column:
     """A bitmap, as an array of 64-bit words, of hash prefixes of PREFIX_BITS bits."""
     held = [0] * ((1 << PREFIX_BITS) // 64)

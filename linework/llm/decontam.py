@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linework.llm.common import PREFIX_BITS, checked_broadcast, in_bitmap, let, prefix_bitmap, word_count, words
+from linework.llm.common import PREFIX_BITS, checked_broadcast, in_bitmap, join_skewed, let, prefix_bitmap, word_count, words
 from linework.sources.scratch import save
 
 #: Words of a window; an item of fewer words is one window.
@@ -102,7 +102,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     One pass tokenises each document and winnows it for every length of item windows there is: SPAN
     words, and fewer where items are shorter.  Winnowed grams carry the words around them to a
     broadcast of the items' (a shuffle if that is too large), so a document's text is read once
-    and never shuffled; grams whose hash prefix no item has are left out by a bitmap before.  Around each shared gram the exact windows are compared as text, so no
+    and never shuffled; a passage that very many documents have stays where it is even then (join_skewed).
+    Grams whose hash prefix no item has are left out by a bitmap before.  Around each shared gram the exact windows are compared as text, so no
     hash decides a hit.
 
     Null texts have no words and no hits.  Items without words are left out; one with a null id
@@ -125,13 +126,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         held = save(held, "benchmark-windows")
         tokens = docs.select("id", "th", words(F.col("text")).alias("words"))
         bitmap = prefix_bitmap(r[0] for r in known.select(F.shiftrightunsigned("fp", 31 - PREFIX_BITS)).distinct().collect())
-        met = fingerprints(tokens, spans, ["id", "th"], bitmap).join(checked_broadcast(known, 16), ["span", "fp"])
+        met = join_skewed(fingerprints(tokens, spans, ["id", "th"], bitmap), known, ["span", "fp"], 16 * known.count())
         tried = met.select("id", "th", "span", "from", F.explode(_windows_in(F.col("around"), F.col("span"))).alias("w")).select("id", "th", "span", (F.col("from") + F.col("w.start")).alias("start"), "w.window")
         windows = save(held.select("window").distinct(), "benchmark-window-texts")
         size = windows.agg(F.count("*"), F.sum(F.octet_length("window"))).first()
-        hits = save(tried.join(checked_broadcast(windows, 1, rows=64 * size[0] + (size[1] or 0)), "window").select("id", "th", "start", (F.col("start") + F.col("span")).alias("stop"), "window").distinct(), "benchmark-hits")
+        hits = save(join_skewed(tried, windows, ["window"], 64 * size[0] + (size[1] or 0)).select("id", "th", "start", (F.col("start") + F.col("span")).alias("stop"), "window").distinct(), "benchmark-hits")
         covered = hits.groupBy("id", "th").agg(_covered(F.array_sort(F.collect_list(F.struct("start", "stop")))).alias("n_hit"))
-        listed = hits.select("id", "th", "window").distinct().join(held.where("item_id is not null"), "window").select("id", "th", "item_id").distinct()
+        items_of = held.where("item_id is not null")
+        listed = join_skewed(hits.select("id", "th", "window").distinct(), items_of, ["window"], items_of.agg(F.sum(F.octet_length("window") + F.octet_length("item_id") + 64)).first()[0] or 0).select("id", "th", "item_id").distinct()
         listed = listed.groupBy("id", "th").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item_id"))), 256).alias("items_sha256"))
         same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
         per_doc = covered.join(listed, same(covered, listed), "left").select(covered["id"].alias("hid"), covered["th"].alias("hth"), "n_hit", "n_items", "items_sha256")

@@ -74,9 +74,9 @@ def links(fps: DataFrame) -> DataFrame:
     fp = F.col("fp")
     pairs = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
     keys = F.explode(F.array(*(F.struct(F.lit(n).alias("combo"), (_block(fp, a) * 65536 + _block(fp, b)).alias("key")) for n, (a, b) in enumerate(pairs))))
-    rows = fps.select("fp", keys.alias("k")).select("fp", "k.combo", "k.key")
-    sizes = rows.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = save(rows.join(sizes, ["combo", "key"]), "simhash-buckets")
+    rows = fps.select("fp", keys.alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = save(join_hot(rows, sizes, "bucket", len(pairs) * fps.count()).select("fp", "bucket.*", "n"), "simhash-buckets")
     small = shared.where(F.col("n") <= HOT_BUCKET)
     other = small.select("combo", "key", F.col("fp").alias("v"))
     near = small.withColumnRenamed("fp", "u").join(other, ["combo", "key"]).where("u > v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE).select("u", "v")

@@ -54,8 +54,9 @@ def test_simhash_hot_bucket(spark, monkeypatch):
     f = np.array(fps, np.uint64)
     want = components(fps, [(fps[a], fps[b]) for a, b in np.argwhere(np.bitwise_count(f[:, None] ^ f[None]) <= 2) if a < b])
     frame = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for most in (256, 8):
+    for most, hot in ((256, 10**6), (8, 3)):
         monkeypatch.setattr(simhash, "HOT_BUCKET", most)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         pairs = [(r["u"], r["v"]) for r in simhash.links(frame).collect()]
         assert all(bin(a ^ b).count("1") <= 2 or most == 8 for a, b in pairs)
         assert components(fps, pairs) == want
@@ -171,7 +172,7 @@ def plain_contamination(docs, items):
     return out
 
 
-def test_contamination_of_odd_texts(spark):
+def test_contamination_of_odd_texts(spark, monkeypatch):
     long = [f"w{n}" for n in range(40)]
     items = [(1, " ".join(long[:30])), (2, "Short item"), (2, "w39"), (10, " ".join(long[5:20])), (3, None), (4, "--"), (None, "w1 w2")]
     docs = [(1, " ".join(long)), (2, "a SHORT, item! short item"), (3, None), (4, ""), (5, "x " * 500 + " ".join(long[2:15])), (6, " ".join(long[2:14])), (7, "w39 " + "y " * 30)]
@@ -179,6 +180,9 @@ def test_contamination_of_odd_texts(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"words": F.lit(1), "fp": F.lit("z")})
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.contamination(d, b).collect()}
     assert got == plain_contamination(docs, items) and got[7][1] == 1 and got[1][2] == 3
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.contamination(d, b).collect()} == got
     assert {r["n_hit"] for r in decontam.contamination(d, b.limit(0)).collect()} == {0}
     assert decontam.contamination(d.limit(0), b).count() == 0
 
