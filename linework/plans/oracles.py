@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from linework.functions.text import STANDARD_TOLERANCES
-from linework.plans.queries import _AT, _FORM, _MARKS, _MIXED, _PLACE, _READING, HEIGHT, WIDTH
+from linework.plans.queries import _AT, _CROWD, _CROWD_AT, _FORM, _INLINE, _LONE, _MARKS, _MIXED, _NUMBERS, _PLACE, _READING, HEIGHT, WIDTH
 
 
 def _annotations(least: int = 0) -> str:
@@ -130,6 +130,38 @@ gaps AS (SELECT o.rid, o.event_id, min(sqrt((cx - dx) * (cx - dx) + (cy - dy) *
 placed AS (SELECT o.*, coalesce(gap, 'Infinity'::double) AS distance FROM once o LEFT JOIN gaps USING (rid, event_id)),
 shown AS ({_exported("placed", margins=False)})"""
 
+#: The crowded sheets, and walks over a page in order that carry what has been taken.
+CROWD = f"""a0 AS (SELECT {_CROWD}, cast(floor(value) as bigint) a FROM events), annot AS (SELECT *, {_CROWD_AT}, {_FORM} AS text FROM a0)"""
+_SPOT = "(ax::bigint + 6 * (i - 1)) * 10000000 + ay::bigint * 1000 + ascii(substr(whole, i, 1)) % 1000"
+ORDER = f"""grp AS (SELECT doc_id, event_id, f.text, grammar_rule AS rule, annot.text AS whole, ax, ay, a, b, "left" FROM annot JOIN found f USING (event_id)),
+spots AS (SELECT *, {_SPOT} AS spot, substr(whole, i, 1) AS char, CASE WHEN rule = 'NOMINAL_ONLY' THEN i > length(whole) - length(text) WHEN rule LIKE 'IMPLICIT%' THEN substr(whole, i, 1) <> 'X' ELSE true END AS own FROM (SELECT *, unnest(range(1, length(whole) + 1)) AS i FROM grp)),
+steps AS MATERIALIZED (SELECT doc_id, event_id, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) AS nth, list(spot) AS spots, list(spot) FILTER (own) AS own, min(6 * (i - 1)) FILTER (own) + any_value(ax) AS x0, any_value(ay) AS y0, any_value(text) AS text,
+  any_value(CASE WHEN rule LIKE 'IMPLICIT%' THEN least(a, b) * 100000 + greatest(a, b) END) AS pair FROM spots GROUP BY 1, 2),
+walk AS (SELECT DISTINCT doc_id, 0::bigint AS nth, []::bigint[] AS taken, []::bigint[] AS pairs, '' AS status FROM steps
+ UNION ALL SELECT doc_id, nth, CASE WHEN status = 'skipped' THEN taken ELSE list_concat(taken, own) END, CASE WHEN status = 'kept' AND pair IS NOT NULL THEN list_append(pairs, pair) ELSE pairs END, status
+  FROM (SELECT w.doc_id, s.nth, taken, own, pairs, pair, CASE WHEN list_has_any(taken, spots) THEN 'skipped' WHEN pair IS NOT NULL AND list_contains(pairs, pair) THEN 'spent' ELSE 'kept' END AS status FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.nth = w.nth + 1)),
+ends AS (SELECT doc_id, arg_max(taken, nth) AS taken FROM walk GROUP BY 1)"""
+ORDER_ROWS = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth)::int AS chain_id, text, x0::double AS x0, y0, len(own)::int AS glyph_count FROM walk JOIN steps USING (doc_id, nth) WHERE status = 'kept'
+UNION ALL SELECT doc_id, NULL, char, (ax + 6 * (i - 1))::double, ay, 1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, spot ORDER BY event_id, i) AS again FROM spots JOIN ends USING (doc_id) WHERE NOT list_contains(taken, spot)) WHERE again = 1 AND char NOT IN ('±', '+', '-', '−')"""
+PAIRED = f"""nums AS (SELECT {_NUMBERS} FROM events),
+besides AS (SELECT *, lead(text) OVER w AS rtext, lead(ax) OVER w AS rx, lead(event_id) OVER w AS rid, min(event_id) OVER (PARTITION BY doc_id, ay) AS line_first FROM nums WINDOW w AS (PARTITION BY doc_id, ay ORDER BY ax, event_id)),
+steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_first, ax, event_id) AS nth, ax::bigint * 10000000 + ay::bigint * 1000 + text::bigint AS ka, rx::bigint * 10000000 + ay::bigint * 1000 + rtext::bigint AS kb, least(text, rtext) || greatest(text, rtext) AS pair
+  FROM besides WHERE rx - (ax + 11) > 0 AND rx - (ax + 11) <= 6e0 * 300 / 25.4e0 AND rx - (ax + 11) >= 11 * 0.35e0),
+walk AS (SELECT DISTINCT doc_id, 0::bigint AS nth, []::bigint[] AS used, []::varchar[] AS pairs, false AS taken FROM steps
+ UNION ALL SELECT doc_id, nth, CASE WHEN free THEN list_concat(used, [ka, kb]) ELSE used END, CASE WHEN free THEN list_append(pairs, pair) ELSE pairs END, free
+  FROM (SELECT w.doc_id, s.nth, used, pairs, ka, kb, pair, NOT list_contains(used, ka) AND NOT list_contains(used, kb) AND NOT list_contains(pairs, pair) AS free FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.nth = w.nth + 1))"""
+MATCHED = f"""thk AS (SELECT doc_id, event_id AS tid, cx AS tx, cy AS ty, x0 AS tx0, x1 AS tx1, y0 AS ty0 FROM cands WHERE text = 'THK'),
+near AS (SELECT thk.doc_id, tid, event_id, sqrt((tx - cx) * (tx - cx) + (ty - cy) * (ty - cy)) AS gap FROM thk JOIN cands USING (doc_id) WHERE text <> 'THK'),
+steps AS MATERIALIZED (SELECT doc_id, tid, row_number() OVER (PARTITION BY doc_id ORDER BY tid) AS nth, list(event_id ORDER BY gap, event_id) AS choices FROM near WHERE gap <= 2e0 * 300 / 25.4e0 GROUP BY 1, 2),
+walk AS (SELECT DISTINCT doc_id, 0::bigint AS nth, []::bigint[] AS used, NULL::bigint AS pick FROM steps
+ UNION ALL SELECT doc_id, nth, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (SELECT w.doc_id, s.nth, used, list_filter(choices, lambda x: NOT list_contains(used, x))[1] AS pick FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.nth = w.nth + 1)),
+bound AS (SELECT event_id, text, x0, x1, y0, tx0, tx1, ty0 FROM walk JOIN steps USING (doc_id, nth) JOIN cands ON event_id = pick JOIN thk USING (tid))"""
+
+
+def _walk(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
+
+
 SQL = {
     "q_entity_types": _sql(f"SELECT event_id, text, {TYPE.format('text')} AS entity_type FROM annot"),
     "q_lexemes": _sql(
@@ -220,6 +252,18 @@ SQL = {
 UNION ALL SELECT doc_id, page, display, num, kind, x0, x1 FROM entities WHERE NOT regexp_matches(display, '^[0-9]+([.][0-9]+)?$') AND display NOT IN ('REF', '(REF)') OR (doc_id, page) NOT IN (SELECT (doc_id, page) FROM r)""",
     ),
     "q_stacked_digits": _sql("s AS (SELECT event_id AS doc_id, ay AS y0, ay + 33 AS y1, concat((event_id * 7 + 6) % 10, (event_id * 7 + 3) % 10, (event_id * 7) % 10) AS display_text FROM annot)", "SELECT *, display_text::double AS nominal, 3 AS glyph_count FROM s"),
+    "q_inline_tolerances": _sql(
+        f"inl AS (SELECT event_id, a, b, t, {_INLINE} AS text FROM annot)",
+        f"""SELECT event_id, text, CASE WHEN ok THEN n || ' ±' || v END AS found, CASE WHEN ok THEN 'INLINE_TOLERANCE' END AS grammar_rule, CASE WHEN ok THEN n::double END AS nominal, CASE WHEN ok THEN v::double END AS tolerance_value
+ FROM (SELECT *, n <> '' AND {_fits("try_cast(n AS double)", "try_cast(v AS double)")} AS ok FROM (SELECT *, regexp_extract(trim(text), '^([0-9.]+)\\s*±\\s*([0-9.]+)$', 1) AS n, regexp_extract(trim(text), '^([0-9.]+)\\s*±\\s*([0-9.]+)$', 2) AS v FROM inl))""",
+    ),
+    "q_page_heights": _sql("SELECT event_id, ay + a - t AS height, ay + a - t - (ay + 5) AS y0, ay + a - t - ay AS y1 FROM annot"),
+    "q_crowded_order": _walk(CROWD, GRAMMAR, ORDER, ORDER_ROWS),
+    "q_crowded_pairs": _walk(PAIRED, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth)::int AS nth, text || ' X ' || rtext AS text, ax AS x0, rx + 11 AS x1, ay AS y0 FROM walk JOIN steps USING (doc_id, nth) WHERE taken"),
+    "q_crowded_matches": _walk(
+        f"{CROWD}, lone AS (SELECT * REPLACE ({_LONE} AS text) FROM annot)", CANDS.replace("FROM annot", "FROM lone"), MATCHED,
+        "SELECT event_id AS seq, text || ' THK' AS display_text, least(x0, tx0) AS x0, greatest(x1, tx1) AS x1, least(y0, ty0) AS y0, greatest(y0, ty0) + 9 AS y1 FROM bound",
+    ),
     "q_exported": _sql(CANDS, ENTITIES, DRAWINGS, NEAR.format("entities"), f"SELECT seq, display AS display_text, confidence FROM ({_exported('near')})"),
     "q_flattened_pages": _sql(GLYPHS, "SELECT doc_id, page, count(*) AS n, sum(x0) AS x, count(*) AS places, string_agg(char, '' ORDER BY seq) AS text FROM glyphs GROUP BY 1, 2"),
     "q_bursts": _sql(

@@ -6,11 +6,11 @@ character, a drawing under every third annotation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.functions import text as tx
-from linework.functions.geometry import Box, distance, envelope, screen_rect_to_sheet, sheet_to_screen
+from linework.functions.geometry import Box, distance, envelope, page_height, screen_rect_to_sheet, sheet_to_screen
 from linework.operators import chains as ch
 from linework.operators import entities as en
 from linework.operators import grammar, matching, registry, spatial
@@ -27,6 +27,16 @@ _PLACE = "event_id, cast(floor(event_id/500) as bigint) doc_id, cast(floor((even
 _AT = "cast(40 as double)+160*(slot%5) ax, cast(60 as double)+72*cast(floor(slot/5) as int) ay"
 
 
+#: The crowded sheets: 1,000 annotations a page at places that many share, some of them with the same characters.
+_CROWD = "event_id, cast(floor(event_id/1000) as bigint) doc_id, 1 page, cast(event_id%50 as int) slot, event_id%37+1 b, event_id%9+1 t"
+_CROWD_AT = "cast(6*(event_id*37%131) as double) ax, cast(9*(event_id*11%83) as double) ay"
+#: Bare numbers of two digits on 40 lines of a crowded page.
+_NUMBERS = "event_id, cast(floor(event_id/1000) as bigint) doc_id, 1 page, cast(10+event_id*7%41 as string) text, cast(event_id*613%1009 as double) ax, cast(20*(event_id*11%40) as double) ay"
+#: Every third annotation of the crowded sheets is a lone THK, the others are bare numbers.
+_LONE = "case event_id%3 when 0 then 'THK' else cast(a as string) end"
+#: Numbers with a tolerance in one token, and what only looks like that.
+_INLINE = "case event_id%5 when 0 then concat(a,'±0.',t) when 1 then concat(' ',b,' ± ',t,' ') when 2 then concat(a,'±') when 3 then concat('R',a,'±',t) else concat(b,'.5±',b) end"
+
 #: The mixed sheets: every second annotation on is upright, of two sizes, or struck twice in a font of its own.
 _MIXED = """event_id*32+i+copy seq, substr(text, i, 1) char, case event_id%4 when 3 then 'F2' else 'F1' end font, cast(case when event_id%4=2 and i%2=0 then 14 else 10 end as double) size,
  ax + case event_id%4 when 1 then 0 when 2 then 4*(i-1) else 6*(i-1) end x0, ay - case event_id%4 when 1 then 10*(i-1) else 0 end y0"""
@@ -79,6 +89,11 @@ def sheets(annot: DataFrame) -> DataFrame:
     return annot.select("doc_id", "page").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
 
 
+def crowded(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_split(_CROWD), "cast(floor(value) as bigint) a")
+    return e.selectExpr("*", *_split(_CROWD_AT), f"{_FORM} text")
+
+
 def regions(annot: DataFrame) -> DataFrame:
     """Three a page, with the same ids on every page: one by overlap, one by centres, and one that holds what the first does."""
     mode = F.when(F.col("event_id") % 2 == 0, "center").otherwise("intersects")
@@ -335,6 +350,47 @@ def exported(spark, d):
     return en.exportable(near, sheets(a)).select("seq", "display_text", "confidence")
 
 
+def inline_tolerances(spark, d):
+    token = F.struct(F.col("text").alias("text"), F.array("event_id").alias("ids"))
+    a = annotations(spark, d).withColumn("text", F.expr(_INLINE))
+    return a.withColumn("x", grammar.inline_tolerance(token)).select("event_id", "text", F.col("x.text").alias("found"), "x.grammar_rule", "x.nominal", "x.tolerance_value")
+
+
+def page_heights(spark, d):
+    """Heights of view boxes that begin anywhere, and a point's way to the screen and back over them."""
+    box = F.array(*(F.col(c).cast("double") for c in ("ax", "t", "b")), F.col("ay") + F.col("a"))
+    a = annotations(spark, d).withColumn("height", page_height(box))
+    up = Box(F.col("ax"), F.col("ay"), F.col("ax") + 9, F.col("ay") + 5).flipped(F.col("height"))
+    return a.select("event_id", "height", up.y0.alias("y0"), up.y1.alias("y1"))
+
+
+def crowded_order(spark, d):
+    """Each annotation of the crowded sheets a group: what is kept in order, and the glyphs that nobody used."""
+    g = glyphs(crowded(spark, d)).withColumns({"cx": F.col("x0") + 2.5, "cy": F.col("y0") + 4.5, "h_near": F.lit(1).cast("long"), "along": F.col("x0")})
+    own = F.struct("along", "seq", "char", "x0", "y0", "x1", "y1", "cx", "cy", "h_near")
+    groups = g.groupBy("doc_id", "page", F.floor(F.col("seq") / 32).alias("event_id")).agg(F.array_sort(F.collect_list(own)).alias("glyphs"), F.max(F.col("char").isin(*tx.OPERATORS)).alias("has_operator"), F.min("seq").alias("first_seq"))
+    zero = {c: F.lit(0) for c in ("axis_bucket", "chunk", "piece")}
+    groups = groups.withColumns({"dimension_axis": F.lit("horizontal"), "component": F.col("first_seq"), **zero, "found": grammar.dimensions(F.col("glyphs"), F.col("has_operator"))}).drop("event_id")
+    kept = registry.chains(save(registry.ordered(groups), "groups"))
+    return kept.select("doc_id", "chain_id", "text", "x0", "y0", "glyph_count")
+
+
+def crowded_pairs(spark, d):
+    """Bare numbers close to each other on the lines of a crowded page."""
+    e = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_split(_NUMBERS))
+    c = candidate_rows(e.withColumn("text", F.col("text")))
+    found = matching.form_pairs(en.with_pair_columns(c)).where("entity_type = 'SRC_dimension'")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
+    return found.select("doc_id", order.alias("nth"), "text", "x0", "x1", "y0")
+
+
+def crowded_matches(spark, d):
+    """Lone THK marks among numbers of the crowded sheets: each in order takes its nearest free one."""
+    a = crowded(spark, d).withColumn("text", F.expr(_LONE))
+    found = matching.bind_thickness(_entities(candidate_rows(a)))
+    return found.where("entity_type = 'thickness_dimension'").select("seq", "display_text", "x0", "x1", "y0", "y1")
+
+
 def flattened_pages(spark, d):
     """Nested pages back to glyphs."""
     g = glyphs(annotations(spark, d))
@@ -388,5 +444,5 @@ def snap(spark, d):
 
 QUERIES = {f"q_{f.__name__}": f for f in (
     entity_types, lexemes, noise, numbers, tolerances, pairs, margins, confidences, envelopes, coordinates, clipped_glyphs, point_distances, thresholds, neighbors, axes, components, mixed_axes, mixed_components, splits, tokens, parentheses, grammar_rules, entities,
-    dedupe_pairs, dedupe_best, nearest_drawings, nearest_parents, mixed_parents, attached_modifiers, formed_pairs, bound_thickness, merged_references, stacked_digits, exported, flattened_pages, bursts, full_page, page_chains, page_summary, region_extract, snap,
+    dedupe_pairs, dedupe_best, nearest_drawings, nearest_parents, mixed_parents, attached_modifiers, formed_pairs, bound_thickness, merged_references, stacked_digits, inline_tolerances, page_heights, crowded_order, crowded_pairs, crowded_matches, exported, flattened_pages, bursts, full_page, page_chains, page_summary, region_extract, snap,
 )}
