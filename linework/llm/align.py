@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate, chain
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +31,8 @@ from linework.sources.scratch import save
 _CHUNK = re.compile(r"(?<=\S)(?= )")
 #: Chunks that a worker remembers, and the longest.
 REMEMBERED, LONGEST = 1 << 17, 64
+#: Chunks whose groups are written out together.
+SHOWN = 10_000
 #: The sign that stands for a blank in pieces, and pieces that stand for a byte (fixed values).
 BLANK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -95,18 +96,25 @@ def side(path: str) -> Side:
 
 def merge(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
     """Groups of two sorted lists of ends, as (first, stop) of each side: they close where both have the same end."""
-    groups, i, j, a0, b0, na, nb = [], 0, 0, 0, 0, len(a_ends), len(b_ends)
-    while i < na and j < nb:
-        x, y = a_ends[i], b_ends[j]
+    groups, i, j, a0, b0 = [], 0, 0, 0, 0
+    last = max(a_ends[-1:] + b_ends[-1:], default=0) + 1
+    a_ends, b_ends = [*a_ends, last], [*b_ends, last]  # where both pointers come to rest
+    x, y = a_ends[0], b_ends[0]
+    while x != last or y != last:
         if x < y:
             i += 1
+            x = a_ends[i]
         elif y < x:
             j += 1
+            y = b_ends[j]
         else:
-            while i < na and a_ends[i] == x:
+            at = x
+            while x == at:
                 i += 1
-            while j < nb and b_ends[j] == x:
+                x = a_ends[i]
+            while y == at:
                 j += 1
+                y = b_ends[j]
             groups.append((a0, i, b0, j))
             a0, b0 = i, j
     return groups
@@ -116,20 +124,15 @@ def merge(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int
 PAIR = 1 << 32
 
 
-class Chunk(NamedTuple):
-    """A chunk aligned: its tokens on both sides, its groups and their text, and its links as pairs of ids."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    shown: str
-    links: tuple[int, ...]
+#: A chunk aligned: its tokens on both sides, its groups and their text, and its links as pairs of ids.
+Chunk = tuple[int, int, int, str, list[int]]
 
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = side(a_path), side(b_path)
         self.chunked = self.a.chunked and self.b.chunked
+        self.bare = 0 in self.a.sizes or 0 in self.b.sizes
         self.known: dict[str, Chunk] = {}
 
     def _align(self, chunks: list[str]) -> list[Chunk] | None:
@@ -140,25 +143,24 @@ class Aligner:
         if left is None or right is None:
             return None
         (a, a_ends), (b, b_ends) = left, right
-        a_shown, b_shown = self.a.shown, self.b.shown
+        a_shown, b_shown = list(map(self.a.shown.__getitem__, a)), list(map(self.b.shown.__getitem__, b))
         out, shown, links, a_from, b_from = [], [], [], 0, 0
         ends = accumulate(len(c.encode()) for c in chunks)
         end = next(ends)
         for a0, a1, b0, b1 in merge(a_ends, b_ends):
-            at = a_ends[a1 - 1]
-            if a1 - a0 == 1 == b1 - b0:
-                shown.append(f"{a_shown[a[a0]]}|{b_shown[b[b0]]}")
-                links.append(a[a0] * PAIR + b[b0])
-            else:
-                shown.append(f"{','.join([a_shown[x] for x in a[a0:a1]])}|{','.join([b_shown[x] for x in b[b0:b1]])}")
-                i, j = a1 - 1, b1 - 1
-                while i > a0 and a_ends[i - 1] == at:  # tokens without bytes end where the one before does
+            i, j = a1 - 1, b1 - 1
+            shown.append(f"{a_shown[i] if i == a0 else ','.join(a_shown[a0:a1])}|{b_shown[j] if j == b0 else ','.join(b_shown[b0:b1])}")
+            at = a_ends[i]
+            if self.bare:  # tokens without bytes end where the one before does
+                while i > a0 and a_ends[i - 1] == at:
                     i -= 1
                 while j > b0 and b_ends[j - 1] == at:
                     j -= 1
                 links += [x * PAIR + y for x in a[i:a1] for y in b[j:b1]]
+            else:
+                links.append(a[i] * PAIR + b[j])
             if at == end:
-                out.append(Chunk(a1 - a_from, b1 - b_from, len(shown), ";".join(shown), tuple(links)))
+                out.append((a1 - a_from, b1 - b_from, len(shown), ";".join(shown), links))
                 shown, links, a_from, b_from, end = [], [], a1, b1, next(ends, None)
         return out
 
@@ -202,11 +204,12 @@ def _digests(a_path: str, b_path: str):
                     if found is None:
                         rows.append((0, 0, 0, 0, ""))
                     else:
-                        links = Counter(chain.from_iterable(x.links for x in found))
-                        sha = hashlib.sha256(found[0].shown.encode())
-                        for n in range(1, len(found), 1024):
-                            sha.update("".join([";" + x.shown for x in found[n : n + 1024]]).encode())
-                        rows.append((sum(x.n_a for x in found), sum(x.n_b for x in found), sum(x.n_groups for x in found), links.total(), sha.hexdigest()))
+                        n_a, n_b, n_groups, shown, linked = zip(*found, strict=True)
+                        links = Counter(chain.from_iterable(linked))
+                        sha = hashlib.sha256()
+                        for n in range(0, len(shown), SHOWN):
+                            sha.update((";" * (n > 0) + ";".join(shown[n : n + SHOWN])).encode())
+                        rows.append((sum(n_a), sum(n_b), sum(n_groups), links.total(), sha.hexdigest()))
                         pairs += links.keys()
                         times += links.values()
                     ends.append(len(pairs))
@@ -230,7 +233,7 @@ def _groups(a_path: str, b_path: str):
                 for n, text in enumerate(part.column(1)):
                     nth = place = 0
                     for x in align.text(text.as_py()) or ():
-                        for group in x.shown.split(";"):
+                        for group in x[3].split(";"):
                             a, b = (list(map(int, ids.split(","))) for ids in group.split("|"))
                             size = sum(map(align.a.sizes.__getitem__, a))
                             rows.append((n, nth, place, place + size, a, b))
