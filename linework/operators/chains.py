@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,23 +119,26 @@ def _near(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, reach: f
     return total
 
 
-def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+def _counted(page: pa.Table) -> pa.Table:
     """One page or tile with h_near and v_near; rows that aren't own only count for others."""
-    cx, cy, size, own = (rows[c].to_numpy() for c in ("cx", "cy", "size", "own"))
-    font = pd.factorize(rows["font"], use_na_sentinel=False)[0]
-    first = rows.iloc[0]
-    near = np.zeros((2, len(rows)), np.int64)
-    for f in range(font.max() + 1):
+    cx, cy, size, own = (page[c].to_numpy() for c in ("cx", "cy", "size", "own"))
+    font = pa.array(page["font"].to_pylist()).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    h_gap, v_gap, line, col, sizes_fit = (page[c][0].as_py() for c in ("h_gap_max", "v_gap_max", "line_tol", "col_tol", "size_tol"))
+    near = np.zeros((2, len(cx)), np.int64)
+    for f in np.unique(font):
         of = np.flatnonzero(font == f)
         of = of[np.argsort(size[of], kind="stable")]
         sizes, at = np.unique(size[of], return_inverse=True)
-        lo, hi = _bounds(sizes, sizes, first["size_tol"])
+        lo, hi = _bounds(sizes, sizes, sizes_fit)
         for a, b in np.unique(np.stack([lo, hi], axis=1), axis=0):  # sizes that fit the same sizes go together
             p, q = of[(at >= a) & (at < b)], of[(lo[at] == a) & (hi[at] == b)]
             q = q[own[q]]
-            near[0, q] = _near(cx[p], cy[p], cx[q], cy[q], first["h_gap_max"], first["line_tol"])
-            near[1, q] = _near(cy[p], cx[p], cy[q], cx[q], first["v_gap_max"], first["col_tol"])
-    return rows.assign(h_near=near[0], v_near=near[1])[own]
+            near[0, q] = _near(cx[p], cy[p], cx[q], cy[q], h_gap, line)
+            near[1, q] = _near(cy[p], cx[p], cy[q], cx[q], v_gap, col)
+    out = page.drop_columns(["own"])
+    for name, found in zip(("h_near", "v_near"), near, strict=True):
+        out = out.append_column(name, pa.array(found))
+    return out if own.all() else out.filter(pa.array(own))
 
 
 def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -151,14 +155,9 @@ def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         g = g.withColumn("tile_x", spread("cx", "left")).withColumn("tile_y", spread("cy", "top"))
         g = g.withColumn("own", (F.col("tile_x") == nth("cx", "left", F.lit(0.0))) & (F.col("tile_y") == nth("cy", "top", F.lit(0.0))))
         by = [*keys, "tile_x", "tile_y"]
-    glyphs, g = glyphs.drop("tile"), g.drop("tile")
-    names = glyphs.columns
-    schema = glyphs.withColumns({"h_near": F.lit(0).cast("long"), "v_near": F.lit(0).cast("long")}).schema
-
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _counted(rows)[[*names, "h_near", "v_near"]]
-
-    return g.groupBy(*by).applyInPandas(count, schema)
+    names = [*glyphs.drop("tile").columns, "h_near", "v_near"]
+    schema = glyphs.drop("tile").withColumns({"h_near": F.lit(0).cast("long"), "v_near": F.lit(0).cast("long")}).schema
+    return g.drop("tile").groupBy(*by).applyInArrow(lambda page: _counted(page).select(names), schema)
 
 
 def with_axes(glyphs: DataFrame) -> DataFrame:
@@ -254,8 +253,8 @@ def split_components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     g = g.withColumn("chunk", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(ordered))
     chunk, in_chunk = Window.partitionBy(*comp, "chunk"), Window.partitionBy(*comp, "chunk").orderBy("along", "seq")
     g = g.withColumns({"length": F.count("*").over(chunk), "nth": F.row_number().over(in_chunk) - 1})
-    text = chain_text(F.array_sort(F.collect_list(F.struct("along", "seq", "char")).over(chunk)), F.col("dimension_axis"))
     long = ~F.col("has_operator") & (F.col("length") > MOST_GLYPHS)
+    text = chain_text(F.array_sort(F.collect_list(F.when(long, F.struct("along", "seq", "char"))).over(chunk)), F.col("dimension_axis"))
     piece = F.when(~long, 0).when(mostly_digits(text), F.floor(F.col("nth") / MOST_GLYPHS)).otherwise(F.col("nth"))
     return g.withColumn("piece", piece.cast("int")).drop("gap", "usual", "members", "length", "nth")
 
