@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from linework.llm import common, decontam, embeddings, licences, queries, simhash
+from linework.llm.components import connected_components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -268,3 +269,16 @@ def test_licences_of_odd_texts(spark):
     assert all(label in by[100 + n]["labels"].split(",") and label in by[200 + n]["labels"].split(",") for n, (_, label) in enumerate(whole))
     assert "bsd-2-clause" not in by[100 + [x for _, x in whole].index("bsd-3-clause")]["labels"]
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10**6, 2])
+def test_components_are_brute_force(spark, monkeypatch, hot):
+    """Chains, stars and random links, also where every centre counts as hot; loops, repeats, null ends and no links at all."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = np.random.default_rng(8)
+    edges = [(n, n + 1) for n in range(1000, 1060)] + [(2000, n) for n in range(2001, 2040)] + [(int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))] + [(7, 7), (1001, 1000), (1000, 1001)]
+    frame = spark.createDataFrame([*edges, (None, 5), (5, None)], "a long, b long")
+    ids = {n for e in edges if e[0] != e[1] for n in e}
+    got = {r["node"]: r["component"] for r in connected_components(frame).collect()}
+    assert got == components(ids, [e for e in edges if e[0] != e[1]])
+    assert connected_components(frame.where("false")).count() == 0
