@@ -210,3 +210,16 @@ def test_audit_of_odd_rows(spark, monkeypatch):
     assert divergence.audit(docs.where("false")).count() == 0
     big = spark.range(1).select(divergence._share(F.lit(10**13), F.lit(10**15), F.lit(10**9)).alias("p")).first()["p"]
     assert big == 1 + 10**9 * (10**13 + 5) // (10**15 + 5 * 10**9)
+
+
+def test_very_long_texts(spark, plain_sides):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}é" for _ in range(60_000))
+    rows = [(1, long), (2, "a few words before " + long.replace(" ", "\n") + " and after"), (3, "x" * 300_000), (4, "y " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1:3] for r in removal(docs)}
+    assert got == {1: (60_000, 0), 2: (60_006, 60_000), 3: (1, 0), 4: (100_000, 0)}
+    found = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in align.align(docs, A, B).collect()}
+    assert found == dict(zip((1, 2, 3, 4), plain_alignment([t for _, t in rows], plain_sides), strict=True))
+    groups, postings = divergence.shares(divergence.term_counts(docs.selectExpr("doc_id", "text", "'en' lang", "cast(doc_id as string) source")), 1)
+    assert sorted((r["source"], r["support"]) for r in groups.collect()) == [("1", 2), ("2", 8), ("3", 1), ("4", 1)] and postings.count() == 12
