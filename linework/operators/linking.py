@@ -61,6 +61,8 @@ def connected(links: DataFrame, keys: list[str]) -> DataFrame:
     A page of up to PAGE_LINKS links is one task's; one of more goes through rounds of joins.
     """
     links = save(links.select(*keys, "u", "v"), "links")
+    if links.count() <= PAGE_LINKS:
+        return _by_page(links, keys)
     large = save(links.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > PAGE_LINKS).select(*keys), "large-pages")
     if large.isEmpty():
         return _by_page(links, keys)
@@ -79,6 +81,8 @@ def fold_knots(rows: DataFrame, links: DataFrame, keys: list[str], fold: Callabl
         return out.assign(**dict(zip(keys, key, strict=False)))[[*keys, *out.columns]]
 
     schema = rows.select(*keys, *(F.lit(None).cast(t).alias(n) for n, t in map(str.split, found.split(", ")))).schema
+    if rows.count() <= FOLDED:
+        return rows.groupBy(*keys).applyInPandas(folded, schema)
     large = save(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FOLDED), "large-pages")
     if large.isEmpty():
         return rows.groupBy(*keys).applyInPandas(folded, schema)
