@@ -7,6 +7,8 @@ x0, y0, x1, y1.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +24,8 @@ KEYS = ["doc_id", "page"]
 MOST_GLYPHS, BREAK = 12, 2.2
 #: Glyphs of a page that one task holds; tiles of larger pages are at least so many times as wide as glyphs reach.
 TILE_GLYPHS, LEAST_TILE = 200_000, 8
+#: Glyphs that go to Python at once, many pages together, and how many glyphs one may have about it (on average) to try them all, in blocks.
+BATCH_GLYPHS, FEW_ABOUT, BLOCK = 50_000, 400, 1_000_000
 
 
 def with_metrics(glyphs: DataFrame) -> DataFrame:
@@ -69,15 +73,18 @@ def thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def with_thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """glyphs (with metrics) with their page's thresholds and on_page; where there are pages of over TILE_GLYPHS glyphs
-    also with tile, how they are cut: struct(left, top, side, reach), null on other pages."""
+    """glyphs (with metrics) with their page's thresholds, on_page and batches, how many batches of BATCH_GLYPHS all glyphs
+    make; where there are pages of over TILE_GLYPHS glyphs also with tile, how they are cut: struct(left, top, side,
+    reach), null on other pages."""
     pages = page_sizes(glyphs, keys)
     pages = pages.select(*keys, "on_page", "left", "top", "right", "bottom", *(c.alias(n) for n, c in _tolerances(F.col("mw"), F.col("mh")).items()))
     reach = F.greatest("line_tol", "col_tol", "h_gap_max", "v_gap_max")
     side = F.greatest(reach * LEAST_TILE, F.sqrt((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")) * TILE_GLYPHS / F.col("on_page")))
     pages = pages.withColumn("tile", F.when(F.col("on_page") > TILE_GLYPHS, F.struct("left", "top", side.alias("side"), reach.alias("reach"))))
     pages = save(pages.drop("left", "top", "right", "bottom"), "thresholds")
-    return glyphs.join(pages.drop("tile") if pages.where("tile is not null").isEmpty() else pages, keys)
+    seen = pages.agg(F.sum("on_page").alias("n"), F.count("tile").alias("cut")).first()
+    pages = pages.withColumn("batches", F.lit(max(1, math.ceil((seen["n"] or 0) / BATCH_GLYPHS))))
+    return glyphs.join(pages if seen["cut"] else pages.drop("tile"), keys)
 
 
 def _bounds(values: np.ndarray, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +126,69 @@ def _near(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, reach: f
     return total
 
 
-def _counted(page: pa.Table) -> pa.Table:
-    """One page or tile with h_near and v_near; rows that aren't own only count for others."""
-    cx, cy, size, own = (page[c].to_numpy() for c in ("cx", "cy", "size", "own"))
-    font = pa.array(page["font"].to_pylist()).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    h_gap, v_gap, line, col, sizes_fit = (page[c][0].as_py() for c in ("h_gap_max", "v_gap_max", "line_tol", "col_tol", "size_tol"))
-    near = np.zeros((2, len(cx)), np.int64)
-    for f in np.unique(font):
-        of = np.flatnonzero(font == f)
-        of = of[np.argsort(size[of], kind="stable")]
-        sizes, at = np.unique(size[of], return_inverse=True)
-        lo, hi = _bounds(sizes, sizes, sizes_fit)
-        for a, b in np.unique(np.stack([lo, hi], axis=1), axis=0):  # sizes that fit the same sizes go together
-            p, q = of[(at >= a) & (at < b)], of[(lo[at] == a) & (hi[at] == b)]
-            q = q[own[q]]
-            near[0, q] = _near(cx[p], cy[p], cx[q], cy[q], h_gap, line)
-            near[1, q] = _near(cy[p], cx[p], cy[q], cx[q], v_gap, col)
-    out = page.drop_columns(["own"])
-    for name, found in zip(("h_near", "v_near"), near, strict=True):
+def _codes(table: pa.Table, names: list[str]) -> np.ndarray:
+    """A number for each row, the same for rows that are equal in the named columns."""
+    code = np.zeros(table.num_rows, np.int64)
+    for name in names:
+        of = table[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (len(of) + 1) + of + 1, return_inverse=True)[1].reshape(-1)
+    return code
+
+
+def _swept(x: np.ndarray, y: np.ndarray, size: np.ndarray, own: np.ndarray, reach: float, tol: float, fit: float) -> np.ndarray:
+    """_near for the own ones among glyphs of one page and font (0 for others): sizes that fit the same sizes go together."""
+    near = np.zeros(len(x), np.int64)
+    order = np.argsort(size, kind="stable")
+    sizes, at = np.unique(size[order], return_inverse=True)
+    lo, hi = _bounds(sizes, sizes, fit)
+    for a, b in np.unique(np.stack([lo, hi], axis=1), axis=0):
+        p, q = order[(at >= a) & (at < b)], order[(lo[at] == a) & (hi[at] == b)]
+        q = q[own[q]]
+        near[q] = _near(x[p], y[p], x[q], y[q], reach, tol)
+    return near
+
+
+def _about(group: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, own: np.ndarray, reach: np.ndarray, tol: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """How many of its group (a page's glyphs of one font; it has one reach, tol and fit) each own glyph has about it.
+
+    Many groups are laid one behind the other along x, so all find theirs in one sorted column; each pair in reach is
+    then judged by its differences.  Crowded groups, and all where a place is no finite number, are swept.
+    """
+    near, order = np.zeros(len(x), np.int64), np.lexsort((x, group))
+    group, x, y, size, own, reach, tol, fit = (c[order] for c in (group, x, y, size, own, reach, tol, fit))
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    length = np.diff(np.r_[starts, len(x)])
+    crowded = np.ones(len(starts), bool)
+    with np.errstate(all="ignore"):
+        span = x.max() - x.min() + 2 * reach.max() + 1
+        far = span * len(starts)
+    if far < 1e12 and np.isfinite(x).all():
+        along = np.repeat(np.arange(len(starts)), length) * span + (x - x.min())
+        more = reach + far * 2.0**-48
+        lo, hi = np.searchsorted(along, along - more), np.searchsorted(along, along + more, "right")
+        held = np.where(own, hi - lo, 0)
+        crowded = np.add.reduceat(held, starts) > FEW_ABOUT * length
+        of = np.flatnonzero(own & ~np.repeat(crowded, length))
+        upto = np.cumsum(held[of])
+        for part in np.split(of, np.searchsorted(upto, np.arange(BLOCK, upto[-1], BLOCK))) if len(of) else ():
+            n = held[part]
+            at, other = np.repeat(np.arange(len(part)), n), np.arange(n.sum()) + np.repeat(lo[part] - np.cumsum(n) + n, n)
+            i = part[at]
+            gap = np.abs(x[other] - x[i])
+            met = (gap > 0) & (gap <= reach[i]) & (np.abs(y[other] - y[i]) <= tol[i]) & (np.abs(size[other] - size[i]) <= fit[i])
+            near[order[part]] = np.bincount(at[met], minlength=len(part))
+    for k in np.flatnonzero(crowded):
+        g = slice(starts[k], starts[k] + length[k])
+        near[order[g]] = _swept(x[g], y[g], size[g], own[g], reach[g.start], tol[g.start], fit[g.start])
+    return near
+
+
+def _counted(batch: pa.Table, by: list[str]) -> pa.Table:
+    """Pages or tiles (told apart by by) with h_near and v_near; rows that aren't own only count for others."""
+    cx, cy, size, own, h_gap, v_gap, line, col, fit = (batch[c].to_numpy() for c in ("cx", "cy", "size", "own", "h_gap_max", "v_gap_max", "line_tol", "col_tol", "size_tol"))
+    group = _codes(batch, [*by, "font"])
+    out = batch.drop_columns(["own"])
+    for name, found in (("h_near", _about(group, cx, cy, size, own, h_gap, line, fit)), ("v_near", _about(group, cy, cx, size, own, v_gap, col, fit))):
         out = out.append_column(name, pa.array(found))
     return out if own.all() else out.filter(pa.array(own))
 
@@ -145,8 +197,8 @@ def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """glyphs (with metrics and thresholds) with h_near and v_near: how many others of its font and size each has within
     reach along a line or a column.
 
-    A page is one task's; a page of over TILE_GLYPHS glyphs is cut into tiles, whose glyphs also see those within
-    reach beyond their edges.
+    Pages are counted many at once, BATCH_GLYPHS or so; a page of over TILE_GLYPHS glyphs is cut into tiles, whose
+    glyphs also see those within reach beyond their edges.
     """
     g, by = glyphs.withColumn("own", F.lit(True)), keys
     if "tile" in glyphs.columns:
@@ -157,7 +209,8 @@ def neighbor_counts(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         by = [*keys, "tile_x", "tile_y"]
     names = [*glyphs.drop("tile").columns, "h_near", "v_near"]
     schema = glyphs.drop("tile").withColumns({"h_near": F.lit(0).cast("long"), "v_near": F.lit(0).cast("long")}).schema
-    return g.drop("tile").groupBy(*by).applyInArrow(lambda page: _counted(page).select(names), schema)
+    batch = F.pmod(F.xxhash64(*by), F.col("batches")).alias("batch")
+    return g.drop("tile").groupBy(batch).applyInArrow(lambda pages: _counted(pages, by).select(names), schema)
 
 
 def with_axes(glyphs: DataFrame) -> DataFrame:
@@ -186,27 +239,28 @@ def chain_text(glyphs, axis):
 LINE = ["dimension_axis", "axis_bucket", "font"]
 
 
-def _linked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Components of a page's lines whose sizes differ too much for islands: sizes must fit pair by pair.
+def _linked(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Components of lines whose sizes differ too much for islands: sizes must fit pair by pair.
 
     Rows of a line are sorted, so the pairs in reach are those one, two, ... places apart until none is.
     """
-    rows = rows.sort_values([*LINE, "along", "seq"], kind="stable").reset_index(drop=True)
-    line = rows.groupby(LINE, sort=False, dropna=False).ngroup().to_numpy()
-    k, size, seq, reach, fits = (rows[c].to_numpy() for c in ("along", "size", "seq", "reach", "size_tol"))
-    left, right = [], []
+    line = rows.groupby([*keys, *LINE], sort=False, dropna=False).ngroup()
+    rows = rows.assign(line=line).sort_values(["line", "along", "seq"], kind="stable").reset_index(drop=True)
+    line, k, size, seq, reach, fits = (rows[c].to_numpy() for c in ("line", "along", "size", "seq", "reach", "size_tol"))
+    left, right, i = [], [], np.arange(len(rows))
     for apart in range(1, len(rows)):
-        i = np.arange(len(rows) - apart)
+        i = i[i < len(rows) - apart]
         gap = k[i + apart] - k[i]
         near = (line[i] == line[i + apart]) & (gap <= reach[i])
-        if not near.any():
+        i, gap = i[near], gap[near]
+        if not len(i):
             break
-        i = i[near & (gap > 0) & (np.abs(size[i + apart] - size[i]) <= fits[i])]
-        left.append(i)
-        right.append(i + apart)
+        fit = (gap > 0) & (np.abs(size[i + apart] - size[i]) <= fits[i])
+        left.append(i[fit])
+        right.append(i[fit] + apart)
     i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
     root = roots(i, j, len(rows))
-    return rows.assign(component=pd.Series(seq).groupby(root).transform("min"))
+    return rows.drop(columns="line").assign(component=pd.Series(seq).groupby(root).transform("min"))
 
 
 def with_spread(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -220,8 +274,7 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
     A line is an axis bucket of one font, as wide as the tolerance across, so links are gaps in one
     sorted column: an island ends where the gap is too large, and one at a single position falls
-    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, a page (or a part of a large
-    page's lines) at a time.
+    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, many lines at a time.
     """
     line = [*keys, *LINE]
     ordered = Window.partitionBy(*line).orderBy("along", "seq")
@@ -233,8 +286,8 @@ def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     even = even.withColumn("component", F.when(alone, F.col("seq")).otherwise(F.min("seq").over(island))).drop("island")
     mixed = g.where(F.col("spread") > F.col("size_tol"))
     schema = mixed.withColumn("component", F.lit(0).cast("long")).schema
-    part = F.pmod(F.xxhash64(*LINE), F.ceil(F.col("on_page") / TILE_GLYPHS)) if "on_page" in g.columns else F.lit(0)
-    mixed = mixed.groupBy(*keys, part.alias("part")).applyInPandas(_linked, schema)
+    dealt = [F.pmod(F.xxhash64(*line), F.col("batches")).alias("batch")] if "batches" in g.columns else keys
+    mixed = mixed.groupBy(*dealt).applyInPandas(lambda rows: _linked(rows, keys), schema)
     return even.unionByName(mixed).drop("spread")
 
 
