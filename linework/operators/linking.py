@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,8 @@ from linework.sources.scratch import save
 PAGE_LINKS = 1_000_000
 #: Rows of a page that one task folds.
 FOLDED = 100_000
+#: Rows that one call of a fold gets, of many pages together.
+BATCH_ROWS = 20_000
 
 
 def roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -69,24 +72,38 @@ def connected(links: DataFrame, keys: list[str]) -> DataFrame:
     return _by_page(links.join(large, keys, "left_anti"), keys).union(_by_rounds(links.join(large, keys, "left_semi"), keys))
 
 
+def fold_pages(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], found: str, parts: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys, found) of fold over rows (saved), each page's (or each part's of a page) by themselves; rows whose keys hold
+    a null have none.
+
+    fold gets BATCH_ROWS or so of many pages at once, told apart by a number page_no, which it returns with found; it
+    puts rows into order itself.
+    """
+    schema = rows.select(*keys, *(F.lit(None).cast(t).alias(n) for n, t in map(str.split, found.split(", ")))).schema
+    by = [*keys, *parts]
+
+    def folded(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.assign(page_no=batch.groupby(by, sort=False).ngroup())
+        pages = batch.drop_duplicates("page_no").set_index("page_no")[keys]
+        return fold(batch).join(pages, on="page_no")[schema.names]
+
+    rows = rows.dropna(subset=keys)
+    batch = F.pmod(F.xxhash64(*by), F.lit(max(1, math.ceil(rows.count() / BATCH_ROWS))))
+    return rows.groupBy(batch.alias("batch")).applyInPandas(folded, schema).hint("merge")
+
+
 def fold_knots(rows: DataFrame, links: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], found: str) -> DataFrame:
-    """(keys, found) of fold over rows (saved), each page's by themselves; fold puts rows into order itself.
+    """fold_pages where a page may be of any size.
 
     Rows of different knots must not matter to each other: those whose node links(keys, u, v) join, directly or
     through others, are one knot.  So a page of more than FOLDED rows is dealt out knot by knot.
     """
-
-    def folded(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        out = fold(page)
-        return out.assign(**dict(zip(keys, key, strict=False)))[[*keys, *out.columns]]
-
-    schema = rows.select(*keys, *(F.lit(None).cast(t).alias(n) for n, t in map(str.split, found.split(", ")))).schema
     if rows.count() <= FOLDED:
-        return rows.groupBy(*keys).applyInPandas(folded, schema)
+        return fold_pages(rows, keys, fold, found)
     large = save(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FOLDED), "large-pages")
     if large.isEmpty():
-        return rows.groupBy(*keys).applyInPandas(folded, schema)
+        return fold_pages(rows, keys, fold, found)
     of = rows.join(large, keys).join(connected(links.join(large.select(*keys), keys, "left_semi"), keys).toDF(*keys, "node", "knot"), [*keys, "node"], "left")
     part = F.pmod(F.xxhash64(F.coalesce("knot", "node")), F.ceil(F.col("n") / FOLDED))
     dealt = of.withColumn("part", part).select(*rows.columns, "part").union(rows.join(large, keys, "left_anti").withColumn("part", F.lit(0).cast("long")))
-    return dealt.groupBy(*keys, "part").applyInPandas(folded, schema)
+    return fold_pages(save(dealt, "dealt"), keys, fold, found, ["part"])

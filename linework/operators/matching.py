@@ -2,6 +2,9 @@
 
 Where the result depends on the order of matches, the candidates are found with joins and windows
 and only the matches of one page, in order, go through a fold.
+
+Tables that grow with the pages ask for merge joins: Spark takes the size of their compressed files for theirs, and
+would broadcast millions of rows.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from linework.functions import text as tx
 from linework.functions.geometry import Box, mm, rounded
 from linework.operators.chains import KEYS
-from linework.operators.linking import fold_knots
+from linework.operators.linking import fold_knots, fold_pages
 from linework.operators.registry import FORMED, FUSED, MERGED, pair_key
 from linework.operators.spatial import within
 from linework.sources.scratch import save
@@ -39,7 +42,7 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     own = F.struct(*("seq", "text", "cx", "cy", "x0", "y0", "x1", "y1", "glyph_count", "orientation"))
     all_of = Window.partitionBy(*line)
     p = number.withColumns({"a": own, "b": F.lead(own).over(w), "nth": F.row_number().over(w), "line_first": F.min("seq").over(all_of), "on_line": F.count("*").over(all_of)}).where("on_line >= 2")
-    zone = p.select(*keys, "line_first").distinct().withColumn("zone", F.row_number().over(Window.partitionBy(*keys).orderBy("line_first")))
+    zone = p.select(*keys, "line_first").distinct().withColumn("zone", F.row_number().over(Window.partitionBy(*keys).orderBy("line_first"))).hint("merge")
     p = p.join(zone, [*keys, "line_first"]).where("b is not null")
     gap = F.when(up, F.col("a.y0") - F.col("b.y1")).otherwise(F.col("b.x0") - F.col("a.x1"))
     offset = F.when(up, F.abs(F.col("a.cx") - F.col("b.cx"))).otherwise(F.abs(F.col("a.cy") - F.col("b.cy")))
@@ -49,7 +52,7 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     fits &= tx.pair_may_form(F.col("left"), F.col("right"), tx.plain_number(F.col("right")), F.lit(""), F.col("a.orientation"))
     mark = lambda s: F.concat_ws("|", rounded(F.col(f"{s}.cx"), 1).cast("string"), rounded(F.col(f"{s}.cy"), 1).cast("string"), F.col(f"{s}.text"))
     p = p.where(fits).withColumns({"ka": mark("a"), "kb": mark("b"), "pair": pair_key(axis, F.array("left", "right"))})
-    known = cands.where("entity_type = 'SRC_dimension'").select(*keys, pair_key(axis, F.col("values")).alias("pair")).distinct()
+    known = cands.where("entity_type = 'SRC_dimension'").select(*keys, pair_key(axis, F.col("values")).alias("pair")).distinct().hint("merge")
     formed = _chosen(p.join(known, [*keys, "pair"], "left_anti"), keys)
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("line_first", "nth"))
     formed = save(formed.withColumn("order", order), "formed")
@@ -62,19 +65,21 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.lit("LOCAL_ANCHOR_PAIR").alias("grammar_rule"), F.lit("SRC_dimension").alias("entity_type"), F.lit("X").alias("operator"), F.array("left", "right").alias("values"), F.col("zone").alias("semantic_zone_id"),
         x.alias("anchor_x"), y.alias("anchor_y"), F.lit(ANCHOR_MM).alias("anchor_radius_mm"), F.lit(True).alias("reconstructed_operator"), tx.pair_confidence(F.col("gap"), mm(PAIR_GAP_MM)).alias("confidence"),
     )
-    gone = formed.select(*keys, F.explode(F.array("a.seq", "b.seq")).alias("seq"))
+    gone = formed.select(*keys, F.explode(F.array("a.seq", "b.seq")).alias("seq")).hint("merge")
     return cands.join(gone, [*keys, "seq"], "left_anti").unionByName(out, allowMissingColumns=True)
 
 
 def _take_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs in order: each is taken whose numbers and whose pair are still free."""
-    used, pairs, taken = set(), set(), []
-    for r in rows.sort_values(["line_first", "nth"]).itertuples():
+    """A page's pairs in order: each is taken whose numbers and whose pair are still free."""
+    taken, page = [], None
+    for r in rows.sort_values(["page_no", "line_first", "nth"]).itertuples():
+        if r.page_no != page:
+            page, used, pairs = r.page_no, set(), set()
         if r.ka not in used and r.kb not in used and r.pair not in pairs:
             used.update((r.ka, r.kb))
             pairs.add(r.pair)
-            taken.append((r.line_first, r.nth))
-    return pd.DataFrame(taken, columns=["line_first", "nth"]).astype({"line_first": "int64", "nth": "int32"})
+            taken.append((page, r.line_first, r.nth))
+    return pd.DataFrame(taken, columns=["page_no", "line_first", "nth"]).astype({"page_no": "int64", "line_first": "int64", "nth": "int32"})
 
 
 def _chosen(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +95,7 @@ def _chosen(pairs: DataFrame, keys: list[str]) -> DataFrame:
     p = save(p.withColumns({"place": F.col("nth") - F.min("nth").over(island), "node": F.min_by("a.seq", "nth").over(island)}), "neighbours")
     twice = lambda marks: marks.groupBy(*keys, "mark").agg(F.count_distinct("id").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
     marks = p.select(*keys, "node", F.explode(F.array(F.struct(F.concat(F.lit("p"), "pair").alias("mark"), F.col("a.seq").alias("id")), F.struct(F.concat(F.lit("n"), "ka").alias("mark"), F.col("a.seq").alias("id")), F.struct(F.concat(F.lit("n"), "kb").alias("mark"), F.col("b.seq").alias("id")))).alias("m")).select(*keys, "node", "m.*")
-    shared = save(marks.join(twice(marks), [*keys, "mark"]).select(*keys, F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "shared")
+    shared = save(marks.join(twice(marks), [*keys, "mark"]).select(*keys, F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "shared").hint("merge")
     tied = shared.select(*keys, F.col("u").alias("node")).distinct()
     plain = p.join(tied, [*keys, "node"], "left_anti").where("place % 2 = 0")
     rows = save(p.join(tied, [*keys, "node"], "left_semi").select(*keys, "node", "line_first", "nth", "ka", "kb", "pair"), "shared-pairs")
@@ -99,14 +104,16 @@ def _chosen(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _take_nearest(rows: pd.DataFrame) -> pd.DataFrame:
-    """Lefts in order: each takes its nearest right that is still free."""
-    lefts, rights, taken = set(), set(), []
-    for r in rows.sort_values(["l", "d", "r"]).itertuples():
+    """A page's lefts in order: each takes its nearest right that is still free."""
+    taken, page = [], None
+    for r in rows.sort_values(["page_no", "l", "d", "r"]).itertuples():
+        if r.page_no != page:
+            page, lefts, rights = r.page_no, set(), set()
         if r.l not in lefts and r.r not in rights:
             lefts.add(r.l)
             rights.add(r.r)
-            taken.append((r.l, r.r))
-    return pd.DataFrame(taken, columns=["l", "r"]).astype("int64")
+            taken.append((page, r.l, r.r))
+    return pd.DataFrame(taken, columns=["page_no", "l", "r"]).astype("int64")
 
 
 def _greedy(pairs: DataFrame, keys: list[str], left: str, right: str, gap: str) -> DataFrame:
@@ -119,7 +126,7 @@ def _greedy(pairs: DataFrame, keys: list[str], left: str, right: str, gap: str)
     p = save(p.select(*keys, F.col("l").alias("node"), "l", "r", "d", (F.col("one") & F.col("other")).alias("sure")), "matches")
     rest = p.where("not sure").drop("sure")
     met = fold_knots(rest, rest.select(*keys, F.col("l").alias("u"), F.col("r").alias("v")), keys, _take_nearest, "l long, r long")
-    return p.where("sure").select(*keys, "l", "r").union(met).toDF(*keys, left, right)
+    return p.where("sure").select(*keys, "l", "r").union(met).toDF(*keys, left, right).hint("merge")
 
 
 def nearest_parent(modifiers: DataFrame, entities: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -139,28 +146,31 @@ def nearest_parent(modifiers: DataFrame, entities: DataFrame, keys: list[str] =
 
 
 def _attached(rows: pd.DataFrame) -> pd.DataFrame:
-    """(mseq, seq) of one page: modifiers in order, each to its nearest number as that stands by then."""
-    e = rows[rows["value"].isna()].sort_values("seq")
+    """(page_no, mseq, seq): a page's modifiers in order, each to its nearest number as that stands by then."""
+    e = rows[rows["value"].isna()].sort_values(["page_no", "seq"])
+    marks = rows[rows["value"].notna()].sort_values(["page_no", "seq"])
+    starts, stops = (np.searchsorted(e["page_no"].to_numpy(), marks["page_no"].to_numpy(), side) for side in ("left", "right"))
     seq, nominal, axis, family, free = (e[c].to_numpy() for c in ("seq", "nominal", "dimension_axis", "family", "free"))
     box = e[["x0", "y0", "x1", "y1"]].to_numpy(float)
     cx, cy, free = e["cx"].to_numpy(float), e["cy"].to_numpy(float), free.astype(bool)
     up = axis == "vertical"
     found = []
-    for m in rows[rows["value"].notna()].sort_values("seq").itertuples():
-        dx, dy = m.cx - cx, cy - m.cy
+    for m, start, stop in zip(marks.itertuples(), starts, stops, strict=True):
+        own = slice(start, stop)
+        dx, dy = m.cx - cx[own], cy[own] - m.cy
         gap = np.sqrt(dx * dx + dy * dy)
-        near = np.where(up, (np.abs(dx) <= LINE) & (gap <= TOLERANCE_REACH * UPRIGHT) & (dy >= 0), (np.abs(dy) <= LINE) & (gap <= TOLERANCE_REACH) & (dx >= 0))
-        near &= (axis == m.dimension_axis) & (family == m.family) & ((nominal == 0) | (m.value <= tx.LARGEST_SHARE * np.abs(nominal)))
+        near = np.where(up[own], (np.abs(dx) <= LINE) & (gap <= TOLERANCE_REACH * UPRIGHT) & (dy >= 0), (np.abs(dy) <= LINE) & (gap <= TOLERANCE_REACH) & (dx >= 0))
+        near &= (axis[own] == m.dimension_axis) & (family[own] == m.family) & ((nominal[own] == 0) | (m.value <= tx.LARGEST_SHARE * np.abs(nominal[own])))
         if not near.any():
             continue
-        best = int(np.where(near, gap, np.inf).argmin())
+        best = start + int(np.where(near, gap, np.inf).argmin())
         if free[best]:
             free[best] = False
             other = np.array([m.x0, m.y0, m.x1, m.y1])
             box[best] = [*np.minimum(box[best, :2], other[:2]), *np.maximum(box[best, 2:], other[2:])]
             cx[best], cy[best] = (box[best, 0] + box[best, 2]) / 2, (box[best, 1] + box[best, 3]) / 2
-            found.append((m.seq, seq[best]))
-    return pd.DataFrame(found, columns=["mseq", "seq"]).astype("int64")
+            found.append((m.page_no, m.seq, seq[best]))
+    return pd.DataFrame(found, columns=["page_no", "mseq", "seq"]).astype("int64")
 
 
 def attach_modifiers(modifiers: DataFrame, entities: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -169,22 +179,17 @@ def attach_modifiers(modifiers: DataFrame, entities: DataFrame, keys: list[str]
     Modifiers go in order: each finds its nearest number (as nearest_parent has it, but with the boxes
     that earlier modifiers have widened).  A number that has a tolerance takes no other, and a modifier
     doesn't look for a second choice.  A number's box and centre grow by its modifier's.  Only
-    pages with modifiers are folded, one at a time.
+    pages with modifiers are folded, many in one call.
     """
-    m = modifiers.select(*keys, F.col("seq").alias("mseq"), tx.parse_tolerance(F.col("text")).alias("value"), F.concat(F.lit("±"), tx.tolerance_text(F.col("text"))).alias("value_text"), *(F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")), F.col("glyph_count").alias("m_glyphs"))
+    m = modifiers.select(*keys, F.col("seq").alias("mseq"), tx.parse_tolerance(F.col("text")).alias("value"), F.concat(F.lit("±"), tx.tolerance_text(F.col("text"))).alias("value_text"), *(F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")), F.col("glyph_count").alias("m_glyphs")).hint("merge")
     place = ["x0", "y0", "x1", "y1", "cx", "cy"]
     none = lambda c: F.coalesce(c, F.lit(""))
     about = [none(F.col("dimension_axis")).alias("dimension_axis"), none(tx.reading_family(F.col("orientation"))).alias("family")]
     value = tx.parse_tolerance(F.col("text"))
     marks = modifiers.where(value.isNotNull() & tx.valid_tolerance(value)).select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, value.alias("value"), F.lit(None).cast("double").alias("nominal"), F.lit(True).alias("free"))
     numbers = entities.where("nominal is not null").select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, F.lit(None).cast("double").alias("value"), "nominal", F.col("tolerance").isNull().alias("free"))
-    page = numbers.join(marks.select(*keys).distinct(), keys, "left_semi").unionByName(marks)
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _attached(rows).assign(**dict(zip(keys, key, strict=True)))[[*keys, "mseq", "seq"]]
-
-    schema = marks.select(*keys, F.col("seq").alias("mseq"), "seq").schema
-    first = page.groupBy(*keys).applyInPandas(fold, schema)
+    page = save(numbers.join(marks.select(*keys).distinct(), keys, "left_semi").unionByName(marks), "attachable")
+    first = fold_pages(page, keys, _attached, "mseq long, seq long")
     e = entities.join(first.join(m, [*keys, "mseq"]), [*keys, "seq"], "left")
     box = Box.of().merged(Box.of("m_"))
     x, y = box.center()
@@ -200,7 +205,7 @@ def bind_thickness(entities: DataFrame, keys: list[str] = KEYS, reach_mm: float
     is_thk = (F.col("entity_type") == "thickness_dimension") & ((F.upper(tx.strip(F.col("display_text"))) == "THK") | (F.upper(tx.strip(F.col("nominal_text"))) == "THK"))
     e = e.withColumn("is_thk", F.coalesce(is_thk, F.lit(False)))
     e = e.withColumn("page_thk", F.max("is_thk").over(Window.partitionBy(*keys)))
-    thk = e.where("is_thk").select(*keys, F.col("seq").alias("tseq"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")))
+    thk = e.where("is_thk").select(*keys, F.col("seq").alias("tseq"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1"))).hint("merge")
     number = e.where("page_thk and nominal is not null and entity_type <> 'thickness_dimension'").select(*keys, F.col("seq").alias("nseq"), "cx", "cy")
     near = within(thk, number, keys, mm(reach_mm), ("tx", "ty"), ("cx", "cy"))
     met = _greedy(near, keys, "tseq", "nseq", "gap")
@@ -223,7 +228,7 @@ def merge_references(entities: DataFrame, keys: list[str] = KEYS, strict: bool =
     """
     shown = tx.strip(F.col("display_text"))
     e = entities.withColumns({"is_ref": F.upper(shown).isin("(REF)", "REF"), "is_number": shown.rlike(r"^\d+(\.\d+)?$")})
-    ref = e.where("is_ref").select(*keys, F.col("seq").alias("rseq"), F.col("cx").alias("rx"), F.col("cy").alias("ry"), *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
+    ref = e.where("is_ref").select(*keys, F.col("seq").alias("rseq"), F.col("cx").alias("rx"), F.col("cy").alias("ry"), *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1"))).hint("merge")
     number = e.where("is_number").select(*keys, F.col("seq").alias("nseq"), "cx", "cy")
     near = within(ref, number, keys, REFERENCE_REACH, ("rx", "ry"), ("cx", "cy")).where(F.col("gap") < REFERENCE_REACH)
     met = _greedy(near, keys, "rseq", "nseq", "gap").withColumn("merged_as", F.row_number().over(Window.partitionBy(*keys).orderBy("rseq")))

@@ -24,26 +24,28 @@ def _place(g, digits: int | None = None):
 
 
 def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Groups that share a place or a pair, in processing order: kept, spent, skipped or burned."""
-    used, taken, pairs, status = set(), set(), set(), []
-    blocked, group = False, None
-    for r in rows.sort_values([*ORDER, "nth"]).itertuples():
+    """Groups that share a place or a pair, page by page in processing order: kept, spent, skipped or burned."""
+    status, page = [], None
+    for r in rows.sort_values(["page_no", *ORDER, "nth"]).itertuples():
+        if r.page_no != page:
+            page, group, blocked = r.page_no, None, False
+            used, taken, pairs = set(), set(), set()
         if r.node != group:
             group, blocked = r.node, not used.isdisjoint(r.group_exact) or not taken.isdisjoint(r.group_keys)
         if blocked or r.nth >= 0 and not (used.isdisjoint(r.exact) and taken.isdisjoint(r.keys)):
-            status.append((r.node, r.nth, "skipped"))
+            status.append((page, r.node, r.nth, "skipped"))
         elif r.nth < 0:
             used.update(r.group_exact)
-            status.append((r.node, r.nth, "burned"))
+            status.append((page, r.node, r.nth, "burned"))
         elif r.pair is not None and r.pair in pairs:
             taken.update(r.keys)
-            status.append((r.node, r.nth, "spent"))
+            status.append((page, r.node, r.nth, "spent"))
         else:
             pairs.add(r.pair)
             used.update(r.exact)
             taken.update(r.keys)
-            status.append((r.node, r.nth, "kept"))
-    return pd.DataFrame(status, columns=["first_seq", "nth", "status"]).astype({"first_seq": "int64", "nth": "int32"})
+            status.append((page, r.node, r.nth, "kept"))
+    return pd.DataFrame(status, columns=["page_no", "first_seq", "nth", "status"]).astype({"page_no": "int64", "first_seq": "int64", "nth": "int32"})
 
 
 def pair_key(axis, values):
@@ -97,7 +99,7 @@ def chains(groups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     groups is ordered().  Where no glyph or pair repeats, a group keeps all that it found, and its
     other glyphs are left over.  Only groups that share one need the order, and only those go through a fold.
     """
-    shared = save(_shared(groups, keys), "shared")
+    shared = save(_shared(groups, keys), "shared").hint("merge")
     plain, hard = (groups.join(shared.select(*keys, "first_seq"), [*keys, "first_seq"], how) for how in ("left_anti", "left_semi"))
     dims = plain.select(*keys, "dimension_axis", "axis_bucket", *ORDER, "glyphs", F.posexplode("found").alias("nth", "d"))
     settled = _settled(hard, shared, keys)

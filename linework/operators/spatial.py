@@ -86,7 +86,7 @@ def clip(rows: DataFrame, regions: DataFrame, by_mode: bool = True) -> DataFrame
 def within(left: DataFrame, right: DataFrame, keys: list[str], reach: float, at: tuple[str, str], other: tuple[str, str]) -> DataFrame:
     """Pairs of rows of a page whose points are at most reach apart, with their gap: rows of left look into
     the nine cells of that side about them."""
-    a = left.withColumn("g", F.explode(_around(*(_cell(F.col(c), reach) for c in at)))).select(*left.columns, "g.gx", "g.gy")
+    a = left.withColumn("g", F.explode(_around(*(_cell(F.col(c), reach) for c in at)))).select(*left.columns, "g.gx", "g.gy").hint("merge")
     b = right.withColumns({g: _cell(F.col(c), reach) for g, c in zip(("gx", "gy"), other, strict=True)})
     both = a.join(b, [*keys, "gx", "gy"]).drop("gx", "gy")
     return both.withColumn("gap", distance(*(F.col(c) for c in (*at, *other)))).where(F.col("gap") <= reach)
@@ -126,19 +126,23 @@ def nearest_drawing(entities: DataFrame, drawings: DataFrame, keys: list[str] =
     """entities with distance and near_x0..near_y1 of the page's drawing with the nearest centre.
 
     The first drawn wins a tie; a page without drawings gives an infinite distance and no box.  On pages
-    of up to FEW_DRAWINGS an entity tries them all; on others it looks into the cells about it, of
+    of up to FEW_DRAWINGS an entity tries them all, which come as one array; on others it looks into the cells about it, of
     a size that is sure to hold the nearest one.
     """
     x, y = Box.of().center()
     d = drawings.select(*keys, F.col("seq").alias("dseq"), x.alias("dx"), y.alias("dy"), F.struct("x0", "y0", "x1", "y1").alias("box"))
-    points = entities.select(*keys, "seq", "cx", "cy")
     dense = save(drawings.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FEW_DRAWINGS).select(*keys), "dense-pages")
-    if dense.isEmpty():
-        best = _best(points.join(d, keys), keys)
-    else:
-        many = _nearest_by_cells(points.join(dense, keys, "left_semi"), d.join(dense, keys, "left_semi"), keys)
-        best = _best(points.join(d.join(dense, keys, "left_anti"), keys), keys).unionByName(many)
-    out = entities.join(best, [*keys, "seq"], "left")
+    few, crowded = d, not dense.isEmpty()
+    if crowded:
+        few = d.join(dense, keys, "left_anti")
+    held = few.groupBy(*keys).agg(F.collect_list(F.struct("dseq", "dx", "dy", "box")).alias("drawn")).hint("merge")
+    gap = lambda g: distance(F.col("cx"), F.col("cy"), g["dx"], g["dy"])
+    nearest = F.array_min(F.transform("drawn", lambda g: F.struct(gap(g).alias("gap"), g["dseq"].alias("dseq"), g["box"].alias("box"))))["box"]
+    out = entities.join(held, keys, "left").withColumns({"distance": F.array_min(F.transform("drawn", gap)), "box": nearest}).drop("drawn")
+    if crowded:
+        many = _nearest_by_cells(entities.select(*keys, "seq", "cx", "cy").join(dense, keys, "left_semi"), d.join(dense, keys, "left_semi"), keys)
+        many = many.select(*keys, "seq", F.col("distance").alias("m_distance"), F.col("box").alias("m_box"))
+        out = out.join(many, [*keys, "seq"], "left").withColumns({"distance": F.coalesce("m_distance", "distance"), "box": F.coalesce("m_box", "box")}).drop("m_distance", "m_box")
     return out.withColumn("distance", F.coalesce("distance", F.lit(float("inf")))).withColumns({f"near_{c}": F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")}).drop("box")
 
 

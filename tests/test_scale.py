@@ -263,6 +263,47 @@ def test_dense_pages_take_linear_time(spark):
     assert time.time() - began < 25
 
 
+def _explained(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_small_files_are_not_broadcast(spark, capsys):
+    """Points that look into nine cells each are many more than their file's size says."""
+    p = scratch.save(spark.range(2000).selectExpr("'d' doc_id", "id page", "id seq", "cast(id % 7 as double) x", "1.0D y"), "points")
+    met = spatial.within(p.withColumnRenamed("seq", "l"), p.toDF("doc_id", "page", "r", "cx", "cy"), ["doc_id", "page"], 3.0, ("x", "y"), ("cx", "cy"))
+    assert "BroadcastHashJoin" not in _explained(met, capsys) and met.count() == 2000
+    assert "BroadcastHashJoin" not in _explained(p.join(matching._greedy(met, ["doc_id", "page"], "l", "r", "gap"), ["doc_id", "page"]), capsys)
+
+
+def test_nearest_drawings_sort_no_pairs(spark, capsys):
+    """A page's drawings meet its entities as one row; dense pages and pages with none beside it."""
+    rng = random.Random(2)
+    spots = [(f"d{d}", 1, n, x, y, x + 4, y + 2) for d, many in ((0, 5), (1, 300)) for n in range(many) for x, y in [(rng.randrange(90) * 5.0, rng.randrange(90) * 5.0)]]
+    drawn = spark.createDataFrame(spots, BOX)
+    points = [(f"d{d}", 1, n, rng.uniform(0, 450), rng.uniform(0, 450)) for d in range(3) for n in range(40)]
+    near = spatial.nearest_drawing(spark.createDataFrame(points, "doc_id string, page int, seq long, cx double, cy double"), drawn.where("doc_id <> 'd1'"))
+    assert "SortAggregate" not in _explained(near, capsys)
+    near = spatial.nearest_drawing(spark.createDataFrame(points, "doc_id string, page int, seq long, cx double, cy double"), drawn)
+    got = {(r["doc_id"], r["seq"]): (r["distance"], r["near_x0"], r["near_y0"]) for r in near.collect()}
+    for doc, _, seq, x, y in points:
+        best = min(((math.dist((x, y), (s[3] + 2, s[4] + 1)), s[2], s) for s in spots if s[0] == doc), default=None)
+        assert got[doc, seq] == ((pytest.approx(best[0]), best[2][3], best[2][4]) if best else (math.inf, None, None))
+
+
+def test_pages_fold_together_as_alone():
+    """Many pages in one call of a fold: each as by itself."""
+    rng = random.Random(3)
+    edges = pd.DataFrame([(p, rng.randrange(6), rng.randrange(6), float(rng.randrange(4))) for p in range(9) for _ in range(8)], columns=["page_no", "l", "r", "d"]).drop_duplicates(["page_no", "l", "r"])
+    couples = pd.DataFrame([(p, k // 3, k % 3, f"n{rng.randrange(5)}", f"n{rng.randrange(5, 9)}", f"p{rng.randrange(4)}") for p in range(9) for k in range(9)], columns=["page_no", "line_first", "nth", "ka", "kb", "pair"])
+    at = lambda n: {"x0": 9.0 * n, "y0": 0.0, "x1": 9.0 * n + 5, "y1": 9.0, "cx": 9.0 * n + 2.5, "cy": 4.5, "dimension_axis": "horizontal", "family": ""}
+    marks = pd.DataFrame([{"page_no": p, "seq": n + 100 * mark, **at(rng.uniform(0, 6)), "value": 0.5 if mark else None, "nominal": None if mark else 50.0, "free": True} for p in range(9) for n in range(6) for mark in (0, 1)])
+    for fold, rows in ((matching._take_nearest, edges), (matching._take_pairs, couples), (matching._attached, marks)):
+        rows = rows.sample(frac=1, random_state=1)
+        alone = [fold(page) for _, page in rows.groupby("page_no")]
+        assert sorted(fold(rows).itertuples(index=False, name=None)) == sorted(x for a in alone for x in a.itertuples(index=False, name=None)) and all(map(len, alone))
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(d, rng.randrange(200), rng.randrange(200)) for d in range(3) for _ in range(120)] + [(9, k, k + 1) for k in range(60)]
