@@ -47,9 +47,24 @@ _MARKS = """event_id+1000000000 mseq, concat('±', event_id%5) mtext, cx + case
 _READING = "case when event_id%10=5 then null when event_id%2=1 then 'vertical' when event_id%6=0 then 'unresolved_horizontal_fragment' else 'horizontal' end"
 
 
+#: Events for each shuffle partition, and the shuffled bytes that Spark may put together for a task: sorted rows take some
+#: twenty times as much memory.
+EVENTS_A_PART, TASK_BYTES = 50_000, 8 << 20
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events; the session's shuffle partitions are raised where they would get over EVENTS_A_PART each, and what a
+    task is given at once is lowered to TASK_BYTES where that stands at Spark's 64 MB."""
+    e, n, most = spark.read.parquet(f"{d}/events.parquet"), "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(n, str(max(int(spark.conf.get(n)), -(-e.count() // EVENTS_A_PART))))
+    if spark.conf.get(most) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(most, str(TASK_BYTES))
+    return e
+
+
 def annotations(spark: SparkSession, d: str, least: int = 0) -> DataFrame:
     """One row per event; least is added to its number a (10 leaves no single digits)."""
-    e = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_split(_PLACE), f"cast(floor(value) as bigint)+{least} a", "event_type", "user_id", "ts")
+    e = _events(spark, d).selectExpr(*_split(_PLACE), f"cast(floor(value) as bigint)+{least} a", "event_type", "user_id", "ts")
     return e.selectExpr("*", *_split(_AT), f"{_FORM} text")
 
 
@@ -90,7 +105,7 @@ def sheets(annot: DataFrame) -> DataFrame:
 
 
 def crowded(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_split(_CROWD), "cast(floor(value) as bigint) a")
+    e = _events(spark, d).selectExpr(*_split(_CROWD), "cast(floor(value) as bigint) a")
     return e.selectExpr("*", *_split(_CROWD_AT), f"{_FORM} text")
 
 
@@ -377,7 +392,7 @@ def crowded_order(spark, d):
 
 def crowded_pairs(spark, d):
     """Bare numbers close to each other on the lines of a crowded page."""
-    e = spark.read.parquet(f"{d}/events.parquet").selectExpr(*_split(_NUMBERS))
+    e = _events(spark, d).selectExpr(*_split(_NUMBERS))
     c = candidate_rows(e.withColumn("text", F.col("text")))
     found = matching.form_pairs(en.with_pair_columns(c)).where("entity_type = 'SRC_dimension'")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))

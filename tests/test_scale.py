@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from test_drawings import BOX, ENTITY, GLYPH, entity, pages, word  # noqa: F401
 
 from linework.operators import chains, entities, grammar, linking, matching, registry, spatial
-from linework.plans import extract
+from linework.plans import extract, queries
 from linework.sources import scratch, sheets
 from linework.streaming import ingest
 
@@ -304,6 +304,19 @@ def test_pages_fold_together_as_alone():
         assert sorted(fold(rows).itertuples(index=False, name=None)) == sorted(x for a in alone for x in a.itertuples(index=False, name=None)) and all(map(len, alone))
 
 
+def test_partitions_follow_the_events(spark, data, monkeypatch):
+    held = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        queries._events(spark, data)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == held["spark.sql.shuffle.partitions"]
+        assert int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == queries.TASK_BYTES
+        monkeypatch.setattr(queries, "EVENTS_A_PART", 999)
+        assert queries._events(spark, data).count() == 10_000 and spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v)
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(d, rng.randrange(200), rng.randrange(200)) for d in range(3) for _ in range(120)] + [(9, k, k + 1) for k in range(60)]
