@@ -52,17 +52,19 @@ def _middle(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def page_sizes(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Per page: mw and mh (of the median glyph), on_page (how many glyphs), and left, top, right, bottom of their centres.
+    """Per page: mw and mh (of the median glyph), on_page (how many glyphs), left, top, right, bottom of their centres, and
+    of their font sizes the least, the most and how many are known.
 
     Equal sizes are counted where they are read, so what is shuffled and sorted is a row for each size
     of a page, however many glyphs have it.
     """
     ends = [F.min("cx").alias("left"), F.min("cy").alias("top"), F.max("cx").alias("right"), F.max("cy").alias("bottom")]
+    ends += [F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.count("size").alias("sized")]
     sizes = save(glyphs.groupBy(*keys, "w", "h").agg(F.count("*").alias("n"), *ends), "sizes")
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("value"), F.col("n").alias("n")) for c in ("w", "h")))).alias("v")
     counts = sizes.select(*keys, each).select(*keys, "v.*").where("value is not null").groupBy(*keys, "of", "value").agg(F.sum("n").alias("n"))
     medians = _middle(counts, [*keys, "of"]).groupBy(*keys).agg(*(F.max(F.when(F.col("of") == c, F.col("median"))).alias(f"m{c}") for c in ("w", "h")))
-    pages = sizes.groupBy(*keys).agg(F.sum("n").alias("on_page"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
+    pages = sizes.groupBy(*keys).agg(F.sum("n").alias("on_page"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), F.min("least_size").alias("least_size"), F.max("most_size").alias("most_size"), F.sum("sized").alias("sized"))
     return pages.join(medians, keys)
 
 
@@ -75,16 +77,17 @@ def thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def with_thresholds(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """glyphs (with metrics) with their page's thresholds, on_page and batches, how many batches of BATCH_GLYPHS all glyphs
     make; where there are pages of over TILE_GLYPHS glyphs also with tile, how they are cut: struct(left, top, side,
-    reach), null on other pages."""
+    reach), null on other pages; where there are pages whose font sizes differ beyond the tolerance also with uneven."""
     pages = page_sizes(glyphs, keys)
-    pages = pages.select(*keys, "on_page", "left", "top", "right", "bottom", *(c.alias(n) for n, c in _tolerances(F.col("mw"), F.col("mh")).items()))
+    pages = pages.select(*keys, "on_page", "left", "top", "right", "bottom", "least_size", "most_size", "sized", *(c.alias(n) for n, c in _tolerances(F.col("mw"), F.col("mh")).items()))
     reach = F.greatest("line_tol", "col_tol", "h_gap_max", "v_gap_max")
     side = F.greatest(reach * LEAST_TILE, F.sqrt((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top")) * TILE_GLYPHS / F.col("on_page")))
     pages = pages.withColumn("tile", F.when(F.col("on_page") > TILE_GLYPHS, F.struct("left", "top", side.alias("side"), reach.alias("reach"))))
-    pages = save(pages.drop("left", "top", "right", "bottom"), "thresholds")
-    seen = pages.agg(F.sum("on_page").alias("n"), F.count("tile").alias("cut")).first()
+    pages = pages.withColumn("uneven", F.coalesce((F.col("sized") < F.col("on_page")) | (F.col("most_size") - F.col("least_size") > F.col("size_tol")), F.lit(True)))
+    pages = save(pages.drop("left", "top", "right", "bottom", "least_size", "most_size", "sized"), "thresholds")
+    seen = pages.agg(F.sum("on_page").alias("n"), F.count("tile").alias("cut"), F.count_if("uneven").alias("uneven")).first()
     pages = pages.withColumn("batches", F.lit(max(1, math.ceil((seen["n"] or 0) / BATCH_GLYPHS))))
-    return glyphs.join(pages if seen["cut"] else pages.drop("tile"), keys)
+    return glyphs.join(pages.drop(*([] if seen["cut"] else ["tile"]), *([] if seen["uneven"] else ["uneven"])), keys)
 
 
 def _bounds(values: np.ndarray, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -269,26 +272,38 @@ def with_spread(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return glyphs.withColumn("spread", F.max("size").over(line) - F.min("size").over(line))
 
 
+def all_even(glyphs: DataFrame) -> bool:
+    """Whether with_thresholds found no page whose font sizes differ beyond the tolerance."""
+    return "batches" in glyphs.columns and "uneven" not in glyphs.columns
+
+
+def _islands(glyphs: DataFrame, line: list[str]) -> DataFrame:
+    """glyphs with component where all sizes of a line fit each other."""
+    ordered, island = Window.partitionBy(*line).orderBy("along", "seq"), Window.partitionBy(*line, "island")
+    cut = F.col("along") - F.lag("along").over(ordered) > F.col("reach")
+    g = glyphs.withColumn("island", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(ordered))
+    alone = F.max("along").over(island) == F.min("along").over(island)
+    return g.withColumn("component", F.when(alone, F.col("seq")).otherwise(F.min("seq").over(island))).drop("island")
+
+
 def components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """glyphs with component: the least seq of those linked with it along its line.
 
     A line is an axis bucket of one font, as wide as the tolerance across, so links are gaps in one
     sorted column: an island ends where the gap is too large, and one at a single position falls
-    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, many lines at a time.
+    apart.  Lines whose sizes spread beyond the tolerance take the exact pairwise way, many lines at a time; where
+    with_thresholds found no uneven page there are none, and glyphs are read once.
     """
     line = [*keys, *LINE]
-    ordered = Window.partitionBy(*line).orderBy("along", "seq")
-    g = glyphs if "spread" in glyphs.columns else with_spread(glyphs, keys)
-    cut = F.col("along") - F.lag("along").over(ordered) > F.col("reach")
-    even = g.where(F.col("spread") <= F.col("size_tol")).withColumn("island", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(ordered))
-    island = Window.partitionBy(*line, "island")
-    alone = F.max("along").over(island) == F.min("along").over(island)
-    even = even.withColumn("component", F.when(alone, F.col("seq")).otherwise(F.min("seq").over(island))).drop("island")
+    if all_even(glyphs):
+        return _islands(glyphs, line)
+    g = save(with_spread(glyphs, keys), "spread")
+    even = _islands(g.where(F.col("spread") <= F.col("size_tol")), line)
     mixed = g.where(F.col("spread") > F.col("size_tol"))
     schema = mixed.withColumn("component", F.lit(0).cast("long")).schema
     dealt = [F.pmod(F.xxhash64(*line), F.col("batches")).alias("batch")] if "batches" in g.columns else keys
     mixed = mixed.groupBy(*dealt).applyInPandas(lambda rows: _linked(rows, keys), schema)
-    return even.unionByName(mixed).drop("spread")
+    return even.unionByName(mixed).drop("spread", "uneven")
 
 
 def split_components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:

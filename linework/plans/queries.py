@@ -244,7 +244,7 @@ def mixed_axes(spark, d):
 
 
 def mixed_components(spark, d):
-    return ch.components(save(_mixed(spark, d), "axes")).select("seq", "component")
+    return ch.components(_mixed(spark, d)).select("seq", "component")
 
 
 def splits(spark, d):

@@ -276,6 +276,22 @@ def test_small_files_are_not_broadcast(spark, capsys):
     assert "BroadcastHashJoin" not in _explained(p.join(matching._greedy(met, ["doc_id", "page"], "l", "r", "gap"), ["doc_id", "page"]), capsys)
 
 
+def _counted_glyphs(spark, data):
+    return chains.with_axes(chains.neighbor_counts(chains.with_thresholds(chains.with_metrics(queries.glyphs(queries.annotations(spark, data))))))
+
+
+def test_even_pages_are_counted_once(spark, data, capsys):
+    """Where no page's sizes differ, components read the glyphs once; the pairwise way finds the same."""
+    g = _counted_glyphs(spark, data)
+    found = chains.components(g)
+    assert _explained(found, capsys).count("FlatMapGroupsIn") == 1
+    rows = lambda df: sorted(map(tuple, df.select("seq", "component").collect()))
+    assert rows(found) == rows(chains.components(g.withColumn("uneven", F.lit(True))))
+    for odd in (14.0, None):
+        sized = queries.glyphs(queries.annotations(spark, data)).withColumn("size", F.when(F.col("seq") != 33, F.col("size")).otherwise(F.lit(odd)))
+        assert not chains.all_even(chains.with_thresholds(chains.with_metrics(sized)))
+
+
 def test_nearest_drawings_sort_no_pairs(spark, capsys):
     """A page's drawings meet its entities as one row; dense pages and pages with none beside it."""
     rng = random.Random(2)
