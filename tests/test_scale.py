@@ -292,6 +292,14 @@ def test_even_pages_are_counted_once(spark, data, capsys):
         assert not chains.all_even(chains.with_thresholds(chains.with_metrics(sized)))
 
 
+def test_lines_are_dealt_once(spark, data, monkeypatch, capsys):
+    """From counted glyphs to groups in order: one exchange by line where sizes are even."""
+    plans = {}
+    monkeypatch.setattr(extract, "save", lambda df, name: plans.setdefault(name, _explained(df, capsys)) and scratch.save(df, name))
+    extract.page_chains(queries.glyphs(queries.annotations(spark, data)))
+    assert sum("Exchange" in line and "axis_bucket" in line for line in plans["groups"].splitlines()) == 1
+
+
 def test_nearest_drawings_sort_no_pairs(spark, capsys):
     """A page's drawings meet its entities as one row; dense pages and pages with none beside it."""
     rng = random.Random(2)
