@@ -43,7 +43,7 @@ def build(found: DataFrame) -> DataFrame:
     tolerance and tolerance_text are the one modifier an entity can have.
     """
     text = tx.strip(F.col("text"))
-    c = with_pair_columns(found).withColumn("text", text).withColumn("written", explicit_pair(F.col("text")))
+    c = with_pair_columns(found).withColumn("text", text).withColumn("written", F.when(F.col("text").rlike("[Xx×]"), explicit_pair(F.col("text"))))
     a, b = F.get("values", F.lit(0)), F.get("values", F.lit(1))
     formed = (F.col("entity_type") == "SRC_dimension") & ((F.size(F.coalesce("values", F.array().cast("array<double>"))) < 2) | tx.valid_pair(a, b, tx.plain_number(b), F.lit("")))
     way = F.when(F.coalesce(formed, F.lit(False)), "formed").when(F.col("written").isNotNull(), "written").when(F.col("grammar_fused") & F.col("tolerance_value").isNotNull(), "fused").otherwise("text")

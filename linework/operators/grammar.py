@@ -26,26 +26,44 @@ def _median(values: Column) -> Column:
 
 
 _NUMERALS = tuple("0123456789.")
+#: Gaps that never part digits.
+CLOSE = 10.0
+
+
+def _shifted(a: Column) -> Column:
+    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
+
+
+def _steps(a: Column) -> Column:
+    """How far each glyph stands from the one before."""
+    return F.zip_with(_shifted(a), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.abs(x["along"] - y["along"]))
+
+
+def _spaced(glyphs: Column) -> Column:
+    """Whether a gap is over CLOSE or unknown."""
+    return ~F.coalesce(F.forall(_steps(glyphs), lambda s: s <= CLOSE), F.lit(False))
+
+
+def _one_number(glyphs: Column) -> Column:
+    """Whether an ordered array of single characters, none far from the next, has at most one run of digits and points."""
+    text = F.array_join(glyphs["char"], "")
+    single = F.coalesce(F.forall(glyphs["char"], lambda c: F.length(c) == 1), F.lit(False))
+    return single & ~text.rlike(r"(?s)[0-9.][^0-9.].*[0-9.]") & ~_spaced(glyphs)
 
 
 def tokens(glyphs: Column) -> Column:
     """Tokens of an ordered array of struct(along, seq, char).
 
-    Digits and points run together while the gap between them is usual for the chain; every
+    Digits and points run together while the gap between them is usual for the chain (up to CLOSE it always is); every
     other character is a token of its own.
     """
     number = lambda g: g["char"].isin(*_NUMERALS)
-    shifted = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
-
-    def steps(a: Column) -> Column:
-        return F.zip_with(shifted(a), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.abs(x["along"] - y["along"]))
-
-    usual = F.coalesce(_median(_let(F.filter(glyphs, number), steps)), F.lit(8.0))
+    usual = F.when(_spaced(glyphs), F.coalesce(_median(_let(F.filter(glyphs, number), _steps)), F.lit(8.0))).otherwise(0.0)
 
     def cut(limit: Column) -> Column:
         """Where tokens start, counted from 1."""
         joins = lambda x, y: F.coalesce(number(x) & number(y) & (F.abs(x["along"] - y["along"]) <= limit), F.lit(False))
-        ends = F.zip_with(glyphs, shifted(glyphs), lambda x, y: ~joins(x, y))  # the last has no next one
+        ends = F.zip_with(glyphs, _shifted(glyphs), lambda x, y: ~joins(x, y))  # the last has no next one
         return F.filter(F.transform(F.concat(F.array(F.lit(True)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), lambda new, i: F.when(new, i + 1)), lambda i: i.isNotNull())
 
     def token(part: Column) -> Column:
@@ -58,7 +76,7 @@ def tokens(glyphs: Column) -> Column:
         return F.transform(parts, token)
 
     none = F.array().cast(f"array<{TOKEN}>")
-    return F.when(F.size(glyphs) > 0, _let(_let(usual, lambda m: cut(F.greatest(2.5 * m, m + 6.0, F.lit(10.0)))), made)).otherwise(none)
+    return F.when(F.size(glyphs) > 0, _let(_let(usual, lambda m: cut(F.greatest(2.5 * m, m + 6.0, F.lit(CLOSE)))), made)).otherwise(none)
 
 
 def merge_parentheses(found: Column) -> Column:
@@ -155,17 +173,20 @@ def dimensions(glyphs: Column, has_operator: Column) -> Column:
     """The dimensions of one ordered glyph group.
 
     With an operator: what the grammar finds, maybe nothing.  Else the first two numbers as a pair,
-    or the whole chain as a string.
+    or the whole chain as a string; where there is one number at most, the tokens needn't be read.
     """
     text = tx.strip(F.array_join(F.transform(glyphs, lambda g: g["char"]), ""))
     chain = F.array(_fused(text, F.transform(glyphs, lambda g: g["seq"]), "CHAIN_STRING"))
     none = F.array().cast(f"array<{FUSED}>")
 
+    whole = F.when(text == "", none).otherwise(chain)
+
     def plain(t: Column) -> Column:
-        return _let(F.filter(t, lambda x: x["type"] == "number"), lambda n: _let(implicit_pair(F.get(n, F.lit(0)), F.get(n, F.lit(1))), lambda p: F.when((F.size(n) >= 2) & p.isNotNull(), F.array(p)).otherwise(F.when(text == "", none).otherwise(chain))))
+        return _let(F.filter(t, lambda x: x["type"] == "number"), lambda n: _let(implicit_pair(F.get(n, F.lit(0)), F.get(n, F.lit(1))), lambda p: F.when((F.size(n) >= 2) & p.isNotNull(), F.array(p)).otherwise(whole)))
 
     opens = F.exists(glyphs, lambda g: g["char"] == "(")
-    return _let(_let(tokens(glyphs), lambda t: F.when(opens, merge_parentheses(t)).otherwise(t)), lambda t: F.when(has_operator, parse(t)).otherwise(plain(t)))
+    read = _let(_let(tokens(glyphs), lambda t: F.when(opens, merge_parentheses(t)).otherwise(t)), lambda t: F.when(has_operator, parse(t)).otherwise(plain(t)))
+    return F.when(~has_operator & _one_number(glyphs), whole).otherwise(read)
 
 
 def groups(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:

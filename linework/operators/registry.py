@@ -10,7 +10,7 @@ from linework.functions.geometry import rounded
 from linework.functions.text import OPERATORS, reading_direction
 from linework.operators.chains import KEYS, singleton_kind
 from linework.operators.linking import fold_knots
-from linework.sources.scratch import save
+from linework.sources.scratch import save, sized
 
 #: Where the phases of a page's order begin; within a phase rows are numbered from 1, so phases never
 #: meet: chains from 1 on, then leftover glyphs, formed pairs, merged references and fused digits.
@@ -73,7 +73,7 @@ def _shared(groups: DataFrame, keys: list[str]) -> DataFrame:
     spots = F.transform("glyphs", lambda g: F.xxhash64(F.lit("place"), rounded(g["cx"], 1), rounded(g["cy"], 1), g["char"]))
     pairs = F.transform(F.filter("found", lambda d: d["entity_type"] == "SRC_dimension"), lambda d: F.xxhash64(F.lit("pair"), pair_key(F.col("dimension_axis"), d["values"])))
     marks = groups.select(*keys, "first_seq", F.explode(F.concat(spots, pairs)).alias("mark"))
-    shared = marks.groupBy(*keys, "mark").agg(F.count("*").alias("n"), F.min("first_seq").alias("least")).where("n > 1").drop("n")
+    shared = sized(save(marks.groupBy(*keys, "mark").agg(F.count("*").alias("n"), F.min("first_seq").alias("least")).where("n > 1").drop("n"), "shared-marks"))
     return marks.join(shared, [*keys, "mark"]).select(*keys, "first_seq", "least").distinct()
 
 
@@ -99,19 +99,20 @@ def chains(groups: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     groups is ordered().  Where no glyph or pair repeats, a group keeps all that it found, and its
     other glyphs are left over.  Only groups that share one need the order, and only those go through a fold.
     """
-    shared = save(_shared(groups, keys), "shared").hint("merge")
-    plain, hard = (groups.join(shared.select(*keys, "first_seq"), [*keys, "first_seq"], how) for how in ("left_anti", "left_semi"))
+    shared = save(_shared(groups, keys), "shared")
+    tied = sized(save(shared.select(*keys, "first_seq").distinct(), "tied"))
+    plain, hard = (groups.join(tied, [*keys, "first_seq"], how) for how in ("left_anti", "left_semi"))
     dims = plain.select(*keys, "dimension_axis", "axis_bucket", *ORDER, "glyphs", F.posexplode("found").alias("nth", "d"))
-    settled = _settled(hard, shared, keys)
+    settled = _settled(hard, shared.hint("merge"), keys)
     kept = dims.unionByName(settled.where("status = 'kept'").select(*dims.columns))
     own = _own(F.col("glyphs"), F.col("d.ids"))
     over = lambda f, c: f(F.transform("own", lambda g: g[c]))
     named = ["grammar_fused", "grammar_rule", "nominal", "nominal_text", "tolerance_value", "entity_type", "operator", "values"]
-    long = kept.withColumns({"own": own, "chain_id": F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER, "nth"))})
-    long = long.select(
-        *keys, "chain_id", "dimension_axis", "axis_bucket", F.col("d.text").alias("text"), *(F.col(f"d.{n}").alias(n) for n in named),
+    long = kept.withColumn("own", own).select(
+        *keys, *ORDER, "nth", "dimension_axis", "axis_bucket", F.col("d.text").alias("text"), *(F.col(f"d.{n}").alias(n) for n in named),
         over(F.array_min, "x0").alias("x0"), over(F.array_min, "y0").alias("y0"), over(F.array_max, "x1").alias("x1"), over(F.array_max, "y1").alias("y1"), F.size("own").alias("glyph_count"), over(F.array_max, "h_near").alias("h_near"),
     )
+    long = long.withColumn("chain_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER, "nth"))).drop(*ORDER, "nth")
     long = long.withColumns({"orientation": F.when(F.col("glyph_count") > 1, F.col("dimension_axis")).otherwise(singleton_kind(F.col("dimension_axis"), F.col("h_near"))), "seq": F.col("chain_id").cast("long"), "direction_locked": F.lit(True)})
 
     used = F.flatten(F.transform("found", lambda d: d["ids"]))

@@ -137,8 +137,9 @@ def nearest_drawing(entities: DataFrame, drawings: DataFrame, keys: list[str] =
         few = d.join(dense, keys, "left_anti")
     held = few.groupBy(*keys).agg(F.collect_list(F.struct("dseq", "dx", "dy", "box")).alias("drawn")).hint("merge")
     gap = lambda g: distance(F.col("cx"), F.col("cy"), g["dx"], g["dy"])
-    nearest = F.array_min(F.transform("drawn", lambda g: F.struct(gap(g).alias("gap"), g["dseq"].alias("dseq"), g["box"].alias("box"))))["box"]
-    out = entities.join(held, keys, "left").withColumns({"distance": F.array_min(F.transform("drawn", gap)), "box": nearest}).drop("drawn")
+    tried = F.transform("drawn", lambda g: F.struct(gap(g).alias("gap"), g["dseq"].alias("dseq"), g["box"].alias("box")))
+    out = entities.join(held, keys, "left").withColumn("tried", tried)
+    out = out.withColumns({"distance": F.array_min("tried.gap"), "box": F.array_min("tried")["box"]}).drop("drawn", "tried")
     if crowded:
         many = _nearest_by_cells(entities.select(*keys, "seq", "cx", "cy").join(dense, keys, "left_semi"), d.join(dense, keys, "left_semi"), keys)
         many = many.select(*keys, "seq", F.col("distance").alias("m_distance"), F.col("box").alias("m_box"))

@@ -60,6 +60,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return put(df, fresh_path(df.sparkSession, name))
 
 
+#: Rows of a saved table up to which joins may send it to every task.
+FEW_ROWS = 100_000
+
+
+def sized(saved: DataFrame) -> DataFrame:
+    """A saved table of few columns that asks for the join its rows call for: by its files' size, which are compressed, Spark would
+    broadcast millions of rows, and it shuffles what it meets before it knows that a table is small."""
+    return saved.hint("broadcast" if saved.count() <= FEW_ROWS else "merge")
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:

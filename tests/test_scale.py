@@ -300,6 +300,33 @@ def test_lines_are_dealt_once(spark, data, monkeypatch, capsys):
     assert sum("Exchange" in line and "axis_bucket" in line for line in plans["groups"].splitlines()) == 1
 
 
+def test_groups_that_share_nothing_are_not_sorted(spark, data, monkeypatch, capsys):
+    """Few groups that share a place go to all tasks; many meet by a merge, with the same chains."""
+    groups = scratch.save(registry.ordered(grammar.groups(chains.split_components(chains.components(_counted_glyphs(spark, data))))), "groups")
+    few = registry.chains(groups)
+    assert "SortMergeJoin" not in _explained(few, capsys)
+    monkeypatch.setattr(scratch, "FEW_ROWS", -1)
+    many = registry.chains(groups)
+    assert "SortMergeJoin" in _explained(many, capsys)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(few) == rows(many)
+
+
+def test_chains_of_one_number_need_no_tokens(spark, monkeypatch):
+    """Read through their tokens they give the same, whatever their gaps and characters."""
+    rng = random.Random(5)
+    chars = [*"0123456789..RXT(() \u00b0", "12", "", None]
+    made = [(n, [(sum(gaps[: k + 1]), k, c) for k, c in enumerate(rng.choices(chars, k=len(gaps)))]) for n in range(1500) for gaps in [[rng.choice((0.0, 6.0, 6.0, 6.0, 10.0, 11.0, 40.0)) for _ in range(rng.randrange(7))]]]
+    made += [(1500, [(0.0, 0, "1"), (None, 1, "2"), (math.nan, 2, "3")])]
+    df = spark.createDataFrame(made, "n long, g array<struct<along:double,seq:long,char:string>>")
+    find = lambda: sorted(map(str, df.select("n", grammar.dimensions(F.col("g"), F.lit(False)).alias("found")).collect()))
+    assert df.where(grammar._one_number(F.col("g"))).count() > 300
+    fast = find()
+    monkeypatch.setattr(grammar, "_one_number", lambda g: F.lit(False))
+    monkeypatch.setattr(grammar, "_spaced", lambda g: F.lit(True))
+    assert fast == find()
+
+
 def test_nearest_drawings_sort_no_pairs(spark, capsys):
     """A page's drawings meet its entities as one row; dense pages and pages with none beside it."""
     rng = random.Random(2)
