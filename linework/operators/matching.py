@@ -20,7 +20,7 @@ from linework.operators.chains import KEYS
 from linework.operators.linking import fold_knots, fold_pages
 from linework.operators.registry import FORMED, FUSED, MERGED, pair_key
 from linework.operators.spatial import within
-from linework.sources.scratch import save
+from linework.sources.scratch import save, sized
 
 # Fixed values of the drawing rules.
 ANCHOR_MM, PAIR_GAP_MM, THICKNESS_MM = 2.0, 6.0, 2.0
@@ -42,16 +42,16 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     own = F.struct(*("seq", "text", "cx", "cy", "x0", "y0", "x1", "y1", "glyph_count", "orientation"))
     all_of = Window.partitionBy(*line)
     p = number.withColumns({"a": own, "b": F.lead(own).over(w), "nth": F.row_number().over(w), "line_first": F.min("seq").over(all_of), "on_line": F.count("*").over(all_of)}).where("on_line >= 2")
-    zone = p.select(*keys, "line_first").distinct().withColumn("zone", F.row_number().over(Window.partitionBy(*keys).orderBy("line_first"))).hint("merge")
-    p = p.join(zone, [*keys, "line_first"]).where("b is not null")
     gap = F.when(up, F.col("a.y0") - F.col("b.y1")).otherwise(F.col("b.x0") - F.col("a.x1"))
     offset = F.when(up, F.abs(F.col("a.cx") - F.col("b.cx"))).otherwise(F.abs(F.col("a.cy") - F.col("b.cy")))
     room = F.greatest(F.col("a.x1") - F.col("a.x0"), F.col("b.x1") - F.col("b.x0"), F.lit(1.0)) * 0.35
-    p = p.withColumns({"gap": gap, "left": tx.to_double(F.col("a.text")), "right": tx.to_double(F.col("b.text"))})
-    fits = (offset <= mm(ANCHOR_MM)) & (F.col("gap") > 0) & (F.col("gap") <= mm(PAIR_GAP_MM)) & (F.col("gap") >= room)
-    fits &= tx.pair_may_form(F.col("left"), F.col("right"), tx.plain_number(F.col("right")), F.lit(""), F.col("a.orientation"))
+    p = p.withColumns({"gap": gap, "offset": offset, "left": tx.to_double(F.col("a.text")), "right": tx.to_double(F.col("b.text"))}).withColumn("right_text", tx.plain_number(F.col("right")))
+    fits = F.col("b").isNotNull() & (F.col("offset") <= mm(ANCHOR_MM)) & (F.col("gap") > 0) & (F.col("gap") <= mm(PAIR_GAP_MM)) & (F.col("gap") >= room)
+    fits &= tx.pair_may_form(F.col("left"), F.col("right"), F.col("right_text"), F.lit(""), F.col("a.orientation"))
+    # judged below the window, so the filter above it reads one column and repeats nothing
+    p = p.withColumn("fits", fits).withColumn("zone", F.dense_rank().over(Window.partitionBy(*keys).orderBy("line_first"))).where("fits").drop("fits", "offset", "right_text")
     mark = lambda s: F.concat_ws("|", rounded(F.col(f"{s}.cx"), 1).cast("string"), rounded(F.col(f"{s}.cy"), 1).cast("string"), F.col(f"{s}.text"))
-    p = p.where(fits).withColumns({"ka": mark("a"), "kb": mark("b"), "pair": pair_key(axis, F.array("left", "right"))})
+    p = p.withColumns({"ka": mark("a"), "kb": mark("b"), "pair": pair_key(axis, F.array("left", "right"))})
     known = cands.where("entity_type = 'SRC_dimension'").select(*keys, pair_key(axis, F.col("values")).alias("pair")).distinct().hint("merge")
     formed = _chosen(p.join(known, [*keys, "pair"], "left_anti"), keys)
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("line_first", "nth"))
@@ -65,7 +65,7 @@ def form_pairs(cands: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         F.lit("LOCAL_ANCHOR_PAIR").alias("grammar_rule"), F.lit("SRC_dimension").alias("entity_type"), F.lit("X").alias("operator"), F.array("left", "right").alias("values"), F.col("zone").alias("semantic_zone_id"),
         x.alias("anchor_x"), y.alias("anchor_y"), F.lit(ANCHOR_MM).alias("anchor_radius_mm"), F.lit(True).alias("reconstructed_operator"), tx.pair_confidence(F.col("gap"), mm(PAIR_GAP_MM)).alias("confidence"),
     )
-    gone = formed.select(*keys, F.explode(F.array("a.seq", "b.seq")).alias("seq")).hint("merge")
+    gone = sized(save(formed.select(*keys, F.explode(F.array("a.seq", "b.seq")).alias("seq")), "gone"))
     return cands.join(gone, [*keys, "seq"], "left_anti").unionByName(out, allowMissingColumns=True)
 
 

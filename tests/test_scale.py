@@ -327,6 +327,17 @@ def test_chains_of_one_number_need_no_tokens(spark, monkeypatch):
     assert fast == find()
 
 
+def test_pairs_are_judged_once(spark, monkeypatch, capsys):
+    """Neighbours on a line meet no table of lines, and numbers are written out once, not in a filter."""
+    plans = {}
+    monkeypatch.setattr(matching, "save", lambda df, name: plans.setdefault(name, _explained(df, capsys)) and scratch.save(df, name))
+    spots = [(1, 0.0, 0.0, "12"), (2, 40.0, 0.0, "13"), (3, 0.0, 50.0, "5"), (4, 400.0, 50.0, "6"), (5, 0.0, 90.0, "7"), (6, 0.0, 130.0, "14"), (7, 40.0, 130.0, "15")]
+    a = spark.createDataFrame([(n, "d", 1, x, y, t) for n, x, y, t in spots], "event_id long, doc_id string, page int, ax double, ay double, text string")
+    found = matching.form_pairs(entities.with_pair_columns(queries.candidate_rows(a))).where("entity_type = 'SRC_dimension'")
+    assert sorted((r["text"], r["semantic_zone_id"]) for r in found.collect()) == [("12 X 13", 1), ("14 X 15", 3)]
+    assert "Join" not in plans["neighbours"] and not any("Filter" in line and "format_string" in line for line in plans["neighbours"].splitlines())
+
+
 def test_nearest_drawings_sort_no_pairs(spark, capsys):
     """A page's drawings meet its entities as one row; dense pages and pages with none beside it."""
     rng = random.Random(2)
