@@ -327,6 +327,16 @@ def split_components(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return g.withColumn("piece", piece.cast("int")).drop("gap", "usual", "members", "length", "nth")
 
 
+def stays_whole(has_operator, glyphs):
+    """Whether split_components sees at once that a component stays one piece: its gaps differ by less than BREAK times, and
+    it isn't long.  glyphs is its ordered array."""
+    along = F.transform(glyphs, lambda g: g["along"])
+    steps = F.zip_with(F.slice(along, 2, F.size(along)), along, lambda x, y: F.abs(x - y))
+    steps = F.slice(steps, 1, F.greatest(F.size(along) - 1, F.lit(0)))
+    even = F.forall(along, lambda x: x.isNotNull()) & (F.array_max(steps) <= F.array_min(steps) * BREAK)
+    return F.coalesce(has_operator | (F.size(glyphs) <= MOST_GLYPHS) & ((F.size(glyphs) < 3) | even) & has_operator.isNotNull(), F.lit(False))
+
+
 def singleton_kind(axis, h_near):
     """Orientation of a lone glyph."""
     return F.when(axis == "vertical", "unresolved_vertical_fragment").when(h_near > 0, "unresolved_horizontal_fragment").otherwise("isolated_glyph")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.functions import text as tx
-from linework.operators.chains import KEYS, reading_order
+from linework.operators.chains import KEYS, reading_order, split_components, stays_whole
+from linework.sources.scratch import save
 
 TOKEN = "struct<text:string,type:string,ids:array<long>>"
 FUSED = "struct<text:string,ids:array<long>,grammar_fused:boolean,grammar_rule:string,nominal:double,nominal_text:string,tolerance_value:double,entity_type:string,operator:string,values:array<double>>"
@@ -189,10 +190,33 @@ def dimensions(glyphs: Column, has_operator: Column) -> Column:
     return F.when(~has_operator & _one_number(glyphs), whole).otherwise(read)
 
 
-def groups(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row per prepared glyph group with its ordered glyphs, its place in processing order and its dimensions."""
+def prepared(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """One row per prepared glyph group with its ordered glyphs and its place in processing order."""
     comp = [*keys, "dimension_axis", "axis_bucket", "component", "chunk", "piece"]
     order = reading_order(F.col("dimension_axis"), F.col("cx"), F.col("cy"))
     own = F.struct(order.alias("order"), "seq", "along", "char", "x0", "y0", "x1", "y1", "cx", "cy", "h_near")
-    g = glyphs.groupBy(*comp).agg(F.array_sort(F.collect_list(own)).alias("glyphs"), F.max("has_operator").alias("has_operator"), F.min("seq").alias("first_seq"))
-    return g.withColumn("found", dimensions(F.col("glyphs"), F.col("has_operator")))
+    return glyphs.groupBy(*comp).agg(F.array_sort(F.collect_list(own)).alias("glyphs"), F.max("has_operator").alias("has_operator"), F.min("seq").alias("first_seq"))
+
+
+def groups(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """prepared() with the dimensions of each group, read one by one."""
+    return prepared(glyphs, keys).withColumn("found", dimensions(F.col("glyphs"), F.col("has_operator")))
+
+
+def whole(glyphs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """groups() of components before they are split, with stays: whether one stays whole.  Only those are read here."""
+    g = prepared(glyphs.withColumns({"chunk": F.lit(0), "piece": F.lit(0), "has_operator": F.col("char").isin(*tx.OPERATORS)}), keys)
+    g = g.withColumn("stays", stays_whole(F.col("has_operator"), F.col("glyphs")))
+    return g.withColumn("found", F.when(F.col("stays"), dimensions(F.col("glyphs"), F.col("has_operator"))))
+
+
+def split(components: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """groups() of whole() components (saved, in order), as split_components parts them: only those that may fall apart are
+    glyphs again, and keep where their line begins."""
+    stay, rest = (components.where(c) for c in ("stays", "not stays"))
+    if rest.isEmpty():
+        return components.drop("stays")
+    comp = [*keys, "dimension_axis", "axis_bucket", "component"]
+    parts = groups(split_components(rest.select(*comp, F.explode("glyphs").alias("g")).select(*comp, "g.*"), keys), keys)
+    parts = parts.join(rest.select(*comp, "axis_rank", "bucket_first").distinct().hint("merge"), comp)
+    return save(stay.unionByName(parts.withColumn("stays", F.lit(False))).drop("stays"), "split")

@@ -19,13 +19,14 @@ def page_chains(glyphs: DataFrame, keys: list[str] = ch.KEYS) -> DataFrame:
     """Glyphs to chains: thresholds, axes, components, grammar and single use of glyphs.
 
     Neighbours are counted page by page or tile by tile; all that follows is dealt by line, so a page of any
-    size is the work of many tasks: once for all steps where sizes are even.
+    size is the work of many tasks: once for all steps where sizes are even.  Components whose gaps are even
+    aren't taken apart.
     """
     g = ch.with_axes(ch.neighbor_counts(ch.with_thresholds(ch.with_metrics(glyphs), keys), keys))
     line = [*keys, "dimension_axis", "axis_bucket"]
     g = ch.components(g.repartition(*line), keys) if ch.all_even(g) else ch.components(g, keys).repartition(*line)
-    pieces = ch.split_components(g, keys)
-    return registry.chains(save(registry.ordered(grammar.groups(pieces, keys), keys), "groups"), keys)
+    groups = save(registry.ordered(grammar.whole(g, keys), keys), "groups")
+    return registry.chains(grammar.split(groups, keys), keys)
 
 
 def page_entities(glyphs: DataFrame, keys: list[str] = ch.KEYS) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_drawings import BOX, ENTITY, GLYPH, entity, pages, word  # noqa: F401
 
@@ -479,3 +480,29 @@ def test_pages_that_arrive_again(spark, tmp_path):
     _page_file(source / "e.json", "e", 1, "78.7(REF)", 4)
     assert run() == [("d", 1, "R13"), ("d", 2, "R12")] and held() == before
     assert {(r["doc_id"], r["page"]): r["version"] for r in spark.read.parquet(f"{tmp_path}/out/pages").collect()} == {("d", 1): 4, ("d", 2): 1, ("e", 1): 5}
+
+
+def test_even_components_stay_whole(spark, monkeypatch):
+    """Only components with a wide gap, of many glyphs or of unknown places are taken apart; the groups are those of all."""
+    rng = random.Random(11)
+    rows, at = [], 0.0
+    for n in range(160):
+        at, line = 0.0, n
+        for _ in range(rng.choice((1, 2, 3, 5, 8, 14, 26))):
+            rows.append((n // 40, 1, len(rows), rng.choice("0123456789.X") if n % 5 else rng.choice("12±7"), at, 20.0 * line))
+            at += rng.choice((6.0, 6.0, 6.0, 2.0, 0.0, 16.0) if n % 3 else (6.0,))
+    rows += [(4, 1, len(rows) + k, None, 6.0 * k, 0.0) for k in range(3)]
+    g = spark.createDataFrame(rows, "doc_id long, page int, seq long, char string, x0 double, y0 double")
+    g = g.withColumns({"x1": F.col("x0") + 5, "y1": F.col("y0") + 9, "cx": F.col("x0") + 2.5, "cy": F.col("y0") + 4.5, "h_near": F.lit(1).cast("long"), "along": F.when(F.col("seq") % 97 != 5, F.col("x0") + 2.5), "dimension_axis": F.lit("horizontal"), "axis_bucket": (F.col("y0") / 20).cast("int")})
+    g = scratch.save(g.withColumn("component", F.min("seq").over(Window.partitionBy("doc_id", "axis_bucket"))), "linked")
+    found = scratch.save(registry.ordered(grammar.whole(g)), "groups")
+    assert min(r["count"] for r in found.groupBy("stays").count().collect()) > 20
+    names = sorted(grammar.groups(chains.split_components(g)).columns) + ["axis_rank", "bucket_first"]
+    show = lambda df: sorted(map(str, df.select(names).collect()))
+    each = registry.ordered(grammar.groups(chains.split_components(g)))
+    assert show(grammar.split(found)) == show(each)
+    seen = []
+    monkeypatch.setattr(grammar, "split_components", lambda glyphs, keys: seen.append(glyphs.count()) or chains.split_components(glyphs, keys))
+    assert show(grammar.split(found.where("stays"))) and not seen
+    grammar.split(found)
+    assert 0 < seen[0] < len(rows)
