@@ -14,8 +14,8 @@ PAGE = ["doc_id", "page"]
 
 #: The grid for overlaps: cells of CELL at its finest level and STEP times that at each next one; the last level is one cell.
 CELL, STEP, LEVELS = 128.0, 4, 12
-#: Levels that the regions of a page stand at, at most.
-REGION_LEVELS = 4
+#: Levels that the regions of a page stand at, at most, and a page's regions up to which a box tries them all.
+REGION_LEVELS, FEW_REGIONS = 4, 32
 #: Sides of the cells that drawings are sought in, from fine to coarse, and a page's drawings up to which all are tried.
 SIDES, FEW_DRAWINGS = (16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0), 256
 
@@ -56,23 +56,42 @@ def _around(gx: Column, gy: Column) -> Column:
     return F.array(*(F.struct((gx + i).alias("gx"), (gy + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
 
 
+def _meets(box: Box, region: Box, mode: Column | None) -> Column:
+    meets = box.intersects(region)
+    return meets if mode is None else F.when(mode == "center", box.center_inside(region)).otherwise(meets)
+
+
 def clip(rows: DataFrame, regions: DataFrame, by_mode: bool = True) -> DataFrame:
     """rows once for each region of their page that they meet, with region_id.
 
     by_mode: a region's glyph_mode 'center' asks for the centre inside, any other for overlap.
-    Pages without a region are left out first.  A box and a region meet at the level of the larger one of
-    them, where neither is larger than a cell: the box stands in the cell of its corner, once for each
-    level of its page's regions (REGION_LEVELS at most), and the region looks into the cells it may reach
-    boxes of.  So no box makes many rows, whatever its size.  Boxes and regions with a coordinate that is null
-    or not a number meet nothing; infinite ones are as large as the page.
+    On pages of up to FEW_REGIONS a box tries them all, where a task holds the regions of its pages; on others the grid
+    finds those near it.  Boxes and regions with a coordinate that is null or not a number meet nothing.
+    """
+    side = [*(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")), *(["glyph_mode"] if by_mode else [])]
+    r = regions.select(*PAGE, "region_id", *side).where(_sound(Box.of("r_")))
+    rows = rows.where(_sound(Box.of()))
+    dense = save(r.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > FEW_REGIONS).select(*PAGE), "dense-pages")
+    few, crowded = r, not dense.isEmpty()
+    if crowded:
+        few = r.join(dense, PAGE, "left_anti")
+    out = rows.join(few.hint("shuffle_hash"), PAGE).where(_meets(Box.of(), Box.of("r_"), F.col("glyph_mode") if by_mode else None)).select(*rows.columns, "region_id")
+    if crowded:
+        out = out.union(_clip_by_cells(rows.join(dense, PAGE, "left_semi"), r.join(dense, PAGE, "left_semi"), by_mode))
+    return out
+
+
+def _clip_by_cells(rows: DataFrame, r: DataFrame, by_mode: bool) -> DataFrame:
+    """clip by the grid, of sound boxes.
+
+    A box and a region meet at the level of the larger one of them, where neither is larger than a cell: the box stands
+    in the cell of its corner, once for each level of its page's regions (REGION_LEVELS at most), and the region looks
+    into the cells it may reach boxes of.  So no box makes many rows, whatever its size; infinite ones are as large as
+    the page.
     """
-    r = regions.select(*PAGE, "region_id", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")), *(["glyph_mode"] if by_mode else []))
     box, region = Box.of(), Box.of("r_")
-    r = _region_levels(r.where(_sound(region)))
-    meets = box.intersects(region)
-    if by_mode:
-        meets = F.when(F.col("glyph_mode") == "center", box.center_inside(region)).otherwise(meets)
-    near = rows.where(_sound(box)).join(r.groupBy(*PAGE).agg(F.collect_set("level").alias("levels")), PAGE).withColumn("own", _level(box))
+    r = _region_levels(r)
+    near = rows.join(r.groupBy(*PAGE).agg(F.collect_set("level").alias("levels")), PAGE).withColumn("own", _level(box))
     near = near.withColumn("at", F.explode(F.array_distinct(F.transform("levels", lambda x: F.greatest(x, F.col("own"))))))
     b, n = box.normalised(), region.normalised()
     near = near.withColumns({"gx": _grid(b.x0, F.col("at")), "gy": _grid(b.y0, F.col("at"))})
@@ -80,6 +99,7 @@ def clip(rows: DataFrame, regions: DataFrame, by_mode: bool = True) -> DataFrame
     reach = lambda a, z: F.sequence(_grid(a, F.col("at")) - (F.col("at") < LEVELS).cast("long"), _grid(z, F.col("at")))
     areas = areas.withColumn("gx", F.explode(reach(n.x0, n.x1))).withColumn("gy", F.explode(reach(n.y0, n.y1)))
     both = near.join(areas, [*PAGE, "at", "gx", "gy"])
+    meets = _meets(box, region, F.col("glyph_mode") if by_mode else None)
     return both.where((F.col("at") == F.greatest("own", "level")) & meets).select(*rows.columns, "region_id")
 
 

@@ -75,7 +75,7 @@ def extract_regions(glyphs: DataFrame, drawings: DataFrame, sheets: DataFrame, r
     regions that hold the same are worked once (clip_classes).  An id names a region of its page;
     the same row twice is one region.
     """
-    regions = regions.distinct()
+    regions = save(regions.distinct(), "regions")
     clipped, drawn = save(spatial.clip(glyphs, regions), "clipped"), save(spatial.clip(drawings, regions, by_mode=False), "drawn")
     classes = save(clip_classes(clipped, drawn), "clips")
     first = classes.where("region_id = first_id").select(*REGION_KEYS)

@@ -50,15 +50,21 @@ _READING = "case when event_id%10=5 then null when event_id%2=1 then 'vertical'
 #: Events for each shuffle partition, and the shuffled bytes that Spark may put together for a task: sorted rows take some
 #: twenty times as much memory.
 EVENTS_A_PART, TASK_BYTES = 50_000, 8 << 20
+#: Bytecodes of a method beyond which the JVM doesn't compile it: Spark then projects in parts.
+METHOD_BYTES = 8000
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The events; the session's shuffle partitions are raised where they would get over EVENTS_A_PART each, and what a
-    task is given at once is lowered to TASK_BYTES where that stands at Spark's 64 MB."""
+    task is given at once is lowered to TASK_BYTES where that stands at Spark's 64 MB, as are its longest methods to
+    METHOD_BYTES where they stand at 65,535."""
     e, n, most = spark.read.parquet(f"{d}/events.parquet"), "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    longest = "spark.sql.codegen.hugeMethodLimit"
     spark.conf.set(n, str(max(int(spark.conf.get(n)), -(-e.count() // EVENTS_A_PART))))
     if spark.conf.get(most) in ("64MB", "67108864b", str(64 << 20)):
         spark.conf.set(most, str(TASK_BYTES))
+    if spark.conf.get(longest, "65535") == "65535":
+        spark.conf.set(longest, str(METHOD_BYTES))
     return e
 
 

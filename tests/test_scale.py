@@ -63,6 +63,37 @@ def test_clip_of_boxes_of_any_size(spark):
     assert stood.select("level").distinct().count() <= spatial.REGION_LEVELS
 
 
+def test_few_regions_are_all_tried(spark, monkeypatch, capsys):
+    """Pages of few regions make no rows of the grid, and no table that grows with the pages is sent to all tasks; both ways meet the same."""
+    rng = random.Random(12)
+    box = lambda wide: (lambda x, y: (x, y, x + rng.uniform(-wide, wide), y + rng.uniform(-wide, wide)))(rng.uniform(-300, 300), rng.uniform(-300, 300))
+    rows = spark.createDataFrame([("d", n % 3, n, *box(30 if n % 9 else 900)) for n in range(600)] + [("d", 1, 900, None, 0.0, 1.0, 1.0), ("d", 1, 901, math.nan, 0.0, 1.0, 1.0)], BOX)
+    areas = [(n, "d", int(n > 5), *box(200), "center" if n % 3 else "any") for n in range(26)] + [(40, "d", 1, -math.inf, -math.inf, math.inf, math.inf, "any"), (41, "d", 1, None, 0.0, 9.0, 9.0, "any")]
+    regions, met = spark.createDataFrame(areas, REGION), []
+    for few in (32, 10, 0):
+        monkeypatch.setattr(spatial, "FEW_REGIONS", few)
+        met.append([sorted(tuple(r) for r in spatial.clip(rows, regions, mode).select("seq", "region_id").collect()) for mode in (True, False)])
+    assert met[0] == met[1] == met[2] and min(map(len, met[0])) > 300 and met[0][0] != met[0][1]
+    monkeypatch.undo()
+    capsys.readouterr()
+    spatial.clip(rows, regions).explain()
+    plan = capsys.readouterr().out
+    assert "ShuffledHashJoin" in plan and "gx" not in plan and "Broadcast" not in plan
+
+
+def test_long_methods_are_compiled(spark, data, monkeypatch):
+    """A session's own limit stays, Spark's is lowered to what the JVM compiles."""
+    n = "spark.sql.codegen.hugeMethodLimit"
+    held = spark.conf.get(n)
+    try:
+        for before, after in (("65535", "8000"), ("20000", "20000")):
+            spark.conf.set(n, before)
+            queries.annotations(spark, data)
+            assert spark.conf.get(n) == after
+    finally:
+        spark.conf.set(n, held)
+
+
 def _random_glyphs(rng, docs, most, sizes=(10.0,)):
     out = []
     for d in range(docs):
