@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,7 +143,7 @@ def pair_may_form(left: Column, right: Column, right_text: Column, tail: Column,
 
 def valid_tolerance(value: Column) -> Column:
     t = F.abs(value)
-    standard = F.exists(F.array(*map(F.lit, STANDARD_TOLERANCES)), lambda s: F.abs(t - s) < 0.02)
+    standard = reduce(or_, (F.abs(t - s) < 0.02 for s in STANDARD_TOLERANCES))  # no lambda: those aren't compiled, nor is what they read
     small = (t < 1) & (F.abs(t - rounded(t, 2)) < 0.001)
     whole = t.between(1, 4) & (F.abs(t - F.rint(t)) < 0.001)
     return (t <= LARGEST_TOLERANCE) & (standard | small | whole)

@@ -27,14 +27,22 @@ def with_pair_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
 
 
-def explicit_pair(text: Column) -> Column:
-    """struct(left, right, shown) of a text 'A X B tail' that is a valid pair, else null."""
-    left, right, tail = (F.regexp_extract(text, EXPLICIT, i) for i in (1, 2, 3))
-    a, b = tx.to_double(left), tx.to_double(right)
-    fits = (a > 0) & (a < LARGEST_SIDE) & (b > 0) & (b < LARGEST_SIDE) & tx.valid_pair(a, b, tx.plain_number(b), tail)
+def with_written(found: DataFrame) -> DataFrame:
+    """found with written: struct(left, right, shown) of a text 'A X B tail' that is a valid pair, else null.
+
+    What is read from a text is a column before it is used again, so each is read once.
+    """
+    part = lambda i: F.when(F.col("text").rlike("[Xx×]"), F.regexp_extract("text", EXPLICIT, i))
+    c = found.withColumns({"w_left": part(1), "w_right": part(2), "w_tail": part(3)})
+    c = c.withColumns({"w_a": tx.to_double(F.col("w_left")), "w_b": tx.to_double(F.col("w_right")), "w_rest": tx.strip(F.col("w_tail"))})
+    c = c.withColumn("w_shown", tx.plain_number(F.col("w_b")))
+    a, b, tail = (F.col(f"w_{n}") for n in ("a", "b", "tail"))
+    fits = (a > 0) & (a < LARGEST_SIDE) & (b > 0) & (b < LARGEST_SIDE) & tx.valid_pair(a, b, F.col("w_shown"), F.col("w_rest"))
+    c = c.withColumn("w_fits", F.when(a.isNotNull() & b.isNotNull(), F.coalesce(fits, F.lit(False))).otherwise(False))
     gap = F.when(tail.startswith("("), "").otherwise(" ")
     shown = tx.strip(F.concat(tx.short_number(a), F.lit(" X "), tx.short_number(b), gap, tail))
-    return F.when(F.coalesce(fits, F.lit(False)), F.struct(a.alias("left"), b.alias("right"), shown.alias("shown")))
+    c = c.withColumn("written", F.when(F.col("w_fits"), F.struct(a.alias("left"), b.alias("right"), shown.alias("shown"))))
+    return c.drop(*(f"w_{n}" for n in ("left", "right", "tail", "a", "b", "rest", "shown", "fits")))
 
 
 def build(found: DataFrame) -> DataFrame:
@@ -42,19 +50,22 @@ def build(found: DataFrame) -> DataFrame:
 
     tolerance and tolerance_text are the one modifier an entity can have.
     """
-    text = tx.strip(F.col("text"))
-    c = with_pair_columns(found).withColumn("text", text).withColumn("written", F.when(F.col("text").rlike("[Xx×]"), explicit_pair(F.col("text"))))
+    c = with_written(with_pair_columns(found).withColumn("text", tx.strip(F.col("text"))))
     a, b = F.get("values", F.lit(0)), F.get("values", F.lit(1))
     formed = (F.col("entity_type") == "SRC_dimension") & ((F.size(F.coalesce("values", F.array().cast("array<double>"))) < 2) | tx.valid_pair(a, b, tx.plain_number(b), F.lit("")))
     way = F.when(F.coalesce(formed, F.lit(False)), "formed").when(F.col("written").isNotNull(), "written").when(F.col("grammar_fused") & F.col("tolerance_value").isNotNull(), "fused").otherwise("text")
-    c = c.withColumn("way", way).withColumns({"own_text": tx.nominal_text(F.col("text")), "own_nominal": tx.parse_nominal(F.col("text")), "own_tolerance": tx.parse_tolerance(F.col("text"))})
+    c = c.withColumn("way", way).withColumns({"own_text": tx.nominal_text(F.col("text")), "own_mark": tx.tolerance_text(F.col("text"))})
+    c = c.withColumn("own_number", F.regexp_extract("own_text", r"([\d.]+)", 1))
+    c = c.withColumns({"own_nominal": tx.to_double(F.col("own_number")), "own_tolerance": tx.to_double(F.col("own_mark"))})
     is_way = lambda *w: F.col("way").isin(*w)
     nominal = F.when(is_way("fused"), F.col("nominal")).when(is_way("text"), F.col("own_nominal"))
     tolerance = F.when(is_way("fused"), F.col("tolerance_value")).when(is_way("text"), F.col("own_tolerance"))
-    tolerance = F.when(tolerance.isNotNull() & tx.tolerance_fits(nominal, tolerance), tolerance)
-    shown = F.when(is_way("fused"), F.concat(F.lit("±"), tx.plain_number(tolerance))).otherwise(F.concat(F.lit("±"), tx.tolerance_text(F.col("text"))))
+    c = c.withColumns({"new_nominal": nominal, "new_tolerance": tolerance})
+    fits = F.col("new_tolerance").isNotNull() & tx.tolerance_fits(F.col("new_nominal"), F.col("new_tolerance"))
+    c = c.withColumn("tolerance", F.when(fits, F.col("new_tolerance")))
+    shown = F.concat(F.lit("±"), F.when(is_way("fused"), tx.plain_number(F.col("tolerance"))).otherwise(F.col("own_mark")))
     filled = F.when(F.col("own_text") != "", F.col("own_text")).otherwise(F.col("text"))
-    c = c.withColumns({"new_nominal": nominal, "tolerance": tolerance, "tolerance_text": F.when(tolerance.isNotNull(), shown)})
+    c = c.withColumn("tolerance_text", F.when(F.col("tolerance").isNotNull(), shown))
     nominal_text = F.when(is_way("formed"), F.col("text")).when(is_way("written"), F.col("written.shown")).when(is_way("fused"), F.coalesce("nominal_text", "text")).otherwise(filled)
     display = F.when(is_way("text"), F.concat_ws(" ", filled, F.col("tolerance_text"))).when(is_way("fused"), F.col("text")).otherwise(nominal_text)
     c = c.withColumns({
@@ -66,7 +77,7 @@ def build(found: DataFrame) -> DataFrame:
         "reconstructed_operator": F.when(is_way("formed"), F.col("reconstructed_operator")).when(is_way("written"), F.lit(False)),
         "confidence": F.when(is_way("formed"), F.col("confidence")).when(is_way("written"), 1.0),
     })
-    dropped = ["written", "way", "own_text", "own_nominal", "own_tolerance", "new_nominal", "grammar_fused", "tolerance_value", "chain_id", "direction_locked", "text"]
+    dropped = ["written", "way", "own_text", "own_mark", "own_number", "own_nominal", "own_tolerance", "new_nominal", "new_tolerance", "grammar_fused", "tolerance_value", "chain_id", "direction_locked", "text"]
     return c.drop(*dropped)
 
 

@@ -146,31 +146,44 @@ def nearest_parent(modifiers: DataFrame, entities: DataFrame, keys: list[str] =
 
 
 def _attached(rows: pd.DataFrame) -> pd.DataFrame:
-    """(page_no, mseq, seq): a page's modifiers in order, each to its nearest number as that stands by then."""
-    e = rows[rows["value"].isna()].sort_values(["page_no", "seq"])
-    marks = rows[rows["value"].notna()].sort_values(["page_no", "seq"])
-    starts, stops = (np.searchsorted(e["page_no"].to_numpy(), marks["page_no"].to_numpy(), side) for side in ("left", "right"))
-    seq, nominal, axis, family, free = (e[c].to_numpy() for c in ("seq", "nominal", "dimension_axis", "family", "free"))
-    box = e[["x0", "y0", "x1", "y1"]].to_numpy(float)
-    cx, cy, free = e["cx"].to_numpy(float), e["cy"].to_numpy(float), free.astype(bool)
-    up = axis == "vertical"
-    found = []
-    for m, start, stop in zip(marks.itertuples(), starts, stops, strict=True):
-        own = slice(start, stop)
-        dx, dy = m.cx - cx[own], cy[own] - m.cy
-        gap = np.sqrt(dx * dx + dy * dy)
-        near = np.where(up[own], (np.abs(dx) <= LINE) & (gap <= TOLERANCE_REACH * UPRIGHT) & (dy >= 0), (np.abs(dy) <= LINE) & (gap <= TOLERANCE_REACH) & (dx >= 0))
-        near &= (axis[own] == m.dimension_axis) & (family[own] == m.family) & ((nominal[own] == 0) | (m.value <= tx.LARGEST_SHARE * np.abs(nominal[own])))
-        if not near.any():
+    """(page_no, mseq, seq): a page's modifiers in order, each to its nearest number as that stands by then.
+
+    Pages don't matter to each other: the first modifiers of all go at once, then the second ones, and so on.
+    """
+    rows = rows.assign(axis=pd.factorize(rows["dimension_axis"])[0], reads=pd.factorize(rows["family"])[0]).sort_values(["page_no", "seq"])
+    of, to = rows[rows["value"].notna()], rows[rows["value"].isna()]
+    page, seq, nominal, axis, reads, free = (to[c].to_numpy() for c in ("page_no", "seq", "nominal", "axis", "reads", "free"))
+    own, value, m_axis, m_reads = (of[c].to_numpy() for c in ("page_no", "value", "axis", "reads"))
+    start, stop = (np.searchsorted(page, own, side) for side in ("left", "right"))
+    place, m_place = (r[["x0", "y0", "x1", "y1", "cx", "cy"]].to_numpy(float) for r in (to, of))
+    free, up, share = free.astype(bool), (to["dimension_axis"] == "vertical").to_numpy(), tx.LARGEST_SHARE * np.abs(nominal)
+    turn = np.arange(len(of)) - np.searchsorted(own, own)
+    by_turn = np.argsort(turn, kind="stable")
+    takes, taken = [], []
+    for m in np.split(by_turn, np.searchsorted(turn[by_turn], np.arange(1, turn.max(initial=0) + 1))):
+        m = m[stop[m] > start[m]]
+        if not len(m):
             continue
-        best = start + int(np.where(near, gap, np.inf).argmin())
-        if free[best]:
-            free[best] = False
-            other = np.array([m.x0, m.y0, m.x1, m.y1])
-            box[best] = [*np.minimum(box[best, :2], other[:2]), *np.maximum(box[best, 2:], other[2:])]
-            cx[best], cy[best] = (box[best, 0] + box[best, 2]) / 2, (box[best, 1] + box[best, 3]) / 2
-            found.append((m.page_no, m.seq, seq[best]))
-    return pd.DataFrame(found, columns=["page_no", "mseq", "seq"]).astype("int64")
+        n = stop[m] - start[m]
+        first = np.cumsum(n) - n
+        at, e = np.repeat(np.arange(len(m)), n), np.arange(n.sum()) + np.repeat(start[m] - first, n)
+        i = m[at]
+        dx, dy = m_place[i, 4] - place[e, 4], place[e, 5] - m_place[i, 5]
+        gap = np.sqrt(dx * dx + dy * dy)
+        near = np.where(up[e], (np.abs(dx) <= LINE) & (gap <= TOLERANCE_REACH * UPRIGHT) & (dy >= 0), (np.abs(dy) <= LINE) & (gap <= TOLERANCE_REACH) & (dx >= 0))
+        near &= (axis[e] == m_axis[i]) & (reads[e] == m_reads[i]) & ((nominal[e] == 0) | (value[i] <= share[e]))
+        least = np.minimum.reduceat(np.where(near, gap, np.inf), first)
+        hits = np.flatnonzero(near & (gap == least[at]))
+        hits = hits[np.unique(at[hits], return_index=True)[1]]
+        hits = hits[free[e[hits]]]
+        best, m = e[hits], i[hits]
+        free[best] = False
+        place[best, :2], place[best, 2:4] = np.minimum(place[best, :2], m_place[m, :2]), np.maximum(place[best, 2:4], m_place[m, 2:4])
+        place[best, 4:] = (place[best, :2] + place[best, 2:4]) / 2
+        takes.append(m)
+        taken.append(best)
+    m, best = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (takes, taken))
+    return pd.DataFrame({"page_no": own[m], "mseq": of["seq"].to_numpy()[m], "seq": seq[best]}).astype("int64")
 
 
 def attach_modifiers(modifiers: DataFrame, entities: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -181,12 +194,12 @@ def attach_modifiers(modifiers: DataFrame, entities: DataFrame, keys: list[str]
     doesn't look for a second choice.  A number's box and centre grow by its modifier's.  Only
     pages with modifiers are folded, many in one call.
     """
-    m = modifiers.select(*keys, F.col("seq").alias("mseq"), tx.parse_tolerance(F.col("text")).alias("value"), F.concat(F.lit("±"), tx.tolerance_text(F.col("text"))).alias("value_text"), *(F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")), F.col("glyph_count").alias("m_glyphs")).hint("merge")
     place = ["x0", "y0", "x1", "y1", "cx", "cy"]
     none = lambda c: F.coalesce(c, F.lit(""))
     about = [none(F.col("dimension_axis")).alias("dimension_axis"), none(tx.reading_family(F.col("orientation"))).alias("family")]
-    value = tx.parse_tolerance(F.col("text"))
-    marks = modifiers.where(value.isNotNull() & tx.valid_tolerance(value)).select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, value.alias("value"), F.lit(None).cast("double").alias("nominal"), F.lit(True).alias("free"))
+    read = save(modifiers.select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, "glyph_count", tx.parse_tolerance(F.col("text")).alias("value"), tx.tolerance_text(F.col("text")).alias("shown")), "marks")
+    m = read.select(*keys, F.col("seq").alias("mseq"), "value", F.concat(F.lit("±"), "shown").alias("value_text"), *(F.col(c).alias(f"m_{c}") for c in ("x0", "y0", "x1", "y1")), F.col("glyph_count").alias("m_glyphs")).hint("merge")
+    marks = read.where(F.col("value").isNotNull() & tx.valid_tolerance(F.col("value"))).select(*keys, "seq", *place, "dimension_axis", "family", "value", F.lit(None).cast("double").alias("nominal"), F.lit(True).alias("free"))
     numbers = entities.where("nominal is not null").select(*keys, "seq", *(F.col(c).cast("double").alias(c) for c in place), *about, F.lit(None).cast("double").alias("value"), "nominal", F.col("tolerance").isNull().alias("free"))
     page = save(numbers.join(marks.select(*keys).distinct(), keys, "left_semi").unionByName(marks), "attachable")
     first = fold_pages(page, keys, _attached, "mseq long, seq long")

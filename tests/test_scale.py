@@ -398,6 +398,45 @@ def test_pages_fold_together_as_alone():
         assert sorted(fold(rows).itertuples(index=False, name=None)) == sorted(x for a in alone for x in a.itertuples(index=False, name=None)) and all(map(len, alone))
 
 
+def test_modifiers_go_in_turns(monkeypatch):
+    """The nth modifiers of all pages go in one step; each as the rule has it, one by one."""
+    rng = random.Random(21)
+    spot = lambda: (lambda x, y: {"x0": x, "y0": y, "x1": x + 5, "y1": y + 9, "cx": x + 2.5, "cy": y + 4.5})(rng.randrange(15) * 4.0, rng.randrange(8) * 4.0)
+    rows = [{"page_no": p, "seq": n + 100 * mark, **spot(), "dimension_axis": rng.choice(("horizontal", "vertical")), "family": rng.choice(("", "", "a")), "value": rng.choice((0.5, 3.0)) if mark else None, "nominal": None if mark else rng.choice((0.0, 4.0, 50.0)), "free": n % 5 > 0} for p in range(40) for mark in (0, 1) for n in range(rng.randrange(0, 12))]
+    want = []
+    for p in range(40):
+        numbers = [dict(r) for r in rows if r["page_no"] == p and r["value"] is None]
+        for m in (r for r in rows if r["page_no"] == p and r["value"] is not None):
+            best = None
+            for e in numbers:
+                dx, dy = m["cx"] - e["cx"], e["cy"] - m["cy"]
+                gap = math.sqrt(dx * dx + dy * dy)
+                near = abs(dx) <= 12 and gap <= 90 and dy >= 0 if e["dimension_axis"] == "vertical" else abs(dy) <= 12 and gap <= 60 and dx >= 0
+                if near and (e["dimension_axis"], e["family"]) == (m["dimension_axis"], m["family"]) and (e["nominal"] == 0 or m["value"] <= abs(e["nominal"]) / 2) and (best is None or gap < best[0]):
+                    best = gap, e
+            if best and best[1]["free"]:
+                e = best[1]
+                e.update(free=False, x0=min(e["x0"], m["x0"]), y0=min(e["y0"], m["y0"]), x1=max(e["x1"], m["x1"]), y1=max(e["y1"], m["y1"]))
+                e.update(cx=(e["x0"] + e["x1"]) / 2, cy=(e["y0"] + e["y1"]) / 2)
+                want.append((p, m["seq"], e["seq"]))
+    steps, sqrt = [], np.sqrt
+    monkeypatch.setattr(matching.np, "sqrt", lambda x: steps.append(1) or sqrt(x))
+    found = matching._attached(pd.DataFrame(rows).sample(frac=1, random_state=1))
+    assert sorted(found.itertuples(index=False, name=None)) == sorted(want) and len(want) > 30
+    assert len(steps) <= 11
+    none = pd.DataFrame(rows)
+    assert matching._attached(none[none["value"].isna()]).empty and matching._attached(none[none["value"].notna()]).empty
+
+
+def test_texts_of_entities_are_read_once(spark, capsys):
+    rows = spark.createDataFrame([("d", 1, "20 X 30")], "doc_id string, page int, text string")
+    null = {"cx": "double", "cy": "double", "entity_type": "string", "values": "array<double>", "grammar_fused": "boolean", "tolerance_value": "double", "nominal": "double", "nominal_text": "string", "grammar_rule": "string", "operator": "string", "chain_id": "int", "direction_locked": "boolean"}
+    rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in null.items()})
+    plan = _explained(entities.build(rows), capsys)
+    assert plan.count("regexp_extract") <= 6 and "exists(" not in plan
+    assert entities.build(rows).first()["values"] == [20.0, 30.0]
+
+
 def test_partitions_follow_the_events(spark, data, monkeypatch):
     held = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
     try:
